@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontaminate, line_dedup, packing
+from tracelake.llm import decontaminate, line_dedup, packing, secrets, token_files
+from tracelake.llm.common import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,10 +41,29 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_path(spark, "token-files")
+    token_files.write_token_files(
+        _table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=1, vocabulary_size=49_408
+    )
+    return token_files.read_token_files(spark, path)
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+    kinds = F.array(*[F.lit(k) for k in secrets.KINDS])
+    spans = F.transform("spans", lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"]))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.array_join(spans, ",").alias("spans"), "n_live", "n_example"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op6_decontamination": op6_decontamination,
     "op7_line_dedup": op7_line_dedup,
+    "op8_token_files": op8_token_files,
+    "op9_secrets": op9_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
