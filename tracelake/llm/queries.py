@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontaminate, line_dedup, packing, secrets, token_files
+from tracelake.llm import decontaminate, embedding_dedup, line_dedup, packing, secrets, token_files
 from tracelake.llm.common import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,12 +58,17 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op6_decontamination": op6_decontamination,
     "op7_line_dedup": op7_line_dedup,
     "op8_token_files": op8_token_files,
     "op9_secrets": op9_secrets,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -95,5 +100,19 @@ marked AS (SELECT doc_id, pos, line, coalesce(doc_id <> first_doc, false) AS dro
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE dropped) AS BIGINT) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op10_embedding_dedup": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE e IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98
+), reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+low AS (SELECT a, least(min(b), a) AS m FROM reach GROUP BY a),
+deg AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(deg.n, 0) AS n_links, coalesce(low.m, vec_id) AS component_id, coalesce(low.m, vec_id) = vec_id AS kept
+FROM v LEFT JOIN low ON low.a = vec_id LEFT JOIN deg ON deg.a = vec_id
 """,
 }
