@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontaminate, embedding_dedup, line_dedup, packing, secrets, token_files
-from tracelake.llm.common import work_path
+from tracelake.llm import decontaminate, embedding_dedup, language_id, line_dedup, packing, secrets, token_files, url_filter
+from tracelake.llm.common import crc_mod, work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,47 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    model = language_id.train(docs, ~held_out)
+    predicted = language_id.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return predicted.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def _digest_number(value: Column, salt: str) -> Column:
+    """A number below 2^32 that depends on ``value`` alone, the same in other engines."""
+    return F.conv(F.substring(F.md5(F.concat(value, F.lit(salt))), 1, 8), 16, 10).cast("long")
+
+
+def url_list_entries(pages: DataFrame) -> DataFrame:
+    """Dated list entries derived from the hosts and first path segments of ``pages``."""
+    host, segment = url_filter.host_of(F.col("url")), F.element_at(F.split(url_filter.path_of(F.col("url")), "/"), 1)
+    hosts = pages.select(host.alias("host")).filter("host is not null").distinct()
+    n = {k: _digest_number(F.col("host"), k) for k in ("pick", "since", "until", "again")}
+    since = n["since"] % 700
+    until = since + 1 + n["until"] % 200
+    rows = [("spam", "block", "add", since), ("spam", "block", "remove", until)]
+    spam = hosts.filter(n["pick"] % 3 == 0)
+    entries = [spam.select(F.lit(a).alias("list"), F.lit(b).alias("effect"), F.col("host").alias("pattern"), F.lit(c).alias("action"), d.alias("day")) for a, b, c, d in rows]
+    again = spam.filter(n["again"] % 2 == 0)
+    entries.append(again.select(F.lit("spam"), F.lit("block"), "host", F.lit("add"), until + 10 + n["again"] % 100))
+    paths = pages.select(F.concat_ws("/", host, segment).alias("host")).filter(host.isNotNull() & (segment != "")).distinct()
+    entries.append(paths.filter(n["pick"] % 5 == 0).select(F.lit("trusted"), F.lit("allow"), "host", F.lit("add"), since))
+    entries.append(paths.filter(n["pick"] % 5 == 1).select(F.lit("legal"), F.lit("block"), "host", F.lit("add"), until))
+    out = entries[0]
+    for e in entries[1:]:
+        out = out.union(e)
+    return out
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, fetched on a day that its id fixes, against dated lists over the hosts and paths of all pages."""
+    pages = _table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", (_digest_number(F.col("page_id").cast("string"), "day") % 1000).alias("day"))
+    return url_filter.judge_captures(captures, url_list_entries(pages)).drop("url")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return decontaminate.judge(found).select(
@@ -64,6 +105,8 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_language_id": op2_language_id,
+    "op4_url_filter": op4_url_filter,
     "op6_decontamination": op6_decontamination,
     "op7_line_dedup": op7_line_dedup,
     "op8_token_files": op8_token_files,
@@ -72,6 +115,36 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_url_filter": r"""
+WITH c AS (
+  SELECT page_id, url, ('0x' || md5(CAST(page_id AS VARCHAR) || 'day')[1:8])::BIGINT % 1000 AS day,
+    nullif(lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '\.$', '')), '') AS host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1) AS path
+  FROM pages
+), names AS (
+  SELECT DISTINCT 'host' AS kind, host AS p FROM c WHERE host IS NOT NULL
+  UNION SELECT DISTINCT 'path', host || '/' || split_part(path, '/', 1) FROM c WHERE host IS NOT NULL AND split_part(path, '/', 1) <> ''
+), n AS (
+  SELECT kind, p, ('0x' || md5(p || 'pick')[1:8])::BIGINT AS pick, ('0x' || md5(p || 'since')[1:8])::BIGINT % 700 AS since,
+    ('0x' || md5(p || 'since')[1:8])::BIGINT % 700 + 1 + ('0x' || md5(p || 'until')[1:8])::BIGINT % 200 AS until, ('0x' || md5(p || 'again')[1:8])::BIGINT AS again FROM names
+), e AS (
+  SELECT 'spam' AS list, 'block' AS effect, p, 'add' AS action, since AS day FROM n WHERE kind = 'host' AND pick % 3 = 0
+  UNION ALL SELECT 'spam', 'block', p, 'remove', until FROM n WHERE kind = 'host' AND pick % 3 = 0
+  UNION ALL SELECT 'spam', 'block', p, 'add', until + 10 + again % 100 FROM n WHERE kind = 'host' AND pick % 3 = 0 AND again % 2 = 0
+  UNION ALL SELECT 'trusted', 'allow', p, 'add', since FROM n WHERE kind = 'path' AND pick % 5 = 0
+  UNION ALL SELECT 'legal', 'block', p, 'add', until FROM n WHERE kind = 'path' AND pick % 5 = 1
+), k AS (SELECT list, p, day, max(CASE WHEN action = 'remove' THEN 1 ELSE 0 END) AS removed, min(effect) AS effect FROM e GROUP BY ALL),
+turns AS (SELECT * FROM (SELECT *, lag(removed, 1, 1) OVER (PARTITION BY list, p ORDER BY day) AS before FROM k) WHERE removed <> before),
+iv AS (SELECT * FROM (SELECT list, effect, p, removed, day AS since, lead(day) OVER (PARTITION BY list, p ORDER BY day) AS until FROM turns) WHERE removed = 0),
+active AS (
+  SELECT c.page_id, iv.list, iv.effect, iv.p, row_number() OVER (PARTITION BY c.page_id ORDER BY length(iv.p) DESC, iv.effect, iv.list, iv.p) AS rn, count(*) OVER (PARTITION BY c.page_id) AS n
+  FROM c JOIN iv ON (c.host = iv.p OR ends_with(c.host, '.' || iv.p) OR (contains(iv.p, '/') AND starts_with(c.host || '/' || regexp_replace(c.path, '/+$', '') || '/', iv.p || '/')))
+    AND c.day >= iv.since AND (iv.until IS NULL OR c.day < iv.until)
+)
+SELECT c.page_id, c.day, CASE WHEN effect IS NULL THEN 'unlisted' WHEN effect = 'allow' THEN 'allowed' ELSE 'blocked' END AS verdict,
+  list AS by_list, p AS by_pattern, coalesce(n, 0) AS n_active
+FROM c LEFT JOIN active ON c.page_id = active.page_id AND rn = 1
+""",
     "op6_decontamination": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
