@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontaminate, embedding_dedup, language_id, line_dedup, near_dedup, packing, secrets, token_files, url_filter
+from tracelake.llm import decontaminate, embedding_dedup, language_id, line_dedup, lm_score, near_dedup, packing, secrets, token_files, url_filter
 from tracelake.llm.common import crc_mod, work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 5) == 1
+    scored = lm_score.score_texts(_table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def _digest_number(value: Column, salt: str) -> Column:
     """A number below 2^32 that depends on ``value`` alone, the same in other engines."""
     return F.conv(F.substring(F.md5(F.concat(value, F.lit(salt))), 1, 8), 16, 10).cast("long")
@@ -110,6 +116,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_language_id": op2_language_id,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_url_filter": op4_url_filter,
     "op5_order_minhash": op5_order_minhash,
     "op6_decontamination": op6_decontamination,
