@@ -188,3 +188,12 @@ def judge(found: DataFrame, *, min_share: float = 0.05) -> DataFrame:
     n_hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)")
     out = found.withColumns({"n_hit": n_hit, "n_items": F.size("items").cast("long")})
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * round(1 / min_share) >= F.col("n_words")))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_share: float = 0.05, **options) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated."""
+    found = judge(find_passages(docs, benchmark, id_col=id_col, text_col=text_col, **options), min_share=min_share)
+    # few documents are contaminated beside all; rows with equal id and text are judged alike
+    bad = found.filter("contaminated").select(F.col(id_col).alias("__id"), F.col("__part").alias("__p")).distinct()
+    bad = materialize(bad, "contaminated")
+    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__id")) & (F.hash(docs[text_col]) == F.col("__p")), "left_anti")
