@@ -1,0 +1 @@
+"""Nothing here yet: the operators of this library are batch operators over whole tables."""
