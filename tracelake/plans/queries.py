@@ -15,7 +15,19 @@ from tracelake.plans.pipelines import responder_fraction
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {"responder_fraction": responder_fraction}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "responder_fraction": f"""
+WITH {views.SQL['traces']},
+b AS (SELECT dataset, roi, quantile_cont(v + 10, 0.05) AS f0 FROM traces GROUP BY ALL),
+d AS (SELECT t.dataset, t.roi, trial, frame, (v + 10 - f0) / f0 AS dff FROM traces t JOIN b ON t.dataset = b.dataset AND t.roi = b.roi),
+z AS (SELECT *, (dff - avg(dff) OVER w) / stddev_samp(dff) OVER w AS z FROM d WINDOW w AS (PARTITION BY dataset, roi)),
+e AS (SELECT dataset, roi, trial, avg(z) FILTER (WHERE frame < 4) AS pre, avg(z) FILTER (WHERE frame >= 4) AS post FROM z GROUP BY ALL),
+n AS (SELECT *, count(*) FILTER (WHERE pre <= 0.7) OVER (PARTITION BY dataset, roi) AS n FROM e),
+u AS (SELECT dataset, roi, avg(post - pre) * sqrt(count(*)) AS change FROM n WHERE pre <= 0.7 AND n >= 5 GROUP BY ALL)
+SELECT dataset, round(count(*) FILTER (WHERE change < -1) / count(*), 6) AS negative, round(count(*) FILTER (WHERE change > 1) / count(*), 6) AS positive,
+  round(count(*) FILTER (WHERE change BETWEEN -1 AND 1) / count(*), 6) AS weak, count(*) AS total FROM u GROUP BY dataset
+""",
+}
 
 UNIT, TRACE = ["dataset", "roi"], ["dataset", "roi", "trial"]
 KINDS = ["negative", "positive", "weak"]
