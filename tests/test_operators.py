@@ -133,6 +133,24 @@ def test_robust_trend_ignores_an_outlier(spark):
     assert one(kernels.robust_trend(trace(spark, y), ["roi"], "v")).slope == pytest.approx(2, abs=0.01)
 
 
+def test_components_and_curves(spark):
+    rng = np.random.default_rng(2)
+    a = rng.standard_normal(200)
+    rows = [(1, i, f, float(x)) for i in range(200) for f, x in ((0, a[i]), (1, 2 * a[i]), (2, 0.01 * rng.standard_normal()))]
+    df = spark.createDataFrame(rows, "g int, roi int, frame int, v double")
+    pairs = stats.correlation_pairs(df, ["g"], ["roi"], "frame", "v", covariance=True)
+    own = df.groupBy("g", F.col("frame").alias("a")).agg(F.var_samp("v").alias("r")).select("g", "a", F.col("a").alias("b"), "r")
+    got = {r.feature: r for r in kernels.covariance_components(pairs.unionByName(own), ["g"], 1).collect()}
+    assert got[0].share > 0.999 and got[1].loading == pytest.approx(2 / 5**0.5, abs=1e-3) and got[0].loading == pytest.approx(1 / 5**0.5, abs=1e-3)
+    x = np.linspace(0, 10, 40)
+    for kind, p in (("sigmoid", [4.0, 0.7, 3.0, 1.0]), ("gauss", [1.0, 2.0, 5.0, 1.2]), ("power", [2.0, 0.6]), ("linear", [3.0, -1.0])):
+        found, r2 = kernels.fit_curve(kind, x, kernels.CURVES[kind][0](x, p))
+        assert r2 > 0.999999 and np.abs(found) == pytest.approx(np.abs(p), rel=1e-3)
+    pts = spark.createDataFrame([(1, float(v), float(2 * v + 1)) for v in x], "g int, x double, y double")
+    row = one(kernels.fit_curves(pts, ["g"], "x", "y", ["origin", "linear"]))
+    assert row.kind == "linear" and row.parameters == pytest.approx([2, 1])
+
+
 def test_bundles(spark, tmp_path):
     df = spark.createDataFrame([("d1", 1), ("d2", 2)], "dataset string, x int")
     bundles.save_bundle({"stats": df, "info": df.drop("dataset")}, f"{tmp_path}/b")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelake.functions import dose, parse
-from tracelake.operators import aggregate, align, filters, reshape, signals, stats
+from tracelake.operators import aggregate, align, filters, frames, kernels, reshape, signals, stats
 from tracelake.plans import views
 from tracelake.plans.pipelines import responder_fraction
 
@@ -620,3 +620,99 @@ def parameter_codes(t):
 def source_numbers(t):
     n = F.regexp_extract("source", r"^src(\d+)$", 1).try_cast("int")
     return t.filter("source is not null").select("doc_id", n.alias("number"), parse.ordinal_suffix(n).alias("suffix"))
+
+
+# image stacks: a stack per label, a frame per vector, a pixel per element
+
+
+def pixels(t: DataFrame) -> DataFrame:
+    return t.select(F.col("dataset").alias("stack"), F.col("roi").alias("frame"), F.col("frame").alias("pixel"), (F.col("v") * 100 + 500).alias("v"))
+
+
+_PIXELS = "px AS (SELECT dataset AS stack, roi AS frame, frame AS pixel, v * 100 + 500 AS v FROM flat), ref AS (SELECT stack, pixel, median(v) AS ref FROM px GROUP BY ALL)"
+
+
+@query("flat", f", {_PIXELS}\nSELECT stack, pixel, {r('ref')} AS ref FROM ref")
+def reference_frame(t):
+    return rounded(frames.projection(pixels(t)))
+
+
+@query("flat", f", {_PIXELS}, e AS (SELECT stack, quantile_cont(ref, 0.1) AS a, quantile_cont(ref, 0.9) AS b FROM ref GROUP BY stack)\nSELECT stack, pixel, {r('ref')} AS ref FROM ref JOIN e USING (stack) WHERE ref BETWEEN a AND b")
+def pixel_mask(t):
+    return rounded(frames.quantile_mask(frames.projection(pixels(t)), 0.1, 0.9))
+
+
+@query("flat", f", {_PIXELS}\nSELECT stack, frame, {r('regr_slope(v, ref)')} AS slope, {r('regr_intercept(v, ref)', 3)} AS intercept FROM px JOIN ref USING (stack, pixel) GROUP BY ALL")
+def frame_regression(t):
+    out = frames.frame_regression(pixels(t), frames.projection(pixels(t)))
+    return out.select("stack", "frame", (F.round("slope", 6) + F.lit(0.0)).alias("slope"), (F.round("intercept", 3) + F.lit(0.0)).alias("intercept"))
+
+
+@query("flat", f""", {_PIXELS}, p AS (SELECT stack, frame, stddev_pop(v) / stddev_pop(ref) AS slope, avg(v) - avg(ref) AS intercept FROM px JOIN ref USING (stack, pixel) GROUP BY ALL),
+c AS (SELECT stack, frame, pixel, (v - intercept) / slope AS v FROM px JOIN p USING (stack, frame)), l AS (SELECT stack, least(min(v), 0) AS low FROM c GROUP BY stack)
+SELECT stack, frame, pixel, {r('v - low', 4)} AS v FROM c JOIN l USING (stack)""")
+def frames_corrected(t):
+    px = pixels(t)
+    return rounded(frames.correct_frames(px, frames.frame_regression(px, frames.projection(px), kind="moments")), 4)
+
+
+@query("flat", f""", {_PIXELS}, e AS (SELECT stack, CASE WHEN min(v) < 500 THEN 500 - min(v) ELSE 0 END AS up, max(v) AS top FROM px GROUP BY stack)
+SELECT stack, frame, pixel, {r('(v + up) * CASE WHEN top + up > 520 THEN 0.5 * 520 / (top + up) ELSE 1 END')} AS v FROM px JOIN e USING (stack)""")
+def range_fitted(t):
+    return rounded(frames.fit_range(pixels(t), 500.0, 520.0))
+
+
+@query("embeddings", f"""
+WITH e AS (SELECT vec_id AS roi, CAST(embedding AS DOUBLE[]) AS a FROM embeddings), p AS (SELECT roi, a, i, least(i * (63.0::DOUBLE / 10), 63) AS x FROM (SELECT *, unnest(range(0, 11)) AS i FROM e)),
+q AS (SELECT *, CAST(floor(x) AS INT) AS k FROM p)
+SELECT roi, CAST(i AS INT) AS frame, {r('a[k + 1] + (coalesce(a[k + 2], a[k + 1]) - a[k + 1]) * (x - k)')} AS value FROM q""")
+def frames_resampled(t):
+    e = t.select(F.col("vec_id").alias("roi"), frames.resampled_values(F.col("embedding").cast("array<double>"), 64, 5 / 30).alias("v"))
+    return rounded(reshape.long_rows(e, ["roi"], "v"))
+
+
+# per-trace kernels: no SQL form, known answers in the tests
+
+
+@query("flat")
+def power_spectra(t):
+    return rounded(kernels.power_spectrum(t, UNIT, "v", 3.56))
+
+
+@query("flat")
+def welch_spectra(t):
+    return rounded(kernels.welch_spectrum(t, UNIT, "v", 3.56, 16))
+
+
+@query("flat")
+def hilbert_envelopes(t):
+    return rounded(kernels.hilbert(t, UNIT, "v"))
+
+
+@query("flat")
+def low_passed(t):
+    return rounded(kernels.zero_phase_filter(t, UNIT, "v", 3.56, 0.5))
+
+
+@query("flat")
+def amplitude_surrogates(t):
+    return rounded(kernels.surrogates(t, UNIT, "v", method="amplitude", iterations=20))
+
+
+@query("flat")
+def robust_trends(t):
+    return rounded(kernels.robust_trend(t, UNIT, "v"))
+
+
+@query("flat")
+def principal_components(t):
+    """Components of the frames over units, by dataset; the covariances are grouped sums."""
+    pairs = stats.correlation_pairs(t, ["dataset"], ["roi"], "frame", "v", covariance=True)
+    own = t.groupBy("dataset", F.col("frame").alias("a")).agg(F.var_samp("v").alias("r")).select("dataset", "a", F.col("a").alias("b"), "r")
+    return rounded(kernels.covariance_components(pairs.unionByName(own), ["dataset"], 3))
+
+
+@query("stats")
+def dose_curves(t):
+    points = t.groupBy("dataset", "p").agg(F.avg("price").alias("price"))
+    return rounded(kernels.fit_curves(points, ["dataset"], "p", "price", ["linear", "power", "sigmoid"], 0.0).drop("parameters"), 3)
