@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tracelake.llm import embedding_dedup
 from tracelake.llm.components import connected_components
@@ -52,8 +53,10 @@ def brute(rows, threshold=0.98):
     return sorted(out, key=repr)
 
 
-def test_links_equal_all_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("small", [32, 4])
+def test_links_equal_all_pairs(spark, monkeypatch, small):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embedding_dedup, "SMALL", small)
     rng = np.random.default_rng(1)
     rows = []
     for k in range(300):

@@ -4,9 +4,10 @@ Normalised vectors are projected on Gaussian directions, the projections quantis
 bucket width, and DEPTH of them form the key of one of TABLES tables. Vectors at cosine
 0.98 are at most 0.2 apart, so with these parameters one pair in a million at the very
 threshold shares no bucket, and closer pairs are missed more rarely still. All pairs of a
-bucket are then checked exactly in double precision, in blocks of at most BLOCK vectors a
-side: a large bucket is dealt to block pairs, so that no task gets more than two blocks.
-A pair that meets in several tables is counted in the first of them only.
+bucket are then checked exactly in double precision: those of buckets of at most SMALL
+vectors as distinct pairs, larger buckets in blocks of at most BLOCK vectors a side, so
+that no task gets more than two blocks and the pairs of a group never become rows. A pair
+is counted in the first large bucket that has it, or else once among the distinct pairs.
 
 Exact copies are collapsed before hashing and counted with their multiplicity.
 
@@ -19,6 +20,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -33,16 +35,21 @@ from tracelake.llm.components import connected_components
 
 THRESHOLD = 0.98
 TABLES, DEPTH, WIDTH = 48, 8, 1.0
-BLOCK = 1024
+SMALL, BLOCK = 32, 1024
 SEED = 20_240_611
 
 
+@functools.cache
+def _projections(dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rng = np.random.default_rng([SEED, dim])
+    directions = rng.standard_normal((dim, TABLES * DEPTH))
+    shifts = rng.uniform(0, WIDTH, TABLES * DEPTH)
+    return directions, shifts, rng.integers(1, 1 << 62, DEPTH, dtype=np.int64) * 2 + 1
+
+
 def hash_tables(units: np.ndarray) -> np.ndarray:
     """A 64-bit bucket key of each row in each table."""
-    rng = np.random.default_rng([SEED, units.shape[1]])
-    directions = rng.standard_normal((units.shape[1], TABLES * DEPTH))
-    shifts = rng.uniform(0, WIDTH, TABLES * DEPTH)
-    mixers = rng.integers(1, 1 << 62, DEPTH, dtype=np.int64) * 2 + 1
+    directions, shifts, mixers = _projections(units.shape[1])
     cells = np.floor((units @ directions + shifts) / WIDTH).astype(np.int64).reshape(len(units), TABLES, DEPTH)
     with np.errstate(over="ignore"):
         return (cells * mixers).sum(axis=2)
@@ -106,13 +113,41 @@ def _find(parent: np.ndarray, i: int) -> int:
     return i
 
 
+def _in_large(masks: np.ndarray) -> np.ndarray:
+    """By row and table: is the row's bucket large? ``masks`` has a bit a table."""
+    return (masks[:, None] >> np.arange(TABLES)) & 1 == 1
+
+
+def check_pairs(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(cid, links, root) of the links among ``pairs``; links that a large bucket counts add none here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole, d in ((x, d) for x in batches for d in np.unique(np.array(x.column(8)))):
+            batch = whole.filter(pa.array(np.array(whole.column(8)) == d))
+            cols = dict(zip(batch.schema.names, batch.columns, strict=True))
+            a, b = _unit(_rows(cols["vec_a"].to_pylist())), _unit(_rows(cols["vec_b"].to_pylist()))
+            at = np.flatnonzero(np.einsum("ij,ij->i", a, b) >= threshold)
+            known = np.zeros(len(at), bool)
+            if len(at):
+                both = _in_large(np.array(cols["large_a"])[at] & np.array(cols["large_b"])[at])
+                known = ((hash_tables(a[at]) == hash_tables(b[at])) & both).any(axis=1)
+            ca, cb = np.array(cols["a"])[at], np.array(cols["b"])[at]
+            na, nb = (np.where(known, 0, np.array(cols[c])[at]) for c in ("n_a", "n_b"))
+            low = np.minimum(ca, cb)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(x).astype(np.int64)) for x in ((ca, cb), (nb, na), (low, low))], names=["cid", "links", "root"]
+            )
+
+    return map_slices(pairs, run, "cid long, links long, root long")
+
+
 def check_block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links of one block pair: (cid, links, root); ``links`` counts vectors met for the first time in this table."""
+    """Links of one block pair of a large bucket: (cid, links, root); ``links`` counts vectors met in no large bucket before."""
     pdf = pdf.sort_values("cid")
     t, one, two = (int(pdf[c].iloc[0]) for c in ("t", "one", "two"))
     units = _unit(_rows(pdf["vec"].tolist()))
     cid, n, block = pdf["cid"].to_numpy(), pdf["n"].to_numpy(np.int64), pdf["block"].to_numpy()
-    keys = hash_tables(units)
+    keys = np.where(_in_large(pdf["large"].to_numpy(np.int64)), hash_tables(units), 0)
     links, parent = np.zeros(len(pdf), np.int64), np.arange(len(pdf))
     left = np.flatnonzero(block == one)
     right = left if one == two else np.flatnonzero(block == two)
@@ -127,7 +162,7 @@ def check_block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
             parent[max(x, y)] = min(x, y)
         for k in range(0, len(i), 4096):
             x, y = i[k : k + 4096], j[k : k + 4096]
-            new = ~(keys[x, :t] == keys[y, :t]).any(axis=1)
+            new = ~((keys[x, :t] == keys[y, :t]) & (keys[x, :t] != 0)).any(axis=1)
             np.add.at(links, x[new], n[y[new]])
             np.add.at(links, y[new], n[x[new]])
     roots = cid[[_find(parent, i) for i in range(len(pdf))]]
@@ -147,13 +182,23 @@ def link_embeddings(
     hashed = materialize(_buckets(classes), "buckets")
     key = ["label", "dim", "t", "h"]
     shared = hashed.groupBy(*key).agg(F.count("*").alias("members")).filter("members > 1")
-    # a bucket's members are dealt to blocks, and each block to its pairs with the others
-    met = hashed.join(shared, key).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    met = met.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    dealt = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
-    full = dealt.drop("members", "blocks", "other").join(classes.select("cid", "vec", "n"), "cid")
-    checked = full.groupBy(*key, "one", "two").applyInPandas(lambda pdf: check_block(pdf, threshold), "cid long, links long, root long")
+    met = materialize(hashed.join(shared, key), "met")
+    few, many = met.filter(F.col("members") <= SMALL), met.filter(F.col("members") > SMALL)
+    large = many.groupBy("cid").agg(F.bit_or(F.expr("shiftleft(1L, t)")).alias("large"))
+    full = classes.select("cid", "vec", "n").join(large, "cid", "left").withColumn("large", F.coalesce("large", F.lit(0)))
+    full = materialize(full.join(met.select("cid").distinct(), "cid", "left_semi"), "met-vectors")
+    pairs = few.groupBy(*key).agg(F.array_sort(F.collect_list("cid")).alias("c")).select(
+        F.col("dim"), F.explode(F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.size("c")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")
+    ).select("dim", "p.*").distinct()
+    one, two = (full.select([F.col(c).alias(x if c == "cid" else f"{c}_{x}") for c in full.columns]) for x in "ab")
+    paired = pairs.join(one, "a").join(two, "b").select("a", "b", "vec_a", "vec_b", "n_a", "n_b", "large_a", "large_b", "dim")
+    # a large bucket's members are dealt to blocks, and each block to its pairs with the others
+    many = many.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    many = many.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    dealt = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")}).drop("members", "blocks", "other")
+    blocks = dealt.join(full, "cid").groupBy(*key, "one", "two").applyInPandas(lambda pdf: check_block(pdf, threshold), "cid long, links long, root long")
+    checked = check_pairs(paired, threshold).unionByName(blocks)
     checked = materialize(checked, "links")
     roots = connected_components(checked.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     linked = classes.drop("vec").join(checked.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left")
