@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelake.functions import dose, parse
-from tracelake.operators import aggregate, align, filters, frames, kernels, reshape, signals, stats
+from tracelake.operators import aggregate, align, filters, frames, kernels, models, reshape, signals, stats
 from tracelake.plans import views
 from tracelake.plans.pipelines import responder_fraction
 
@@ -716,3 +716,96 @@ def principal_components(t):
 def dose_curves(t):
     points = t.groupBy("dataset", "p").agg(F.avg("price").alias("price"))
     return rounded(kernels.fit_curves(points, ["dataset"], "p", "price", ["linear", "power", "sigmoid"], 0.0).drop("parameters"), 3)
+
+
+# templates, forecasts and dose responses
+
+
+@query("flat", f"""
+, d AS (SELECT * FROM flat WHERE frame < 48), m AS (SELECT dataset, roi, avg(v) AS mean FROM d GROUP BY ALL),
+e AS (SELECT d.dataset, d.roi, v - mean AS e, lag(v - mean) OVER (PARTITION BY d.dataset, d.roi ORDER BY frame) AS p FROM d JOIN m USING (dataset, roi)),
+a AS (SELECT dataset, roi, sum(e * p) / sum(p * p) AS phi FROM e WHERE p IS NOT NULL GROUP BY ALL), l AS (SELECT dataset, roi, v AS last FROM flat WHERE frame = 47)
+SELECT dataset, roi, frame, {r('v')} AS v, {r('mean + pow(phi, frame - 47) * (last - mean)')} AS predicted FROM flat JOIN m USING (dataset, roi) JOIN a USING (dataset, roi) JOIN l USING (dataset, roi) WHERE frame >= 48""")
+def forecasts(t):
+    return rounded(models.forecast(t, UNIT, "v", 48))
+
+
+@query("traces", f"""
+, g AS (SELECT s, w FROM (SELECT unnest(range(1, 6)) AS s), (SELECT unnest(range(1, 4)) AS w)),
+x AS (SELECT dataset, roi, trial, s, w, avg(v) FILTER (WHERE frame >= s AND frame < s + w) AS m1, avg(v) FILTER (WHERE NOT (frame >= s AND frame < s + w)) AS m0,
+  count(*) FILTER (WHERE frame >= s AND frame < s + w) AS n1, count(*) FILTER (WHERE NOT (frame >= s AND frame < s + w)) AS n0, sum(v * v) AS ss FROM traces, g GROUP BY ALL),
+k AS (SELECT *, ss - n1 * m1 * m1 - n0 * m0 * m0 AS sse FROM x), b AS (SELECT dataset, roi, trial, min(sse) AS sse, arg_min(m1 - m0, sse) AS amplitude FROM k GROUP BY ALL)
+SELECT dataset, roi, trial, {r('amplitude')} AS amplitude, {r('sse')} AS sse FROM b""")
+def pulse_fits(t):
+    return rounded(models.fit_pulse(t, TRACE, "v", range(1, 6), range(1, 4)).select(*TRACE, "amplitude", "sse"))
+
+
+@query("traces", f"""
+, t AS (SELECT unnest([0.0, 1.0, 3.0, 2.0, 1.0, 0.5, 0.0, 0.0]) AS y, unnest(range(0, 8)) AS k), s AS (SELECT unnest(range(-2, 3)) AS s),
+c AS (SELECT dataset, roi, trial, s, corr(v, CAST(y AS DOUBLE)) AS c FROM traces, s, t WHERE k = frame - s GROUP BY ALL)
+SELECT dataset, roi, trial, CAST(s AS INT) AS shift, {r('c')} AS corr FROM (SELECT *, row_number() OVER (PARTITION BY dataset, roi, trial ORDER BY c DESC, s) AS n FROM c WHERE c IS NOT NULL AND NOT isnan(c)) WHERE n = 1""")
+def template_matches(t):
+    return rounded(models.match_template(t, [0, 1, 3, 2, 1, 0.5, 0, 0], TRACE, "v", 2))
+
+
+@query("stats", f"""
+
+, m AS (SELECT dataset, p, avg(q) AS q FROM stats WHERE dataset IN ('AF', 'NF', 'NO', 'RF') GROUP BY ALL), g AS (SELECT dataset, x FROM (SELECT DISTINCT dataset FROM m), (SELECT unnest([0.0::DOUBLE, 0.015::DOUBLE, 0.055::DOUBLE, 0.1::DOUBLE]) AS x)),
+a AS (SELECT g.dataset, x, max(p) FILTER (WHERE p <= x) AS lo, min(p) FILTER (WHERE p >= x) AS hi FROM g JOIN m USING (dataset) GROUP BY ALL),
+y AS (SELECT a.x, CASE WHEN lo = hi THEN l.q ELSE l.q + (h.q - l.q) * (x - lo) / (hi - lo) END * CASE a.dataset WHEN 'AF' THEN -1 ELSE 1 END AS y FROM a JOIN m l ON l.dataset = a.dataset AND l.p = lo JOIN m h ON h.dataset = a.dataset AND h.p = hi)
+SELECT x AS p, {r('sum(y)')} AS net FROM y GROUP BY x""")
+def net_effect(t):
+    names = ["AF", "NF", "NO", "RF"]
+    grid = t.sparkSession.createDataFrame([(0.0,), (0.015,), (0.055,), (0.1,)], "p double")
+    curves = models.curve_by_line(t.filter(F.col("dataset").isin(names)), "dataset", "p", "q", grid)
+    return rounded(models.net_effect(curves, "p", "q", "dataset", {n: -1 if n == "AF" else 1 for n in names}))
+
+
+@query("stats", f"SELECT dataset, p, {r('avg(q)')} AS mean, {r('stddev_samp(q) / sqrt(count(q))')} AS sem, count(q) AS n FROM stats GROUP BY ALL")
+def dose_dependency(t):
+    return rounded(models.dependency(t, ["dataset"], "p", "q"))
+
+
+@query("stats", f"""
+, m AS (SELECT dataset, roi, avg(q) AS x, avg(price) AS y FROM stats GROUP BY ALL)
+SELECT dataset, {r('corr(x, y)')} AS r, {r('regr_slope(y, x)', 3)} AS slope, {r('regr_intercept(y, x)', 3)} AS intercept, count(*) AS n FROM m GROUP BY dataset""")
+def codistribution(t):
+    out = models.codistribution(t, ["roi"], ["dataset"], "q", "price")
+    return out.select("dataset", (F.round("r", 6) + F.lit(0.0)).alias("r"), *[(F.round(c, 3) + F.lit(0.0)).alias(c) for c in ("slope", "intercept")], "n")
+
+
+@query("stats", f"SELECT {r('(floor(p / 0.03) + 0.5) * 0.03')} AS p, {r('(floor(dc / 0.03) + 0.5) * 0.03')} AS dc, {r('avg(q)')} AS q FROM stats GROUP BY floor(p / 0.03), floor(dc / 0.03)")
+def cell_average(t):
+    return rounded(models.cell_average(t, "p", "dc", "q", 0.03))
+
+
+@query("orders", """
+SELECT o_custkey, day, CASE WHEN day = min(day) OVER (PARTITION BY o_custkey) THEN 'pre' ELSE 'post' END AS status FROM (SELECT DISTINCT o_custkey, CAST(o_orderdate AS DATE) AS day FROM orders)""")
+def status_by_first_date(t):
+    return models.status_by_first_date(t, "o_custkey", "o_orderdate")
+
+
+@query("traces", f"""
+, l AS (SELECT *, lag(v, 1) OVER w AS a, lag(v, 2) OVER w AS b FROM traces WINDOW w AS (PARTITION BY dataset, roi, trial ORDER BY frame))
+SELECT dataset, roi, trial, frame, {r('CASE WHEN frame IN (0, 1, 5) AND a IS NOT NULL THEN greatest(2 * a - coalesce(b, a), 0) ELSE v END')} AS v FROM l""")
+def extrapolated(t):
+    return rounded(models.extrapolate(t, TRACE, "v", [0, 1, 5]))
+
+
+@query("flat", "SELECT dataset, roi, CAST(frame // 16 AS INT) AS run, count(*) AS n, CAST(max(frame % 16) AS INT) AS last FROM flat GROUP BY ALL")
+def runs_split(t):
+    return models.split_index(t, "frame", 16, "run", "place").groupBy(*UNIT, "run").agg(F.count("*").alias("n"), F.max("place").alias("last"))
+
+
+@query("trials", f"""
+, f AS (SELECT roi, arg_min(epoch_us(at), event_id) AS t FROM trials WHERE run <> 'view' GROUP BY roi), g AS (SELECT roi, min(epoch_us(at)) AS g FROM trials WHERE run = 'view' GROUP BY roi)
+SELECT roi AS sequence, {r('(t - g) / 1e6', 3)} AS delay FROM f JOIN g USING (roi)""")
+def trigger_delays(t):
+    timed = t.select(F.col("roi").alias("sequence"), F.col("event_id").alias("index"), "run", (F.unix_micros(F.col("at").cast("timestamp")) / 1e6).alias("time"))
+    triggers = timed.filter("run = 'view'").groupBy("sequence").agg(F.min("time").alias("time"))
+    return rounded(models.trigger_delay(timed.filter("run <> 'view'"), triggers), 3)
+
+
+@query("stats")
+def fit_bands(t):
+    return rounded(models.fit_band(t, "p", 2.0, 1.0, 0.2, 0.1, 500, 11))
