@@ -798,7 +798,7 @@ def runs_split(t):
 
 
 @query("trials", f"""
-, f AS (SELECT roi, arg_min(epoch_us(at), event_id) AS t FROM trials WHERE run <> 'view' GROUP BY roi), g AS (SELECT roi, min(epoch_us(at)) AS g FROM trials WHERE run = 'view' GROUP BY roi)
+, f AS (SELECT roi, arg_min(epoch_us("at"), event_id) AS t FROM trials WHERE run <> 'view' GROUP BY roi), g AS (SELECT roi, min(epoch_us("at")) AS g FROM trials WHERE run = 'view' GROUP BY roi)
 SELECT roi AS sequence, {r('(t - g) / 1e6', 3)} AS delay FROM f JOIN g USING (roi)""")
 def trigger_delays(t):
     timed = t.select(F.col("roi").alias("sequence"), F.col("event_id").alias("index"), "run", (F.unix_micros(F.col("at").cast("timestamp")) / 1e6).alias("time"))
