@@ -12,6 +12,7 @@ from tracelake.functions import dose, parse
 from tracelake.operators import aggregate, align, filters, frames, kernels, models, reshape, signals, stats
 from tracelake.plans import views
 from tracelake.plans.pipelines import responder_fraction
+from tracelake.sources import bundles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {"responder_fraction": responder_fraction}
@@ -809,3 +810,47 @@ def trigger_delays(t):
 @query("stats")
 def fit_bands(t):
     return rounded(models.fit_band(t, "p", 2.0, 1.0, 0.2, 0.1, 500, 11))
+
+
+# names and settings texts, written from table values and parsed back
+
+
+@query("stats", """
+, n AS (SELECT DISTINCT run, p, dc FROM stats)
+SELECT 'line' || run AS line, 100 AS trial_length, 10.0::DOUBLE * run AS prf, 0.2::DOUBLE AS dur, 3.56::DOUBLE AS fps, round(p, 6) AS p, round(dc * 100, 6) AS dc, CAST(run AS INT) AS run_id FROM n""")
+def experiment_names(t):
+    n = t.select("run", "p", "dc").distinct()
+    name = F.concat(F.lit("line"), "run", F.lit("_100frames_"), F.format_string("%d", F.col("run") * 10), F.lit("Hz_200ms_3.56Hz_"), F.format_string("%.2f", "p"), F.lit("MPA_"), F.format_string("%.0f", F.col("dc") * 100), F.lit("DC-"), "run")
+    return rounded(n.select(parse.experiment(name).alias("e")).select("e.*"))
+
+
+@query("orders", """
+SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, 'mouse' || o_custkey AS mouse, 'region' || (o_custkey % 5) AS region, CASE WHEN o_custkey % 2 = 0 THEN 'layer5' ELSE 'layer2-3' END AS layer FROM orders""")
+def session_names(t):
+    k = F.col("o_custkey")
+    name = F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit("_mouse"), k, F.lit("_region"), k % 5, F.when(k % 2 == 0, "_layer5").otherwise(""))
+    return t.select("o_orderkey", parse.session(name).alias("s")).select("o_orderkey", "s.*")
+
+
+@query("part", """
+SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_brand AS brand, p_size % 2 = 0 AS flag, CAST(p_size AS DOUBLE) AS a, CAST(-p_size AS DOUBLE) AS b, round(p_size / 2.0, 6) AS x, round(-p_size / 4.0, 6) AS y FROM part""")
+def settings_texts(t):
+    size = F.col("p_size")
+    text = F.concat(F.lit("scan.size = "), size, F.lit(";\nscan.brand = '"), "p_brand", F.lit("';\nscan.even = "), (size % 2 == 0).cast("string"), F.lit(";\nscan.box = [1 "), size, F.lit("; 2 -"), size, F.lit("];"))
+    place = F.concat(F.lit("right_"), F.format_string("%.2f", size / 2), F.lit("mm_backward_"), F.format_string("%.2f", size / 4), F.lit("mm"))
+    m = t.select("p_partkey", parse.settings(text).alias("m"), parse.offset(place).alias("o"))
+    v = {k: parse.typed_value(F.col("m")[f"scan.{k}"]) for k in ("size", "brand", "even", "box")}
+    return rounded(m.select(
+        "p_partkey", v["size"]["number"].alias("size"), v["brand"]["text"].alias("brand"), v["even"]["flag"].alias("flag"),
+        v["box"]["matrix"][0][1].alias("a"), v["box"]["matrix"][1][1].alias("b"), "o.x", "o.y",
+    ))
+
+
+@query("part", """
+WITH s AS (SELECT p_partkey, 'size' AS key, CAST(p_size AS VARCHAR) AS value FROM part UNION ALL SELECT p_partkey, 'type', p_type FROM part),
+c AS (SELECT key, value, count(*) AS n FROM s GROUP BY ALL), m AS (SELECT key, value AS reference FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, value) AS k FROM c) WHERE k = 1)
+SELECT key, reference, count(*) AS outliers FROM s JOIN m USING (key) WHERE CASE WHEN key = 'size' THEN abs((TRY_CAST(value AS DOUBLE) - TRY_CAST(reference AS DOUBLE)) / TRY_CAST(reference AS DOUBLE)) > 0.5 ELSE value <> reference END GROUP BY ALL""")
+def setting_outliers(t):
+    s = t.select(F.col("p_partkey").cast("string").alias("run"), F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("type"), "p_type").alias("settings"))
+    out = bundles.settings_mismatches(s, limits={"size": 0.5})
+    return out.select("key", "reference", F.size("outlier_runs").cast("long").alias("outliers"))
