@@ -1,30 +1,46 @@
-"""Per-trace numeric kernels in Arrow-batched grouped maps: spectra, filters, surrogates, robust fits.
+"""Per-trace numeric kernels over Arrow batches: spectra, filters, surrogates, robust fits.
 
-A group is one trace, so its size is bounded by the length of a recording, and traces are
-independent of each other.
+A trace is bounded by the length of a recording, and traces are independent of each other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def per_trace(df: DataFrame, keys: list[str], value: str, kernel: Callable[[np.ndarray], dict[str, np.ndarray]], columns: dict[str, str], *, frame: str = "frame") -> DataFrame:
-    """Rows of ``kernel`` for each trace: it gets the values in frame order and gives equally long columns."""
+    """Rows of ``kernel`` for each trace: it gets the values in frame order and gives equally long columns.
+
+    Traces are gathered into arrays first, so that one Arrow batch holds many of them and
+    none pays for a group of its own.
+    """
     kinds = dict(df.dtypes)
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{c}` {t}" for c, t in columns.items()])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(kernel(pdf.sort_values(frame)[value].to_numpy(np.float64)))
-        for i, k in enumerate(keys):
-            out.insert(i, k, pdf[k].iloc[0])
-        return out
-
-    return df.select(*keys, frame, value).groupBy(*keys).applyInPandas(run, schema)
+    types = {"int": pa.int32(), "double": pa.float64()}
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(frame), F.col(value).cast("double").alias("__x"))))
+    rows = df.groupBy(*keys).agg(F.transform(ordered, lambda s: s["__x"]).alias("__v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = batch.column(len(keys))
+            flat, ends = found.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False))
+            outs = [kernel(y) for y in np.split(flat, ends[:-1])]
+            index = pa.array(np.repeat(np.arange(len(outs)), [len(next(iter(o.values()))) for o in outs]))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k).take(index) for k in range(len(keys))), *(pa.array(np.concatenate([o[c] for o in outs]), types[t]) for c, t in columns.items())],
+                names=[*keys, *columns],
+            )
+
+    return rows.mapInArrow(run, schema)
 
 
 def power_spectrum(df: DataFrame, keys: list[str], value: str, rate: float, **names) -> DataFrame:

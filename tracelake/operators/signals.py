@@ -125,3 +125,25 @@ def centre_frames(df: DataFrame, stack: str, frame: str, value: str, agg) -> Dat
     levels = df.groupBy(stack, frame).agg(agg(F.col(value)).alias("__level"))
     mean = levels.groupBy(stack).agg(F.avg("__level").alias("__mean"))
     return df.join(levels, [stack, frame]).join(mean, stack).withColumn(value, F.col(value) - (F.col("__level") - F.col("__mean"))).drop("__level", "__mean")
+
+
+def energy(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, energy): sum of squares."""
+    return df.groupBy(*keys).agg(F.sum(F.col(value) * F.col(value)).alias("energy"))
+
+
+def profile(df: DataFrame, keys: list[str], value: str, pre: tuple[int, int], *, frame: str = "frame", relative: bool = True) -> DataFrame:
+    """(keys, frame, value, z): change from the mean over a half-open frame window, over that mean if ``relative``, and its z-score."""
+    run = W.partitionBy(*keys)
+    base = F.avg(F.when((F.col(frame) >= pre[0]) & (F.col(frame) < pre[1]), F.col(value))).over(run)
+    change = (F.col(value) - base) / (base if relative else F.lit(1.0))
+    out = df.select(*keys, frame, change.alias(value))
+    return out.withColumn("z", (F.col(value) - F.avg(value).over(run)) / F.stddev_pop(value).over(run))
+
+
+def segments(df: DataFrame, keys: list[str], value: str, width: int, hop: int, length: int, *, frame: str = "frame") -> DataFrame:
+    """(keys, segment, place, value): overlapping segments of a trace, a row dealt to each segment that holds it."""
+    first = F.greatest(F.ceil((F.col(frame) - width + 1) / hop), F.lit(0)).cast("int")
+    last = F.least(F.floor(F.col(frame) / hop), F.lit((length - width) // hop)).cast("int")
+    wide = df.filter(first <= last).withColumn("segment", F.explode(F.sequence(first, last)))
+    return wide.select(*keys, "segment", (F.col(frame) - F.col("segment") * hop).cast("int").alias("place"), value)

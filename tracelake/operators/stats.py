@@ -203,3 +203,23 @@ def paired_t(df: DataFrame, by: list[str], pair: str, condition: str, values: tu
     first, second = (F.avg(F.when(F.col(condition) == v, F.col(value))) for v in values)
     d = df.groupBy(*by, pair).agg((second - first).alias("d")).filter("d is not null")
     return d.groupBy(*by).agg((F.avg("d") / (F.stddev_samp("d") / F.sqrt(F.count("d")))).alias("t"), F.count("d").alias("n"))
+
+
+def bimodality(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, coefficient): variance over squared mean of the normal density at each value, by the group's own moments."""
+    moments = df.groupBy(*by).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
+    z = (F.col(value) - F.col("__m")) / F.col("__s")
+    density = F.exp(-z * z / 2) / (F.col("__s") * math.sqrt(2 * math.pi))
+    return df.join(moments, by).withColumn("__d", density).groupBy(*by).agg((F.var_pop("__d") / F.pow(F.avg("__d"), F.lit(2))).alias("coefficient"))
+
+
+def hue_pairs(df: DataFrame, x: str, hue: str) -> DataFrame:
+    """(x, a, b): pairs of hues that occur at one x."""
+    seen = df.select(x, hue).distinct()
+    other = seen.select(x, F.col(hue).alias("b"))
+    return seen.withColumnRenamed(hue, "a").join(other, x).filter("a < b")
+
+
+def significance(p: Column, level: float, sign: Column | None = None) -> Column:
+    """0, or the sign of the effect (1 without one) where ``p`` is below the level."""
+    return F.when(p < level, F.lit(1) if sign is None else F.signum(sign).cast("int")).otherwise(0)

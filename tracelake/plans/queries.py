@@ -854,3 +854,74 @@ def setting_outliers(t):
     s = t.select(F.col("p_partkey").cast("string").alias("run"), F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("type"), "p_type").alias("settings"))
     out = bundles.settings_mismatches(s, limits={"size": 0.5})
     return out.select("key", "reference", F.size("outlier_runs").cast("long").alias("outliers"))
+
+
+# further summaries
+
+
+@query("flat", f"SELECT dataset, roi, {r('sum(v * v)')} AS energy FROM flat GROUP BY ALL")
+def evoked_energy(t):
+    return rounded(signals.energy(t, UNIT, "v"))
+
+
+@query("traces", f"""
+, x AS (SELECT dataset, roi, trial, frame, v + 10 AS f FROM traces), b AS (SELECT *, avg(f) FILTER (WHERE frame < 3) OVER w AS f0 FROM x WINDOW w AS (PARTITION BY dataset, roi, trial)), c AS (SELECT *, (f - f0) / f0 AS d FROM b)
+SELECT dataset, roi, trial, frame, {r('d')} AS f, {r('(d - avg(d) OVER w) / stddev_pop(d) OVER w')} AS z FROM c WINDOW w AS (PARTITION BY dataset, roi, trial)""")
+def fluorescence_profiles(t):
+    return rounded(signals.profile(t.select(*TRACE, "frame", (F.col("v") + 10).alias("f")), TRACE, "f", (0, 3)))
+
+
+@query("flat", f"SELECT dataset, roi, CAST(s AS INT) AS segment, {r('avg(v)')} AS v, count(*) AS n FROM flat, (SELECT unnest(range(0, 7)) AS s) WHERE frame >= s * 8 AND frame < s * 8 + 16 GROUP BY ALL")
+def overlapping_segments(t):
+    return rounded(signals.segments(t, UNIT, "v", 16, 8, 64).groupBy(*UNIT, "segment").agg(F.avg("v").alias("v"), F.count("*").alias("n")))
+
+
+@query("flat")
+def spectrograms(t):
+    return rounded(kernels.power_spectrum(signals.segments(t, UNIT, "v", 16, 8, 64), [*UNIT, "segment"], "v", 3.56, frame="place").groupBy("dataset", "segment", "freq").agg(F.avg("power").alias("power")))
+
+
+@query("trials", f"""
+, m AS (SELECT run, avg(v) AS m, stddev_pop(v) AS s FROM trials WHERE v IS NOT NULL GROUP BY run),
+d AS (SELECT t.run, exp(-((v - m) / s) * ((v - m) / s) / 2) / (s * sqrt(2 * pi())) AS d FROM trials t JOIN m USING (run) WHERE v IS NOT NULL)
+SELECT run, {r('var_pop(d) / (avg(d) * avg(d))')} AS coefficient FROM d GROUP BY run""")
+def bimodality(t):
+    return rounded(stats.bimodality(t.filter("v is not null"), ["run"], "v"))
+
+
+@query("stats", "SELECT DISTINCT a.run, a.dataset AS a, b.dataset AS b FROM stats a JOIN (SELECT DISTINCT run, dataset FROM stats) b ON a.run = b.run AND a.dataset < b.dataset")
+def hue_pairs(t):
+    return stats.hue_pairs(t, "run", "dataset")
+
+
+@query("stats", "SELECT dataset, run, count(DISTINCT roi) AS datasets FROM stats GROUP BY ROLLUP (dataset, run)")
+def counts_with_totals(t):
+    return bundles.count_datasets(t, ["dataset", "run"], "roi")
+
+
+@query("stats", f"SELECT dataset, {r('median(q / price)')} AS ratio FROM stats GROUP BY dataset")
+def signal_ratios(t):
+    return rounded(t.groupBy("dataset").agg(F.median(F.col("q") / F.col("price")).alias("ratio")))
+
+
+@query("stats", f"""
+, m AS (SELECT dataset, p, avg(q) AS m FROM stats GROUP BY ALL)
+SELECT dataset, p, {r('m / max(abs(m)) OVER (PARTITION BY dataset)')} AS q FROM m""")
+def relative_to_largest(t):
+    means = aggregate.along(t, ["dataset", "p"], "q")
+    return rounded(means.select("dataset", "p", stats.rescale("q", ["dataset"], "maxabs").alias("q")))
+
+
+@query("stats", f"""
+, c AS (SELECT dataset, p, avg(price) AS y FROM stats WHERE dc = 0.04 GROUP BY ALL)
+SELECT s.dataset, {r('avg(abs(price - y))', 3)} AS error, count(*) AS n FROM stats s JOIN c ON s.dataset = c.dataset AND s.p = c.p WHERE dc <> 0.04 GROUP BY s.dataset""")
+def sweep_prediction_errors(t):
+    return rounded(models.sweep_prediction_error(t, ["dataset"], "p", "price", F.col("dc") == 0.04), 3)
+
+
+@query("traces", f"""
+, w AS (SELECT dataset, roi, avg(v) AS m, stddev_samp(v) / sqrt(count(v)) AS s FROM traces GROUP BY ALL)
+SELECT dataset, roi, CASE WHEN abs(m / s) > 1.5 THEN CAST(sign(m) AS INT) ELSE 0 END AS effect FROM w""")
+def significant_effects(t):
+    w = t.groupBy(*UNIT).agg(F.avg("v").alias("m"), (F.stddev_samp("v") / F.sqrt(F.count("v"))).alias("s"))
+    return w.select(*UNIT, stats.significance(1 / F.abs(F.col("m") / F.col("s")), 1 / 1.5, F.col("m")).alias("effect"))
