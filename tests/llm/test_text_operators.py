@@ -108,7 +108,8 @@ def test_chunked_ids_equal_whole_text_ids(name, space):
     plain = Tokenizer.from_file(vocabulary(name))
     plain.encode_special_tokens = True
     rng = random.Random(1)
-    texts = TEXTS + ["".join(rng.choice([" ", " ", "\n", "\t", "a", "B", "'s", "é", "1", ",", "\xa0"]) for _ in range(40)) for _ in range(500)]
+    texts = TEXTS + ["".join(rng.choice([" ", " ", " ", "foo", "Bar", "straße", "'s", ".", ",", "!!", "|", "\n", "7", "é", "e\u0301", "İ", "ﬁ", "n't", ")", "ǅ"]) for _ in range(30)) for _ in range(800)]
+    texts += ["".join(rng.choice([" ", " ", "\n", "\t", "a", "B", "'s", "é", "1", ",", "\xa0"]) for _ in range(40)) for _ in range(500)]
     got = ChunkEncoder(vocabulary(name), space).encode(texts)
     for text, ids in zip(texts, got, strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == (plain.encode(text, add_special_tokens=False).ids if text else []), repr(text)
