@@ -206,10 +206,16 @@ def near_duplicates(
     roots = connected_components(links)
     # larger buckets that still hold several components
     large = met.filter(F.col("members") > SMALL).join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid")).drop("node", "lead")
-    mixed = large.groupBy("t", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    open_ = large.join(mixed.select("t", "key"), ["t", "key"]).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    open_ = open_.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    parts = large.groupBy("t", "key", "root").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("t", "key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1")
+    open_ = large.join(mixed.select("t", "key", "top"), ["t", "key"])
+    # members of the largest component only meet the others, so a group of copies with a few strangers costs few rows
+    inner, n_top = F.col("root") == F.col("top.root"), F.ceil(F.col("top.n") / BLOCK).cast("int")
+    n_rest = F.ceil((F.col("members") - F.col("top.n")) / BLOCK).cast("int")
+    open_ = open_.withColumns({"n_top": n_top, "n_rest": n_rest, "inner": inner})
+    place = F.when(F.col("inner"), F.pmod(F.xxhash64("cid"), F.col("n_top"))).otherwise(F.col("n_top") + F.pmod(F.xxhash64("cid"), F.col("n_rest")))
+    open_ = open_.withColumn("block", place.cast("int"))
+    dealt = open_.withColumn("other", F.explode(F.sequence(F.when(F.col("inner"), F.col("n_top")).otherwise(0), F.col("n_top") + F.col("n_rest") - 1)))
     dealt = dealt.select("t", "key", "cid", "root", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
     more = dealt.join(texts, "cid").groupBy("t", "key", "one", "two").applyInPandas(lambda pdf: check_block(pdf, threshold), "a long, b long")
     more = materialize(more, "more")
