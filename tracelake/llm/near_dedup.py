@@ -158,9 +158,10 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def check_block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links across components in one block pair of a bucket, each pair in the first table that has it."""
     pdf = pdf.sort_values("cid")
-    one, two, t = (int(pdf[c].iloc[0]) for c in ("one", "two", "t"))
+    one, two = (int(pdf[c].iloc[0]) for c in ("one", "two"))
     own = [labels(np.frombuffer(c, np.uint32)) for c in pdf["codes"]]
-    keys = np.array(pdf["keys"].tolist())[:, :t]
+    keys = np.array(pdf["keys"].tolist())
+    keys = keys[:, : int(np.flatnonzero(keys[0] == pdf["key"].iloc[0])[0])]  # of earlier tables
     cid, block = pdf["cid"].to_numpy(), pdf["block"].to_numpy()
     part = dict(enumerate(pdf["root"].tolist()))
     left = np.flatnonzero(block == one)
@@ -192,23 +193,25 @@ def near_duplicates(
     classes = rows.groupBy("wkey").agg(F.min("rid").alias("cid"), F.min(F.struct(F.col("id").isNull().alias("n"), "id", "rid")).alias("first"))
     classes = materialize(classes, "classes")
     texts = rows.select("rid", "codes", "keys").filter("keys is not null").join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi")
-    tables = texts.select(F.col("rid").alias("cid"), F.posexplode("keys").alias("t", "key"))
-    shared = tables.groupBy("t", "key").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("t", "cid").alias("h"), "cid")).alias("lead"))
-    met = tables.join(shared.filter("members > 1"), ["t", "key"]).select("t", "key", "cid", "members", F.col("lead.cid").alias("lead"))
-    met = materialize(met, "met")
+    # a key has its table mixed in, so it alone names a bucket
+    tables = texts.select(F.col("rid").alias("cid"), F.explode("keys").alias("key"))
+    shared = tables.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    met = materialize(tables.join(shared, "key"), "met")
     # only texts that meet another are carried on
     texts = texts.withColumnRenamed("rid", "cid").join(met.select("cid").distinct(), "cid", "left_semi")
     texts = materialize(texts, "texts")
-    small = met.filter(F.col("members") <= SMALL).groupBy("t", "key").agg(F.array_sort(F.collect_list("cid")).alias("c"))
+    small = met.filter(F.col("members") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list("cid")).alias("c"))
     small = small.select(F.explode(F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.size("c")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.*")
-    star = met.filter((F.col("members") > SMALL) & (F.col("cid") != F.col("lead"))).select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b"))
+    big = met.filter(F.col("members") > SMALL)
+    leads = big.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "cid").alias("h"), "cid")).alias("l")).select("key", F.col("l.cid").alias("lead"))
+    star = big.join(leads, "key").filter(F.col("cid") != F.col("lead")).select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b"))
     links = materialize(_verify(small.unionByName(star).distinct(), texts, threshold), "links")
     roots = connected_components(links)
     # larger buckets that still hold several components
-    large = met.filter(F.col("members") > SMALL).join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid")).drop("node", "lead")
-    parts = large.groupBy("t", "key", "root").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("t", "key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1")
-    open_ = large.join(mixed.select("t", "key", "top"), ["t", "key"])
+    large = big.join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid")).drop("node")
+    parts = large.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1")
+    open_ = large.join(mixed.select("key", "top"), "key")
     # members of the largest component only meet the others, so a group of copies with a few strangers costs few rows
     inner, n_top = F.col("root") == F.col("top.root"), F.ceil(F.col("top.n") / BLOCK).cast("int")
     n_rest = F.ceil((F.col("members") - F.col("top.n")) / BLOCK).cast("int")
@@ -216,8 +219,8 @@ def near_duplicates(
     place = F.when(F.col("inner"), F.pmod(F.xxhash64("cid"), F.col("n_top"))).otherwise(F.col("n_top") + F.pmod(F.xxhash64("cid"), F.col("n_rest")))
     open_ = open_.withColumn("block", place.cast("int"))
     dealt = open_.withColumn("other", F.explode(F.sequence(F.when(F.col("inner"), F.col("n_top")).otherwise(0), F.col("n_top") + F.col("n_rest") - 1)))
-    dealt = dealt.select("t", "key", "cid", "root", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    more = dealt.join(texts, "cid").groupBy("t", "key", "one", "two").applyInPandas(lambda pdf: check_block(pdf, threshold), "a long, b long")
+    dealt = dealt.select("key", "cid", "root", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    more = dealt.join(texts, "cid").groupBy("key", "one", "two").applyInPandas(lambda pdf: check_block(pdf, threshold), "a long, b long")
     more = materialize(more, "more")
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more))
