@@ -90,3 +90,27 @@ def test_secrets(spark):
         assert [s.kind for s in r.spans].count(3) == (1 if i == 5 else 0)
         assert r.n_example == (1 if i in (6, 7, 8, 9) else 0)
     assert secrets.find_secrets(docs.limit(0)).count() == 0
+
+
+def test_ownership_counts_owners_and_texts(spark):
+    """Distinct strings by distribution: id -> live or example, whatever the number of copies."""
+    keys = [f"Kq{k}Zx81kQpW93mmVbT7rYqL" for k in range(6)]
+    rows = [(0, k, f"one owner, own texts {n} {keys[0]}", "a") for n, k in enumerate(range(40))]
+    rows += [(1, 100 + k, f"one owner, copies {keys[1]}", "a") for k in range(40)]
+    rows += [(2, 200 + k, f"two owners, few texts {k} {keys[2]}", "ab"[k]) for k in range(2)]
+    rows += [(3, 300 + k, f"two owners, copies {keys[3]}", "ab"[k % 2]) for k in range(40)]
+    rows += [(4, 400 + k, f"two owners, own texts {k} {keys[4]}", "ab"[k % 2]) for k in range(20)]
+    rows += [(5, 500 + k, f"three owners {keys[5]}", "abc"[k]) for k in range(3)]
+    docs = spark.createDataFrame([r[1:] for r in rows], "doc_id long, text string, source string")
+    found = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
+    for case, i, text, _ in rows:
+        live = case not in (4, 5)
+        at = text.index(keys[case])
+        assert (found[i].n_live, found[i].n_example) == ((1, 0) if live else (0, 1))
+        assert [tuple(s) for s in found[i].spans] == ([(at, 3, at + len(keys[case]))] if live else [])
+
+
+def test_copies_of_a_text_are_in_one_repository(spark):
+    rows = [("h", 1, r, 7) for r in range(30)] + [("h", 2, 30, c) for c in range(100, 130)] + [("g", 1, 5, 1), ("g", 1, 6, 2)]
+    found = spark.createDataFrame(rows, "hash string, owner long, repo long, copy long")
+    assert sorted(tuple(r) for r in secrets.ownership(found).collect()) == [("g", 1, 2), ("h", 2, 2)]
