@@ -94,3 +94,50 @@ def test_near_duplicates(spark, monkeypatch, small, block):
     kept = near_dedup.keep_one(docs)
     assert kept.count() == sum(r.kept for r in found) and kept.columns == docs.columns
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
+
+
+def plain_similarity(one, two):
+    """Aligned share of five-word windows by the full table, over the words as they are."""
+    a, b = ([tuple(w[k : k + 5]) for k in range(len(w) - 4)] for w in (one, two))
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return row[-1] / (len(a) + len(b) - row[-1])
+
+
+def repetitive():
+    """Pairs of a text that repeats a passage and an edited copy of it."""
+    rng = random.Random(5)
+    passage = [f"w{k}" for k in range(100)]
+    base = passage * 10
+    yield base, [f"e{k}" if k in (10, 30, 50, 70, 90) else w for k, w in enumerate(base)]
+    line = [f"l{k}" for k in range(10)] * 100
+    yield line, line[:4] + ["new"] + line[5:]
+    yield line, line[10:]
+    for _ in range(40):
+        few = [[f"v{rng.randrange(40)}" for _ in range(rng.randrange(3, 25))] for _ in range(3)]
+        words = [w for _ in range(rng.randrange(3, 25)) for w in rng.choice(few)]
+        share = rng.choice([0.01, 0.03])
+        yield words + ["x"] * 5, [w if rng.random() > share else f"e{rng.randrange(9)}" for w in words if rng.random() > share / 3] + ["x"] * rng.randrange(5, 9)
+
+
+@pytest.mark.parametrize("window", [1024, 7])
+def test_repetitive_texts_align_as_plain_sequences(monkeypatch, window):
+    monkeypatch.setattr(near_dedup, "ROWS", window)
+    found = []
+    for one, two in repetitive():
+        want = plain_similarity(one, two)
+        a, b = (near_dedup.shingles(word_codes(" ".join(x).encode())) for x in (one, two))
+        found.append(similarity(a, b))
+        assert found[-1] == similarity(b, a) == pytest.approx(want if want >= 0.8 else 0)
+    assert found[0] == pytest.approx(971 / 1021) and 0 in found
+
+
+def test_edited_copies_of_repetitive_texts_are_found(spark):
+    pairs = list(repetitive())[:2]
+    docs = spark.createDataFrame([(2 * k + side, " ".join(w)) for k, p in enumerate(pairs) for side, w in enumerate(p)], "doc_id long, text string")
+    found = near_dedup.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.class_id) for r in found) == [(0, 0), (1, 0), (2, 2), (3, 2)]

@@ -1,14 +1,16 @@
 """Near-duplicate texts by Order MinHash with banded alignment.
 
 A text is the sequence of its five-word shingles (lower-case words; a shorter text is one
-shingle), each labelled with its occurrence number, so that labels are unique in a text.
-An Order MinHash sketch takes, for each of TABLES hash functions, the PICKS labels of
-least hash in text order: two texts agree in a table only if they share these shingles
-in the same order. At similarity 0.8 one pair in twenty million shares no table.
-
-Candidates are verified by banded alignment of the two label sequences: the longest
-common subsequence over all matches within the band that the threshold allows (a match
-further off the diagonal would leave too many shingles unmatched), and
+shingle). For the sketch each is labelled with its occurrence number, so that labels are
+unique in a text. An Order MinHash sketch takes, for each of TABLES hash functions, the
+PICKS labels of least hash in text order: two texts agree in a table only if they share
+these shingles in the same order. At similarity 0.8 one pair in twenty million shares no
+table.
+
+Candidates are verified by banded alignment of the two shingle sequences, without labels,
+so that any copy of a repeated passage may be aligned with any other: the longest common
+subsequence over all matches within the band that the threshold allows (a match further
+off the diagonal would leave too many shingles unmatched), and
 similarity = aligned / (shingles of both - aligned).
 
 Texts with equal words are collapsed first. Pairs are taken from small buckets (at most
@@ -24,7 +26,6 @@ its class has no other; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -42,6 +43,8 @@ from tracelake.llm.decontaminate import words_of
 SHINGLE, THRESHOLD = 5, 0.8
 TABLES, PICKS = 32, 4
 SMALL, BLOCK = 8, 128
+#: Rows that an alignment takes with one window of the band.
+ROWS = 1024
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 63, TABLES, dtype=np.uint64) | np.uint64(1)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -51,8 +54,8 @@ def word_codes(text: bytes | None) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
 
 
-def labels(codes: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
-    """Occurrence-labelled shingle hashes in text order."""
+def shingles(codes: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    """Shingle hashes in text order."""
     if not len(codes):
         return np.zeros(0, np.uint64)
     size = min(shingle, len(codes))
@@ -61,18 +64,28 @@ def labels(codes: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
     for k in range(size):
         h = (h ^ codes[k : k + n]) * _M1
         h ^= h >> np.uint64(29)
+    return h
+
+
+def labelled(h: np.ndarray) -> np.ndarray:
+    """``h`` with occurrence numbers mixed in; ``h`` itself if nothing repeats."""
     order = np.argsort(h, kind="stable")
     ranked = h[order]
     same = np.concatenate([[False], ranked[1:] == ranked[:-1]])
-    if same.any():
-        at = np.arange(n)
-        occurrence = np.empty(n, np.uint64)
+    if len(h) and same.any():
+        at = np.arange(len(h))
+        occurrence = np.empty(len(h), np.uint64)
         occurrence[order] = at - np.maximum.accumulate(np.where(same, 0, at))
         h = (h + occurrence * _M2) * _M1
         h ^= h >> np.uint64(32)
     return h
 
 
+def labels(codes: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    """Occurrence-labelled shingle hashes in text order."""
+    return labelled(shingles(codes, shingle))
+
+
 def sketch(own: np.ndarray) -> np.ndarray:
     """One key a table: the PICKS least labels under the table's hash, in text order."""
     picks = min(PICKS, len(own))
@@ -90,29 +103,70 @@ def sketch(own: np.ndarray) -> np.ndarray:
     return keys
 
 
-def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
-    """Aligned similarity of two label sequences; 0 where it is known to be below ``threshold``."""
+def _aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """Longest common subsequence of ``a`` and ``b`` over at least the matches up to ``band`` off the diagonal.
+
+    Bit-parallel: a zero bit of ``v`` is a column of the window at which the length rises.
+    """
+    order = np.argsort(b, kind="stable")
+    ranked = b[order]
+    first, last = (np.searchsorted(ranked, a, side) for side in ("left", "right"))
+    low = high = v = risen = 0
+    for r in range(0, len(a), ROWS):
+        left, right = min(max(low, r - band), len(b)), min(len(b), r + ROWS + band)
+        v |= ((1 << (right - high)) - 1) << (high - low)
+        gone = left - low
+        risen += gone - (v & ((1 << gone) - 1)).bit_count()
+        v >>= gone
+        low, high = left, right
+        full = (1 << (high - low)) - 1
+        masks: dict[int, int] = {}
+        for f, t in zip(first[r : r + ROWS].tolist(), last[r : r + ROWS].tolist(), strict=True):
+            if f == t:
+                continue
+            mask = masks.get(f)
+            if mask is None:
+                at = order[f:t]
+                at = at[(at >= low) & (at < high)] - low
+                if len(at) == 1:
+                    mask = 1 << int(at[0])
+                else:
+                    bits = np.zeros(high - low, np.uint8)
+                    bits[at] = 1
+                    mask = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+                masks[f] = mask
+            u = v & mask
+            if u:
+                v = ((v + u) | (v - u)) & full
+    return risen + (high - low) - v.bit_count()
+
+
+def similarity(
+    a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD, labels_a: np.ndarray | None = None, labels_b: np.ndarray | None = None
+) -> float:
+    """Aligned similarity of two shingle sequences; 0 where it is known to be below ``threshold``.
+
+    ``labels_a`` and ``labels_b`` are their labelled forms, if at hand.
+    """
     na, nb = len(a), len(b)
     if not na or not nb:
         return 0.0
     least = threshold * (na + nb) / (1 + threshold)  # aligned shingles needed
     if min(na, nb) < least - 1e-9:
         return 0.0
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    band = max(na, nb) - least + 1e-9
-    near = np.abs(i - j) <= band
-    i, j = i[near], j[near]
+    labels_a, labels_b = labelled(a) if labels_a is None else labels_a, labelled(b) if labels_b is None else labels_b
+    # equal labels are as many as the sequences share in any order, so none can align more
+    _, i, j = np.intersect1d(labels_a, labels_b, assume_unique=True, return_indices=True)
     if len(i) < least - 1e-9:
         return 0.0
-    j = j[np.argsort(i)]
-    if len(j) > 1 and (np.diff(j) < 0).any():
-        tails: list[int] = []  # least last partner of a common subsequence of each length
-        for x in j.tolist():
-            k = bisect.bisect_left(tails, x)
-            tails[k : k + 1] = [x]
-        aligned = len(tails)
-    else:
-        aligned = len(j)
+    aligned = len(i)
+    if (np.diff(j[np.argsort(i)]) < 0).any():
+        short = min(na, nb)
+        apart = np.flatnonzero(a[:short] != b[:short])
+        head = int(apart[0]) if len(apart) else short
+        apart = np.flatnonzero(a[na - short + head :][::-1] != b[nb - short + head :][::-1])
+        tail = int(apart[0]) if len(apart) else short - head
+        aligned = head + tail + _aligned(a[head : na - tail], b[head : nb - tail], int(max(na, nb) - least + 1e-9))
     value = aligned / (na + nb - aligned)
     return value if value >= threshold - 1e-12 else 0.0
 
@@ -147,7 +201,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             hits = [
                 i for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
-                if similarity(labels(np.frombuffer(x, np.uint32)), labels(np.frombuffer(y, np.uint32)), threshold)
+                if similarity(shingles(np.frombuffer(x, np.uint32)), shingles(np.frombuffer(y, np.uint32)), threshold)
             ]
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(hits, pa.int64())) for k in (0, 1)], names=["a", "b"])
 
@@ -159,7 +213,8 @@ def check_block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links across components in one block pair of a bucket, each pair in the first table that has it."""
     pdf = pdf.sort_values("cid")
     one, two = (int(pdf[c].iloc[0]) for c in ("one", "two"))
-    own = [labels(np.frombuffer(c, np.uint32)) for c in pdf["codes"]]
+    own = [shingles(np.frombuffer(c, np.uint32)) for c in pdf["codes"]]
+    marked = [labelled(h) for h in own]
     keys = np.array(pdf["keys"].tolist())
     keys = keys[:, : int(np.flatnonzero(keys[0] == pdf["key"].iloc[0])[0])]  # of earlier tables
     cid, block = pdf["cid"].to_numpy(), pdf["block"].to_numpy()
@@ -172,7 +227,7 @@ def check_block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
         for j in right[~met].tolist():
             if (one == two and j <= i) or part[i] == part[j]:
                 continue
-            if similarity(own[i], own[j], threshold):
+            if similarity(own[i], own[j], threshold, marked[i], marked[j]):
                 links.append((cid[i], cid[j]))
                 gone, stays = max(part[i], part[j]), min(part[i], part[j])
                 part = {k: stays if p == gone else p for k, p in part.items()}
