@@ -1,6 +1,7 @@
 """Line dedup, decontamination and packing against brute force on awkward rows."""
 
 import bisect
+import os
 import random
 import re
 import zlib
@@ -162,3 +163,27 @@ def test_packing_is_tight(spark):
 def test_sweep_state_is_bounded_by_capacity():
     counts = {n: 10**9 for n in range(1, 2049)}
     assert len(packing.sweep(counts, 2048)) < 60_000
+
+
+def test_benchmark_blocks_are_alive_one_at_a_time(spark, monkeypatch):
+    events, blocks = [], []
+    plain_blocks, plain_materialize, plain_compile = decontaminate._blocks, decontaminate.materialize, decontaminate.compile_patterns
+
+    def compile_patterns(items, window):
+        assert all(not os.path.exists(b._path) for b in blocks)
+        events.append("compile")
+        return plain_compile(items, window)
+
+    def listed(*args):
+        for found in plain_blocks(*args):
+            blocks.append(found[-1] if isinstance(found, tuple) else found)
+            yield found
+
+    monkeypatch.setattr(decontaminate, "compile_patterns", compile_patterns)
+    monkeypatch.setattr(decontaminate, "_blocks", listed)
+    monkeypatch.setattr(decontaminate, "materialize", lambda df, label: events.append("write") or plain_materialize(df, label))
+    bench = spark.createDataFrame([(k, " ".join(f"i{k}w{j}" for j in range(20))) for k in range(12)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join(f"i{k}w{j}" for j in range(20))) for k in range(14)], "doc_id long, text string")
+    found = decontaminate.find_passages(docs, bench, max_block_words=60)
+    assert events == ["compile", "write"] * 4
+    assert sorted((r.doc_id, r["items"]) for r in found.collect()) == [(k, [str(k)] if k < 12 else []) for k in range(14)]

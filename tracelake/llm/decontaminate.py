@@ -107,14 +107,14 @@ def search(searches: list[WuManber], text: bytes | None) -> tuple[int, list[tupl
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, max_block_words: int):
-    """Pattern tables, one broadcast a block; each block's items fit the driver by the bound on its words."""
+    """(blocks, broadcast of one block's pattern tables), block by block; a block's items fit the driver by the bound on its words."""
     size = F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))
     total = benchmark.agg(F.sum(size.cast("long"))).first()[0] or 0
     n = max(1, -(-total // max_block_words))
     for k in range(n):
         rows = benchmark.filter(F.pmod(F.xxhash64(item_col, text_col), F.lit(n)) == k)
         items = [(r[0], None if r[1] is None else r[1].encode()) for r in rows.select(F.col(item_col).cast("string"), text_col).toLocalIterator()]
-        yield benchmark.sparkSession.sparkContext.broadcast(compile_patterns(items, window))
+        yield n, benchmark.sparkSession.sparkContext.broadcast(compile_patterns(items, window))
 
 
 _SPANS = "array<struct<start:long,end:long>>"
@@ -157,13 +157,14 @@ def find_passages(
 
         return map_slices(base, run, schema)
 
-    passes = list(_blocks(benchmark, item_col, item_text_col, window, max_block_words))
-    if len(passes) == 1:
-        return one(passes[0])
-    # more blocks: each pass keeps only rows with hits, merged by row; identical rows have identical hits
+    # more blocks: each pass keeps only rows with hits, merged by row; identical rows have identical hits.
+    # a pass is written and its tables are dropped before the next block is compiled
     found = None
-    for block in passes:
+    for n_blocks, block in _blocks(benchmark, item_col, item_text_col, window, max_block_words):
+        if n_blocks == 1:
+            return one(block)
         hits = materialize(one(block).filter(F.size("spans") > 0), "hits")
+        block.destroy()
         found = hits if found is None else found.unionByName(hits)
     merged = found.groupBy(F.col(id_col).alias("__id"), F.col("__part").alias("__p")).agg(
         F.flatten(F.collect_set("spans")).alias("__spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("__items")
