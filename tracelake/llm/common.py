@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,41 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Work tables of one call, each under a name, so that those no longer needed can be deleted."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, work_path(spark, "")
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` as a Parquet work table and read it back."""
+        df.write.parquet(self.root + name)
+        return self.spark.read.schema(df.schema).parquet(self.root + name)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more, neither a later job nor the lineage of a result."""
+        jvm = self.spark._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(self.root + name)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_numbers() -> Callable[[int], pa.Array]:
+    """For a task that writes a table: numbers of the next so many rows, unique over all tasks.
+
+    They are stored with the rows. Numbers given after a table is read back would follow
+    how its files are dealt to the cores at hand and differ between two jobs.
+    """
+    at = TaskContext.get().partitionId() << 33
+
+    def numbers(n: int) -> pa.Array:
+        nonlocal at
+        at += n
+        return pa.array(np.arange(at - n, at, dtype=np.int64))
+
+    return numbers
+
+
 def map_slices(
     df: DataFrame, fn: Callable[[Iterator[pa.Table]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:

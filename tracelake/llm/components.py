@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import materialize
+from tracelake.llm.common import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -23,13 +25,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("a", F.col("m").alias("b")))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, work: Scratch | None = None) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: longs) that has a link to another; root is the smallest node.
 
-    Each step is written out, so its lineage is one step long. The links are a star around each
-    root when a pair of steps changes nothing.
+    Each step is written out, so its lineage is one step long, and the step before is
+    deleted. The links are a star around each root when a pair of steps changes nothing.
     """
-    now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    work = work or Scratch(edges.sparkSession)
+    label, step = f"components-{uuid.uuid4().hex}", 0
+    now = work.write(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{label}-0")
     mark = None
     while True:
         new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -39,4 +43,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
             )
         mark = tuple(new)
         # the large step is read once, so it isn't written
-        now = materialize(_small_star(_large_star(now)).filter("a <> b").distinct(), "links")
+        now = work.write(_small_star(_large_star(now)).filter("a <> b").distinct(), f"{label}-{step + 1}")
+        work.drop(f"{label}-{step}")
+        step += 1

@@ -1,27 +1,31 @@
 """Near-duplicate texts by Order MinHash with banded alignment.
 
-A text is the sequence of its five-word shingles (lower-case words; a shorter text is one
-shingle). For the sketch each is labelled with its occurrence number, so that labels are
+For the sketch a text is the sequence of its five-word shingles (lower-case words; a
+shorter text is one shingle), each labelled with its occurrence number, so that labels are
 unique in a text. An Order MinHash sketch takes, for each of TABLES hash functions, the
 PICKS labels of least hash in text order: two texts agree in a table only if they share
-these shingles in the same order. At similarity 0.8 one pair in twenty million shares no
-table.
-
-Candidates are verified by banded alignment of the two shingle sequences, without labels,
-so that any copy of a repeated passage may be aligned with any other: the longest common
-subsequence over all matches within the band that the threshold allows (a match further
-off the diagonal would leave too many shingles unmatched), and
-similarity = aligned / (shingles of both - aligned).
-
-Texts with equal words are collapsed first. Pairs are taken from small buckets (at most
-SMALL texts) directly and from each larger bucket as a star around one of its members;
-larger buckets that still hold several components after that are compared in blocks
-inside tasks, pair by pair but only across components and only where no earlier table
-has the pair, so that no link is lost and no group's pairs become rows.
+these shingles in the same order, which makes the sketch sensitive to edit similarity.
+
+Candidates are verified by banded alignment of the word sequences: the longest common
+subsequence within the band that the threshold allows (a match further off the diagonal
+would leave too many words unmatched), and similarity = aligned / (words of both -
+aligned), 0.8 or more. Texts whose five-word shingles are 0.8 alike in the same order are
+also at least 0.8 alike by words, so no such pair is refused.
+
+Texts with equal words are collapsed first. Every bucket is then compared as a star around
+one member. Components are labelled anew, and buckets that still hold several components
+are compared in further stars: the texts outside the largest component with a new member
+of it, and one of them with all others. Stars repeat as long as each round leaves at most
+half of the strangers of the one before. What is left is compared in grids: blocks of
+strangers against blocks of members, inside tasks, only across components. Members of one
+component are never paired, so the work of a group of copies is linear in its size; only
+texts of one bucket that are unlike each other are compared each with each, and no pair
+that fails ever becomes a row.
 
 Defined results: a null text is empty; texts without words are near-duplicates only of
 equal texts; repeated rows are copies of each other; a null id only becomes a class id if
-its class has no other; an empty table gives an empty result; other columns are ignored.
+its class has no other; an empty table gives an empty result; other columns are ignored
+(``keep_one`` passes them through, whatever their names).
 """
 
 from __future__ import annotations
@@ -36,13 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import map_slices, materialize, utf8
+from tracelake.llm.common import Scratch, map_slices, materialize, row_numbers, utf8
 from tracelake.llm.components import connected_components
 from tracelake.llm.decontaminate import words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 TABLES, PICKS = 32, 4
-SMALL, BLOCK = 8, 128
+#: Strangers and members of one bucket that a task compares.
+STRANGERS, MEMBERS = 256, 1024
 #: Rows that an alignment takes with one window of the band.
 ROWS = 1024
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 63, TABLES, dtype=np.uint64) | np.uint64(1)
@@ -141,41 +146,33 @@ def _aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return risen + (high - low) - v.bit_count()
 
 
-def similarity(
-    a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD, labels_a: np.ndarray | None = None, labels_b: np.ndarray | None = None
-) -> float:
-    """Aligned similarity of two shingle sequences; 0 where it is known to be below ``threshold``.
-
-    ``labels_a`` and ``labels_b`` are their labelled forms, if at hand.
-    """
+def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
+    """Aligned similarity of two word sequences; 0 where it is known to be below ``threshold``."""
     na, nb = len(a), len(b)
     if not na or not nb:
         return 0.0
-    least = threshold * (na + nb) / (1 + threshold)  # aligned shingles needed
+    least = threshold * (na + nb) / (1 + threshold)  # aligned words needed
     if min(na, nb) < least - 1e-9:
         return 0.0
-    labels_a, labels_b = labelled(a) if labels_a is None else labels_a, labelled(b) if labels_b is None else labels_b
-    # equal labels are as many as the sequences share in any order, so none can align more
-    _, i, j = np.intersect1d(labels_a, labels_b, assume_unique=True, return_indices=True)
-    if len(i) < least - 1e-9:
-        return 0.0
-    aligned = len(i)
-    if (np.diff(j[np.argsort(i)]) < 0).any():
-        short = min(na, nb)
-        apart = np.flatnonzero(a[:short] != b[:short])
-        head = int(apart[0]) if len(apart) else short
-        apart = np.flatnonzero(a[na - short + head :][::-1] != b[nb - short + head :][::-1])
-        tail = int(apart[0]) if len(apart) else short - head
-        aligned = head + tail + _aligned(a[head : na - tail], b[head : nb - tail], int(max(na, nb) - least + 1e-9))
+    short = min(na, nb)
+    apart = np.flatnonzero(a[:short] != b[:short])
+    head = int(apart[0]) if len(apart) else short
+    apart = np.flatnonzero(a[na - short + head :][::-1] != b[nb - short + head :][::-1])
+    tail = int(apart[0]) if len(apart) else short - head
+    a, b = a[head : na - tail], b[head : nb - tail]
+    aligned = head + tail
+    if aligned + min(len(a), len(b)) >= least - 1e-9:
+        aligned += _aligned(a, b, int(max(na, nb) - least + 1e-9))
     value = aligned / (na + nb - aligned)
     return value if value >= threshold - 1e-12 else 0.0
 
 
 def _sketch_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, part, wkey, codes, keys): word codes and sketch of each document."""
+    """(id, part, rid, wkey, codes, keys): word codes and sketch of each document; ``rid`` numbers the rows."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("part"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = row_numbers()
         for batch in batches:
             wkeys, codes, keys = [], [], []
             for raw in utf8(batch.column(2)):
@@ -184,12 +181,12 @@ def _sketch_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 wkeys.append(hashlib.blake2b(own.tobytes() if len(own) else b"raw" + (raw or b""), digest_size=16).digest())
                 keys.append(sketch(labels(own)).astype(np.int64) if len(own) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(wkeys, pa.binary()), pa.array(codes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "part", "wkey", "codes", "keys"],
+                [batch.column(0), batch.column(1), numbers(batch.num_rows), pa.array(wkeys, pa.binary()), pa.array(codes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["id", "part", "rid", "wkey", "codes", "keys"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_slices(rows, run, f"id {kind}, part long, wkey binary, codes binary, keys array<long>")
+    return map_slices(rows, run, f"id {kind}, part long, rid long, wkey binary, codes binary, keys array<long>")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -201,39 +198,74 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             hits = [
                 i for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
-                if similarity(shingles(np.frombuffer(x, np.uint32)), shingles(np.frombuffer(y, np.uint32)), threshold)
+                if similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), threshold)
             ]
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(hits, pa.int64())) for k in (0, 1)], names=["a", "b"])
 
-    full = pairs.join(one, "a").join(two, "b").select("a", "b", "codes_a", "codes_b")
+    full = pairs.join(two, "b").join(one, "a").select("a", "b", "codes_a", "codes_b")
     return map_slices(full, run, "a long, b long")
 
 
-def check_block(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links across components in one block pair of a bucket, each pair in the first table that has it."""
-    pdf = pdf.sort_values("cid")
-    one, two = (int(pdf[c].iloc[0]) for c in ("one", "two"))
-    own = [shingles(np.frombuffer(c, np.uint32)) for c in pdf["codes"]]
-    marked = [labelled(h) for h in own]
-    keys = np.array(pdf["keys"].tolist())
-    keys = keys[:, : int(np.flatnonzero(keys[0] == pdf["key"].iloc[0])[0])]  # of earlier tables
-    cid, block = pdf["cid"].to_numpy(), pdf["block"].to_numpy()
-    part = dict(enumerate(pdf["root"].tolist()))
-    left = np.flatnonzero(block == one)
-    right = left if one == two else np.flatnonzero(block == two)
+def check_grid(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links across components between one block of a bucket's strangers and one block of its members."""
+    own = [np.frombuffer(c, np.uint32) for c in pdf["codes"]]
+    sizes = np.array([len(c) for c in own])
+    # words with occurrence numbers: what two texts share of them bounds what can be aligned
+    _, marks = np.unique(np.concatenate([labelled(c.astype(np.uint64)) for c in own]), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    cid, stranger, in_rows = pdf["cid"].to_numpy(), pdf["stranger"].to_numpy(bool), pdf["as_stranger"].to_numpy(bool)
+    part = np.unique(pdf["root"].to_numpy(), return_inverse=True)[1]
+    columns = np.flatnonzero(~in_rows)
+    if not len(columns):
+        return pd.DataFrame([], columns=["a", "b"]).astype("int64")
+    column_marks = np.concatenate([marks[starts[j] : starts[j + 1]] for j in columns])
+    column_starts = np.concatenate([[0], np.cumsum(sizes[columns])[:-1]])
     links = []
-    for i in left.tolist():
-        met = (keys[right] == keys[i]).any(axis=1)
-        for j in right[~met].tolist():
-            if (one == two and j <= i) or part[i] == part[j]:
-                continue
-            if similarity(own[i], own[j], threshold, marked[i], marked[j]):
+    for i in np.flatnonzero(in_rows):
+        has = np.zeros(int(marks.max()) + 1, np.int32)
+        has[marks[starts[i] : starts[i + 1]]] = 1
+        shared = np.add.reduceat(has[column_marks], column_starts)
+        # a pair of two strangers is met in both orders
+        near = (shared >= threshold * (sizes[i] + sizes[columns]) / (1 + threshold) - 1e-9) & (~stranger[columns] | (cid[columns] > cid[i]))
+        for j in columns[near]:
+            if part[i] != part[j] and similarity(own[i], own[j], threshold):
                 links.append((cid[i], cid[j]))
-                gone, stays = max(part[i], part[j]), min(part[i], part[j])
-                part = {k: stays if p == gone else p for k, p in part.items()}
+                part[part == part[j]] = part[i]
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
+def _open_buckets(left: DataFrame, roots: DataFrame) -> DataFrame:
+    """``left`` (key, cid) with root, stranger, strangers, members of the buckets that hold several components.
+
+    Strangers are outside the largest component of the bucket.
+    """
+    rooted = left.join(roots, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
+    parts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("members"), F.count("*").alias("roots")).filter("roots > 1")
+    mixed = mixed.select("key", F.col("top.root").alias("top"), "members", (F.col("members") - F.col("top.n")).alias("strangers"))
+    return rooted.join(mixed, "key").withColumn("stranger", F.col("root") != F.col("top")).drop("top")
+
+
+def _leader(members: DataFrame, salt: int) -> DataFrame:
+    """(key, lead, lead_root): a member of each bucket, the same one in all buckets that have it as far as possible."""
+    least = F.min(F.struct(F.xxhash64(F.lit(salt), "cid").alias("h"), "cid", "root")).alias("l")
+    return members.groupBy("key").agg(least).select("key", F.col("l.cid").alias("lead"), F.col("l.root").alias("lead_root"))
+
+
+def _pairs(star: DataFrame) -> DataFrame:
+    return star.select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b")).distinct()
+
+
+def _grid(opened: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links across components in ``opened`` buckets: strangers against members, block by block."""
+    rows, columns = (F.ceil(F.col(c) / size).cast("int") for c, size in (("strangers", STRANGERS), ("members", MEMBERS)))
+    spot = F.pmod(F.xxhash64("cid"), F.lit(1 << 30))
+    as_row = opened.filter("stranger").withColumns({"row": (spot % rows).cast("int"), "column": F.explode(F.sequence(F.lit(0), columns - 1)), "as_stranger": F.lit(True)})
+    as_column = opened.withColumns({"row": F.explode(F.sequence(F.lit(0), rows - 1)), "column": (spot % columns).cast("int"), "as_stranger": F.lit(False)})
+    dealt = as_row.unionByName(as_column).select("key", "row", "column", "cid", "root", "stranger", "as_stranger")
+    return dealt.join(texts, "cid").groupBy("key", "row", "column").applyInPandas(lambda pdf: check_grid(pdf, threshold), "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -243,42 +275,41 @@ def near_duplicates(
     ``__part`` hashes the text and tells rows that share an id apart, ``__copies`` counts
     the rows with this id and text.
     """
-    rows = materialize(_sketch_rows(docs, id_col, text_col), "sketches").withColumn("rid", F.monotonically_increasing_id())
+    work = Scratch(docs.sparkSession)
+    rows = work.write(_sketch_rows(docs, id_col, text_col), "sketches")
     # equal words first: a class of copies is one text from here on
     classes = rows.groupBy("wkey").agg(F.min("rid").alias("cid"), F.min(F.struct(F.col("id").isNull().alias("n"), "id", "rid")).alias("first"))
-    classes = materialize(classes, "classes")
-    texts = rows.select("rid", "codes", "keys").filter("keys is not null").join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi")
+    classes = work.write(classes, "classes")
+    own = rows.filter("keys is not null").select(F.col("rid").alias("cid"), "keys").join(classes.select("cid"), "cid", "left_semi")
     # a key has its table mixed in, so it alone names a bucket
-    tables = texts.select(F.col("rid").alias("cid"), F.explode("keys").alias("key"))
-    shared = tables.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    met = materialize(tables.join(shared, "key"), "met")
+    tables = own.select("cid", F.explode("keys").alias("key"))
+    shared = tables.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64(F.lit(0), "cid").alias("h"), "cid")).alias("l"))
+    shared = shared.filter("members > 1").select("key", F.col("l.cid").alias("lead"))
+    left = work.write(tables.join(shared, "key").filter("cid <> lead"), "met")
+    met = left.select("cid").unionByName(left.select(F.col("lead").alias("cid"))).distinct()
     # only texts that meet another are carried on
-    texts = texts.withColumnRenamed("rid", "cid").join(met.select("cid").distinct(), "cid", "left_semi")
-    texts = materialize(texts, "texts")
-    small = met.filter(F.col("members") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_list("cid")).alias("c"))
-    small = small.select(F.explode(F.flatten(F.transform("c", lambda x, i: F.transform(F.slice("c", i + 2, F.size("c")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.*")
-    big = met.filter(F.col("members") > SMALL)
-    leads = big.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "cid").alias("h"), "cid")).alias("l")).select("key", F.col("l.cid").alias("lead"))
-    star = big.join(leads, "key").filter(F.col("cid") != F.col("lead")).select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b"))
-    links = materialize(_verify(small.unionByName(star).distinct(), texts, threshold), "links")
-    roots = connected_components(links)
-    # larger buckets that still hold several components
-    large = big.join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid")).drop("node")
-    parts = large.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1")
-    open_ = large.join(mixed.select("key", "top"), "key")
-    # members of the largest component only meet the others, so a group of copies with a few strangers costs few rows
-    inner, n_top = F.col("root") == F.col("top.root"), F.ceil(F.col("top.n") / BLOCK).cast("int")
-    n_rest = F.ceil((F.col("members") - F.col("top.n")) / BLOCK).cast("int")
-    open_ = open_.withColumns({"n_top": n_top, "n_rest": n_rest, "inner": inner})
-    place = F.when(F.col("inner"), F.pmod(F.xxhash64("cid"), F.col("n_top"))).otherwise(F.col("n_top") + F.pmod(F.xxhash64("cid"), F.col("n_rest")))
-    open_ = open_.withColumn("block", place.cast("int"))
-    dealt = open_.withColumn("other", F.explode(F.sequence(F.when(F.col("inner"), F.col("n_top")).otherwise(0), F.col("n_top") + F.col("n_rest") - 1)))
-    dealt = dealt.select("key", "cid", "root", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    more = dealt.join(texts, "cid").groupBy("key", "one", "two").applyInPandas(lambda pdf: check_block(pdf, threshold), "a long, b long")
-    more = materialize(more, "more")
-    if not more.isEmpty():
-        roots = connected_components(links.unionByName(more))
+    texts = work.write(rows.select(F.col("rid").alias("cid"), "codes").join(met, "cid", "left_semi"), "texts")
+    links = work.write(_verify(_pairs(left), texts, threshold), "links")
+    left, before, turn = left.drop("lead"), None, 0
+    while True:
+        roots = connected_components(links, work)
+        opened = work.write(_open_buckets(left, roots), f"open-{turn}")
+        strangers = opened.filter("stranger").count()
+        if not strangers:
+            break
+        if before is not None and strangers > before / 2:
+            more = work.write(_grid(opened, texts, threshold), "grid")
+            if not more.isEmpty():
+                roots = connected_components(links.unionByName(more), work)
+            break
+        before, turn = strangers, turn + 1
+        outside = _leader(opened.filter("stranger"), turn)
+        inside = _leader(opened.filter("not stranger"), turn)
+        star = opened.filter("stranger").join(inside, "key").unionByName(opened.join(outside, "key").filter("root <> lead_root"))
+        links = links.unionByName(work.write(_verify(_pairs(star), texts, threshold), f"links-{turn}"))
+        # the stranger that led has met all others of its buckets
+        left = work.write(opened.select("key", "cid").join(outside, "key").filter("cid <> lead").select("key", "cid"), f"left-{turn}")
+    work.drop("met", "texts")
     grouped = classes.join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     best = grouped.groupBy("root").agg(F.min("first").alias("best"))
     known = grouped.join(best, "root").select(F.col("wkey").alias("__wkey"), F.col("best.id").alias("class_id"), F.col("best.rid").alias("__rid"))
@@ -292,10 +323,13 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one row of each near-duplicate class."""
-    found = materialize(near_duplicates(docs, id_col=id_col, text_col=text_col, threshold=threshold), "classes")
-    kept = found.filter("kept").select(F.col(id_col).alias("__id"), F.col("__part").alias("__p"))
-    out = docs.join(kept, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__p")), "left_semi")
-    if found.filter("kept and __copies > 1").isEmpty():
-        return out
-    return out.withColumn("__part", F.xxhash64(text_col)).dropDuplicates([id_col, "__part"]).drop("__part")
+    """``docs`` with one row of each near-duplicate class; the columns of ``docs`` may have any names."""
+    found = materialize(near_duplicates(docs, id_col=id_col, text_col=text_col, threshold=threshold), "kept")
+    kept = found.filter("kept").select(F.col(id_col).alias("id"), F.col("__part").alias("part"))
+    whole = docs.select(F.struct("*").alias("row"))
+    match = F.col(f"row.`{id_col}`").eqNullSafe(F.col("id")) & (F.xxhash64(F.col(f"row.`{text_col}`")) == F.col("part"))
+    out = whole.join(kept, match, "left_semi")
+    if not found.filter("kept and __copies > 1").isEmpty():
+        # a kept id and text that stand in several rows: one of them stays
+        out = out.withColumns({"id": F.col(f"row.`{id_col}`"), "part": F.xxhash64(F.col(f"row.`{text_col}`"))}).dropDuplicates(["id", "part"])
+    return out.select("row.*")
