@@ -94,7 +94,7 @@ def test_decontamination(spark, block_words):
 
 
 TEXTS = [
-    None, "", " ", "  ", "a", " a", "a ", "a  b", "a   b", "a \n b", "a\n\n b", "a \nb", "\n\n", "x\t y", "é à\xa0b  c", "don't we'll  <|endoftext|> go",
+    None, "", " ", "  ", "a", " a", "a ", "a  b", "a   b", "a \n b", "a\n\n b", "a \nb", "\n\n", "x\t y", "é à\xa0b  c", "don't we'll  <|endoftext|> go", "a <|endoftext|> b", "<|startoftext|>a<|endoftext|>", "x <|ENDOFTEXT|>y <|endoftext", "one<|endoftext|><|endoftext|> two\n",
     "tabs\t\tand   runs \n\n\n of  space ", "　wide　 space", "\x1codd\x1d sep", "İstanbul ΣΑΣ é ﬁ ", "123,456.7 $%^ 日本語 text", "q" * 9000, "word " * 5000, "end\n ", "end \n",
 ]
 
@@ -107,7 +107,6 @@ def test_chunked_ids_equal_whole_text_ids(name, space):
     from tracelake.llm.tokenize import ChunkEncoder
 
     plain = Tokenizer.from_file(vocabulary(name))
-    plain.encode_special_tokens = True
     rng = random.Random(1)
     texts = TEXTS + ["".join(rng.choice([" ", " ", " ", "foo", "Bar", "straße", "'s", ".", ",", "!!", "|", "\n", "7", "é", "e\u0301", "İ", "ﬁ", "n't", ")", "ǅ"]) for _ in range(30)) for _ in range(800)]
     texts += ["".join(rng.choice([" ", " ", "\n", "\t", "a", "B", "'s", "é", "1", ",", "\xa0"]) for _ in range(40)) for _ in range(500)]
@@ -133,7 +132,6 @@ def test_packing_documents(spark):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     texts = list(enumerate(TEXTS)) + [(3, "a"), (3, "a"), (None, "b")]
     out = packing.pack_documents(frame(spark, texts), vocabulary("byte_bpe_50k.json"), capacity=64).collect()
     check_packing(out, 64)

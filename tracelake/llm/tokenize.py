@@ -2,7 +2,8 @@
 
 Both vocabularies split a text into pre-tokens before any merge, so the ids of a text are
 the ids of its chunks in a row as long as every cut falls between two pre-tokens. Texts
-with white space for which that isn't plain are encoded whole, chunks that aren't plain
+with white space for which that isn't plain, and texts that hold one of the vocabulary's
+added tokens (such as an end-of-text mark), are encoded whole, chunks that aren't plain
 words go through the whole tokenizer, plain words straight to its merges.
 """
 
@@ -59,7 +60,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Written-out added tokens are found before the text is split, so no cut may touch them.
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)", re.I)
         self.leading_space = leading_space
         self.letters = _byte_letters()
         self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
@@ -73,7 +75,7 @@ class ChunkEncoder:
 
     def _chunks(self, text: str) -> list[str] | None:
         """None: encode it whole. With leading_space, the blank before each chunk but the first is implied."""
-        if _ODD.search(text):
+        if _ODD.search(text) or self.added.search(text):
             return None
         if not self.leading_space:
             return text.split()
