@@ -17,6 +17,7 @@ def test_elias_fano(values):
     coded, _ = token_files.EliasFano.from_bytes(token_files.EliasFano.encode(np.array(values, np.uint64)).to_bytes(), 0)
     assert coded.decode().tolist() == values
     assert [coded.select(i) for i in range(0, len(values), 97)] == values[::97]
+    assert [x for block in coded.walk() for x in block.tolist()] == values
 
 
 def test_elias_fano_is_small():
@@ -24,7 +25,7 @@ def test_elias_fano_is_small():
     assert len(token_files.EliasFano.encode(ends).to_bytes()) < 100_000 * 13 / 8 + 5000
 
 
-TEXTS = [(5, "Hello  world"), (2, None), (9, ""), (-3, "A B c"), (2, "again two"), (None, "no id"), (7, "é" * 3000), (11, "x " * 9000), (12, "<|endoftext|>")]
+TEXTS = [(5, "Hello  world"), (2, None), (9, ""), (-3, "A B c"), (2, "again two"), (None, "no id"), (7, "é" * 3000), (11, "x " * 9000), (12, "<|endoftext|>"), (13, "a <|endoftext|> b")]
 
 
 @pytest.mark.parametrize("segment_ids", [1, 50, 1 << 20])
@@ -32,7 +33,6 @@ def test_round_trip(spark, segment_ids):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
-    plain.encode_special_tokens = True
     docs = spark.createDataFrame([(i, t, "z") for i, t in TEXTS], "doc_id long, text string, start string")
     path = work_path(spark, "files")
     token_files.write_token_files(docs, path, vocabulary("word_bpe_49k.json"), end_id=1, vocabulary_size=49408, segment_ids=segment_ids)

@@ -2,8 +2,8 @@
 
 A segment is a byte string with a header, the ids (two bytes each where the vocabulary
 allows), the cumulative document lengths and the ascending document ids, both Elias-Fano
-encoded with select samples: offset number i is found from the nearest sample without a
-table of 64-bit offsets. Segments are written by Spark's committed Parquet writer as rows
+encoded with select samples: offset number i is found from the nearest sample, and a run
+of offsets by a walk from sample to sample, without a table of 64-bit offsets. Segments are written by Spark's committed Parquet writer as rows
 (shard, segment, first, n_docs, n_ids, payload), so any store that Spark reaches will do
 and a lost task leaves nothing behind. Shards ascend in document id.
 
@@ -14,6 +14,7 @@ table writes an empty file set; other columns are ignored. Ids must be integers.
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import map_slices
+from tracelake.llm.common import SLICE_ROWS, map_slices
 from tracelake.llm.tokenize import encoder
 
 #: A segment is closed at this many ids; a longer document makes a longer segment.
@@ -81,15 +82,26 @@ class EliasFano:
             low |= (self.low[bit >> 3] >> (bit & 7) & 1) << k
         return (place - i) << self.low_bits | low
 
+    def walk(self) -> Iterator[np.ndarray]:
+        """All values in order, SAMPLE at a time: from each sample's bit on, the next ones are selected by their places."""
+        starts = np.frombuffer(self.samples, "<u4")
+        for k, at in enumerate(starts.tolist()):
+            first, n = k * SAMPLE, min(SAMPLE, self.n - k * SAMPLE)
+            end = int(starts[k + 1]) if k + 1 < len(starts) else 8 * len(self.high)
+            ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8, (end + 7) // 8 - at // 8, at // 8), bitorder="little"))
+            places = ones + (at // 8 * 8)
+            places = places[np.searchsorted(places, at) :][:n]
+            out = (places - np.arange(first, first + n)).astype(np.uint64) << np.uint64(self.low_bits)
+            if self.low_bits:
+                bit = first * self.low_bits
+                part = np.frombuffer(self.low, np.uint8, -(-(bit + n * self.low_bits) // 8) - bit // 8, bit // 8)
+                bits = np.unpackbits(part, bitorder="little")[bit % 8 :][: n * self.low_bits].reshape(n, -1)
+                out |= (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+            yield out
+
     def decode(self) -> np.ndarray:
-        if not self.n:
-            return np.zeros(0, np.uint64)
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        if self.low_bits:
-            bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_bits].reshape(self.n, -1)
-            out |= (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        return out
+        """All values as one array."""
+        return np.concatenate([np.zeros(0, np.uint64), *self.walk()])
 
     def to_bytes(self) -> bytes:
         return _EF.pack(self.n, self.low_bits, len(self.low), len(self.high), len(self.samples)) + self.low + self.high + self.samples
@@ -124,13 +136,22 @@ class Segment:
         at = _HEADER.size
         self.ids = np.frombuffer(data, f"<u{self.width}", self.n_ids, at)
         self.ends, at = EliasFano.from_bytes(data, at + size)
-        own, _ = EliasFano.from_bytes(data, at)
-        self.doc_ids = [base + int(x) for x in own.decode()] + [None] * nulls
+        self.own, _ = EliasFano.from_bytes(data, at)
+        self.base, self.nulls = base, nulls
 
     def document(self, i: int) -> np.ndarray:
         """Ids of document number ``i``, by two selects."""
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
+    def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """(document id, start in the segment, ids) of each document, by walks along both select structures."""
+        names = itertools.chain((self.base + x for block in self.own.walk() for x in block.tolist()), itertools.repeat(None, self.nulls))
+        start = 0
+        for block in self.ends.walk():
+            for end in block.tolist():
+                yield next(names), start, self.ids[start:end]
+                start = end
+
 
 def write_token_files(
     docs: DataFrame, path: str, vocabulary: str, *, end_id: int, vocabulary_size: int,
@@ -182,14 +203,14 @@ def read_token_files(spark: SparkSession, path: str, *, id_col: str = "doc_id")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, first, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s = Segment(payload)
-                ends = s.ends.decode().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]])
-                wide = s.ids.astype("<u4").tobytes()
-                crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(starts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.doc_ids, pa.int64()), pa.array(starts + first + bases[shard]), pa.array(ends - starts), pa.array(crc, pa.int64())],
-                    names=[id_col, "start", "n_tokens", "ids_crc32"],
-                )
+                known = Segment(payload).documents()
+                while part := list(itertools.islice(known, SLICE_ROWS)):
+                    starts = np.array([start for _, start, _ in part], np.int64)
+                    sizes = [len(ids) for _, _, ids in part]
+                    crc = [zlib.crc32(ids.astype("<u4").tobytes()) for _, _, ids in part]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([i for i, _, _ in part], pa.int64()), pa.array(starts + first + bases[shard]), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())],
+                        names=[id_col, "start", "n_tokens", "ids_crc32"],
+                    )
 
     return files.select("shard", "first", "payload").mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
