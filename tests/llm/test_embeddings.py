@@ -73,3 +73,10 @@ def test_links_equal_all_pairs(spark, monkeypatch, small):
     want = brute(rows)
     assert got == want
     assert embedding_dedup.link_embeddings(frame.limit(0)).count() == 0
+
+
+def test_extreme_lengths(spark):
+    """Only the direction counts, however long or short a vector is."""
+    rows = [(1, [1e200, 1e200], 1), (2, [1e200, 1e200], 1), (3, [1e-200, 1.1e-200], 1), (4, [3e-320, 3e-320], 1), (5, [1.0, -1.0], 1), (6, [1e308, 1e308], 1), (7, [0.0, -0.0], 1)]
+    got = embedding_dedup.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect()) == [(1, 4, 1), (2, 4, 1), (3, 4, 1), (4, 4, 1), (5, 0, 5), (6, 4, 1), (7, 0, 7)]

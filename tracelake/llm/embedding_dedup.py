@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import map_slices, materialize
+from tracelake.llm.common import map_slices, materialize, row_numbers
 from tracelake.llm.components import connected_components
 
 THRESHOLD = 0.98
@@ -56,6 +56,9 @@ def hash_tables(units: np.ndarray) -> np.ndarray:
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of unit length; a row is scaled by a power of two first, so that no square over- or underflows."""
+    size = np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1]
+    vectors = np.ldexp(vectors, -size)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
@@ -64,26 +67,27 @@ def _rows(payloads: list[bytes]) -> np.ndarray:
 
 
 def _prepare(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """(id, label, dim, vkey, vec): doubles as bytes and their digest, null for vectors that link with nothing."""
+    """(id, label, rid, dim, vkey, vec): doubles as bytes and their digest, null for vectors that link with nothing; ``rid`` numbers the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = row_numbers()
         for batch in batches:
             dims, keys, payloads = [], [], []
             for v, label in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 row = None if v is None or label is None or None in v else np.array(v, np.float64)
-                if row is None or not len(row) or not np.isfinite(row).all() or not np.isfinite(n := np.linalg.norm(row)) or n == 0:
+                if row is None or not len(row) or not np.isfinite(row).all() or not row.any():
                     dims.append(0), keys.append(None), payloads.append(None)
                     continue
                 data = row.tobytes()
                 dims.append(len(row)), keys.append(hashlib.blake2b(data, digest_size=16).digest()), payloads.append(data)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(dims, pa.int32()), pa.array(keys, pa.binary()), pa.array(payloads, pa.binary())],
-                names=["id", "label", "dim", "vkey", "vec"],
+                [batch.column(0), batch.column(1), numbers(batch.num_rows), pa.array(dims, pa.int32()), pa.array(keys, pa.binary()), pa.array(payloads, pa.binary())],
+                names=["id", "label", "rid", "dim", "vkey", "vec"],
             )
 
     kinds = {c: vectors.schema[c].dataType.simpleString() for c in (id_col, label_col)}
     rows = vectors.select(F.col(id_col), F.col(label_col), F.col(vector_col).cast("array<double>"))
-    return map_slices(rows, run, f"id {kinds[id_col]}, label {kinds[label_col]}, dim int, vkey binary, vec binary")
+    return map_slices(rows, run, f"id {kinds[id_col]}, label {kinds[label_col]}, rid long, dim int, vkey binary, vec binary")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -174,7 +178,7 @@ def link_embeddings(
     vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD
 ) -> DataFrame:
     """(id, n_links, component_id, kept), one row per row of ``vectors``."""
-    rows = materialize(_prepare(vectors, id_col, vector_col, label_col), "vectors").withColumn("rid", F.monotonically_increasing_id())
+    rows = materialize(_prepare(vectors, id_col, vector_col, label_col), "vectors")
     classes = rows.filter("vkey is not null").groupBy("label", "dim", "vkey").agg(
         F.min("rid").alias("cid"), F.first("vec").alias("vec"), F.count("*").alias("n"), F.min("id").alias("rep")
     )
