@@ -150,7 +150,7 @@ def train(
     docs: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     sample_per_language: int = SAMPLE_PER_LANGUAGE,
 ) -> Model | None:
-    """Learn from the rows of ``docs`` where ``learnable`` holds and the language is known; None if there are none."""
+    """Learn from the rows of ``docs`` where ``learnable`` holds and the language is known; None if none of them has a letter."""
     known = docs.filter(learnable & F.col(lang_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), stable_unit(F.col(id_col), F.col(text_col)).alias("u"), stable_unit(F.lit(1), F.col(id_col), F.col(text_col)).alias("part")
     )
@@ -166,7 +166,7 @@ def train(
             grams = [gram_counts(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([f.astype("<u2").tobytes() for f, _ in grams], pa.binary()),
-                 pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for _, c in grams], pa.binary())],
+                 pa.array([c.astype("<u4").tobytes() for _, c in grams], pa.binary())],
                 names=["lang", "part", "features", "counts"],
             )
 
@@ -174,10 +174,12 @@ def train(
         known.filter(F.col("u") < shares[F.col("lang")]).select("lang", "text", "part"), run, "lang string, part double, features binary, counts binary"
     )
     rows = [
-        (languages.index(r.lang), np.frombuffer(r.features, "<u2").astype(np.int64), np.frombuffer(r.counts, "<u2").astype(np.int64), r.part)
+        (languages.index(r.lang), np.frombuffer(r.features, "<u2").astype(np.int64), np.frombuffer(r.counts, "<u4").astype(np.int64), r.part)
         for r in sample.toLocalIterator()
     ]
     rows = sorted((r for r in rows if len(r[1])), key=lambda r: (r[3], r[0], r[1].tobytes()))
+    if not rows:
+        return None
     model = Model(languages, np.log((1 + total) / (1 + df)) + 1, np.zeros((DIMS + 1, len(languages))))
     fit_ftrl(model, [r[:3] for r in rows if r[3] >= 0.2] or [r[:3] for r in rows])
     calibrate(model, [r[:3] for r in rows if r[3] < 0.2])
