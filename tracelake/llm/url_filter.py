@@ -41,11 +41,12 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)", 1)
 
 
-def patterns_of(url: Column) -> Column:
-    """All patterns that could cover ``url``: parent domains of two labels or more, and ``host/segment/...`` prefixes."""
+def patterns_of(url: Column, depth: int) -> Column:
+    """All patterns that could cover ``url``: parent domains of two labels or more, and ``host/segment/...`` prefixes
+    of up to ``depth`` segments, so that long paths don't make more text than the lists call for."""
     labels = F.split(host_of(url), r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    segments = F.filter(F.split(path_of(url), "/"), lambda s: s != "")
+    segments = F.slice(F.filter(F.split(path_of(url), "/"), lambda s: s != ""), 1, depth)
     depths = F.when(F.size(segments) > 0, F.sequence(F.lit(1), F.size(segments))).otherwise(F.array().cast("array<int>"))
     prefixes = F.transform(depths, lambda i: F.concat_ws("/", host_of(url), F.array_join(F.slice(segments, F.lit(1), i), "/")))
     return F.array_distinct(F.concat(domains, prefixes))
@@ -68,10 +69,11 @@ def judge_captures(captures: DataFrame, entries: DataFrame, *, url_col: str = "u
     Columns of these names are replaced; other columns pass through.
     """
     intervals = materialize(validity(entries), "intervals")
-    if intervals.count() <= BROADCAST_INTERVALS:
+    n, depth = intervals.agg(F.count("*"), F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0))).first()
+    if n <= BROADCAST_INTERVALS:
         intervals = F.broadcast(intervals)
     pairs = captures.select(F.col(url_col).alias("__url"), F.col(day_col).alias("__day")).filter("__url is not null and __day is not null").distinct()
-    wide = pairs.filter(host_of(F.col("__url")).isNotNull()).withColumn("pattern", F.explode(patterns_of(F.col("__url"))))
+    wide = pairs.filter(host_of(F.col("__url")).isNotNull()).withColumn("pattern", F.explode(patterns_of(F.col("__url"), max(1, depth))))
     active = wide.join(intervals, "pattern").filter((F.col("__day") >= F.col("since")) & (F.col("until").isNull() | (F.col("__day") < F.col("until"))))
     # the longest pattern, then allow before block, then the first list by name
     rank = F.struct(-F.length("pattern"), F.when(F.col("effect") == "allow", 0).otherwise(1), "list", "pattern", "effect")
