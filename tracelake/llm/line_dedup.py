@@ -106,9 +106,10 @@ def dedup_lines(
     bitmaps = keep_bitmaps(docs, id_col=id_col, text_col=text_col, min_chars=min_chars).select(
         F.col("doc").alias("__doc"), F.col("part").alias("__part"), F.col("n_dropped").alias("__dropped"), F.col("words").alias("__words")
     )
-    left = docs.withColumn("__key", F.hash(F.col(text_col)))
-    joined = left.join(bitmaps, (F.col(id_col) == F.col("__doc")) & (F.col("__key") == F.col("__part")), "left")
-    lines = _lines(F.col(text_col))
+    # a row is carried as one column, so that its columns may have any names
+    own_id, text = F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`")
+    joined = docs.select(F.struct("*").alias("row")).join(bitmaps, (own_id == F.col("__doc")) & (F.hash(text) == F.col("__part")), "left")
+    lines = _lines(text)
     n_lines = F.size(lines)
     # a dense word array makes each line's test one array access
     dense = F.expr("transform(sequence(0, __last), w -> coalesce(element_at(__words, w), -1L))")
@@ -118,10 +119,10 @@ def dedup_lines(
         "__lines": F.when(F.col("__words").isNotNull(), lines),
         "__last": F.expr("cast((__n - 1) div 64 as int)"),
     }).withColumn("__dense", F.when(F.col("__words").isNotNull(), dense))
-    out = some.withColumn("__kept", F.when(F.col("__words").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(kept))
+    out = some.withColumn("__kept", F.when(F.col("__words").isNull(), F.coalesce(text, F.lit(""))).otherwise(kept))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
     return out.select(
-        *[F.col(c) for c in names],
+        *[F.col(f"row.`{c}`").alias(c) for c in names],
         F.col("__n").alias("n_lines"),
         F.coalesce("__dropped", F.lit(0)).cast("long").alias("n_dropped"),
         F.col("__kept").alias("kept_text"),
