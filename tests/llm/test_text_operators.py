@@ -185,3 +185,30 @@ def test_benchmark_blocks_are_alive_one_at_a_time(spark, monkeypatch):
     found = decontaminate.find_passages(docs, bench, max_block_words=60)
     assert events == ["compile", "write"] * 4
     assert sorted((r.doc_id, r["items"]) for r in found.collect()) == [(k, [str(k)] if k < 12 else []) for k in range(14)]
+
+
+def test_an_item_longer_than_a_block_is_cut_without_loss(spark):
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(50)}" for _ in range(300)]
+    docs = [(k, " ".join(words[a : a + 13 + k % 3])) for k, a in enumerate(range(0, 287))]
+    bench = spark.createDataFrame([("long", " ".join(words)), ("short", "w1 w2")], "item_id string, text string")
+    found = decontaminate.judge(decontaminate.find_passages(frame(spark, docs), bench, max_block_words=40))
+    got = [(r.doc_id, r.n_words, r.n_hit, r.n_items, r["items"], r.contaminated) for r in found.collect()]
+    assert sorted(got, key=repr) == brute_windows(docs, [("long", " ".join(words)), ("short", "w1 w2")])
+
+
+def test_share_at_the_limit(spark):
+    spans = spark.createDataFrame([(n, [(0, h)], []) for n, h in ((10, 3), (20, 1), (21, 1), (0, 0))], "n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+    assert [r.contaminated for r in decontaminate.judge(spans, min_share=0.3).orderBy("n_words").collect()] == [False, True, False, False]
+    assert [r.contaminated for r in decontaminate.judge(spans).orderBy("n_words").collect()] == [False, True, True, False]
+
+
+def test_columns_of_any_name(spark):
+    names = "doc_id long, text string, __key int, __n int, __part int, __p int, __id int, row int, part int, __words int, doc int, __doc int, `a.b` int"
+    rows = [(1, "a line of the text\nand another", *range(11)), (2, "a line of the text", *range(11, 22)), (3, "one two three four five six seven eight nine ten eleven twelve thirteen", *range(11))]
+    docs = spark.createDataFrame(rows, names)
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_dropped", "kept_text"]
+    assert sorted(tuple(r)[:13] for r in out.collect()) == rows
+    bench = spark.createDataFrame([(1, rows[2][1])], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.drop_contaminated(docs, bench).orderBy("doc_id").collect()] == rows[:2]

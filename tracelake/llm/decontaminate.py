@@ -2,11 +2,13 @@
 
 Patterns are windows of WINDOW consecutive words of the test items (an item with fewer
 words is one shorter pattern). A table of two-word blocks says how far a position can be
-skipped; blocks that end a pattern lead to a bucket, split by the pattern's first block,
-whose members are compared word by word.
+skipped; blocks that end a pattern lead to a bucket, whose members are compared first by
+the pattern's first word and then word by word.
 
-The pattern tables are broadcast in blocks of bounded size (``max_block_words``); more
-blocks mean more passes over the documents, never a larger broadcast.
+The pattern tables are broadcast in blocks of bounded size (``max_block_words``, about
+350 bytes a word in a worker); more blocks mean more passes over the documents, never a
+larger broadcast. Items longer than a block are cut into parts that overlap by a window
+less one word, so that no window is lost.
 
 Defined results: a null text has no words; items with a null id mark words as hit but
 are listed nowhere; repeated item ids count once; with no items nothing is hit; repeated
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import map_slices, materialize, utf8
 
 WINDOW = 13
-#: Words of test items that one broadcast block holds at most, in expectation.
-MAX_BLOCK_WORDS = 1_000_000
+#: Words of test items that one broadcast block holds, in expectation, and at most twice that: below 200 MB in a worker.
+MAX_BLOCK_WORDS = 250_000
 
 #: ASCII letters are lower-cased, other ASCII but digits becomes a blank, bytes of other characters stay.
 _FOLD = bytes(
@@ -39,20 +42,22 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class WuManber:
-    """Search for word patterns of one length."""
+    """Search for word patterns of one length; a pattern is a place in an item's words, which are kept once."""
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], set[str]]):
-        self.length = m = len(next(iter(patterns)))
+    def __init__(self, length: int, patterns: dict[tuple[bytes, ...], tuple[list[bytes], int, set[str]]]):
+        self.length = m = length
         self.block = b = min(2, m)
         self.shift: dict[tuple[bytes, ...], int] = {}
-        self.buckets: dict[tuple[bytes, ...], dict[tuple[bytes, ...], list]] = {}
-        for pattern, items in patterns.items():
+        self.buckets: dict[tuple[bytes, ...], list[tuple[list[bytes], int, tuple[str, ...]]]] = {}
+        shared: dict[tuple[str, ...], tuple[str, ...]] = {}
+        for pattern, (words, at, items) in patterns.items():
             for end in range(b, m + 1):
                 block = pattern[end - b : end]
                 self.shift[block] = min(self.shift.get(block, m - b + 1), m - end)
-            self.buckets.setdefault(pattern[m - b :], {}).setdefault(pattern[:b], []).append((list(pattern), items))
+            owners = tuple(sorted(items))
+            self.buckets.setdefault(pattern[m - b :], []).append((words, at, shared.setdefault(owners, owners)))
 
-    def find(self, words: list[bytes]) -> Iterator[tuple[int, set[str]]]:
+    def find(self, words: list[bytes]) -> Iterator[tuple[int, tuple[str, ...]]]:
         m, b = self.length, self.block
         skip, far, buckets, n = self.shift.get, m - b + 1, self.buckets, len(words)
         at = m
@@ -63,25 +68,26 @@ class WuManber:
                 at += step
                 continue
             start = at - m
-            for pattern, items in buckets[block].get(tuple(words[start : start + b]), ()):
-                if words[start:at] == pattern:
+            for own, first, items in buckets[block]:
+                if own[first] == words[start] and own[first : first + m] == words[start:at]:
                     yield start, items
             at += 1
 
 
 def compile_patterns(items: list[tuple[str | None, bytes | None]], window: int) -> list[WuManber]:
     """One search per pattern length; ``items`` holds (id as string, text)."""
-    by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(dict)
+    by_length: dict[int, dict[tuple[bytes, ...], tuple[list[bytes], int, set[str]]]] = defaultdict(dict)
+    known: dict[bytes, bytes] = {}
     for item, text in items:
-        words = words_of(text)
+        words = [known.setdefault(w, w) for w in words_of(text)]
         if not words:
             continue
         size = min(window, len(words))
         for at in range(len(words) - size + 1):
-            found = by_length[size].setdefault(tuple(words[at : at + size]), set())
+            found = by_length[size].setdefault(tuple(words[at : at + size]), (words, at, set()))
             if item is not None:
-                found.add(item)
-    return [WuManber(p) for p in by_length.values()]
+                found[2].add(item)
+    return [WuManber(size, p) for size, p in by_length.items()]
 
 
 def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -102,18 +108,23 @@ def search(searches: list[WuManber], text: bytes | None) -> tuple[int, list[tupl
     for s in searches:
         for start, found in s.find(words):
             spans.append((start, start + s.length))
-            items |= found
+            items.update(found)
     return len(words), covered(spans), items
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, max_block_words: int):
     """(blocks, broadcast of one block's pattern tables), block by block; a block's items fit the driver by the bound on its words."""
-    size = F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"))
-    total = benchmark.agg(F.sum(size.cast("long"))).first()[0] or 0
+    words = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), lambda w: w != "")
+    parts = benchmark.select(F.col(item_col).cast("string").alias("item"), words.alias("w"))
+    # parts share a window less one word; an item within the bound is one part
+    step = max(1, max_block_words - window + 1)
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.size("w") - window + 1) / step).cast("int") - 1, F.lit(0)))
+    parts = parts.select("item", F.explode(F.transform(starts, lambda k: F.slice("w", k * step + 1, step + window - 1))).alias("w"))
+    total = parts.agg(F.sum(F.size("w").cast("long"))).first()[0] or 0
     n = max(1, -(-total // max_block_words))
     for k in range(n):
-        rows = benchmark.filter(F.pmod(F.xxhash64(item_col, text_col), F.lit(n)) == k)
-        items = [(r[0], None if r[1] is None else r[1].encode()) for r in rows.select(F.col(item_col).cast("string"), text_col).toLocalIterator()]
+        rows = parts.filter(F.pmod(F.xxhash64("item", "w"), F.lit(n)) == k).select("item", F.array_join("w", " "))
+        items = [(r[0], r[1].encode()) for r in rows.toLocalIterator()]
         yield n, benchmark.sparkSession.sparkContext.broadcast(compile_patterns(items, window))
 
 
@@ -188,13 +199,15 @@ def judge(found: DataFrame, *, min_share: float = 0.05) -> DataFrame:
     """Adds ``n_hit``, ``n_items`` and ``contaminated`` (hit words make up ``min_share`` of all, and there is one)."""
     n_hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)")
     out = found.withColumns({"n_hit": n_hit, "n_items": F.size("items").cast("long")})
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * round(1 / min_share) >= F.col("n_words")))
+    # in decimals, so that a share at the very limit counts
+    share = F.lit(Decimal(str(min_share))) * F.col("n_words").cast("decimal(20,0)")
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= share))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_share: float = 0.05, **options) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated."""
+    """The rows of ``docs`` that aren't contaminated; their columns may have any names."""
     found = judge(find_passages(docs, benchmark, id_col=id_col, text_col=text_col, **options), min_share=min_share)
     # few documents are contaminated beside all; rows with equal id and text are judged alike
-    bad = found.filter("contaminated").select(F.col(id_col).alias("__id"), F.col("__part").alias("__p")).distinct()
-    bad = materialize(bad, "contaminated")
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__id")) & (F.hash(docs[text_col]) == F.col("__p")), "left_anti")
+    bad = materialize(found.filter("contaminated").select(F.col(id_col).alias("id"), F.col("__part").alias("part")).distinct(), "contaminated")
+    match = F.col(f"row.`{id_col}`").eqNullSafe(F.col("id")) & (F.hash(F.col(f"row.`{text_col}`")) == F.col("part"))
+    return docs.select(F.struct("*").alias("row")).join(bad, match, "left_anti").select("row.*")
