@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Tissue density (kg/m3), speed of sound (m/s), attenuation (Np/m/MHz^b), heat capacity (J/kg/K).
-RHO, SOUND, ALPHA0, ALPHA_B, HEAT = 1046.0, 1546.3, 6.8, 1.3, 3630.0
+RHO, SOUND, ALPHA0, ALPHA_B, HEAT = 1046.0, 1546.3, 6.8032, 1.3, 3630.0
 
 
 def intensity(pressure: Column, rho: float = RHO, c: float = SOUND) -> Column:
@@ -41,12 +41,13 @@ def attenuation(megahertz: Column, alpha0: float = ALPHA0, b: float = ALPHA_B) -
 
 
 def radiation_force(megahertz: Column, intensity: Column, c: float = SOUND) -> Column:
-    return 2 * attenuation(megahertz) * intensity / c
+    """N/m3 of an intensity in W/cm2."""
+    return 2 * attenuation(megahertz) * intensity * 1e4 / c
 
 
 def heat_rate(megahertz: Column, intensity: Column, rho: float = RHO, heat: float = HEAT) -> Column:
-    """K/s."""
-    return 2 * attenuation(megahertz) * intensity / (rho * heat)
+    """K/s of an intensity in W/cm2."""
+    return 2 * attenuation(megahertz) * intensity * 1e4 / (rho * heat)
 
 
 def temperature_rise(megahertz: Column, intensity: Column, seconds: Column) -> Column:
@@ -87,8 +88,8 @@ def sigmoid_root(y: Column, x0: float, sigma: float) -> Column:
 
 
 def sigmoid_decay(x: Column, x0: float = 0, k: float = 1, r: float = 0.2, a: float = 1, y0: float = 0) -> Column:
-    """A rise of rate ``k`` under a fall of rate ``r * k``."""
-    return a * (1 / (1 + F.exp(-k * (x - x0)))) * F.exp(-r * k * F.greatest(x - x0, F.lit(0.0))) + y0
+    """A rise of rate ``k`` under a fall of rate ``r``, both about ``x0``."""
+    return a / (1 + F.exp(-k * (x - x0))) * F.exp(-r * (x - x0)) + y0
 
 
 def threshold_linear(x: Column, x0: float = 1, a: float = 1, sigma: float = 0, y0: float = 0) -> Column:
@@ -114,6 +115,33 @@ def transient(t: Column, a: float, rise: float, decay: float, c: float) -> Colum
     return a * (F.exp(-t / decay) - F.exp(-t / rise)) + c
 
 
+def dose_metric(megapascal: Column, duty_cycle: Column, name: str) -> Column:
+    """A measure of a pressure in MPa and a duty cycle in percent: ``p``, ``p_average`` and ``p_rms`` in MPa, ``dc`` as a share,
+    ``isppa``, ``ispta`` and ``i_rms`` in W/cm2."""
+    share = duty_cycle / 100
+    known = {
+        "p": lambda: megapascal, "dc": lambda: share, "p_average": lambda: megapascal * share, "p_rms": lambda: megapascal * F.sqrt(share / 2),
+        "isppa": lambda: pulse_average_intensity(megapascal), "ispta": lambda: time_average_intensity(megapascal, duty_cycle),
+        "i_rms": lambda: pulse_average_intensity(megapascal) * F.sqrt(3 * share) / 2,
+    }
+    if name not in known:
+        raise ValueError(f"no dose metric {name}")
+    return known[name]()
+
+
+def linear_origin(x: Column, a: float = 1) -> Column:
+    return a * x
+
+
+def mesh_edges(values: Column, scale: str = "lin") -> Column:
+    """One more edge than values, evenly spaced from half a first step before the first to half a step past the last; ``log``: in logarithms."""
+    v = F.transform(values, lambda x: F.log10(x)) if scale == "log" else values
+    n, half = F.size(v), (F.get(v, 1) - F.get(v, 0)) / 2
+    first, last = F.get(v, 0) - half, F.element_at(v, -1) + half
+    edges = F.transform(F.sequence(F.lit(0), n), lambda i: first + (last - first) * i / n)
+    return F.transform(edges, lambda x: F.pow(F.lit(10.0), x)) if scale == "log" else edges
+
+
 def round_to_base(x: Column, precision: int = 1, base: float = 0.5) -> Column:
     """To the nearest multiple of ``base``, halves to even."""
     return F.bround(base * F.rint(x / base), precision)

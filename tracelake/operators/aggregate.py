@@ -52,18 +52,25 @@ def weighted_average(df: DataFrame, keys: list[str], value: str, weight: str) ->
 def across_datasets(df: DataFrame, x: list[str], value: str, *, dataset: str = "dataset", unit: str = "roi", error: str = "intra", weighted: bool = True) -> DataFrame:
     """(x, mean, sem, n_datasets): dataset means averaged with unit-count weights.
 
-    ``error``: ``intra`` propagates the datasets' own standard errors by root of weighted squares,
-    ``inter`` is the standard error of their means.
+    ``error``: ``intra`` is the root of the weighted mean of the datasets' squared standard
+    errors, ``inter`` the standard error of their means. ``x`` may hold a hue beside the input.
     """
     each = df.groupBy(*x, dataset).agg(
         F.avg(value).alias("m"), (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("s"), F.count_distinct(unit).alias("units")
     ).withColumn("w", F.col("units") if weighted else F.lit(1))
     mean = F.sum(F.col("m") * F.col("w")) / F.sum("w")
-    intra = F.sqrt(F.sum(F.pow(F.col("w") * F.col("s"), F.lit(2)))) / F.sum("w")
+    intra = F.sqrt(F.sum(F.col("w") * F.col("s") * F.col("s")) / F.sum("w"))
     inter = F.stddev_samp("m") / F.sqrt(F.count("m"))
     return each.groupBy(*x).agg(mean.alias("mean"), (intra if error == "intra" else inter).alias("sem"), F.count("*").alias("n_datasets"))
 
 
+def across_datasets_with_all(df: DataFrame, x: list[str], hue: str, value: str, *, name: str = "all", **options) -> DataFrame:
+    """(x, hue, mean, sem, n_datasets) for each hue, and over all rows under the hue ``name``."""
+    each = across_datasets(df, [*x, hue], value, **options)
+    whole = across_datasets(df, x, value, **options).withColumn(hue, F.lit(name))
+    return each.withColumn(hue, F.col(hue).cast("string")).unionByName(whole)
+
+
 def responder_counts(df: DataFrame, x: list[str], kind: str, kinds: list[str], *, normalize: bool = False) -> DataFrame:
     """One column a response kind: counts, or shares of the group."""
     out = df.groupBy(*x).agg(*[F.count_if(F.col(kind) == k).alias(k) for k in kinds], F.count(kind).alias("total"))

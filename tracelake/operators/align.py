@@ -76,7 +76,7 @@ def pairwise(df: DataFrame, index: list[str], category: str, value: str, metric)
 
 
 def nearest(df: DataFrame, wanted: list[float], keys: list[str], x: str) -> DataFrame:
-    """(keys, wanted, x): the element next to each wanted value, the smaller of two."""
-    return df.withColumn("wanted", F.explode(F.array(*[F.lit(float(w)) for w in wanted]))).groupBy(*keys, "wanted").agg(
+    """(keys, wanted, x): the element next to each wanted value, the smaller of two; nulls are left out."""
+    return df.filter(F.col(x).isNotNull()).withColumn("wanted", F.explode(F.array(*[F.lit(float(w)) for w in wanted]))).groupBy(*keys, "wanted").agg(
         F.min(F.struct(F.abs(F.col(x) - F.col("wanted")).alias("d"), F.col(x).alias("x"))).alias("__b")
     ).select(*keys, "wanted", F.col("__b.x").alias(x))

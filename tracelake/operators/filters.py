@@ -74,7 +74,8 @@ def quantile_slice(df: DataFrame, value: str, q_min: float, q_max: float, by: li
 
 
 def closest_to_median(df: DataFrame, value: str, key: str, by: list[str]) -> DataFrame:
-    """Each group's key with the value next to the median, the smallest of several."""
+    """Each group's key with the value next to the median, the smallest of several; nulls are left out."""
+    df = df.filter(F.col(value).isNotNull())
     median = df.groupBy(*by).agg(F.median(value).alias("__median"))
     return df.join(median, by).groupBy(*by).agg(F.min(F.struct(F.abs(F.col(value) - F.col("__median")).alias("d"), F.col(key).alias("k"))).alias("__best")).select(
         *by, F.col("__best.k").alias(key)

@@ -61,8 +61,15 @@ def out_of_range(df: DataFrame, low: float, high: float, *, stack: str = "stack"
 
 
 def skew_to_quantile(skew: Column, *, z: float = 2, q0: float = 0.01, q_inf: float = 0.99, sigma: float = 1) -> Column:
-    """A quantile that falls from ``q_inf`` to ``q0`` as the skewness passes ``z``."""
-    return q0 + (q_inf - q0) / (1 + F.exp((skew - z) / sigma))
+    """The largest quantile of pixels to use: it rises from ``q0`` to ``q_inf`` as the skewness passes ``z``."""
+    return q0 + (q_inf - q0) / (1 + F.exp(-(skew - z) / sigma))
+
+
+def adaptive_mask(reference: DataFrame, q_min: float, *, stack: str = "stack", **shape) -> DataFrame:
+    """Pixels of the reference between ``q_min`` and the quantile that its own skewness gives."""
+    skews = reference.groupBy(stack).agg(F.skewness("ref").alias("__skew"))
+    ranked = reference.withColumn("__r", F.percent_rank().over(W.partitionBy(stack).orderBy("ref")))
+    return ranked.join(skews, stack).filter((F.col("__r") >= q_min) & (F.col("__r") <= skew_to_quantile(F.col("__skew"), **shape))).drop("__r", "__skew")
 
 
 def align_files(df: DataFrame, *, file: str = "file", value: str = "v") -> DataFrame:

@@ -1,6 +1,9 @@
 """Per-trace numeric kernels over Arrow batches: spectra, filters, surrogates, robust fits.
 
 A trace is bounded by the length of a recording, and traces are independent of each other.
+Null and not-a-number samples are left out of their trace; a trace without samples gives no
+rows, and one shorter than a kernel's segment is one segment. Results keep the frames of
+the samples they belong to.
 """
 
 from __future__ import annotations
@@ -15,17 +18,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def per_trace(df: DataFrame, keys: list[str], value: str, kernel: Callable[[np.ndarray], dict[str, np.ndarray]], columns: dict[str, str], *, frame: str = "frame") -> DataFrame:
-    """Rows of ``kernel`` for each trace: it gets the values in frame order and gives equally long columns.
+def per_trace(df: DataFrame, keys: list[str], value: str, kernel: Callable, columns: dict[str, str], *, frame: str = "frame", batched: bool = False) -> DataFrame:
+    """Rows of ``kernel`` for each trace: it gets the values and their frames in frame order and gives equally long columns.
 
     Traces are gathered into arrays first, so that one Arrow batch holds many of them and
-    none pays for a group of its own.
+    none pays for a group of its own. A ``batched`` kernel gets the lists of a batch's traces.
     """
     kinds = dict(df.dtypes)
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{c}` {t}" for c, t in columns.items()])
-    types = {"int": pa.int32(), "double": pa.float64()}
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(frame), F.col(value).cast("double").alias("__x"))))
-    rows = df.groupBy(*keys).agg(F.transform(ordered, lambda s: s["__x"]).alias("__v"))
+    types = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
+    known = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(frame).alias("f"), F.col(value).cast("double").alias("x"))))
+    rows = known.groupBy(*keys).agg(ordered.alias("__s")).select(*keys, F.transform("__s", lambda s: s["x"]).alias("__v"), F.transform("__s", lambda s: s["f"]).alias("__f"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -33,7 +37,9 @@ def per_trace(df: DataFrame, keys: list[str], value: str, kernel: Callable[[np.n
                 continue
             found = batch.column(len(keys))
             flat, ends = found.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False))
-            outs = [kernel(y) for y in np.split(flat, ends[:-1])]
+            frames = batch.column(len(keys) + 1).flatten().to_numpy(zero_copy_only=False)
+            parts = np.split(flat, ends[:-1]), np.split(frames, ends[:-1])
+            outs = kernel(*parts) if batched else [kernel(y, f) for y, f in zip(*parts, strict=True)]
             index = pa.array(np.repeat(np.arange(len(outs)), [len(next(iter(o.values()))) for o in outs]))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k).take(index) for k in range(len(keys))), *(pa.array(np.concatenate([o[c] for o in outs]), types[t]) for c, t in columns.items())],
@@ -46,7 +52,7 @@ def per_trace(df: DataFrame, keys: list[str], value: str, kernel: Callable[[np.n
 def power_spectrum(df: DataFrame, keys: list[str], value: str, rate: float, **names) -> DataFrame:
     """(keys, freq, power): one-sided density of each trace about its mean."""
 
-    def kernel(y: np.ndarray) -> dict[str, np.ndarray]:
+    def kernel(y: np.ndarray, _: np.ndarray) -> dict[str, np.ndarray]:
         n = len(y)
         p = np.abs(np.fft.rfft(y - y.mean())) ** 2 / (rate * n)
         p[1 : (n + 1) // 2] *= 2
@@ -57,14 +63,14 @@ def power_spectrum(df: DataFrame, keys: list[str], value: str, rate: float, **na
 
 def welch_spectrum(df: DataFrame, keys: list[str], value: str, rate: float, segment: int, **names) -> DataFrame:
     """Mean density of half-overlapping Hann segments."""
-    window = np.hanning(segment + 1)[:-1]
 
-    def kernel(y: np.ndarray) -> dict[str, np.ndarray]:
-        starts = range(0, len(y) - segment + 1, segment // 2)
-        parts = np.array([y[s : s + segment] for s in starts])
+    def kernel(y: np.ndarray, _: np.ndarray) -> dict[str, np.ndarray]:
+        size = min(segment, len(y))
+        window = np.hanning(size + 1)[:-1] if size > 1 else np.ones(1)
+        parts = np.array([y[s : s + size] for s in range(0, len(y) - size + 1, max(1, size // 2))])
         p = np.abs(np.fft.rfft((parts - parts.mean(1, keepdims=True)) * window, axis=1)) ** 2 / (rate * (window**2).sum())
-        p[:, 1 : (segment + 1) // 2] *= 2
-        return {"freq": np.fft.rfftfreq(segment, 1 / rate), "power": p.mean(0)}
+        p[:, 1 : (size + 1) // 2] *= 2
+        return {"freq": np.fft.rfftfreq(size, 1 / rate), "power": p.mean(0)}
 
     return per_trace(df, keys, value, kernel, {"freq": "double", "power": "double"}, **names)
 
@@ -83,17 +89,41 @@ def analytic(y: np.ndarray) -> np.ndarray:
 def hilbert(df: DataFrame, keys: list[str], value: str, **names) -> DataFrame:
     """(keys, frame, envelope, phase)."""
 
-    def kernel(y: np.ndarray) -> dict[str, np.ndarray]:
+    frame = names.get("frame", "frame")
+
+    def kernel(y: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
         z = analytic(y)
-        return {"frame": np.arange(len(y)), "envelope": np.abs(z), "phase": np.angle(z)}
+        return {frame: at, "envelope": np.abs(z), "phase": np.angle(z)}
+
+    return per_trace(df, keys, value, kernel, {frame: dict(df.dtypes)[frame], "envelope": "double", "phase": "double"}, **names)
 
-    return per_trace(df, keys, value, kernel, {"frame": "int", "envelope": "double", "phase": "double"}, **names)
 
+def butterworth(order: int, cut: float | tuple[float, float], rate: float, kind: str) -> list[np.ndarray]:
+    """Second-order sections (b0 b1 b2 a1 a2) by the bilinear transform.
 
-def butterworth(order: int, cut: float, rate: float, kind: str) -> list[np.ndarray]:
-    """Second-order sections (b0 b1 b2 a1 a2) of a low- or high-pass of even order, by the bilinear transform."""
+    ``low`` and ``high`` take one cut-off and an even order; ``band`` and ``stop`` take two
+    cut-offs, and each pole of the low-pass prototype becomes a section.
+    """
+    if kind in ("band", "stop"):
+        low, high = (np.tan(np.pi * c / rate) for c in cut)
+        width, centre = high - low, low * high
+        poles = np.exp(1j * np.pi * (2 * np.arange(order) + order + 1) / (2 * order))
+        half = width * poles / 2 if kind == "band" else width / poles / 2
+        turn = np.sqrt(half * half - centre + 0j)
+        analog = np.concatenate([half + turn, half - turn])
+        digital = (1 + analog) / (1 - analog)
+        real, paired = digital[np.abs(digital.imag) < 1e-12].real, digital[digital.imag >= 1e-12]
+        sets = [(-2 * z.real, abs(z) ** 2) for z in paired] + [(-(a + b), a * b) for a, b in np.sort(real).reshape(-1, 2)]
+        mid = 2 * np.arctan(np.sqrt(centre))  # where a band passes whole; a stop passes whole at zero
+        b = np.array([1.0, 0.0, -1.0]) if kind == "band" else np.array([1.0, -2 * np.cos(mid), 1.0])
+        at = np.exp(-1j * (mid if kind == "band" else 0.0))
+        out = []
+        for a1, a2 in sets:
+            gain = abs((b[0] + b[1] * at + b[2] * at * at) / (1 + a1 * at + a2 * at * at))
+            out.append(np.concatenate([b / gain, [a1, a2]]))
+        return out
     if order % 2 or kind not in ("low", "high"):
-        raise ValueError("an even order, and low or high")
+        raise ValueError("low and high need an even order; the other kinds are band and stop")
     k = np.tan(np.pi * cut / rate)
     out = []
     for i in range(order // 2):
@@ -105,8 +135,12 @@ def butterworth(order: int, cut: float, rate: float, kind: str) -> list[np.ndarr
 
 
 def filtered(sections: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Forward and backward through the sections, with odd extension at both ends: zero phase."""
-    pad = min(len(y) - 1, 3 * (2 * len(sections) + 1))
+    """Forward and backward through the sections, with odd extension at both ends: zero phase.
+
+    ``y`` may hold several equally long traces as columns; time is stepped once for all.
+    """
+    n = len(y)
+    pad = min(n - 1, 3 * (2 * len(sections) + 1))
     x = np.concatenate([2 * y[0] - y[pad:0:-1], y, 2 * y[-1] - y[-2 : -pad - 2 : -1]]) if pad > 0 else y
     for _ in range(2):
         for b0, b1, b2, a1, a2 in sections:
@@ -121,13 +155,24 @@ def filtered(sections: list[np.ndarray], y: np.ndarray) -> np.ndarray:
                 out[i] = w
             x = out
         x = x[::-1]
-    return x[pad : pad + len(y)] if pad > 0 else x
+    return x[pad : pad + n] if pad > 0 else x
 
 
-def zero_phase_filter(df: DataFrame, keys: list[str], value: str, rate: float, cut: float, *, order: int = 2, kind: str = "low", **names) -> DataFrame:
-    """(keys, frame, value)."""
+def zero_phase_filter(df: DataFrame, keys: list[str], value: str, rate: float, cut: float | tuple[float, float], *, order: int = 2, kind: str = "low", frame: str = "frame") -> DataFrame:
+    """(keys, frame, value): ``low``, ``high``, ``band`` or ``stop``."""
     sections = butterworth(order, cut, rate, kind)
-    return per_trace(df, keys, value, lambda y: {"frame": np.arange(len(y)), value: filtered(sections, y)}, {"frame": "int", value: "double"}, **names)
+
+    def many(traces: list[np.ndarray], frames: list[np.ndarray]) -> list[dict[str, np.ndarray]]:
+        out: list[dict[str, np.ndarray]] = [{} for _ in traces]
+        sizes = np.array([len(y) for y in traces])
+        for n in np.unique(sizes):
+            same = np.flatnonzero(sizes == n)
+            columns = filtered(sections, np.stack([traces[i] for i in same], 1))
+            for k, i in enumerate(same):
+                out[i] = {frame: frames[i], value: columns[:, k]}
+        return out
+
+    return per_trace(df, keys, value, many, {frame: dict(df.dtypes)[frame], value: "double"}, frame=frame, batched=True)
 
 
 def _seed(y: np.ndarray, seed: int) -> np.random.Generator:
@@ -152,6 +197,12 @@ def rank_ordered(y: np.ndarray, like: np.ndarray) -> np.ndarray:
     return out
 
 
+def gauss_adjusted(y: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A surrogate with the same values: normal noise in the order of ``y`` is phase randomised, and ``y`` takes its order."""
+    noise = rank_ordered(rng.standard_normal(len(y)), y)
+    return rank_ordered(y, phase_randomised(noise, rng))
+
+
 def amplitude_adjusted(y: np.ndarray, rng: np.random.Generator, iterations: int) -> np.ndarray:
     """A surrogate with the same values and nearly the same spectrum."""
     size, x = np.abs(np.fft.rfft(y)), rng.permutation(y)
@@ -165,13 +216,18 @@ def amplitude_adjusted(y: np.ndarray, rng: np.random.Generator, iterations: int)
 
 
 def surrogates(df: DataFrame, keys: list[str], value: str, *, method: str = "phase", seed: int = 0, iterations: int = 100, **names) -> DataFrame:
-    """(keys, frame, value): ``phase`` or ``amplitude`` surrogates."""
+    """(keys, frame, value): surrogates of random ``phase``, of amplitudes adjusted through a ``gauss`` series, or of iterated ``amplitude``."""
+
+    frame = names.get("frame", "frame")
+    made = {
+        "phase": phase_randomised, "gauss": gauss_adjusted,
+        "amplitude": lambda y, rng: amplitude_adjusted(y, rng, iterations),
+    }[method]
 
-    def kernel(y: np.ndarray) -> dict[str, np.ndarray]:
-        rng = _seed(y, seed)
-        return {"frame": np.arange(len(y)), value: phase_randomised(y, rng) if method == "phase" else amplitude_adjusted(y, rng, iterations)}
+    def kernel(y: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+        return {frame: at, value: made(y, _seed(y, seed))}
 
-    return per_trace(df, keys, value, kernel, {"frame": "int", value: "double"}, **names)
+    return per_trace(df, keys, value, kernel, {frame: dict(df.dtypes)[frame], value: "double"}, **names)
 
 
 def huber(x: np.ndarray, y: np.ndarray, *, k: float = 1.345, rounds: int = 50) -> tuple[float, float]:
@@ -192,8 +248,8 @@ def huber(x: np.ndarray, y: np.ndarray, *, k: float = 1.345, rounds: int = 50) -
 def robust_trend(df: DataFrame, keys: list[str], value: str, **names) -> DataFrame:
     """(keys, slope, intercept) of each trace against its frame number."""
 
-    def kernel(y: np.ndarray) -> dict[str, np.ndarray]:
-        slope, intercept = huber(np.arange(len(y), dtype=float), y)
+    def kernel(y: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+        slope, intercept = huber(at.astype(float), y)
         return {"slope": np.array([slope]), "intercept": np.array([intercept])}
 
     return per_trace(df, keys, value, kernel, {"slope": "double", "intercept": "double"}, **names)
@@ -238,6 +294,11 @@ CURVES: dict[str, tuple[Callable, Callable]] = {
         lambda x, p: p[0] + p[1] * np.exp(-((x - p[2]) ** 2) / (2 * p[3] ** 2 + 1e-12)),
         lambda x, y: [y.min(), np.ptp(y), x[np.argmax(y)], (np.ptp(x) or 1) / 6],
     ),
+    "parabola": (lambda x, p: p[0] * (x - p[1]) * (x - p[2]), lambda x, y: [1.0, x.min(), x.max()]),
+    "saturation": (lambda x, p: p[1] + p[0] * (1 - np.exp(-np.maximum(x, 0) / (abs(p[2]) + 1e-12))), lambda x, y: [np.ptp(y), y.min(), (np.ptp(x) or 1) / 3]),
+    "threshold": (lambda x, p: p[1] + p[0] * np.maximum(x - p[2], 0), lambda x, y: [np.ptp(y) / (np.ptp(x) or 1), y.min(), x.min()]),
+    "root": (lambda x, p: p[1] + p[0] * np.sqrt(np.maximum(x - p[2], 0)), lambda x, y: [np.ptp(y), y.min(), x.min()]),
+    "decay": (lambda x, p: p[1] + p[0] * np.exp(-x / (abs(p[2]) + 1e-12)), lambda x, y: [np.ptp(y), y.min(), (np.ptp(x) or 1) / 3]),
 }
 
 

@@ -103,7 +103,8 @@ def codistribution(df: DataFrame, unit: list[str], split: list[str], x: str, y:
 def fit_band(points: DataFrame, x: str, slope: float, intercept: float, sd_slope: float, sd_intercept: float, draws: int, seed: int, level: float = 0.95) -> DataFrame:
     """(x, low, high): the spread of a line whose parameters are drawn from independent normals; draws depend on the seed and their number only."""
     def normal(k: int) -> Column:
-        u = [(F.pmod(F.xxhash64(F.lit(seed), F.lit(2 * k + i), F.col("draw")), F.lit(1 << 30)) + 0.5) / float(1 << 30) for i in range(2)]
+        number = lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit(2 * k + i), "draw")), 1, 7), 16, 10).cast("long")
+        u = [(number(i) + 0.5) / float(1 << 28) for i in range(2)]
         return F.sqrt(-2 * F.log(u[0])) * F.cos(2 * math.pi * u[1])
     wide = points.select(x).distinct().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     y = (slope + sd_slope * normal(0)) * F.col(x) + intercept + sd_intercept * normal(1)
@@ -125,10 +126,14 @@ def status_by_first_date(df: DataFrame, subject: str, date: str) -> DataFrame:
 
 
 def extrapolate(df: DataFrame, keys: list[str], value: str, frames: list[int], *, frame: str = "frame", order: int = 1) -> DataFrame:
-    """Replace the given frames by the frame before (order 0) or the line through the two before (order 1), never below zero."""
+    """Replace the given frames by the polynomial of ``order`` (0 to 3) through the frames before, never below zero.
+
+    Where there are too few frames before, the highest order that they allow is taken.
+    """
     run = W.partitionBy(*keys).orderBy(frame)
-    one, two = F.lag(value, 1).over(run), F.lag(value, 2).over(run)
-    guess = one if order == 0 else 2 * one - F.coalesce(two, one)
+    before = [F.lag(value, k).over(run) for k in range(1, order + 2)]
+    weights = [[(-1) ** k * math.comb(n + 1, k + 1) for k in range(n + 1)] for n in range(order, -1, -1)]
+    guess = F.coalesce(*[sum(w * b for w, b in zip(row, before, strict=False)) for row in weights])
     return df.withColumn(value, F.when(F.col(frame).isin(*frames) & guess.isNotNull(), F.greatest(guess, F.lit(0.0))).otherwise(F.col(value)))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,10 +17,8 @@ def _mirrored(df: DataFrame, keys: list[str], value: str, half: int, frame: str,
 
 
 def rolling(df: DataFrame, keys: list[str], value: str, width: int, agg, length: int, *, frame: str = "frame", out: str | None = None) -> DataFrame:
-    """``agg`` over a centred window of odd ``width`` with symmetric borders; frames run from 0 to ``length`` - 1."""
-    if width % 2 == 0:
-        raise ValueError("the window needs an odd width")
-    half = width // 2
+    """``agg`` over a centred window with symmetric borders; an even ``width`` counts as one less; frames run from 0 to ``length`` - 1."""
+    half = (width - 1) // 2
     run = W.partitionBy(*keys).orderBy(frame).rowsBetween(-half, half)
     wide = _mirrored(df, keys, value, half, frame, length).withColumn("__out", agg(F.col(value)).over(run))
     return wide.filter(F.col(frame).between(0, length - 1)).select(*keys, frame, *([value] if out and out != value else []), F.col("__out").alias(out or value))
@@ -53,11 +52,20 @@ def velocity(df: DataFrame, keys: list[str], x: str, y: str, rate: float, scale:
 
 
 def cross_correlation(a: DataFrame, b: DataFrame, keys: list[str], value: str, max_lag: int, *, frame: str = "frame") -> DataFrame:
-    """(keys, lag, corr): mean product of ``a`` at a frame and ``b`` lag frames later."""
-    left = a.select(*keys, F.col(frame).alias("__i"), F.col(value).alias("__x")).withColumn("lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))))
-    right = b.select(*keys, F.col(frame).alias("__j"), F.col(value).alias("__y"))
-    joined = left.withColumn("__j", F.col("__i") + F.col("lag")).join(right, [*keys, "__j"])
-    return joined.groupBy(*keys, "lag").agg(F.avg(F.col("__x") * F.col("__y")).alias("corr"))
+    """(keys, lag, corr): products of ``a`` at a frame and ``b`` ``lag`` frames before, summed and divided by the length of ``a``.
+
+    A positive lag says that ``a`` comes after ``b``. Null values count as zeros. Each pair
+    of traces is gathered once, and all lags are taken from the two arrays.
+    """
+    def gathered(df: DataFrame, name: str) -> DataFrame:
+        ordered = F.array_sort(F.collect_list(F.struct(F.col(frame).alias("f"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v"))))
+        return df.groupBy(*keys).agg(ordered.alias(name))
+
+    both = gathered(a, "__a").join(gathered(b, "__b"), keys)
+    at = F.map_from_entries("__b")
+    wide = both.select(*keys, "__a", at.alias("__at"), F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag"))
+    total = F.aggregate("__a", F.lit(0.0), lambda s, e: s + e["v"] * F.coalesce(F.element_at("__at", (e["f"] - F.col("lag")).cast(dict(b.dtypes)[frame])), F.lit(0.0)))
+    return wide.select(*keys, "lag", (total / F.size("__a")).alias("corr"))
 
 
 def best_lag(correlations: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,7 +79,7 @@ def cyclic_shift(df: DataFrame, keys: list[str], n: int, length: int, *, frame:
 
 def seeded_shuffle(df: DataFrame, keys: list[str], value: str, seed: int, *, frame: str = "frame") -> DataFrame:
     """A permutation of each trace's values that only depends on the keys and the seed."""
-    dealt = df.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), *keys, frame), frame)))
+    dealt = df.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(F.md5(F.concat_ws("|", F.lit(seed), *keys, frame)), frame)))
     places = df.select(*keys, frame).withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(frame)))
     return places.join(dealt.select(*keys, "__r", value), [*keys, "__r"]).select(*keys, frame, value)
 
@@ -92,15 +100,18 @@ def substitute(df: DataFrame, keys: list[str], value: str, moves: dict[int, int]
     return wanted.join(given, [*keys, "__source"], "left").withColumn(value, F.col("__value")).drop("__value", "__source")
 
 
-def denoise(values: Column, gain: float) -> Column:
-    """Recursive denoiser over an array: x <- G x + (1 - G) y + (y - x) / (t + 1) from the second sample on."""
-    start = F.struct(F.lit(0).alias("t"), F.lit(0.0).alias("x"), F.array().cast("array<double>").alias("out"))
+def denoise(df: DataFrame, keys: list[str], value: str, gain: float, *, frame: str = "frame") -> DataFrame:
+    """(keys, frame, value): recursive denoiser, x <- G x + (1 - G) y + (y - x) / (t + 1) from the second sample on."""
+    from tracelake.operators.kernels import per_trace
 
-    def step(s: Column, y: Column) -> Column:
-        x = F.when(s["t"] == 0, y).otherwise(gain * s["x"] + (1 - gain) * y + (y - s["x"]) / (s["t"] + 1))
-        return F.struct((s["t"] + 1).alias("t"), x.alias("x"), F.concat(s["out"], F.array(x)).alias("out"))
+    def kernel(y: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+        out, x = np.empty(len(y)), 0.0
+        for t, v in enumerate(y.tolist()):
+            x = v if t == 0 else gain * x + (1 - gain) * v + (v - x) / (t + 1)
+            out[t] = x
+        return {frame: at, value: out}
 
-    return F.aggregate(values, start, step, lambda s: s["out"])
+    return per_trace(df, keys, value, kernel, {frame: dict(df.dtypes)[frame], value: "double"}, frame=frame)
 
 
 def peaks(df: DataFrame, keys: list[str], value: str, *, frame: str = "frame") -> DataFrame:

@@ -31,7 +31,8 @@ def r_to_t(r: Column, n: Column) -> Column:
 
 
 def t_to_r(t: Column, n: Column) -> Column:
-    return t / F.sqrt(n - 2 + t * t)
+    """The size of the correlation that has the score ``t``."""
+    return F.abs(t) / F.sqrt(n - 2 + t * t)
 
 
 def p_per_sample(p: Column, n: Column) -> Column:
@@ -50,39 +51,71 @@ def response_kind(z: Column, threshold: float, *, directional: bool = False) ->
     return F.when(z > threshold, "positive").when(z < -threshold, "negative").otherwise("weak")
 
 
-def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction (modified Lentz)."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - betainc(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    tiny, f, c, d = 1e-300, 1.0, 1.0, 0.0
+_log_gamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def betainc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta function by its continued fraction (modified Lentz), for whole arrays."""
+    a, b, x = (np.atleast_1d(np.asarray(v, float)) for v in np.broadcast_arrays(a, b, x))
+    turn = x > (a + 1) / (a + b + 2)
+    p, q, y = np.where(turn, b, a), np.where(turn, a, b), np.clip(np.where(turn, 1 - x, x), 1e-300, 1)
+    with np.errstate(divide="ignore"):
+        front = np.exp(_log_gamma(p + q) - _log_gamma(p) - _log_gamma(q) + p * np.log(y) + q * np.log1p(-np.minimum(y, 1 - 1e-16))) / p
+    f, c, d = np.ones_like(y), np.ones_like(y), np.zeros_like(y)
     for i in range(400):
         m = i // 2
         if i == 0:
-            step = 1.0
+            step = np.ones_like(y)
         elif i % 2 == 0:
-            step = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+            step = m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m))
         else:
-            step = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1 / ((1 + step * d) or tiny)
-        c = (1 + step / c) or tiny
-        f *= c * d
-        if abs(c * d - 1) < 1e-14:
+            step = -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))
+        d, c = 1 + step * d, 1 + step / c
+        d, c = 1 / np.where(d == 0, 1e-300, d), np.where(c == 0, 1e-300, c)
+        f = f * c * d
+        if (np.abs(c * d - 1) < 1e-14).all():
             break
-    return front * (f - 1)
+    tail = front * (f - 1)
+    return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, np.where(turn, 1 - tail, tail)))
+
+
+def _where_known(known: np.ndarray, compute) -> pd.Series:
+    """``compute(known)`` where ``known`` holds, null elsewhere."""
+    out = np.full(len(known), np.nan)
+    if known.any():
+        out[known] = compute(known)
+    return pd.Series(out).astype(object).where(known, None).astype("float64")
 
 
 @F.pandas_udf(DoubleType())
 def t_p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
-    """Two-sided p of a t statistic."""
-    return pd.Series([None if not (np.isfinite(a) and b > 0) else betainc(b / 2, 0.5, b / (b + a * a)) for a, b in zip(t.astype(float), dof.astype(float), strict=True)], dtype="float64")
+    """Two-sided p of a t statistic; null without degrees of freedom."""
+    t, n = t.to_numpy(float), dof.to_numpy(float)
+    return _where_known(np.isfinite(t) & (n > 0), lambda k: betainc(n[k] / 2, 0.5, n[k] / (n[k] + t[k] * t[k])))
 
 
 @F.pandas_udf(DoubleType())
 def f_p_value(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    return pd.Series([None if not (np.isfinite(x) and b > 0) else betainc(b / 2, a / 2, b / (b + a * x)) for x, a, b in zip(f.astype(float), d1.astype(float), d2.astype(float), strict=True)], dtype="float64")
+    """Upper tail p of an F statistic."""
+    f, a, b = f.to_numpy(float), d1.to_numpy(float), d2.to_numpy(float)
+    return _where_known(np.isfinite(f) & (b > 0), lambda k: betainc(b[k] / 2, a[k] / 2, b[k] / (b[k] + a[k] * f[k])))
+
+
+@F.pandas_udf(DoubleType())
+def p_t_value(p: pd.Series, dof: pd.Series) -> pd.Series:
+    """The t statistic whose upper tail is ``p``, by bisection of the distribution."""
+    p, n = p.to_numpy(float), dof.to_numpy(float)
+
+    def solve(k: np.ndarray) -> np.ndarray:
+        q = np.minimum(p[k], 1 - p[k])
+        low, high = np.zeros(k.sum()), np.full(k.sum(), 1e6)
+        for _ in range(100):
+            t = (low + high) / 2
+            above = betainc(n[k] / 2, 0.5, n[k] / (n[k] + t * t)) / 2 > q
+            low, high = np.where(above, t, low), np.where(above, high, t)
+        return np.where(p[k] <= 0.5, low, -low)
+
+    return _where_known((p > 0) & (p < 1) & (n > 0), solve)
 
 
 def welch(df: DataFrame, by: list[str], value: str, second: Column) -> DataFrame:
@@ -109,7 +142,7 @@ def anova(df: DataFrame, by: list[str], factor: str, value: str) -> DataFrame:
     total = F.col("ss_between") + F.col("ss_within")
     return s.withColumns({
         "f": F.col("ss_between") / F.col("df_between") / ms, "eta2": F.col("ss_between") / total,
-        "omega2": (F.col("ss_between") - F.col("df_between") * ms) / (total + ms),
+        "omega2": (F.col("ss_between") - F.col("df_between") * ms) / (F.col("ss_between") + F.col("df_between") * ms + ms),
     })
 
 
@@ -122,17 +155,19 @@ def correlation_pairs(df: DataFrame, by: list[str], sample: list[str], unit: str
 
 
 def quantile_bins(df: DataFrame, value: str, n: int, by: list[str]) -> DataFrame:
-    """Adds ``bin`` (0 to n - 1) by right-closed intervals between quantiles of the group."""
+    """Adds ``bin`` (0 to n - 1) by right-closed intervals between quantiles of the group; null for a null."""
     edges = df.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(k / n) for k in range(1, n)])).alias("__e"))
-    return df.join(edges, by).withColumn("bin", F.size(F.filter("__e", lambda e: F.col(value) > e))).drop("__e")
+    place = F.when(F.col(value).isNotNull(), F.size(F.filter("__e", lambda e: F.col(value) > e)))
+    return df.join(edges, by).withColumn("bin", place).drop("__e")
 
 
 def histogram(df: DataFrame, value: str, bins: int, by: list[str]) -> DataFrame:
     """(by, bin, n) over equal bins of the group's range; the last bin is closed."""
-    run = W.partitionBy(*by)
-    low, high = F.min(value).over(run), F.max(value).over(run)
-    place = F.least(F.floor((F.col(value) - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("int")
-    return df.withColumn("bin", place).groupBy(*by, "bin").agg(F.count("*").alias("n"))
+    # two grouped aggregates and a join of one row a group: no group is gathered in a task
+    ends = df.groupBy(*by).agg(F.min(value).alias("__a"), F.max(value).alias("__b"))
+    width = (F.col("__b") - F.col("__a")) / bins
+    place = F.when(width == 0, 0).otherwise(F.least(F.floor((F.col(value) - F.col("__a")) / F.when(width != 0, width)), F.lit(bins - 1))).cast("int")
+    return df.filter(F.col(value).isNotNull()).join(ends, by).withColumn("bin", place).groupBy(*by, "bin").agg(F.count("*").alias("n"))
 
 
 def circular(df: DataFrame, by: list[str], phase: str) -> DataFrame:
@@ -146,9 +181,9 @@ def circular(df: DataFrame, by: list[str], phase: str) -> DataFrame:
 
 def circular_linear(df: DataFrame, by: list[str], phase: str, x: str) -> DataFrame:
     """(by, rho, p): circular-linear correlation."""
-    s = df.withColumns({"__c": F.cos(phase), "__s": F.sin(phase)}).groupBy(*by).agg(
+    s = df.filter(F.col(phase).isNotNull() & F.col(x).isNotNull()).withColumns({"__c": F.cos(phase), "__s": F.sin(phase)}).groupBy(*by).agg(
         F.corr("__s", x).alias("a"), F.corr("__c", x).alias("b"), F.corr("__s", "__c").alias("c"), F.count("*").alias("n")
-    )
+    )  # rows with a null phase or x have no part in it
     a, b, c = F.col("a"), F.col("b"), F.col("c")
     rho = F.sqrt((a * a + b * b - 2 * a * b * c) / (1 - c * c))
     return s.select(*by, rho.alias("rho"), F.exp(-F.col("n") * rho * rho / 2).alias("p"))
@@ -156,6 +191,7 @@ def circular_linear(df: DataFrame, by: list[str], phase: str, x: str) -> DataFra
 
 def circular_circular(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """(by, rho): sum of products of sines about the mean directions over their root sum of squares."""
+    df = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     means = df.groupBy(*by).agg(F.atan2(F.avg(F.sin(a)), F.avg(F.cos(a))).alias("__ma"), F.atan2(F.avg(F.sin(b)), F.avg(F.cos(b))).alias("__mb"))
     d = df.join(means, by).withColumns({"__x": F.sin(F.col(a) - F.col("__ma")), "__y": F.sin(F.col(b) - F.col("__mb"))})
     return d.groupBy(*by).agg((F.sum(F.col("__x") * F.col("__y")) / F.sqrt(F.sum(F.col("__x") * F.col("__x")) * F.sum(F.col("__y") * F.col("__y")))).alias("rho"))
@@ -183,18 +219,35 @@ def fit_quality(df: DataFrame, by: list[str], y: str, predicted: str) -> DataFra
 
 def best_coefficient(df: DataFrame, by: list[str], signal: str, background: str, alphas: list[float]) -> DataFrame:
     """(by, alpha, skew): the coefficient whose corrected signal is most skewed, never negative if any is not."""
-    tried = df.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas]))).withColumn("__c", F.col(signal) - F.col("alpha") * F.col(background))
-    costs = tried.groupBy(*by, "alpha").agg(F.skewness("__c").alias("skew"), F.min("__c").alias("low"))
-    cost = F.when(F.col("low") < 0, F.lit(1e10)).otherwise(-F.col("skew"))
-    return costs.groupBy(*by).agg(F.min(F.struct(cost.alias("cost"), "alpha", "skew")).alias("b")).select(*by, F.col("b.alpha").alias("alpha"), F.col("b.skew").alias("skew"))
+    # the skewness of s - a n for any a follows from moments about the means, so that rows are read once;
+    # only the minimum needs a value for each coefficient, and these are aggregated side by side
+    means = df.groupBy(*by).agg(F.avg(signal).alias("__ms"), F.avg(background).alias("__mn"))
+    s, n = F.col(signal) - F.col("__ms"), F.col(background) - F.col("__mn")
+    powers = {(i, j): F.avg(F.pow(s, F.lit(i)) * F.pow(n, F.lit(j))).alias(f"__m{i}{j}") for i in range(4) for j in range(4) if i + j in (2, 3)}
+    lows = [F.min(F.col(signal) - float(a) * F.col(background)).alias(f"__l{k}") for k, a in enumerate(alphas)]
+    m = df.join(means, by).groupBy(*by).agg(*powers.values(), *lows)
+
+    def trial(k: int, a: float) -> Column:
+        c = lambda i, j: F.col(f"__m{i}{j}")
+        second = c(2, 0) - 2 * a * c(1, 1) + a * a * c(0, 2)
+        third = c(3, 0) - 3 * a * c(2, 1) + 3 * a * a * c(1, 2) - a**3 * c(0, 3)
+        skew = third / F.pow(second, F.lit(1.5))
+        return F.struct(F.when(F.col(f"__l{k}") < 0, F.lit(1e10)).otherwise(-skew).alias("cost"), F.lit(float(a)).alias("alpha"), skew.alias("skew"))
+
+    best = F.array_min(F.array(*[trial(k, float(a)) for k, a in enumerate(alphas)]))
+    return m.withColumn("b", best).select(*by, F.col("b.alpha").alias("alpha"), F.col("b.skew").alias("skew"))
 
 
 def rank_sum(df: DataFrame, by: list[str], value: str, second: Column) -> DataFrame:
-    """(by, u, n1, n2): Mann-Whitney U of the rows where ``second`` holds, ties by mean rank."""
-    run = W.partitionBy(*by)
-    ranks = df.withColumns({"__r": F.rank().over(run.orderBy(value)), "__t": F.count("*").over(W.partitionBy(*by, value)), "__2": second})
-    rank = F.col("__r") + (F.col("__t") - 1) / 2
-    s = ranks.groupBy(*by).agg(F.sum(F.when(F.col("__2"), rank)).alias("w"), F.count_if(~F.col("__2")).alias("n1"), F.count_if("__2").alias("n2"))
+    """(by, u, n1, n2): Mann-Whitney U of the rows where ``second`` holds, ties by mean rank; nulls are left out.
+
+    Rows are counted by distinct value first; only these counts are ranked.
+    """
+    known = df.filter(F.col(value).isNotNull()).withColumn("__2", second)
+    counts = known.groupBy(*by, value).agg(F.count_if(~F.col("__2")).alias("a"), F.count_if("__2").alias("b"))
+    before = F.sum(F.col("a") + F.col("b")).over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1))
+    rank = F.coalesce(before, F.lit(0)) + (F.col("a") + F.col("b") + 1) / 2
+    s = counts.withColumn("__r", rank).groupBy(*by).agg(F.sum(F.col("b") * F.col("__r")).alias("w"), F.sum("a").alias("n1"), F.sum("b").alias("n2"))
     return s.select(*by, (F.col("w") - F.col("n2") * (F.col("n2") + 1) / 2).alias("u"), "n1", "n2")
 
 

@@ -97,7 +97,7 @@ def quantile_rows(t):
 , m AS (SELECT run, median(v) AS m FROM trials GROUP BY run)
 SELECT run, event_id FROM (SELECT t.run, event_id, row_number() OVER (PARTITION BY t.run ORDER BY abs(v - m), event_id) AS k FROM trials t JOIN m USING (run) WHERE v IS NOT NULL) WHERE k = 1""")
 def closest_to_median(t):
-    return filters.closest_to_median(t.filter("v is not null"), "v", "event_id", ["run"])
+    return filters.closest_to_median(t, "v", "event_id", ["run"])
 
 
 @query("flat", """
@@ -174,7 +174,7 @@ _CROSS = """
 SELECT p, round(sum(m * w) / sum(w), 6) + 0.0 AS mean, round(%s, 6) + 0.0 AS sem, count(*) AS n_datasets FROM e GROUP BY p"""
 
 
-@query("stats", _CROSS % "sqrt(sum(w * s * w * s)) / sum(w)")
+@query("stats", _CROSS % "sqrt(sum(w * s * s) / sum(w))")
 def across_datasets_intra(t):
     return rounded(aggregate.across_datasets(t, ["p"], "q"))
 
@@ -256,7 +256,7 @@ g AS (SELECT *, CASE WHEN v - lag(v) OVER (PARTITION BY run ORDER BY v) > 0.2 TH
 s AS (SELECT *, sum(new) OVER (PARTITION BY run ORDER BY v) AS g FROM g)
 SELECT run, {r('min(v)')} AS low, {r('avg(v)')} AS merged, count(*) AS n FROM s GROUP BY run, s.g""")
 def merged_values(t):
-    return rounded(aggregate.merge_close(t.filter("v is not null"), "v", 0.2, ["run"]))
+    return rounded(aggregate.merge_close(t, "v", 0.2, ["run"]))
 
 
 @query("stats", f"""
@@ -321,7 +321,7 @@ def pairwise_differences(t):
 @query("trials", f"""
 SELECT run, w AS wanted, {r('v')} AS v FROM (SELECT run, w, v, row_number() OVER (PARTITION BY run, w ORDER BY abs(v - w), v) AS k FROM trials, (SELECT unnest([10.0::DOUBLE, 55.5::DOUBLE]) AS w) WHERE v IS NOT NULL) WHERE k = 1""")
 def nearest_values(t):
-    return rounded(align.nearest(t.filter("v is not null"), [10.0, 55.5], ["run"], "v"))
+    return rounded(align.nearest(t, [10.0, 55.5], ["run"], "v"))
 
 
 # shape
@@ -333,10 +333,10 @@ def time_and_index(t):
 
 
 @query("stats", f"""
-, m AS (SELECT dataset, roi, run, avg(q) AS q FROM stats WHERE q < 3 GROUP BY ALL)
+, m AS (SELECT dataset, roi, run, avg(q) AS q FROM stats GROUP BY ALL)
 SELECT dataset, roi, run, {r('q')} AS q FROM (SELECT DISTINCT dataset, roi FROM m) JOIN (SELECT DISTINCT dataset, run FROM m) USING (dataset) LEFT JOIN m USING (dataset, roi, run)""")
 def densified(t):
-    return rounded(reshape.densify(aggregate.along(t.filter("q < 3"), ["dataset", "roi", "run"], "q"), ["dataset", "roi", "run"], ["dataset"], ["q"]))
+    return rounded(reshape.densify(aggregate.along(t, ["dataset", "roi", "run"], "q"), ["dataset", "roi", "run"], ["dataset"], ["q"]))
 
 
 @query("traces", "SELECT count(DISTINCT dataset) AS dataset, count(DISTINCT roi) AS roi, count(DISTINCT trial) AS trial, count(DISTINCT frame) AS frame FROM traces")
@@ -410,12 +410,11 @@ def displacement_velocity(t):
 
 
 @query("traces", f"""
-, x AS (SELECT dataset, roi, frame, v FROM traces WHERE trial = 0), y AS (SELECT dataset, roi, frame, v FROM traces WHERE trial = 1),
-c AS (SELECT x.dataset, x.roi, CAST(y.frame - x.frame AS INT) AS lag, avg(x.v * y.v) AS corr FROM x JOIN y ON x.dataset = y.dataset AND x.roi = y.roi AND abs(y.frame - x.frame) <= 3 GROUP BY ALL)
-SELECT dataset, roi, lag, {r('corr')} AS corr FROM (SELECT *, row_number() OVER (PARTITION BY dataset, roi ORDER BY corr DESC, lag) AS k FROM c) WHERE k = 1""")
+, c AS (SELECT x.dataset, x.roi, x.trial, CAST(x.frame - y.frame AS INT) AS lag, sum(x.v * y.v) / 8 AS corr FROM traces x JOIN traces y ON x.dataset = y.dataset AND x.roi = y.roi AND x.trial = y.trial - 1 AND abs(y.frame - x.frame) <= 3 GROUP BY ALL)
+SELECT dataset, roi, trial, lag, {r('corr')} AS corr FROM (SELECT *, row_number() OVER (PARTITION BY dataset, roi, trial ORDER BY corr DESC, lag) AS k FROM c) WHERE k = 1""")
 def best_lag(t):
-    one, two = (t.filter(F.col("trial") == k).drop("trial") for k in (0, 1))
-    return rounded(signals.best_lag(signals.cross_correlation(one, two, UNIT, "v", 3), UNIT))
+    """The lag between each trial and the next."""
+    return rounded(signals.best_lag(signals.cross_correlation(t, t.withColumn("trial", F.col("trial") - 1), TRACE, "v", 3), TRACE))
 
 
 @query("traces", f"SELECT dataset, roi, trial, CAST((frame + 3) % 8 AS INT) AS frame, {r('v')} AS v FROM traces")
@@ -449,13 +448,19 @@ def median_corrected(t):
     return rounded(signals.centre_frames(t, "roi", "frame", "v", F.median))
 
 
-@query("embeddings")
+@query("embeddings", f"""
+WITH RECURSIVE flat AS (SELECT label AS dataset, vec_id AS roi, CAST(i - 1 AS INT) AS frame, CAST(embedding[i] AS DOUBLE) AS v FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
+x AS (SELECT dataset, roi, frame, v FROM flat WHERE frame = 0
+  UNION ALL SELECT f.dataset, f.roi, f.frame, 0.5 * x.v + 0.5 * f.v + (f.v - x.v) / (f.frame + 1) FROM x JOIN flat f ON f.dataset = x.dataset AND f.roi = x.roi AND f.frame = x.frame + 1)
+SELECT dataset, roi, frame, {r('v')} AS v FROM x""")
 def denoised(t):
-    e = t.select(F.col("vec_id").alias("roi"), signals.denoise(F.col("embedding").cast("array<double>"), 0.5).alias("v"))
-    return rounded(reshape.long_rows(e, ["roi"], "v"))
+    e = t.select(F.col("label").alias("dataset"), F.col("vec_id").alias("roi"), F.posexplode(F.col("embedding").cast("array<double>")).alias("frame", "v"))
+    return rounded(signals.denoise(e, UNIT, "v", 0.5))
 
 
-@query("flat")
+@query("flat", f"""
+, d AS (SELECT dataset, roi, v, row_number() OVER (PARTITION BY dataset, roi ORDER BY md5(concat_ws('|', 7, dataset, roi, frame)), frame) AS k FROM flat), p AS (SELECT dataset, roi, frame, row_number() OVER (PARTITION BY dataset, roi ORDER BY frame) AS k FROM flat)
+SELECT dataset, roi, frame, {r('v')} AS v FROM p JOIN d USING (dataset, roi, k)""")
 def shuffled(t):
     return rounded(signals.seeded_shuffle(t, UNIT, "v", 7))
 
@@ -512,7 +517,7 @@ def pre_post_p_values(t):
 @query("stats", f"""
 , g AS (SELECT dataset, run, count(q) AS n, avg(q) AS m, var_pop(q) AS v FROM stats GROUP BY ALL), h AS (SELECT *, sum(n * m) OVER w / sum(n) OVER w AS g FROM g WINDOW w AS (PARTITION BY dataset)),
 s AS (SELECT dataset, sum(n * (m - g) * (m - g)) AS sb, sum(n * v) AS sw, count(*) - 1 AS db, CAST(sum(n) - count(*) AS BIGINT) AS dw FROM h GROUP BY dataset)
-SELECT dataset, {r('sb', 3)} AS ss_between, {r('sw', 3)} AS ss_within, db AS df_between, dw AS df_within, {r('sb / db / (sw / dw)')} AS f, {r('sb / (sb + sw)')} AS eta2, {r('(sb - db * sw / dw) / (sb + sw + sw / dw)')} AS omega2 FROM s""")
+SELECT dataset, {r('sb', 3)} AS ss_between, {r('sw', 3)} AS ss_within, db AS df_between, dw AS df_within, {r('sb / db / (sw / dw)')} AS f, {r('sb / (sb + sw)')} AS eta2, {r('(sb - db * sw / dw) / (sb + db * sw / dw + sw / dw)')} AS omega2 FROM s""")
 def anova(t):
     out = rounded(stats.anova(t, ["dataset"], "run", "q"))
     return out.withColumns({c: F.round(c, 3) + F.lit(0.0) for c in ("ss_between", "ss_within")})
@@ -530,9 +535,9 @@ def trial_covariances(t):
 
 @query("trials", """
 , e AS (SELECT run, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.5) AS b, quantile_cont(v, 0.75) AS c FROM trials GROUP BY run)
-SELECT run, CAST(v > a AS INT) + CAST(v > b AS INT) + CAST(v > c AS INT) AS bin, count(*) AS n FROM trials JOIN e USING (run) WHERE v IS NOT NULL GROUP BY ALL""")
+SELECT run, CAST(v > a AS INT) + CAST(v > b AS INT) + CAST(v > c AS INT) AS bin, count(*) AS n FROM trials JOIN e USING (run) GROUP BY ALL""")
 def quantile_bins(t):
-    return stats.quantile_bins(t.filter("v is not null"), "v", 4, ["run"]).groupBy("run", "bin").agg(F.count("*").alias("n"))
+    return stats.quantile_bins(t, "v", 4, ["run"]).groupBy("run", "bin").agg(F.count("*").alias("n"))
 
 
 @query("stats", """
@@ -554,14 +559,14 @@ def circular(t):
 q AS (SELECT *, sqrt((a * a + b * b - 2 * a * b * c) / (1 - c * c)) AS rho FROM s)
 SELECT run, {r('rho')} AS rho, {r('exp(-n * rho * rho / 2)')} AS p FROM q""")
 def circular_linear(t):
-    return rounded(stats.circular_linear(t.filter("v is not null"), ["run"], "phase", "v"))
+    return rounded(stats.circular_linear(t, ["run"], "phase", "v"))
 
 
 @query("trials", f"""
 , m AS (SELECT run, atan2(avg(sin(phase)), avg(cos(phase))) AS a, atan2(avg(sin(v)), avg(cos(v))) AS b FROM trials WHERE v IS NOT NULL GROUP BY run)
 SELECT t.run, {r('sum(sin(phase - a) * sin(v - b)) / sqrt(sum(sin(phase - a) * sin(phase - a)) * sum(sin(v - b) * sin(v - b)))')} AS rho FROM trials t JOIN m USING (run) WHERE v IS NOT NULL GROUP BY t.run""")
 def circular_circular(t):
-    return rounded(stats.circular_circular(t.filter("v is not null"), ["run"], "phase", "v"))
+    return rounded(stats.circular_circular(t, ["run"], "phase", "v"))
 
 
 @query("flat", f"SELECT dataset, roi, frame, {r('(v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w)')} AS a, {r('v / max(abs(v)) OVER w')} AS b, {r('(v - avg(v) OVER w) / stddev_pop(v) OVER w')} AS c FROM flat WINDOW w AS (PARTITION BY dataset, roi)")
@@ -579,7 +584,7 @@ def fit_quality(t):
 s AS (SELECT run, sum(k) FILTER (WHERE second) AS w, count(*) FILTER (WHERE NOT second) AS n1, count(*) FILTER (WHERE second) AS n2 FROM k GROUP BY run)
 SELECT run, {r('w - n2 * (n2 + 1) / 2')} AS u, n1, n2 FROM s""")
 def rank_sums(t):
-    return rounded(stats.rank_sum(t.filter("v is not null"), ["run"], "v", F.col("event_id") % 2 == 1))
+    return rounded(stats.rank_sum(t, ["run"], "v", F.col("event_id") % 2 == 1))
 
 
 @query("trials", f"""
@@ -589,9 +594,14 @@ def paired_comparison(t):
     return rounded(stats.paired_t(t, [], "roi", "run", ("click", "view"), "v"))
 
 
-@query("traces")
+@query("traces", f"""
+, x AS (SELECT dataset, roi, v + 5 AS s, abs(v) + 1 AS b FROM traces), a AS (SELECT unnest(range(0, 100)) / 99.0::DOUBLE AS alpha),
+c AS (SELECT dataset, roi, alpha, s - alpha * b AS c FROM x, a), m AS (SELECT dataset, roi, alpha, avg(c) AS m, min(c) AS low FROM c GROUP BY ALL),
+k AS (SELECT c.dataset, c.roi, c.alpha, avg(pow(c - m, 3)) / pow(avg(pow(c - m, 2)), 1.5) AS skew, min(low) AS low FROM c JOIN m ON c.dataset = m.dataset AND c.roi = m.roi AND c.alpha = m.alpha GROUP BY ALL)
+SELECT dataset, roi, {r('max(CASE WHEN low < 0 THEN -1e10 ELSE skew END)', 5)} AS skew FROM k GROUP BY ALL""")
 def neuropil_coefficients(t):
-    return rounded(stats.best_coefficient(t.withColumns({"f": F.col("v") + 5, "n": F.abs("v") + 1}), UNIT, "f", "n", [k / 10 for k in range(11)]))
+    best = stats.best_coefficient(t.withColumns({"f": F.col("v") + 5, "n": F.abs("v") + 1}), UNIT, "f", "n", [k / 99 for k in range(100)])
+    return rounded(best.select(*UNIT, "skew"), 5)
 
 
 # scalars
@@ -675,12 +685,21 @@ def frames_resampled(t):
 # per-trace kernels: no SQL form, known answers in the tests
 
 
-@query("flat")
+@query("flat", f"""
+, c AS (SELECT dataset, roi, frame, v - avg(v) OVER (PARTITION BY dataset, roi) AS v FROM flat), k AS (SELECT unnest(range(0, 33)) AS k),
+s AS (SELECT dataset, roi, k, sum(v * cos(2 * pi() * k * frame / 64)) AS a, sum(v * sin(2 * pi() * k * frame / 64)) AS b FROM c, k GROUP BY ALL)
+SELECT dataset, roi, {r('k * 3.56 / 64')} AS freq, {r('(a * a + b * b) / (3.56 * 64) * CASE WHEN k BETWEEN 1 AND 31 THEN 2 ELSE 1 END')} AS power FROM s""")
 def power_spectra(t):
     return rounded(kernels.power_spectrum(t, UNIT, "v", 3.56))
 
 
-@query("flat")
+_SEGMENTS = "g AS (SELECT dataset, roi, s, frame - s * 8 AS i, v FROM flat, (SELECT unnest(range(0, 7)) AS s) WHERE frame >= s * 8 AND frame < s * 8 + 16), h AS (SELECT *, v - avg(v) OVER (PARTITION BY dataset, roi, s) AS y FROM g), k AS (SELECT unnest(range(0, 9)) AS k)"
+
+
+@query("flat", f"""
+, {_SEGMENTS}, w AS (SELECT *, y * 0.5 * (1 - cos(2 * pi() * i / 16)) AS z FROM h),
+d AS (SELECT dataset, roi, s, k, sum(z * cos(2 * pi() * k * i / 16)) AS a, sum(z * sin(2 * pi() * k * i / 16)) AS b FROM w, k GROUP BY ALL)
+SELECT dataset, roi, {r('k * 3.56 / 16')} AS freq, {r('avg((a * a + b * b) / (3.56 * 6) * CASE WHEN k BETWEEN 1 AND 7 THEN 2 ELSE 1 END)')} AS power FROM d GROUP BY dataset, roi, k""")
 def welch_spectra(t):
     return rounded(kernels.welch_spectrum(t, UNIT, "v", 3.56, 16))
 
@@ -697,7 +716,7 @@ def low_passed(t):
 
 @query("flat")
 def amplitude_surrogates(t):
-    return rounded(kernels.surrogates(t, UNIT, "v", method="amplitude", iterations=20))
+    return rounded(kernels.surrogates(t, UNIT, "v", method="amplitude"))
 
 
 @query("flat")
@@ -735,10 +754,10 @@ def forecasts(t):
 , g AS (SELECT s, w FROM (SELECT unnest(range(1, 6)) AS s), (SELECT unnest(range(1, 4)) AS w)),
 x AS (SELECT dataset, roi, trial, s, w, avg(v) FILTER (WHERE frame >= s AND frame < s + w) AS m1, avg(v) FILTER (WHERE NOT (frame >= s AND frame < s + w)) AS m0,
   count(*) FILTER (WHERE frame >= s AND frame < s + w) AS n1, count(*) FILTER (WHERE NOT (frame >= s AND frame < s + w)) AS n0, sum(v * v) AS ss FROM traces, g GROUP BY ALL),
-k AS (SELECT *, ss - n1 * m1 * m1 - n0 * m0 * m0 AS sse FROM x), b AS (SELECT dataset, roi, trial, min(sse) AS sse, arg_min(m1 - m0, sse) AS amplitude FROM k GROUP BY ALL)
-SELECT dataset, roi, trial, {r('amplitude')} AS amplitude, {r('sse')} AS sse FROM b""")
+k AS (SELECT *, ss - n1 * m1 * m1 - n0 * m0 * m0 AS sse FROM x), b AS (SELECT *, row_number() OVER (PARTITION BY dataset, roi, trial ORDER BY sse, s, w) AS k FROM k)
+SELECT dataset, roi, trial, CAST(s AS INT) AS start, CAST(w AS INT) AS width, {r('m1 - m0')} AS amplitude, {r('m0')} AS level, {r('sse')} AS sse FROM b WHERE k = 1""")
 def pulse_fits(t):
-    return rounded(models.fit_pulse(t, TRACE, "v", range(1, 6), range(1, 4)).select(*TRACE, "amplitude", "sse"))
+    return rounded(models.fit_pulse(t, TRACE, "v", range(1, 6), range(1, 4)))
 
 
 @query("traces", f"""
@@ -807,9 +826,13 @@ def trigger_delays(t):
     return rounded(models.trigger_delay(timed.filter("run <> 'view'"), triggers), 3)
 
 
-@query("stats")
+@query("stats", f"""
+, d AS (SELECT unnest(range(1, 1001)) AS draw), u AS (SELECT draw, i, (('0x' || md5(concat_ws('|', 11, i, draw))[1:7])::BIGINT + 0.5) / 268435456.0::DOUBLE AS u FROM d, (SELECT unnest(range(0, 4)) AS i)),
+n AS (SELECT draw, sqrt(-2 * ln(max(u) FILTER (WHERE i = 0))) * cos(2 * pi() * max(u) FILTER (WHERE i = 1)) AS a, sqrt(-2 * ln(max(u) FILTER (WHERE i = 2))) * cos(2 * pi() * max(u) FILTER (WHERE i = 3)) AS b FROM u GROUP BY draw),
+y AS (SELECT p, (2.0 + 0.2 * a) * p + 1.0 + 0.1 * b AS y FROM (SELECT DISTINCT p FROM stats), n)
+SELECT p, {r('quantile_cont(y, 0.025)')} AS low, {r('quantile_cont(y, 0.975)')} AS high FROM y GROUP BY p""")
 def fit_bands(t):
-    return rounded(models.fit_band(t, "p", 2.0, 1.0, 0.2, 0.1, 500, 11))
+    return rounded(models.fit_band(t, "p", 2.0, 1.0, 0.2, 0.1, 1000, 11))
 
 
 # names and settings texts, written from table values and parsed back
@@ -876,7 +899,9 @@ def overlapping_segments(t):
     return rounded(signals.segments(t, UNIT, "v", 16, 8, 64).groupBy(*UNIT, "segment").agg(F.avg("v").alias("v"), F.count("*").alias("n")))
 
 
-@query("flat")
+@query("flat", f"""
+, {_SEGMENTS}, d AS (SELECT dataset, roi, s, k, sum(y * cos(2 * pi() * k * i / 16)) AS a, sum(y * sin(2 * pi() * k * i / 16)) AS b FROM h, k GROUP BY ALL)
+SELECT dataset, CAST(s AS INT) AS segment, {r('k * 3.56 / 16')} AS freq, {r('avg((a * a + b * b) / (3.56 * 16) * CASE WHEN k BETWEEN 1 AND 7 THEN 2 ELSE 1 END)')} AS power FROM d GROUP BY dataset, s, k""")
 def spectrograms(t):
     return rounded(kernels.power_spectrum(signals.segments(t, UNIT, "v", 16, 8, 64), [*UNIT, "segment"], "v", 3.56, frame="place").groupBy("dataset", "segment", "freq").agg(F.avg("power").alias("power")))
 
@@ -886,7 +911,7 @@ def spectrograms(t):
 d AS (SELECT t.run, exp(-((v - m) / s) * ((v - m) / s) / 2) / (s * sqrt(2 * pi())) AS d FROM trials t JOIN m USING (run) WHERE v IS NOT NULL)
 SELECT run, {r('var_pop(d) / (avg(d) * avg(d))')} AS coefficient FROM d GROUP BY run""")
 def bimodality(t):
-    return rounded(stats.bimodality(t.filter("v is not null"), ["run"], "v"))
+    return rounded(stats.bimodality(t, ["run"], "v"))
 
 
 @query("stats", "SELECT DISTINCT a.run, a.dataset AS a, b.dataset AS b FROM stats a JOIN (SELECT DISTINCT run, dataset FROM stats) b ON a.run = b.run AND a.dataset < b.dataset")
@@ -920,8 +945,10 @@ def sweep_prediction_errors(t):
 
 
 @query("traces", f"""
-, w AS (SELECT dataset, roi, avg(v) AS m, stddev_samp(v) / sqrt(count(v)) AS s FROM traces GROUP BY ALL)
-SELECT dataset, roi, CASE WHEN abs(m / s) > 1.5 THEN CAST(sign(m) AS INT) ELSE 0 END AS effect FROM w""")
+, w AS (SELECT dataset, roi, avg(v) AS m, stddev_samp(v) / sqrt(count(v)) AS s, count(v) AS n FROM traces GROUP BY ALL)
+SELECT dataset, roi, CASE WHEN abs(m / s) > 1.9983405425207 THEN CAST(sign(m) AS INT) ELSE 0 END AS effect FROM w""")
 def significant_effects(t):
-    w = t.groupBy(*UNIT).agg(F.avg("v").alias("m"), (F.stddev_samp("v") / F.sqrt(F.count("v"))).alias("s"))
-    return w.select(*UNIT, stats.significance(1 / F.abs(F.col("m") / F.col("s")), 1 / 1.5, F.col("m")).alias("effect"))
+    """The sign of a unit's mean where its two-sided p is below 0.05; 63 degrees of freedom, so |t| is above 1.99834."""
+    w = t.groupBy(*UNIT).agg(F.avg("v").alias("m"), (F.stddev_samp("v") / F.sqrt(F.count("v"))).alias("s"), (F.count("v") - 1).alias("dof"))
+    p = w.withColumn("p", stats.t_p_value(F.col("m") / F.col("s"), F.col("dof")))
+    return p.select(*UNIT, stats.significance(F.col("p"), 0.05, F.col("m")).alias("effect"))

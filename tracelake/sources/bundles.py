@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -72,3 +73,77 @@ def settings_mismatches(settings: DataFrame, *, limit: float = 0.01, limits: dic
 def deinterleave(df: DataFrame, channels: int, page: str = "page") -> DataFrame:
     """Pages of a stack to (frame, channel)."""
     return df.withColumns({"frame": F.floor(F.col(page) / channels).cast("int"), "channel": (F.col(page) % channels).cast("int")}).drop(page)
+
+
+def save_value(spark: SparkSession, path: str, name: str, value: int) -> None:
+    """One named whole number, such as a post-stimulus window."""
+    spark.createDataFrame([(name, value)], "name string, value long").write.mode("overwrite").json(path)
+
+
+def load_value(spark: SparkSession, path: str, name: str) -> int:
+    """The number saved under ``name``; a missing one raises."""
+    row = spark.read.schema("name string, value long").json(path).filter(F.col("name") == name).first()
+    if row is None:
+        raise ValueError(f"{path} holds no {name}")
+    return row.value
+
+
+def save_lines(stats: DataFrame, counts: DataFrame, root: str) -> None:
+    """Line aggregates as CSV with headers, one folder a line below ``stats`` and ``counts``."""
+    for name, df in (("stats", stats), ("counts", counts)):
+        df.write.mode("overwrite").partitionBy("line").option("header", True).csv(f"{root}/{name}")
+
+
+def load_lines(spark: SparkSession, root: str, stats_schema: str, counts_schema: str) -> tuple[DataFrame, DataFrame]:
+    """(stats, counts) of line aggregates; both must hold the same lines."""
+    out = [spark.read.schema(f"{s}, line string").option("header", True).csv(f"{root}/{n}") for n, s in (("stats", stats_schema), ("counts", counts_schema))]
+    lines = [{r.line for r in df.select("line").distinct().collect()} for df in out]  # a handful of lines
+    if lines[0] != lines[1]:
+        raise ValueError(f"only in one of both tables: {sorted(lines[0] ^ lines[1])}")
+    return out[0], out[1]
+
+
+def load_datasets(spark: SparkSession, paths: dict[str, str], names: list[str], *, include_all: list[str] = (), include_any: list[str] = (), exclude: list[str] = ()) -> dict[str, DataFrame]:
+    """Tables by name over several bundles (dataset: root), keyed by dataset, of the datasets whose names fit."""
+    wanted = {d: p for d, p in paths.items() if all(x in d for x in include_all) and (not include_any or any(x in d for x in include_any)) and not any(x in d for x in exclude)}
+    if not wanted:
+        raise ValueError("no dataset fits")
+    def one(name: str) -> DataFrame:
+        parts = [spark.read.parquet(f"{p}/{name}").withColumn("dataset", F.lit(d)) for d, p in sorted(wanted.items())]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return {n: one(n) for n in names}
+
+
+def discover(df: DataFrame, path: str, *, includes: list[str] = (), excludes: list[str] = ()) -> DataFrame:
+    """(path, analysis, line, dataset) of folders ``../<analysis>/<line>/<dataset>`` whose path has all of ``includes`` and none of ``excludes``."""
+    part = lambda k: F.element_at(F.split(F.regexp_replace(F.col(path), "/+$", ""), "/"), k)
+    out = df.filter(F.size(F.split(F.regexp_replace(F.col(path), "/+$", ""), "/")) > 2)
+    for x in includes:
+        out = out.filter(F.contains(F.col(path), F.lit(x)))
+    for x in excludes:
+        out = out.filter(~F.contains(F.col(path), F.lit(x)))
+    return out.select(F.col(path).alias("path"), part(-3).alias("analysis"), part(-2).alias("line"), part(-1).alias("dataset"))
+
+
+def restrict(df: DataFrame, *, date: str | None = None, date_col: str = "date", **equal) -> DataFrame:
+    """Datasets with the given values, and with a date that begins with ``date``; a None restricts nothing."""
+    for name, value in equal.items():
+        df = df if value is None else df.filter(F.col(name) == value)
+    return df if date is None else df.filter(F.startswith(F.col(date_col), F.lit(date)))
+
+
+def sorted_files(df: DataFrame, name: str, parameter) -> DataFrame:
+    """Files by a parsed parameter and then by name, in ``place``; names that don't parse are left out."""
+    known = df.withColumn("__p", parameter(F.col(name))).filter("__p is not null")
+    return known.withColumn("place", F.row_number().over(W.orderBy("__p", name)) - 1).drop("__p")  # the files of one folder
+
+
+def sampled_files(df: DataFrame, name: str, n: int, seed: int | None = None) -> DataFrame:
+    """The first ``n`` files by name, or ``n`` of them by a seeded hash."""
+    return df.orderBy(name if seed is None else F.md5(F.concat_ws("|", F.lit(seed), name)), name).limit(n)
+
+
+def exclusion_table(df: DataFrame, analysis: str, line: str | None = None) -> DataFrame:
+    """Rows of an exclusion table for an analysis, and a line if given, without these columns."""
+    out = df.filter(F.col("analysis") == analysis)
+    return (out if line is None else out.filter(F.col("line") == line)).drop("analysis", "line")
