@@ -341,3 +341,12 @@ def fit_curves(df: DataFrame, by: list[str], x: str, y: str, kinds: list[str], r
         return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "kind": [kind if r2 >= r2_least else None], "parameters": [p.tolist()], "r2": [r2]})
 
     return df.groupBy(*by).applyInPandas(run, ", ".join([f"`{k}` {types[k]}" for k in by] + ["kind string, parameters array<double>, r2 double"]))
+
+
+def scaled_spectrum(spectra: DataFrame, by: list[str], *, normalize: bool = False, db: bool = False, fmax: float | None = None, freq: str = "freq", power: str = "power") -> DataFrame:
+    """A spectrum table cut at ``fmax``, over its group's largest power if ``normalize``, with a ``db`` column if asked for."""
+    out = spectra if fmax is None else spectra.filter(F.col(freq) <= fmax)
+    if normalize:
+        top = out.groupBy(*by).agg(F.max(power).alias("__top"))
+        out = out.join(top, by).withColumn(power, F.col(power) / F.col("__top")).drop("__top")
+    return out.withColumn("db", 10 * F.log10(power)) if db else out

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelake.operators import align, filters
+from tracelake.operators import align, filters, stats
 
 
 def autoregression(df: DataFrame, keys: list[str], value: str, train_until: int, *, frame: str = "frame") -> DataFrame:
@@ -151,3 +151,31 @@ def trigger_delay(frames: DataFrame, triggers: DataFrame, sequence: str = "seque
     """(sequence, delay): first frame's time less the trigger's."""
     first = frames.groupBy(sequence).agg(F.min_by(time, index).alias("__t"))
     return first.join(triggers.select(sequence, F.col(time).alias("__g")), sequence).select(sequence, (F.col("__t") - F.col("__g")).alias("delay"))
+
+
+def inverse_distance_map(points: DataFrame, grid: DataFrame, by: list[str], x: str, y: str, value: str, power: float = 2) -> DataFrame:
+    """(by, x, y, value) on ``grid`` (by, x, y): means of each place, weighted by inverse distance; a place that is on the grid keeps its mean.
+
+    Places are few (the stimulus sites of a dataset), so each grid point meets all places of its group.
+    """
+    sites = points.groupBy(*by, F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.avg(value).alias("__v"))
+    both = grid.join(sites, by) if by else grid.crossJoin(sites)
+    d2 = F.pow(F.col(x) - F.col("__x"), F.lit(2)) + F.pow(F.col(y) - F.col("__y"), F.lit(2))
+    w = 1 / F.pow(d2, F.lit(power / 2))
+    far = F.sum(F.when(d2 > 0, w * F.col("__v"))) / F.sum(F.when(d2 > 0, w))
+    return both.groupBy(*by, x, y).agg(F.coalesce(F.max(F.when(d2 == 0, F.col("__v"))), far).alias(value))
+
+
+def average_map(df: DataFrame, dataset: str, x: str, y: str, value: str, step: float) -> DataFrame:
+    """(x, y, value, n): maps of datasets, each over its largest mean, averaged on one rounded grid."""
+    snap = lambda c: F.round(F.col(c) / step) * step
+    cells = df.groupBy(dataset, snap(x).alias(x), snap(y).alias(y)).agg(F.avg(value).alias("__v"))
+    top = cells.groupBy(dataset).agg(F.max("__v").alias("__top"))
+    return cells.join(top, dataset).groupBy(x, y).agg(F.avg(F.col("__v") / F.col("__top")).alias(value), F.count("*").alias("n"))
+
+
+def enriched_dependency(df: DataFrame, by: list[str], x: str, value: str) -> DataFrame:
+    """``dependency`` with the one-way F over x and the slope and t of a line, by group."""
+    f = stats.anova(df, by, x, value).select(*by, "f", "df_between", "df_within")
+    line = stats.linear_regression(df, by, x, value).select(*by, "slope", "t")
+    return dependency(df, by, x, value).join(f, by).join(line, by)

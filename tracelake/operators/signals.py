@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -158,3 +160,11 @@ def segments(df: DataFrame, keys: list[str], value: str, width: int, hop: int, l
     last = F.least(F.floor(F.col(frame) / hop), F.lit((length - width) // hop)).cast("int")
     wide = df.filter(first <= last).withColumn("segment", F.explode(F.sequence(first, last)))
     return wide.select(*keys, "segment", (F.col(frame) - F.col("segment") * hop).cast("int").alias("place"), value)
+
+
+def tapered(df: DataFrame, value: str, width: int, taper: float = 0.25, *, place: str = "place") -> DataFrame:
+    """Segment values under a window that is flat but for cosine slopes over ``taper`` of its length."""
+    edge = taper * (width - 1) / 2
+    k = F.least(F.col(place), F.lit(width - 1) - F.col(place))
+    weight = F.when(k < edge, 0.5 * (1 - F.cos(math.pi * k / edge))).otherwise(1.0) if edge > 0 else F.lit(1.0)
+    return df.withColumn(value, F.col(value) * weight)

@@ -276,3 +276,40 @@ def hue_pairs(df: DataFrame, x: str, hue: str) -> DataFrame:
 def significance(p: Column, level: float, sign: Column | None = None) -> Column:
     """0, or the sign of the effect (1 without one) where ``p`` is below the level."""
     return F.when(p < level, F.lit(1) if sign is None else F.signum(sign).cast("int")).otherwise(0)
+
+
+def mean_correlations(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, unit, r, place): each unit's mean correlation with the others of ``pairs`` (by, a, b, r), and its place by falling mean."""
+    both = pairs.select(*by, F.col("a").alias("unit"), "r").unionByName(pairs.select(*by, F.col("b").alias("unit"), "r"))
+    means = both.groupBy(*by, "unit").agg(F.avg("r").alias("r"))
+    return means.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("r"), "unit")))
+
+
+def symmetric_accuracy(df: DataFrame, by: list[str], y: str, predicted: str, agg=F.median) -> DataFrame:
+    """(by, accuracy): exp of a mean or median of the size of log ratios, less one."""
+    return df.groupBy(*by).agg((F.exp(agg(F.abs(F.log(F.col(predicted) / F.col(y))))) - 1).alias("accuracy"))
+
+
+def centre_cost(alpha: Column, reference: float) -> Column:
+    """The distance of a coefficient from the one wanted."""
+    return F.abs(alpha - reference)
+
+
+def normality(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, statistic, p): Jarque-Bera's test by skewness and kurtosis."""
+    s, k, n = F.skewness(value), F.kurtosis(value), F.count(value)
+    j = (n / 6 * (s * s + k * k / 4)).alias("statistic")
+    return df.groupBy(*by).agg(j).withColumn("p", F.exp(-F.col("statistic") / 2))
+
+
+def independent_comparison(df: DataFrame, by: list[str], value: str, second: Column, level: float = 0.05) -> DataFrame:
+    """(by, test, statistic, p): Welch's t where both samples look normal at ``level``, else the rank sum's normal approximation."""
+    marked = df.withColumn("__2", second)
+    normal = normality(marked, [*by, "__2"], value).groupBy(*by).agg((F.min("p") >= level).alias("__normal"))
+    t = welch(df, by, value, second).withColumn("__pt", t_p_value("t", "dof"))
+    u = rank_sum(df, by, value, second)
+    n1, n2 = F.col("n1"), F.col("n2")
+    z = (F.col("u") - n1 * n2 / 2) / F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)
+    both = normal.join(t, by).join(u, by).withColumn("__z", z)
+    p_rank = t_p_value("__z", F.lit(1e9))
+    return both.select(*by, F.when(F.col("__normal"), "welch").otherwise("rank sum").alias("test"), F.when(F.col("__normal"), F.col("t")).otherwise(F.col("u")).alias("statistic"), F.when(F.col("__normal"), F.col("__pt")).otherwise(p_rank).alias("p"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import dose, parse
 from tracelake.operators import acquisition, aggregate, align, designs, filters, frames, kernels, models, reshape, signals, stats, tables
+from tracelake.plans import pipelines
 from tracelake.plans.queries import _PIXELS, TRACE, UNIT, pixels, query, r, rounded
 from tracelake.sources import bundles
 
@@ -815,3 +816,107 @@ def labels_parsed(t):
     label = parse.label(F.lit("size (mm)"))
     pairs = parse.pairs(F.format_string("a:%d,2;b:3,4", "p_size"))
     return t.select("p_partkey", label["name"].alias("name"), label["unit"].alias("unit"), F.get(pairs["a"], 0).alias("x"), parse.quantile_code(F.concat(F.lit("q"), (F.col("p_size") / 4).cast("string"))).alias("q"))
+
+
+# compositions and further forms
+
+
+@query("flat", f"""
+, m AS (SELECT dataset, roi, frame % 2 AS channel, frame // 2 AS frame, v * 1000 AS v FROM flat), w AS (SELECT a.dataset, a.roi, a.channel, a.frame, b.v FROM m a JOIN m b ON b.dataset = a.dataset AND b.roi = a.roi AND b.channel = a.channel AND b.frame = CASE WHEN a.frame % 8 = 0 THEN a.frame + 1 ELSE a.frame END),
+p AS (SELECT *, CAST(floor(x) AS INT) AS k FROM (SELECT dataset, roi, channel, i, least(i * (31.0::DOUBLE / 15), 31) AS x FROM (SELECT DISTINCT dataset, roi, channel FROM m), (SELECT unnest(range(0, 16)) AS i)))
+SELECT p.dataset, p.roi, CAST(p.channel AS INT) AS channel, CAST(p.i AS INT) AS frame, round_even(a.v + (coalesce(b.v, a.v) - a.v) * (x - k), 0) + 0.0 AS v FROM p JOIN w a ON a.dataset = p.dataset AND a.roi = p.roi AND a.channel = p.channel AND a.frame = k LEFT JOIN w b ON b.dataset = p.dataset AND b.roi = p.roi AND b.channel = p.channel AND b.frame = k + 1""")
+def stacks_preprocessed(t):
+    files = t.select(*UNIT, (2 * F.floor(F.col("frame") / 16) + 1).cast("int").alias("cycle"), (F.col("frame") % 16).alias("number"), (F.col("v") * 1000).alias("v"))
+    moves = acquisition.expand_moves(t.sparkSession.createDataFrame([(1, 0, 8)], "src int, dst int, repeat int"), 32)
+    return rounded(pipelines.preprocessed_stacks(files, UNIT, "v", channels=2, moves=moves, length=32, rate_in=30, rate_out=15), 1)
+
+
+@query("flat", f"""
+, c AS (SELECT dataset, roi, frame, v - avg(v) OVER (PARTITION BY dataset, roi) AS v FROM flat), k AS (SELECT unnest(range(0, 33)) AS k),
+s AS (SELECT dataset, roi, k, sum(v * cos(2 * pi() * k * frame / 64)) AS a, sum(v * sin(2 * pi() * k * frame / 64)) AS b FROM c, k GROUP BY ALL),
+p AS (SELECT dataset, roi, k * 3.56 / 64 AS freq, (a * a + b * b) / (3.56 * 64) * CASE WHEN k BETWEEN 1 AND 31 THEN 2 ELSE 1 END AS power FROM s WHERE k BETWEEN 1 AND 17)
+SELECT dataset, roi, {r('freq')} AS freq, {r('power / max(power) OVER (PARTITION BY dataset, roi)')} AS power, {r('10 * log10(power / max(power) OVER (PARTITION BY dataset, roi))', 4)} AS db FROM p""")
+def spectra_scaled(t):
+    s = kernels.power_spectrum(t, UNIT, "v", 3.56).filter("freq > 0")
+    out = kernels.scaled_spectrum(s, UNIT, normalize=True, db=True, fmax=17.5 * 3.56 / 64)
+    return rounded(out.withColumn("db", F.round("db", 4)))
+
+
+@query("flat", f"SELECT dataset, roi, CAST(s AS INT) AS segment, CAST(i AS INT) AS place, {r('v * CASE WHEN least(i, 15 - i) < 1.875 THEN 0.5 * (1 - cos(pi() * least(i, 15 - i) / 1.875)) ELSE 1 END')} AS v FROM (SELECT dataset, roi, s, frame - s * 8 AS i, v FROM flat, (SELECT unnest(range(0, 7)) AS s) WHERE frame >= s * 8 AND frame < s * 8 + 16)")
+def segments_tapered(t):
+    return rounded(signals.tapered(signals.segments(t, UNIT, "v", 16, 8, 64), "v", 16).select(*UNIT, "segment", "place", "v"))
+
+
+@query("traces", f"""
+, c AS (SELECT a.dataset, a.roi AS a, b.roi AS b, corr(a.v, b.v) AS r FROM traces a JOIN traces b ON a.dataset = b.dataset AND a.trial = b.trial AND a.frame = b.frame AND a.roi < b.roi GROUP BY ALL),
+m AS (SELECT dataset, unit, avg(r) AS r FROM (SELECT dataset, a AS unit, r FROM c UNION ALL SELECT dataset, b, r FROM c) GROUP BY ALL)
+SELECT dataset, unit, {r('r')} AS r, CAST(row_number() OVER (PARTITION BY dataset ORDER BY r DESC, unit) AS INT) AS place FROM m""")
+def mean_correlations(t):
+    return rounded(stats.mean_correlations(stats.correlation_pairs(t, ["dataset"], ["trial", "frame"], "roi", "v"), ["dataset"]))
+
+
+@query("stats", f"SELECT dataset, {r('exp(median(abs(ln(1500 * q / price)))) - 1')} AS accuracy, {r('abs(avg(p) - 0.05)')} AS cost FROM stats GROUP BY dataset")
+def symmetric_accuracies(t):
+    fit = stats.symmetric_accuracy(t.withColumn("fit", 1500 * F.col("q")), ["dataset"], "price", "fit")
+    return rounded(fit.join(t.groupBy("dataset").agg(stats.centre_cost(F.avg("p"), 0.05).alias("cost")), "dataset"))
+
+
+@query("trials", f"""
+, m AS (SELECT run, avg(v) AS m, stddev_pop(v) AS s, count(v) AS n FROM trials GROUP BY run), k AS (SELECT t.run, n, avg(pow((v - m) / s, 3)) AS s, avg(pow((v - m) / s, 4)) - 3 AS k FROM trials t JOIN m ON m.run = t.run GROUP BY t.run, n)
+SELECT run, {r('n / 6 * (s * s + k * k / 4)', 4)} AS statistic, {r('exp(-n / 12 * (s * s + k * k / 4))')} AS p FROM k""")
+def normality(t):
+    out = stats.normality(t.filter("run is not null"), ["run"], "v")
+    return rounded(out.withColumn("statistic", F.round("statistic", 4)))
+
+
+@query("trials")
+def independent_comparisons(t):
+    return rounded(stats.independent_comparison(t.filter("run is not null"), ["run"], "v", F.col("event_id") % 2 == 1), 5)
+
+
+@query("stats", f"""
+, s AS (SELECT dataset, p, dc, avg(q) AS q FROM stats WHERE p > 0.02 GROUP BY ALL), g AS (SELECT dataset, x, y FROM (SELECT DISTINCT dataset FROM s), (SELECT unnest([0.0::DOUBLE, 0.05::DOUBLE]) AS x), (SELECT unnest([0.01::DOUBLE, 0.055::DOUBLE]) AS y)),
+d AS (SELECT g.dataset, x, y, q, (x - p) * (x - p) + (y - dc) * (y - dc) AS d FROM g JOIN s USING (dataset))
+SELECT dataset, {r('x')} AS p, {r('y')} AS dc, {r('coalesce(max(q) FILTER (WHERE d = 0), sum(q / d) FILTER (WHERE d > 0) / sum(1 / d) FILTER (WHERE d > 0))')} AS q FROM d GROUP BY dataset, x, y""")
+def interpolated_map(t):
+    own = t.filter("p > 0.02")
+    at = lambda *v: F.explode(F.array(*[F.lit(x) for x in v]))
+    grid = own.select("dataset").distinct().withColumn("p", at(0.0, 0.05)).withColumn("dc", at(0.01, 0.055))
+    return rounded(models.inverse_distance_map(own, grid, ["dataset"], "p", "dc", "q"))
+
+
+@query("stats", f"""
+, c AS (SELECT dataset, round(p / 0.04) * 0.04 AS x, round(dc / 0.04) * 0.04 AS y, avg(q) AS v FROM stats GROUP BY ALL), t AS (SELECT *, v / max(v) OVER (PARTITION BY dataset) AS s FROM c)
+SELECT {r('x')} AS p, {r('y')} AS dc, {r('avg(s)')} AS q, count(*) AS n FROM t GROUP BY x, y""")
+def average_map(t):
+    own = t.withColumns({"p": F.col("p"), "dc": F.col("dc")})
+    return rounded(models.average_map(own, "dataset", "p", "dc", "q", 0.04))
+
+
+@query("stats", f"""
+, g AS (SELECT dataset, run, count(q) AS n, avg(q) AS m, var_pop(q) AS v, stddev_samp(q) / sqrt(count(q)) AS sem FROM stats GROUP BY ALL), h AS (SELECT *, sum(n * m) OVER w / sum(n) OVER w AS g FROM g WINDOW w AS (PARTITION BY dataset)),
+a AS (SELECT dataset, sum(n * (m - g) * (m - g)) / (count(*) - 1) / (sum(n * v) / (sum(n) - count(*))) AS f FROM h GROUP BY dataset), l AS (SELECT dataset, regr_slope(q, run) AS slope FROM stats GROUP BY dataset)
+SELECT dataset, run, {r('m')} AS mean, {r('sem')} AS sem, n, {r('f')} AS f, {r('slope')} AS slope FROM g JOIN a USING (dataset) JOIN l USING (dataset)""")
+def enriched_dependency(t):
+    return rounded(models.enriched_dependency(t, ["dataset"], "run", "q").select("dataset", "run", "mean", "sem", "n", "f", "slope"))
+
+
+@query("documents", "SELECT source FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) ORDER BY md5(concat_ws('|', 4, source)), source LIMIT 5")
+def sampled_sources(t):
+    """Five files by a seeded hash: the operator's feature."""
+    return bundles.sampled_files(t.filter("source is not null").select("source").distinct(), "source", 5, seed=4)
+
+
+@query("part", "SELECT p_partkey, 'scan' AS kept, '0.2' AS framePeriod, '25' AS framesPerTrial FROM part")
+def settings_resampled(t):
+    m = F.create_map(F.lit("framePeriod"), F.lit("0.0333"), F.lit("kind"), F.lit("scan"), F.lit("framesPerTrial"), F.col("p_size").cast("string"))
+    s = acquisition.resampled_settings(m, 5, 25)
+    return t.select("p_partkey", s["kind"].alias("kept"), s["framePeriod"].alias("framePeriod"), s["framesPerTrial"].alias("framesPerTrial"))
+
+
+@query("part", """
+WITH c AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL), m AS (SELECT max(n) AS n FROM (SELECT p_type, count(*) AS n FROM part GROUP BY p_type)), k AS (SELECT min(p_type) AS ref FROM (SELECT p_type, count(*) AS n FROM part GROUP BY p_type) WHERE n = (SELECT n FROM m))
+SELECT CAST(p_partkey AS VARCHAR) AS run, 1 AS n FROM part WHERE p_type <> (SELECT ref FROM k)""")
+def runs_to_drop(t):
+    s = t.select(F.col("p_partkey").cast("string").alias("run"), F.create_map(F.lit("type"), "p_type").alias("settings"))
+    return bundles.runs_to_drop(bundles.settings_mismatches(s), ["type"])

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.operators import aggregate, filters, signals, stats
+from tracelake.operators import acquisition, aggregate, filters, signals, stats
 from tracelake.plans import views
+from tracelake.sources import bundles
 
 
 def responder_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,3 +28,16 @@ def responder_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = units.withColumn("kind", stats.response_kind(F.col("change"), 1.0, directional=True))
     out = aggregate.responder_counts(kinds, ["dataset"], "kind", ["negative", "positive", "weak"], normalize=True)
     return out.select("dataset", *[F.round(k, 6).alias(k) for k in ("negative", "positive", "weak")], "total")
+
+
+def preprocessed_stacks(files: DataFrame, stack: list[str], value: str, *, channels: int, moves: DataFrame, length: int, rate_in: float, rate_out: float) -> DataFrame:
+    """From single-frame files (stack, cycle, number, value) to stacks (stack, channel, frame, value).
+
+    Files are put in order, channels are parted, frames moved, and each stack is resampled;
+    all stacks of all sessions go through the same plan, keyed by ``stack``.
+    """
+    ordered = acquisition.concatenate_trials(acquisition.assemble(files, stack, "cycle", "number"), stack, "trial", "frame", "page")
+    parted = bundles.deinterleave(ordered.drop("frame"), channels).select(*stack, "channel", "frame", value)
+    keys = [*stack, "channel"]
+    moved = acquisition.move_frames(parted, keys, value, moves)
+    return acquisition.resample_stack(moved, keys, value, length, rate_in, rate_out)

@@ -876,7 +876,7 @@ SELECT key, reference, count(*) AS outliers FROM s JOIN m USING (key) WHERE CASE
 def setting_outliers(t):
     s = t.select(F.col("p_partkey").cast("string").alias("run"), F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("type"), "p_type").alias("settings"))
     out = bundles.settings_mismatches(s, limits={"size": 0.5})
-    return out.select("key", "reference", F.size("outlier_runs").cast("long").alias("outliers"))
+    return out.groupBy("key", "reference").agg(F.count("*").alias("outliers"))
 
 
 # further summaries

@@ -59,7 +59,7 @@ def read_settings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def settings_mismatches(settings: DataFrame, *, limit: float = 0.01, limits: dict[str, float] | None = None) -> DataFrame:
-    """(key, reference, outlier_runs): runs whose value strays from the most frequent one (numbers by relative deviation)."""
+    """(key, reference, run, value): settings that stray from the most frequent one of their key (numbers by relative deviation)."""
     long = settings.select("run", F.explode("settings").alias("key", "value"))
     reference = long.groupBy("key").agg(F.mode("value", True).alias("reference"))
     ceiling = F.lit(limit)
@@ -67,7 +67,13 @@ def settings_mismatches(settings: DataFrame, *, limit: float = 0.01, limits: dic
         ceiling = F.when(F.col("key") == key, x).otherwise(ceiling)
     v, ref = F.col("value").try_cast("double"), F.col("reference").try_cast("double")
     strays = F.when(v.isNotNull() & ref.isNotNull() & (ref != 0), F.abs((v - ref) / ref) > ceiling).otherwise(F.col("value") != F.col("reference"))
-    return long.join(reference, "key").groupBy("key", "reference").agg(F.array_sort(F.collect_list(F.when(strays, F.col("run")))).alias("outlier_runs")).filter(F.size("outlier_runs") > 0)
+    return long.join(reference, "key").filter(strays).select("key", "reference", "run", "value")
+
+
+def runs_to_drop(mismatches: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(run, n) of runs that stray in any of ``keys``, or in any key."""
+    own = mismatches if keys is None else mismatches.filter(F.col("key").isin(*keys))
+    return own.groupBy("run").agg(F.count("*").alias("n"))
 
 
 def deinterleave(df: DataFrame, channels: int, page: str = "page") -> DataFrame:
