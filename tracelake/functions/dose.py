@@ -1,4 +1,4 @@
-"""Dose metrics and response curves as column expressions."""
+"""Dose metrics and response curves as column expressions; null for null."""
 
 from __future__ import annotations
 

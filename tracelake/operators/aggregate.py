@@ -1,4 +1,9 @@
-"""Windowed, trial, population and cross-dataset aggregates."""
+"""Windowed, trial, population and cross-dataset aggregates.
+
+Nulls are left out of all aggregates, and a group of nulls has a null result; deviations of
+one value are null; ties are settled by the stated order, else by the smallest key. Empty
+tables give empty tables.
+"""
 
 from __future__ import annotations
 

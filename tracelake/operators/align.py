@@ -1,4 +1,8 @@
-"""Joins of tables of different grain, alignment and interpolation along an index."""
+"""Joins of tables of different grain, alignment and interpolation along an index.
+
+Keys that are null match nothing; null samples are left out of interpolation and means; x
+values outside the data give null. Empty tables give empty tables.
+"""
 
 from __future__ import annotations
 

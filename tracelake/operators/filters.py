@@ -1,4 +1,9 @@
-"""Row selection: bounds, validity, exclusion, quantiles."""
+"""Row selection: bounds, validity, exclusion, quantiles.
+
+Null values match no condition, so their rows go; null flags count as not set; quantiles and
+medians leave nulls out. Repeated rows are selected alike; ties go to the smallest key.
+Empty tables give empty tables.
+"""
 
 from __future__ import annotations
 

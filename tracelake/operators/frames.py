@@ -1,4 +1,8 @@
-"""Pixel tables of image stacks: (stack, frame, pixel, value) rows."""
+"""Pixel tables of image stacks: (stack, frame, pixel, value) rows.
+
+Null pixels are left out of projections, levels and fits and stay null when values are
+corrected; a stack of one value has null slopes. Empty tables give empty tables.
+"""
 
 from __future__ import annotations
 

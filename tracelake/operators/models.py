@@ -1,4 +1,9 @@
-"""Templates, forecasts and dose-response summaries over traces and groups."""
+"""Templates, forecasts and dose-response summaries over traces and groups.
+
+Null samples are left out of fits and means; groups without enough of them have null
+results or no row; equal fits are settled by the smallest parameters. Empty tables give
+empty tables.
+"""
 
 from __future__ import annotations
 

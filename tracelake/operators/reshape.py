@@ -1,4 +1,8 @@
-"""Index arithmetic, densifying, pulse timing and pivots."""
+"""Index arithmetic, densifying, pulse timing and pivots.
+
+Nulls stay null; null keys are keys of their own in groups and match nothing in joins.
+Empty tables give empty tables, or one row of zeros where a table is described as a whole.
+"""
 
 from __future__ import annotations
 

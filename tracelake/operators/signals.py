@@ -1,4 +1,9 @@
-"""Operators along the frames of a trace."""
+"""Operators along the frames of a trace.
+
+Frames are unique in a trace. Null samples are left out of rolling and grouped aggregates
+and stay null under shifts and differences; borders are null unless mirrored. Ties go to the
+first frame. Empty tables give empty tables.
+"""
 
 from __future__ import annotations
 

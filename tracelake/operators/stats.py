@@ -1,4 +1,9 @@
-"""Regression, tests, correlation, circular statistics and binning by grouped moments."""
+"""Regression, tests, correlation, circular statistics and binning by grouped moments.
+
+Rows with a null in a variable of a statistic have no part in it; statistics without enough
+rows, or of a constant, are null; tied values share mean ranks and bins. Empty tables give
+empty tables.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Bundles of keyed tables, settings and file lists in stores that Spark reaches."""
+"""Bundles of keyed tables, settings and file lists in stores that Spark reaches.
+
+Missing tables raise; empty tables are written and read as such; null settings never stray;
+null dataset names fit no pattern.
+"""
 
 from __future__ import annotations
 
