@@ -144,23 +144,34 @@ def test_packing_documents(spark):
     assert packing.pack_documents(frame(spark, []), vocabulary("byte_bpe_50k.json")).count() == 0
 
 
-def test_packing_is_tight(spark):
-    rng = random.Random(2)
-    lengths = [rng.choice([rng.randrange(1, 2049), rng.randrange(1, 300), 700]) for _ in range(6000)]
-    pieces = spark.createDataFrame([(k, n) for k, n in enumerate(lengths)], "doc_id long, length long")
-    out = packing.pack(pieces).collect()
-    assert sorted(r.doc_id for r in out) == list(range(6000))
-    gaps = []  # plain best fit over pieces by decreasing length
+def plain_best_fit(lengths, capacity=2048):
+    """Sequences of plain best fit over pieces by decreasing length."""
+    gaps = []
     for n in sorted(lengths, reverse=True):
         k = bisect.bisect_left(gaps, n)
-        gap = gaps.pop(k) if k < len(gaps) else 2048
+        gap = gaps.pop(k) if k < len(gaps) else capacity
         bisect.insort(gaps, gap - n)
-    assert check_packing(out, 2048) <= len(gaps) * 1.003
+    return len(gaps)
+
+
+@pytest.mark.parametrize("sweep_pieces,slack", [(50_000, 1.0), (1000, 1.01)])
+def test_packing_is_tight(spark, sweep_pieces, slack):
+    rng = random.Random(2)
+    lengths = [rng.choice([rng.randrange(1, 2049), rng.randrange(1, 300), 700, 2048]) for _ in range(6000)]
+    pieces = spark.createDataFrame([(k, n, 1, 2, 3) for k, n in enumerate(lengths)], "doc_id long, length int, size int, id int, `row` int")
+    out = packing.pack(pieces, sweep_pieces=sweep_pieces).collect()
+    assert sorted(r.doc_id for r in out) == list(range(6000)) and out[0].__fields__ == ["doc_id", "length", "size", "id", "row", "sequence_id", "offset"]
+    assert check_packing(out, 2048) <= plain_best_fit(lengths) * slack
+
+
+def test_one_frequent_length(spark):
+    out = packing.pack(spark.createDataFrame([(k, 7) for k in range(5000)], "doc_id long, length long"), sweep_pieces=600).collect()
+    assert check_packing(out, 2048) <= -(-5000 // (2048 // 7)) + 9
 
 
-def test_sweep_state_is_bounded_by_capacity():
-    counts = {n: 10**9 for n in range(1, 2049)}
-    assert len(packing.sweep(counts, 2048)) < 60_000
+def test_ranks_settle_who_gets_a_gap():
+    placed, left = packing.best_fit([9, 5, 5, 3, 2], [(1, 5), (2, 6), (3, 4)], 10, 100)
+    assert placed == [(100, 1 - 1), (1, 5), (2, 4), (3, 6), (101, 0)] and sorted(left) == [(2, 1), (3, 1), (100, 1), (101, 8)]
 
 
 def test_benchmark_blocks_are_alive_one_at_a_time(spark, monkeypatch):

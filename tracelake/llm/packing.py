@@ -1,16 +1,18 @@
 """Best-fit packing of token sequences into rows of fixed capacity, bulk-synchronously.
 
-Pieces are range-sorted by length, so that a piece is known by its length and its rank
-among the pieces of that length; open gaps are kept sorted by size the same way. A
-superstep takes the next length class (longest first), sweeps it against its successor
-gaps (the smallest that fit), settles which piece gets which gap by rank, and shrinks the
-gaps it used; supersteps repeat until no class is left. Pieces and sequences only appear
-as (class, rank range), so the state of all supersteps is bounded by the capacity (at
-most ``capacity`` length classes and gap sizes), whatever the number of documents; the
-ranks themselves are computed and applied by distributed jobs.
+Pieces are range-sorted by length. Those of more than half a row open a row each. The others
+are placed in supersteps, a band of lengths at a time, longest first. In a superstep the open
+gaps are range-sorted by size too, and both sorted tables are dealt out by rank, every
+``deals``-th row to the same sweep, so that each sweep meets pieces and gaps of all sizes in
+the proportions of the whole. A sweep goes down its pieces in rank order and gives each its
+successor gap, the smallest that fits; where several pieces want one gap, the first in rank
+gets it and the next goes on to the gap after. Used gaps shrink at once, pieces without a
+gap open a row, and what is left of all gaps is sorted and dealt anew for the next band.
+Pieces and gaps are rows of tables throughout; a sweep holds about SWEEP_PIECES of them.
 
 Defined results: null texts are empty; rows that repeat an id are packed one by one; null
-ids pass through; an empty table gives an empty result; other columns are ignored.
+ids pass through; an empty table gives an empty result; other columns are ignored by
+``pack_documents`` and passed through by ``pack``, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,15 +21,19 @@ import bisect
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import map_slices, materialize
+from tracelake.llm.common import Scratch, map_slices
 from tracelake.llm.tokenize import encoder
 
 CAPACITY = 2048
+#: Pieces of a sweep, over all bands, in expectation.
+SWEEP_PIECES = 50_000
 #: Appended to each document.
 END_ID = 0
 
@@ -65,79 +71,86 @@ def token_pieces(
     return map_slices(docs.select(id_col, text_col), run, f"`{id_col}` {id_type}, piece int, start long, length long, ids_crc32 long")
 
 
-def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Supersteps over length classes: (length, rank_from, rank_to, sequence, per_sequence, offset) records.
+def best_fit(lengths: list[int], gaps: list[tuple[int, int]], capacity: int, first_id: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """((sequence, offset) of each piece, (sequence, gap) of what is left): pieces in falling order of length, each to the smallest gap that fits.
 
-    Pieces of a length with ranks in [rank_from, rank_to) go to consecutive sequences from
-    ``sequence`` on, ``per_sequence`` to each, from ``offset`` on. ``counts``: pieces by length.
+    ``gaps`` holds (sequence, size); new sequences are numbered from ``first_id`` on.
     """
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap size: runs of (first sequence, sequences)
-    sizes: list[int] = []  # of gaps, ascending
-    opened, out = 0, []
-
-    def give(size: int, first: int, n: int) -> None:
-        if size and n:
-            if not gaps[size]:
-                bisect.insort(sizes, size)
-            gaps[size].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            k = bisect.bisect_left(sizes, length)
-            if k < len(sizes):
-                gap = sizes[k]
-                first, n = gaps[gap].pop()
-                if not gaps[gap]:
-                    sizes.pop(k)
-            else:
-                gap, first, n = capacity, opened, -(-left // (capacity // length))
-                opened += n
-            fit = gap // length
-            full = min(n, left // fit)
-            if full:
-                out.append((length, rank, rank + full * fit, first, fit, capacity - gap))
-                give(gap - fit * length, first, full)
-                rank, left = rank + full * fit, left - full * fit
-            if left and full < n:  # the last, partly filled sequence
-                out.append((length, rank, rank + left, first + full, left, capacity - gap))
-                give(gap - left * length, first + full, 1)
-                full, left = full + 1, 0
-            give(gap, first + full, n - full)
-    return out
-
-
-def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
+    by_size: dict[int, list[int]] = defaultdict(list)
+    for sequence, size in gaps:
+        by_size[size].append(sequence)
+    sizes = sorted(by_size)
+    placed = []
+    for length in lengths:
+        k = bisect.bisect_left(sizes, length)
+        if k < len(sizes):
+            size = sizes[k]
+            sequence = by_size[size].pop()
+            if not by_size[size]:
+                sizes.pop(k)
+        else:
+            size, sequence, first_id = capacity, first_id, first_id + 1
+        placed.append((sequence, capacity - size))
+        left = size - length
+        if left:
+            if not by_size[left]:
+                bisect.insort(sizes, left)
+            by_size[left].append(sequence)
+    return placed, [(sequence, size) for size in sizes for sequence in by_size[size]]
+
+
+def _dealt(table: DataFrame, size: str, tie: str, deals: int) -> DataFrame:
+    """``table`` with ``deal``: range-sorted, neighbours in rank go to different sweeps."""
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = table.repartitionByRange(parts, size, tie).sortWithinPartitions(size, tie).withColumn("at", F.monotonically_increasing_id())
+    return ranged.withColumn("deal", ((F.shiftright("at", 33) + F.col("at").bitwiseAND((1 << 33) - 1)) % deals).cast("int"))
+
+
+def superstep(pieces: DataFrame, gaps: DataFrame, capacity: int, step: int) -> DataFrame:
+    """(kind, id, sequence, size) by sweeps over pieces (deal, id, size) and gaps (deal, id, size): ``place`` rows have the piece's
+    offset as size, ``gap`` rows what is left of a sequence."""
+    def sweep(table: pa.Table) -> pa.Table:
+        is_gap, ids, sizes = (table.column(c).to_numpy() for c in ("is_gap", "id", "size"))
+        own = np.flatnonzero(~is_gap)
+        own = own[np.lexsort((ids[own], -sizes[own]))]
+        open_ = np.flatnonzero(is_gap)
+        open_ = open_[np.lexsort((-ids[open_], sizes[open_]))]
+        first = (step << 56) + (int(table.column("deal")[0].as_py()) << 32)
+        placed, left = best_fit(sizes[own].tolist(), list(zip(ids[open_].tolist(), sizes[open_].tolist(), strict=True)), capacity, first)
+        n, m = len(placed), len(left)
+        return pa.table({
+            "kind": pa.array(["place"] * n + ["gap"] * m), "id": pa.array(np.concatenate([ids[own], np.zeros(m, np.int64)]), pa.int64()),
+            "sequence": pa.array([x for x, _ in placed] + [x for x, _ in left], pa.int64()), "size": pa.array([x for _, x in placed] + [x for _, x in left], pa.int64()),
+        })
+
+    columns = ["deal", "id", "size"]
+    both = pieces.select(*columns, F.lit(False).alias("is_gap")).unionByName(gaps.select(*columns, F.lit(True).alias("is_gap")))
+    return both.groupBy("deal").applyInArrow(sweep, "kind string, id long, sequence long, size long")
+
+
+def pack(pieces: DataFrame, *, capacity: int = CAPACITY, sweep_pieces: int = SWEEP_PIECES) -> DataFrame:
     """``pieces`` (with a ``length`` from 1 to ``capacity``) with ``sequence_id`` and a gapless ``offset``."""
-    spark = pieces.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    work = Scratch(pieces.sparkSession)
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    rows = work.write(pieces.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("length").cast("long").alias("size")), "pieces")
+    n = rows.filter(F.col("size") <= capacity // 2).count()
+    deals = max(1, -(-n // sweep_pieces))
     # the position in the written table splits ties, so that a frequent length spans many partitions
-    placed = materialize(pieces.select(names), "pieces").withColumn("__pos", F.monotonically_increasing_id())
-    ranged = placed.repartitionByRange(parts, "length", "__pos").sortWithinPartitions("length", "__pos")
-    ranked = materialize(ranged.withColumn("__at", F.monotonically_increasing_id()).drop("__pos"), "ranked")
-    part = F.shiftright("__at", 33).cast("int")
-    # a partition of the range sort holds a run of lengths: at most parts + capacity rows
-    runs = ranked.groupBy(part.alias("p"), "length").agg(F.min("__at").alias("first"), F.count("*").alias("n")).orderBy("length", "p").collect()
-    counts: dict[int, int] = defaultdict(int)
-    bases = []
-    for r in runs:
-        bases.append((r.p, r.length, r.first - counts[r.length]))
-        counts[r.length] += r.n
-    base = spark.createDataFrame(bases, "__p int, __l long, __base long")
-    plan = spark.createDataFrame(sweep(counts, capacity), "__length long, __from long, __to long, __first long, __per long, __offset long")
-    rank = F.col("__at") - F.col("__base")
-    known = ranked.withColumn("__part", part).join(F.broadcast(base), (F.col("__part") == F.col("__p")) & (F.col("length") == F.col("__l")))
-    known = known.withColumn("__rank", rank)
-    matched = known.join(
-        F.broadcast(plan), (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to"))
-    )
-    k = F.col("__rank") - F.col("__from")
-    return matched.select(
-        *names,
-        (F.col("__first") + F.floor(k / F.col("__per"))).cast("long").alias("sequence_id"),
-        (F.col("__offset") + k % F.col("__per") * F.col("length")).cast("long").alias("offset"),
-    )
+    ranked = work.write(_dealt(rows.withColumn("pos", F.monotonically_increasing_id()), "size", "pos", deals).withColumnRenamed("at", "id").drop("pos"), "ranked")
+    opened = ranked.filter(F.col("size") > capacity // 2).select("id", F.col("id").alias("sequence"), F.lit(0).cast("long").alias("offset"))
+    gaps = ranked.filter((F.col("size") > capacity // 2) & (F.col("size") < capacity)).select(F.col("id").alias("sequence"), (capacity - F.col("size")).alias("size"))
+    places = [opened]
+    bands = [capacity // 2, capacity // 4, capacity // 8, capacity // 32, 0]
+    for step, (high, low) in enumerate(zip(bands[:-1], bands[1:], strict=True), 64):
+        band = ranked.filter((F.col("size") > low) & (F.col("size") <= high))
+        # gaps that are too small for this band wait for a later one
+        wide = work.write(_dealt(gaps.filter(F.col("size") > low).withColumnRenamed("sequence", "id"), "size", "id", deals), f"gaps-{step}")
+        done = work.write(superstep(band, wide, capacity, step), f"step-{step}")
+        places.append(done.filter("kind = 'place'").select("id", "sequence", F.col("size").alias("offset")))
+        gaps = done.filter("kind = 'gap'").select("sequence", "size").unionByName(gaps.filter(F.col("size") <= low))
+    placed = reduce(DataFrame.unionByName, places)
+    out = ranked.join(placed, "id")
+    return out.select("row.*", F.col("sequence").alias("sequence_id"), "offset")
 
 
 def pack_documents(
