@@ -210,3 +210,13 @@ def flatten_settings(df: DataFrame, keys: list[str], settings: str) -> DataFrame
     """(keys, key, value) of a map of maps: ``outer inner`` keys; an inner key that is empty leaves the outer alone."""
     outer = df.select(*keys, F.explode(settings).alias("__k", "__m"))
     return outer.select(*keys, "__k", F.explode("__m").alias("__kk", "value")).select(*keys, F.trim(F.concat_ws(" ", "__k", "__kk")).alias("key"), "value")
+
+
+def session_sequences(df: DataFrame, keys: list[str], xml: str) -> DataFrame:
+    """(keys, sequence, type, bidirectional, frames, output): attributes of a ``<Sequence>``, its number of frames and the name of its voltage output; texts of truth are read as such."""
+    schema = "_type string, _cycle int, _bidirectionalZ string, Frame array<struct<_index:int>>, VoltageOutput struct<_name:string>"
+    s = df.select(*keys, F.from_xml(xml, schema).alias("__s"))
+    return s.select(
+        *keys, F.col("__s._cycle").alias("sequence"), F.col("__s._type").alias("type"), (F.lower("__s._bidirectionalZ") == "true").alias("bidirectional"),
+        F.coalesce(F.size("__s.Frame"), F.lit(0)).alias("frames"), F.col("__s.VoltageOutput._name").alias("output"),
+    )

@@ -52,6 +52,13 @@ def grid(df: DataFrame, keys: list[str], x: str, step: float) -> DataFrame:
     return ends.select(*keys, F.explode(F.transform(F.sequence(F.lit(0), n), lambda i: F.col("a") + i * step)).alias(x))
 
 
+def shared_grid(df: DataFrame, keys: list[str], x: str, n: int) -> DataFrame:
+    """(keys, x): the same ``n`` even points over the range of all groups for each group; outside a group's own data its values are null."""
+    ends = df.agg(F.min(x).alias("a"), F.max(x).alias("b")).filter("a is not null")  # one row
+    points = ends.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.col("a") + (F.col("b") - F.col("a")) * i / max(1, n - 1))).alias(x))
+    return df.select(*keys).distinct().crossJoin(F.broadcast(points))
+
+
 def resample(df: DataFrame, keys: list[str], x: str, y: str, step: float) -> DataFrame:
     return interpolate_at(df, grid(df, keys, x, step), keys, x, y)
 

@@ -8,6 +8,7 @@ empty tables.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -105,18 +106,23 @@ def codistribution(df: DataFrame, unit: list[str], split: list[str], x: str, y:
     return means.groupBy(*split).agg(F.corr("__x", "__y").alias("r"), F.regr_slope("__y", "__x").alias("slope"), F.regr_intercept("__y", "__x").alias("intercept"), F.count("*").alias("n"))
 
 
-def fit_band(points: DataFrame, x: str, slope: float, intercept: float, sd_slope: float, sd_intercept: float, draws: int, seed: int, level: float = 0.95) -> DataFrame:
-    """(x, low, high): the spread of a line whose parameters are drawn from independent normals; draws depend on the seed and their number only."""
+def curve_band(points: DataFrame, x: str, curve: Callable[[Column, list[Column]], Column], means: list[float], deviations: list[float], draws: int, seed: int, level: float = 0.95) -> DataFrame:
+    """(x, low, high): the spread of a curve whose parameters are drawn from independent normals; draws depend on the seed and their number only."""
     def normal(k: int) -> Column:
         number = lambda i: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit(2 * k + i), "draw")), 1, 7), 16, 10).cast("long")
         u = [(number(i) + 0.5) / float(1 << 28) for i in range(2)]
         return F.sqrt(-2 * F.log(u[0])) * F.cos(2 * math.pi * u[1])
     wide = points.select(x).distinct().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    y = (slope + sd_slope * normal(0)) * F.col(x) + intercept + sd_intercept * normal(1)
+    y = curve(F.col(x), [m + s * normal(k) for k, (m, s) in enumerate(zip(means, deviations, strict=True))])
     tails = F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))
     return wide.withColumn("__y", y).groupBy(x).agg(F.percentile("__y", tails).alias("q")).select(x, F.get("q", 0).alias("low"), F.get("q", 1).alias("high"))
 
 
+def fit_band(points: DataFrame, x: str, slope: float, intercept: float, sd_slope: float, sd_intercept: float, draws: int, seed: int, level: float = 0.95) -> DataFrame:
+    """``curve_band`` of a line."""
+    return curve_band(points, x, lambda v, p: p[0] * v + p[1], [slope, intercept], [sd_slope, sd_intercept], draws, seed, level)
+
+
 def cell_average(df: DataFrame, x: str, y: str, value: str, size: float) -> DataFrame:
     """(x, y, value) averaged over square cells, named by their centres."""
     cell = lambda c: (F.floor(F.col(c) / size) + 0.5) * size

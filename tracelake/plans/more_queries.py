@@ -920,3 +920,28 @@ SELECT CAST(p_partkey AS VARCHAR) AS run, 1 AS n FROM part WHERE p_type <> (SELE
 def runs_to_drop(t):
     s = t.select(F.col("p_partkey").cast("string").alias("run"), F.create_map(F.lit("type"), "p_type").alias("settings"))
     return bundles.runs_to_drop(bundles.settings_mismatches(s), ["type"])
+
+
+@query("stats", f"""
+, d AS (SELECT unnest(range(1, 501)) AS draw), u AS (SELECT draw, i, (('0x' || md5(concat_ws('|', 13, i, draw))[1:7])::BIGINT + 0.5) / 268435456.0::DOUBLE AS u FROM d, (SELECT unnest(range(0, 4)) AS i)),
+n AS (SELECT draw, sqrt(-2 * ln(max(u) FILTER (WHERE i = 0))) * cos(2 * pi() * max(u) FILTER (WHERE i = 1)) AS a, sqrt(-2 * ln(max(u) FILTER (WHERE i = 2))) * cos(2 * pi() * max(u) FILTER (WHERE i = 3)) AS b FROM u GROUP BY draw),
+y AS (SELECT p, (2.0 + 0.3 * b) / (1 + exp(-(p - (0.05 + 0.01 * a)) / 0.02)) AS y FROM (SELECT DISTINCT p FROM stats), n)
+SELECT p, {r('quantile_cont(y, 0.05)')} AS low, {r('quantile_cont(y, 0.95)')} AS high FROM y GROUP BY p""")
+def curve_bands(t):
+    return rounded(models.curve_band(t, "p", lambda x, p: p[1] / (1 + F.exp(-(x - p[0]) / 0.02)), [0.05, 2.0], [0.01, 0.3], 500, 13, 0.9))
+
+
+@query("traces", f"""
+, t AS (SELECT dataset, roi, trial, frame + trial * 0.25 AS x, v FROM traces), g AS (SELECT dataset, roi, trial, 0 + (8.75 - 0) * i / 10.0 AS x FROM (SELECT DISTINCT dataset, roi, trial FROM t), (SELECT unnest(range(0, 11)) AS i)),
+b AS (SELECT g.dataset, g.roi, g.trial, g.x, max(t.x) FILTER (WHERE t.x <= g.x) AS lo, min(t.x) FILTER (WHERE t.x >= g.x) AS hi FROM g JOIN t USING (dataset, roi, trial) GROUP BY ALL)
+SELECT b.dataset, b.roi, b.trial, {r('b.x::DOUBLE')} AS x, {r('CASE WHEN lo = hi THEN l.v ELSE l.v + (h.v - l.v) * (b.x - lo) / (hi - lo) END')} AS v FROM b
+LEFT JOIN t l ON l.dataset = b.dataset AND l.roi = b.roi AND l.trial = b.trial AND l.x = lo LEFT JOIN t h ON h.dataset = b.dataset AND h.roi = b.roi AND h.trial = b.trial AND h.x = hi""")
+def shared_grids(t):
+    own = t.select(*TRACE, (F.col("frame") + F.col("trial") * 0.25).alias("x"), "v")
+    return rounded(align.interpolate_at(own, align.shared_grid(own, TRACE, "x", 11), TRACE, "x", "v"))
+
+
+@query("orders", "SELECT o_orderkey, CAST(o_custkey % 9 AS INT) AS sequence, 'TSeries' AS type, o_custkey % 2 = 0 AS bidirectional, 2 AS frames, 'out' || o_custkey AS output FROM orders")
+def session_sequences(t):
+    xml = F.format_string('<Sequence type="TSeries" cycle="%d" bidirectionalZ="%s"><VoltageOutput name="out%d"/><Frame index="1"/><Frame index="2"/></Sequence>', F.col("o_custkey") % 9, F.when(F.col("o_custkey") % 2 == 0, "True").otherwise("False"), "o_custkey")
+    return acquisition.session_sequences(t.select("o_orderkey", xml.alias("x")), ["o_orderkey"], "x")
