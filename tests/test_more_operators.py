@@ -191,3 +191,20 @@ def test_sources_round_trip(spark, tmp_path):
 def test_names_in_no_known_form_are_null(spark):
     df = spark.createDataFrame([("nothing",), (None,), ("",)], "n string").select(parse.acquisition(F.col("n")).alias("a"), acquisition.frame_file(F.col("n")).alias("f"), parse.experiment_code(F.col("n")).alias("e"))
     assert all(r.a is None and r.f is None and r.e is None for r in df.collect())
+
+
+def test_correlations_over_common_samples(spark, monkeypatch):
+    monkeypatch.setattr(stats, "BLOCK_UNITS", 4)
+    monkeypatch.setattr(stats, "BLOCK_SAMPLES", 7)
+    rng = np.random.default_rng(3)
+    values_ = rng.standard_normal((11, 30)) + 50
+    values_[rng.random((11, 30)) < 0.3] = np.nan
+    rows = [(g, u, k, None if np.isnan(v) else float(v)) for g in range(2) for u, line in enumerate(values_ * (g + 1)) for k, v in enumerate(line)]
+    df = spark.createDataFrame(rows, "g int, u int, k int, v double")
+    for covariance in (False, True):
+        got = {(r.g, r.a, r.b): r.r for r in stats.correlation_pairs(df, ["g"], ["k"], "u", "v", covariance=covariance).collect()}
+        assert sorted(got) == [(g, a, b) for g in range(2) for a in range(11) for b in range(a + 1, 11)]
+        for (g, a, b), r in got.items():
+            both = ~np.isnan(values_[a]) & ~np.isnan(values_[b])
+            x, y = values_[a][both] * (g + 1), values_[b][both] * (g + 1)
+            assert r == pytest.approx(np.cov(x, y)[0, 1] if covariance else np.corrcoef(x, y)[0, 1], abs=1e-9)

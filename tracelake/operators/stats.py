@@ -151,12 +151,69 @@ def anova(df: DataFrame, by: list[str], factor: str, value: str) -> DataFrame:
     })
 
 
+#: Units a side that a task correlates, and samples that it holds as a matrix at once.
+BLOCK_UNITS, BLOCK_SAMPLES = 256, 4096
+
+
+def _block_moments(one: list[tuple[np.ndarray, np.ndarray]], two: list[tuple[np.ndarray, np.ndarray]], covariance: bool) -> np.ndarray:
+    """Correlations of all units of two blocks over the samples that both units of a pair have; a unit is (sample numbers, values about its mean)."""
+    sums = {k: np.zeros((len(one), len(two))) for k in ("n", "x", "y", "xy", "xx", "yy")}
+    last = max((int(i[-1]) for i, _ in one + two if len(i)), default=-1)
+    for start in range(0, last + 1, BLOCK_SAMPLES):
+        width = min(BLOCK_SAMPLES, last + 1 - start)
+
+        def dense(units: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            v, m = np.zeros((len(units), width)), np.zeros((len(units), width))
+            for k, (at, values) in enumerate(units):
+                a, b = np.searchsorted(at, [start, start + width])
+                v[k, at[a:b] - start], m[k, at[a:b] - start] = values[a:b], 1.0
+            return v, m
+
+        (x, mx), (y, my) = dense(one), dense(two)
+        for k, left, right in (("n", mx, my), ("x", x, my), ("y", mx, y), ("xy", x, y), ("xx", x * x, my), ("yy", mx, y * y)):
+            sums[k] += left @ right.T
+    n = sums["n"]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        c = sums["xy"] - sums["x"] * sums["y"] / n
+        if covariance:
+            return np.where(n > 1, c / (n - 1), np.nan)
+        return np.where(n > 1, c / np.sqrt((sums["xx"] - sums["x"] ** 2 / n) * (sums["yy"] - sums["y"] ** 2 / n)), np.nan)
+
+
 def correlation_pairs(df: DataFrame, by: list[str], sample: list[str], unit: str, value: str, *, covariance: bool = False) -> DataFrame:
-    """(by, a, b, r) over unit pairs a < b, matched on the sample keys."""
-    a = df.select(*by, *sample, F.col(unit).alias("a"), F.col(value).alias("__x"))
-    b = df.select(*by, *sample, F.col(unit).alias("b"), F.col(value).alias("__y"))
-    agg = F.covar_samp if covariance else F.corr
-    return a.join(b, [*by, *sample]).filter("a < b").groupBy(*by, "a", "b").agg(agg("__x", "__y").alias("r"))
+    """(by, a, b, r) over unit pairs a < b, matched on the sample keys; null values are left out, pairs without a common sample too.
+
+    Each unit's samples are gathered once, units are dealt to blocks, and a task gets one pair
+    of blocks, whose correlations are matrix products.
+    """
+    kinds = dict(df.dtypes)
+    numbers = df.select(*by, *sample).distinct().withColumn("__i", F.row_number().over(W.partitionBy(*by).orderBy(*sample)) - 1)
+    known = df.filter(F.col(value).isNotNull()).join(numbers, [*by, *sample])
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("__i").alias("i"), F.col(value).cast("double").alias("v"))))
+    units = known.groupBy(*by, unit).agg(ordered.alias("__s"), F.avg(value).alias("__m"))
+    blocks = units.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK_UNITS).cast("int").alias("__blocks"))
+    dealt = units.join(blocks, by).withColumn("__block", F.pmod(F.xxhash64(unit), F.col("__blocks")).cast("int"))
+    dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    dealt = dealt.select(
+        *by, F.least("__block", "__other").alias("__one"), F.greatest("__block", "__other").alias("__two"), "__block", F.col(unit).alias("__unit"),
+        F.transform("__s", lambda s: s["i"]).alias("__at"), F.transform("__s", lambda s: s["v"] - F.col("__m")).alias("__v"),
+    )
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__unit")
+        one, two = pdf["__one"].iloc[0], pdf["__two"].iloc[0]
+        sides = [pdf[pdf["__block"] == k] for k in (one, two)]
+        lists = [[(np.asarray(i, np.int64), np.asarray(v, float)) for i, v in zip(d["__at"], d["__v"], strict=True)] for d in sides]
+        r = _block_moments(*lists, covariance)
+        left, right = (d["__unit"].to_numpy() for d in sides)
+        i, j = np.nonzero(~np.isnan(r))
+        keep = left[i] < right[j] if one == two else np.ones(len(i), bool)
+        x, y, r = left[i][keep], right[j][keep], r[i, j][keep]
+        swap = x > y
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in by}, "a": np.where(swap, y, x), "b": np.where(swap, x, y), "r": r})[[*by, "a", "b", "r"]]
+
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in by] + [f"a {kinds[unit]}, b {kinds[unit]}, r double"])
+    return dealt.groupBy(*by, "__one", "__two").applyInPandas(run, schema)
 
 
 def quantile_bins(df: DataFrame, value: str, n: int, by: list[str]) -> DataFrame:
