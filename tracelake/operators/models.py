@@ -10,11 +10,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelake.operators import align, filters, stats
+from tracelake.operators import align, designs, filters, kernels, stats
 
 
 def autoregression(df: DataFrame, keys: list[str], value: str, train_until: int, *, frame: str = "frame") -> DataFrame:
@@ -43,29 +44,30 @@ def fit_pulse(df: DataFrame, keys: list[str], value: str, starts: range, widths:
     """(keys, start, width, amplitude, level, sse): the rectangular pulse of least squared error on a grid of starts and widths.
 
     For each candidate the best level and amplitude are the means outside and inside, so the
-    error follows from four sums, and all candidates of a trace come from one pass.
+    error follows from four sums; those of all candidates of a trace are one matrix product.
+    Equal errors (to ten digits) are settled by the earlier start, then the smaller width.
     """
-    grid = F.explode(F.array(*[F.struct(F.lit(s).alias("start"), F.lit(w).alias("width")) for s in starts for w in widths]))
-    wide = df.select(*keys, frame, value, grid.alias("g"))
-    inside = (F.col(frame) >= F.col("g.start")) & (F.col(frame) < F.col("g.start") + F.col("g.width"))
-    v = F.col(value)
-    sums = wide.groupBy(*keys, "g").agg(
-        F.avg(F.when(inside, v)).alias("m1"), F.avg(F.when(~inside, v)).alias("m0"), F.count_if(inside).alias("n1"), F.count_if(~inside).alias("n0"), F.sum(v * v).alias("ss")
-    ).filter("n1 > 0 and n0 > 0")
-    sse = F.col("ss") - F.col("n1") * F.col("m1") * F.col("m1") - F.col("n0") * F.col("m0") * F.col("m0")
-    best = sums.groupBy(*keys).agg(F.min(F.struct(sse.alias("sse"), "g", "m1", "m0")).alias("b"))
-    return best.select(*keys, F.col("b.g.start").alias("start"), F.col("b.g.width").alias("width"), (F.col("b.m1") - F.col("b.m0")).alias("amplitude"), F.col("b.m0").alias("level"), F.col("b.sse").alias("sse"))
+    grid = np.array([(s, w) for s in starts for w in widths])
+    names = ("start", "width", "amplitude", "level", "sse")
+
+    def kernel(y: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+        inside = ((at >= grid[:, :1]) & (at < grid[:, :1] + grid[:, 1:])).astype(float)
+        n1, s1 = inside.sum(1), inside @ y
+        n0, s0 = len(y) - n1, y.sum() - s1
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sse = np.where((n1 > 0) & (n0 > 0), (y * y).sum() - s1 * s1 / n1 - s0 * s0 / n0, np.inf)
+        k = int(np.argmin(np.round(sse, 10)))
+        if not np.isfinite(sse[k]):
+            return {c: np.zeros(0, np.int32 if c in ("start", "width") else float) for c in names}
+        found = (grid[k, 0], grid[k, 1], s1[k] / n1[k] - s0[k] / n0[k], s0[k] / n0[k], sse[k])
+        return {c: np.array([v], np.int32 if c in ("start", "width") else float) for c, v in zip(names, found, strict=True)}
+
+    return kernels.per_trace(df, keys, value, kernel, {c: "int" if c in ("start", "width") else "double" for c in names}, frame=frame)
 
 
 def match_template(df: DataFrame, template: list[float], keys: list[str], value: str, max_shift: int, *, frame: str = "frame") -> DataFrame:
     """(keys, shift, corr): the shift of the template that correlates most with the trace, the smallest of several."""
-    n = len(template)
-    source = F.array(*[F.lit(float(x)) for x in template])
-    wide = df.withColumn("shift", F.explode(F.sequence(F.lit(-max_shift), F.lit(max_shift))))
-    place = F.col(frame) - F.col("shift")
-    wide = wide.filter((place >= 0) & (place < n)).withColumn("__t", F.get(source, place))
-    c = wide.groupBy(*keys, "shift").agg(F.corr(value, "__t").alias("corr")).filter("corr is not null and not isnan(corr)")
-    return c.groupBy(*keys).agg(F.max(F.struct("corr", (-F.col("shift")).alias("s"))).alias("b")).select(*keys, (-F.col("b.s")).alias("shift"), F.col("b.corr").alias("corr"))
+    return designs.match_stretched(df, template, keys, value, max_shift, [1.0], frame=frame).drop("stretch")
 
 
 def curve_by_line(df: DataFrame, line: str, x: str, value: str, grid: DataFrame) -> DataFrame:
