@@ -98,6 +98,11 @@ def map_slices(
     return df.mapInArrow(run, schema)
 
 
+def quoted(name: str) -> str:
+    """A column's name as ``col`` takes it, whatever it holds (``a.b``)."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding."""
     return column.cast(pa.binary()).to_pylist()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontaminate, embedding_dedup, language_id, line_dedup, lm_score, near_dedup, packing, secrets, token_files, url_filter
+from tracelake.llm import decontaminate, embedding_dedup, language_id, line_dedup, lm_score, near_dedup, packing, secrets, token_files, url_filter, whitening
 from tracelake.llm.common import crc_mod, work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +113,15 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_embeddings(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    by_component = white.select("*", F.posexplode(F.arrays_zip("whitened", "explained")).alias("component", "of"))
+    return by_component.select(
+        "vec_id", (F.col("component") + 1).alias("component"), "n", F.col("deviation").try_cast("long").alias("deviation"),
+        "of.whitened", "of.explained", "identity_error",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_language_id": op2_language_id,
@@ -124,6 +133,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_files": op8_token_files,
     "op9_secrets": op9_secrets,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_whitening": op11_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
