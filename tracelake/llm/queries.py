@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontaminate, embedding_dedup, language_id, line_dedup, lm_score, near_dedup, packing, secrets, token_files, url_filter, whitening
+from tracelake.llm import decontaminate, embedding_dedup, language_id, license_scan, line_dedup, lm_score, near_dedup, packing, secrets, token_files, url_filter, whitening
 from tracelake.llm.common import crc_mod, work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,6 +122,13 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_language_id": op2_language_id,
@@ -134,6 +141,7 @@ QUERIES: dict[str, Query] = {
     "op9_secrets": op9_secrets,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_whitening": op11_whitening,
+    "op12_license_scan": op12_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
