@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm import decontaminate, embedding_dedup, language_id, license_scan, line_dedup, lm_score, near_dedup, packing, secrets, token_files, url_filter, whitening
+from tracelake.llm import decontaminate, embedding_dedup, language_id, license_scan, line_dedup, lm_score, near_dedup, packing, secrets, spelling, token_files, url_filter, whitening
 from tracelake.llm.common import crc_mod, work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,6 +129,10 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_language_id": op2_language_id,
@@ -142,6 +146,7 @@ QUERIES: dict[str, Query] = {
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_whitening": op11_whitening,
     "op12_license_scan": op12_license_scan,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
