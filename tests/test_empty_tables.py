@@ -3,7 +3,7 @@
 import pyarrow.parquet as pq
 import pytest
 
-from tracelake.plans import more_queries  # noqa: F401
+from tracelake.plans import further_queries, more_queries  # noqa: F401
 from tracelake.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tracelake.plans import more_queries  # noqa: F401
+from tracelake.plans import further_queries, more_queries  # noqa: F401
 from tracelake.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

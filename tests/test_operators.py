@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.functions import dose, parse
-from tracelake.operators import aggregate, align, filters, kernels, reshape, signals, stats
+from tracelake.operators import aggregate, align, curves, filters, kernels, reshape, signals, stats
 from tracelake.sources import bundles
 
 
@@ -144,10 +144,10 @@ def test_components_and_curves(spark):
     assert got[0].share > 0.999 and got[1].loading == pytest.approx(2 / 5**0.5, abs=1e-3) and got[0].loading == pytest.approx(1 / 5**0.5, abs=1e-3)
     x = np.linspace(0, 10, 40)
     for kind, p in (("sigmoid", [4.0, 0.7, 3.0, 1.0]), ("gauss", [1.0, 2.0, 5.0, 1.2]), ("power", [2.0, 0.6]), ("linear", [3.0, -1.0])):
-        found, r2 = kernels.fit_curve(kind, x, kernels.CURVES[kind][0](x, p))
-        assert r2 > 0.999999 and np.abs(found) == pytest.approx(np.abs(p), rel=1e-3)
+        found, _, r2 = curves.fit_many(kind, [x], [curves.evaluate(kind, x[None], np.array([p]))[0][0]])
+        assert r2[0] > 0.999999 and np.abs(found[0]) == pytest.approx(np.abs(p), rel=1e-3)
     pts = spark.createDataFrame([(1, float(v), float(2 * v + 1)) for v in x], "g int, x double, y double")
-    row = one(kernels.fit_curves(pts, ["g"], "x", "y", ["origin", "linear"]))
+    row = one(curves.fit_curves(pts, ["g"], "x", "y", ["origin", "linear"]))
     assert row.kind == "linear" and row.parameters == pytest.approx([2, 1])
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelake.operators import kernels, signals, stats
+from tracelake.operators import curves, kernels, signals, stats
 
 
 def gaussian_weights(sigma: float) -> list[float]:
@@ -351,7 +351,7 @@ def gaussian_histogram(df: DataFrame, by: list[str], value: str, bins: int = 100
     width = (F.col("__b") - F.col("__a")) / bins
     grid = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).join(counts.select(*by, "bin", "n"), [*by, "bin"], "left")
     points = grid.select(*by, (F.col("__a") + (F.col("bin") + 0.5) * width).alias("x"), F.coalesce("n", F.lit(0)).cast("double").alias("y"))
-    fit = kernels.fit_curves(points, by, "x", "y", ["gauss"], -math.inf)
+    fit = curves.fit_curves(points, by, "x", "y", ["gauss"], -math.inf)
     names = ["level", "amplitude", "x0", "sigma"]
     return fit.select(*by, *[(F.abs(F.get("parameters", i)) if n == "sigma" else F.get("parameters", i)).alias(n) for i, n in enumerate(names)], "r2")
 
@@ -420,17 +420,3 @@ def circular_correlation_p(df: DataFrame, by: list[str], a: str, b: str) -> Data
 def complex_exponential(x: Column) -> Column:
     return F.struct(F.cos(x).alias("re"), F.sin(x).alias("im"))
 
-
-def predict(df: DataFrame, fits: DataFrame, by: list[str], x: str) -> DataFrame:
-    """``df`` with ``predicted`` by the fitted curve of its group (kind, parameters); null without one."""
-    v, p = F.col(x).cast("double"), lambda i: F.get("parameters", i)
-    curves = {
-        "linear": p(0) * v + p(1), "origin": p(0) * v, "power": p(0) * F.pow(F.greatest(v, F.lit(1e-12)), p(1)),
-        "sigmoid": p(3) + p(2) / (1 + F.exp(-(v - p(0)) / (F.abs(p(1)) + 1e-12))), "gauss": p(0) + p(1) * F.exp(-F.pow(v - p(2), F.lit(2)) / (2 * p(3) * p(3) + 1e-12)),
-        "parabola": p(0) * (v - p(1)) * (v - p(2)), "saturation": p(1) + p(0) * (1 - F.exp(-F.greatest(v, F.lit(0.0)) / (F.abs(p(2)) + 1e-12))),
-        "threshold": p(1) + p(0) * F.greatest(v - p(2), F.lit(0.0)), "root": p(1) + p(0) * F.sqrt(F.greatest(v - p(2), F.lit(0.0))), "decay": p(1) + p(0) * F.exp(-v / (F.abs(p(2)) + 1e-12)),
-    }
-    value = None
-    for name, curve in curves.items():
-        value = F.when(F.col("kind") == name, curve) if value is None else value.when(F.col("kind") == name, curve)
-    return df.join(fits.select(*by, "kind", "parameters"), by, "left").withColumn("predicted", value).drop("kind", "parameters")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracelake.operators import fits, kernels
+
 
 def frame_levels(df: DataFrame, agg=F.avg, *, stack: str = "stack", frame: str = "frame", value: str = "v") -> DataFrame:
     return df.groupBy(stack, frame).agg(agg(F.col(value)).alias("level"))
@@ -31,9 +33,11 @@ def quantile_mask(reference: DataFrame, q_min: float, q_max: float, *, stack: st
 
 
 def frame_regression(df: DataFrame, reference: DataFrame, *, kind: str = "ols", stack: str = "stack", frame: str = "frame", pixel: str = "pixel", value: str = "v") -> DataFrame:
-    """(stack, frame, slope, intercept) of each frame on the reference: ``ols``, ``origin`` or ``moments`` (ratio of deviations)."""
+    """(stack, frame, slope, intercept) of each frame on the reference: ``ols``, ``origin``, ``robust`` (Huber) or ``moments`` (ratio of deviations)."""
     both = df.join(reference, [stack, pixel])
     v = F.col(value)
+    if kind == "robust":
+        return fits.robust_fit(both, [stack, frame], "ref", value).select(stack, frame, "slope", "intercept")
     if kind == "origin":
         parts = ((F.sum(v * F.col("ref")) / F.sum(F.col("ref") * F.col("ref"))), F.lit(0.0))
     elif kind == "moments":
@@ -43,6 +47,17 @@ def frame_regression(df: DataFrame, reference: DataFrame, *, kind: str = "ols",
     return both.groupBy(stack, frame).agg(parts[0].alias("slope"), parts[1].alias("intercept"))
 
 
+def sampled_pixels(reference: DataFrame, share: float, *, seed: int = 0, stack: str = "stack", pixel: str = "pixel") -> DataFrame:
+    """A share of each stack's pixels, the same in every frame, by a hash of stack, pixel and seed."""
+    return reference.filter(F.pmod(F.xxhash64(F.lit(seed), stack, pixel), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+def smoothed_parameters(parameters: DataFrame, rate: float, cut: float, *, stack: str = "stack", frame: str = "frame") -> DataFrame:
+    """(stack, frame, slope, intercept) low-passed along the frames of each stack."""
+    slope, intercept = (kernels.zero_phase_filter(parameters, [stack], c, rate, cut, frame=frame) for c in ("slope", "intercept"))
+    return slope.join(intercept, [stack, frame])
+
+
 def correct_frames(df: DataFrame, parameters: DataFrame, *, stack: str = "stack", frame: str = "frame", value: str = "v") -> DataFrame:
     """(value - intercept) / slope, shifted up by stack if anything falls below zero."""
     fixed = df.join(parameters, [stack, frame]).withColumn(value, (F.col(value) - F.col("intercept")) / F.col("slope")).drop("slope", "intercept")

@@ -281,68 +281,6 @@ def covariance_components(cov: DataFrame, by: list[str], n: int) -> DataFrame:
     return cov.groupBy(*by).applyInPandas(run, schema)
 
 
-#: Curves of x and a parameter vector, with a start from the data.
-CURVES: dict[str, tuple[Callable, Callable]] = {
-    "linear": (lambda x, p: p[0] * x + p[1], lambda x, y: [0.0, y.mean()]),
-    "origin": (lambda x, p: p[0] * x, lambda x, y: [1.0]),
-    "power": (lambda x, p: p[0] * np.power(np.maximum(x, 1e-12), p[1]), lambda x, y: [y.max() / max(x.max(), 1e-12), 1.0]),
-    "sigmoid": (
-        lambda x, p: p[3] + p[2] / (1 + np.exp(-np.clip((x - p[0]) / (abs(p[1]) + 1e-12), -500, 500))),
-        lambda x, y: [np.median(x), (np.ptp(x) or 1) / 8, np.ptp(y), y.min()],
-    ),
-    "gauss": (
-        lambda x, p: p[0] + p[1] * np.exp(-((x - p[2]) ** 2) / (2 * p[3] ** 2 + 1e-12)),
-        lambda x, y: [y.min(), np.ptp(y), x[np.argmax(y)], (np.ptp(x) or 1) / 6],
-    ),
-    "parabola": (lambda x, p: p[0] * (x - p[1]) * (x - p[2]), lambda x, y: [1.0, x.min(), x.max()]),
-    "saturation": (lambda x, p: p[1] + p[0] * (1 - np.exp(-np.maximum(x, 0) / (abs(p[2]) + 1e-12))), lambda x, y: [np.ptp(y), y.min(), (np.ptp(x) or 1) / 3]),
-    "threshold": (lambda x, p: p[1] + p[0] * np.maximum(x - p[2], 0), lambda x, y: [np.ptp(y) / (np.ptp(x) or 1), y.min(), x.min()]),
-    "root": (lambda x, p: p[1] + p[0] * np.sqrt(np.maximum(x - p[2], 0)), lambda x, y: [np.ptp(y), y.min(), x.min()]),
-    "decay": (lambda x, p: p[1] + p[0] * np.exp(-x / (abs(p[2]) + 1e-12)), lambda x, y: [np.ptp(y), y.min(), (np.ptp(x) or 1) / 3]),
-}
-
-
-def fit_curve(kind: str, x: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """(parameters, r2) by damped Gauss-Newton with numeric derivatives."""
-    curve, start = CURVES[kind]
-    p = np.array(start(x, y), float)
-    damp, rest = 1e-3, y - curve(x, p)
-    for _ in range(rounds):
-        step = 1e-6 * np.maximum(np.abs(p), 1e-3)
-        jac = np.stack([(curve(x, p + s) - curve(x, p - s)) / (2 * s.sum()) for s in np.diag(step)], 1)
-        a = jac.T @ jac
-        move = np.linalg.lstsq(a + damp * np.diag(np.maximum(np.diag(a), 1e-12)), jac.T @ rest, rcond=None)[0]
-        new = y - curve(x, p + move)
-        if new @ new < rest @ rest:
-            done = rest @ rest - new @ new < 1e-12 * (rest @ rest)
-            p, rest, damp = p + move, new, damp / 5
-            if done:
-                break
-        else:
-            damp *= 5
-            if damp > 1e12:
-                break
-    total = ((y - y.mean()) ** 2).sum()
-    return p, float(1 - rest @ rest / total) if total else 0.0
-
-
-def fit_curves(df: DataFrame, by: list[str], x: str, y: str, kinds: list[str], r2_least: float = 0.2) -> DataFrame:
-    """(by, kind, parameters, r2): the best of the given curve families if it explains enough, else kind is null.
-
-    ``df`` holds aggregated points, so a group is one curve.
-    """
-    types = dict(df.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf.dropna(subset=[x, y]).sort_values(x)
-        xs, ys = d[x].to_numpy(np.float64), d[y].to_numpy(np.float64)
-        fits = [(r2, k, p) for k in kinds if len(xs) > 1 for p, r2 in [fit_curve(k, xs, ys)]]
-        r2, kind, p = max(fits, key=lambda f: f[0], default=(0.0, None, np.zeros(0)))
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in by}, "kind": [kind if r2 >= r2_least else None], "parameters": [p.tolist()], "r2": [r2]})
-
-    return df.groupBy(*by).applyInPandas(run, ", ".join([f"`{k}` {types[k]}" for k in by] + ["kind string, parameters array<double>, r2 double"]))
-
-
 def scaled_spectrum(spectra: DataFrame, by: list[str], *, normalize: bool = False, db: bool = False, fmax: float | None = None, freq: str = "freq", power: str = "power") -> DataFrame:
     """A spectrum table cut at ``fmax``, over its group's largest power if ``normalize``, with a ``db`` column if asked for."""
     out = spectra if fmax is None else spectra.filter(F.col(freq) <= fmax)

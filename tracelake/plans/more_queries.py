@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracelake.functions import dose, parse
-from tracelake.operators import acquisition, aggregate, align, designs, filters, frames, kernels, models, reshape, signals, stats, tables
+from tracelake.operators import acquisition, aggregate, align, curves, designs, filters, frames, kernels, models, reshape, signals, stats, tables
 from tracelake.plans import pipelines
 from tracelake.plans.queries import _PIXELS, TRACE, UNIT, pixels, query, r, rounded
 from tracelake.sources import bundles
@@ -708,8 +708,8 @@ def complex_phases(t):
 @query("stats")
 def curve_predictions(t):
     points = t.groupBy("dataset", "p").agg(F.avg("price").alias("price")).withColumn("price", F.col("price") / 1000)
-    fits = kernels.fit_curves(points, ["dataset"], "p", "price", ["linear", "power", "sigmoid", "parabola", "saturation", "threshold", "root", "decay"], 0.0)
-    return rounded(designs.predict(points, fits, ["dataset"], "p"), 2)
+    fits = curves.fit_curves(points, ["dataset"], "p", "price", ["linear", "power", "sigmoid", "parabola", "saturation", "threshold", "root", "decay"], 0.0)
+    return rounded(curves.predict_curves(points, fits, ["dataset"], "p"), 2)
 
 
 @query("flat")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelake.functions import dose, parse
-from tracelake.operators import aggregate, align, filters, frames, kernels, models, reshape, signals, stats
+from tracelake.operators import aggregate, align, curves, filters, frames, kernels, models, reshape, signals, stats
 from tracelake.plans import views
 from tracelake.plans.pipelines import responder_fraction
 from tracelake.sources import bundles
@@ -735,7 +735,7 @@ def principal_components(t):
 @query("stats")
 def dose_curves(t):
     points = t.groupBy("dataset", "p").agg(F.avg("price").alias("price"))
-    return rounded(kernels.fit_curves(points, ["dataset"], "p", "price", ["linear", "power", "sigmoid"], 0.0).drop("parameters"), 3)
+    return rounded(curves.fit_curves(points, ["dataset"], "p", "price", ["linear", "power", "sigmoid"], 0.0).withColumn("parameters", F.transform("parameters", lambda v: F.round(v, 3))).drop("covariance"), 3)
 
 
 # templates, forecasts and dose responses
