@@ -128,18 +128,6 @@ def test_p_values_both_ways(spark):
     assert designs.z_maximum_threshold(0.05, 1) == pytest.approx(1.644854, abs=1e-6)
 
 
-def test_raster_artifact_is_found(spark):
-    rng = np.random.default_rng(1)
-    rows = []
-    for f in range(12):
-        for y in range(32):
-            shape = np.cos(2 * np.pi * y / 32) + 0.5 * np.sin(4 * np.pi * y / 32)
-            rows.append((1, f, y, float((1 + 0.1 * f) * shape + rng.normal() * 1e-6)))
-    df = spark.createDataFrame(rows, "k int, frame int, row int, v double")
-    left = designs.raster_artifact(df, ["k"], "row", "v", 32, 6).select((F.col("v") - F.col("artifact")).alias("d"))
-    assert max(abs(r.d) for r in left.collect()) < 1e-2
-
-
 def test_gaussian_histogram_and_classes(spark):
     rng = np.random.default_rng(2)
     df = spark.createDataFrame([(1, float(x)) for x in rng.normal(3, 2, 4000)], "g int, v double")

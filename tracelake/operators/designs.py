@@ -113,15 +113,6 @@ def detect_across_trials(df: DataFrame, keys: list[str], value: str, first: int,
     return df.filter((F.col(frame) >= first) & (F.col(frame) < stop)).groupBy(*keys, trial).agg(agg(F.col(value)).alias(value))
 
 
-def intraframe_corrected(df: DataFrame, keys: list[str], row: str, value: str, reference: int, before: int = 3, *, frame: str = "frame") -> DataFrame:
-    """Row signals less their frames' level before the stimulus and less the mean row profile of the ``before`` frames before it."""
-    pre = (F.col(frame) < reference) & (F.col(frame) >= reference - before)
-    level = df.groupBy(*keys).agg(F.median(F.when(pre, F.col(value))).alias("__l"))
-    flat = df.join(level, keys).withColumn(value, F.col(value) - F.col("__l")).drop("__l")
-    profile = flat.filter(pre).groupBy(*keys, row).agg(F.avg(value).alias("__p"))
-    return flat.join(profile, [*keys, row]).withColumn(value, F.col(value) - F.col("__p")).drop("__p")
-
-
 def fourier_design(phase: Column, harmonics: int) -> list[Column]:
     """Cosines and sines of the harmonics of a phase in turns."""
     return [f(2 * math.pi * h * phase).alias(f"{n}{h}") for h in range(1, harmonics + 1) for n, f in (("c", F.cos), ("s", F.sin))]
@@ -172,22 +163,6 @@ def linear_prediction(df: DataFrame, fit: DataFrame, by: list[str], features: li
     return df.join(fit, by).withColumn("predicted", terms).drop("intercept", "coefficients")
 
 
-def raster_artifact(df: DataFrame, keys: list[str], row: str, value: str, rows: int, reference: int, before: int = 3, harmonics: int = 5, penalty: float = 1e-5, *, frame: str = "frame") -> DataFrame:
-    """``df`` with ``artifact``: the row profile before the stimulus, as a Fourier template of unit root mean square, times an amplitude with a trend over frames."""
-    phase = (F.col(row) / rows).alias("__phase")
-    base = df.select(*df.columns, *fourier_design(F.col(row) / rows, harmonics)).withColumn("__phase", phase)
-    names = [f"{n}{h}" for h in range(1, harmonics + 1) for n in "cs"]
-    pre = base.filter((F.col(frame) < reference) & (F.col(frame) >= reference - before))
-    shape = ridge(pre, keys, names, value, penalty)
-    drawn = base.join(shape, keys).withColumn("__t", sum((F.col(f) * F.get("coefficients", i) for i, f in enumerate(names)), F.lit(0.0))).drop("intercept", "coefficients", *names, "__phase")
-    scale = drawn.groupBy(*keys).agg(F.sqrt(F.avg(F.col("__t") * F.col("__t"))).alias("__rms"))
-    unit = drawn.join(scale, keys).withColumn("__t", F.col("__t") / F.when(F.col("__rms") > 0, F.col("__rms"))).drop("__rms")
-    trend = unit.withColumns({"__f": F.col(frame).cast("double"), "__tf": F.col("__t") * F.col(frame)})
-    fit = ridge(trend.filter(F.col("__t").isNotNull()), keys, ["__t", "__tf", "__f"], value, penalty)
-    out = trend.join(fit, keys).withColumn("artifact", F.coalesce(F.col("__t") * F.get("coefficients", 0) + F.col("__tf") * F.get("coefficients", 1), F.lit(0.0)))
-    return out.drop("__t", "__tf", "__f", "intercept", "coefficients")
-
-
 def autoregression(df: DataFrame, keys: list[str], value: str, order: int, train_until: int, *, frame: str = "frame") -> DataFrame:
     """(keys, intercept, coefficients): least squares of each trace on its ``order`` samples before, over frames before ``train_until``."""
     run = W.partitionBy(*keys).orderBy(frame)
@@ -250,12 +225,6 @@ def match_stretched(df: DataFrame, template: list[float], keys: list[str], value
     return kernels.per_trace(df, keys, value, kernel, {"stretch": "double", "shift": "int", "corr": "double"}, frame=frame)
 
 
-def dip_template(frame: Column, onset: int, duration: float, rate: float, fps: float) -> Column:
-    """Minus one on the frames of a stimulus train, one frame late, else zero."""
-    t = (frame - 1 - onset) / F.lit(float(fps))
-    return F.when((t >= 0) & (t < duration), -1.0).otherwise(0.0)
-
-
 def regression_with_p(df: DataFrame, by: list[str], x: str, y: str, *, intercept: bool = True) -> DataFrame:
     """(by, slope, intercept, r2, t, n, p)."""
     fit = stats.linear_regression(df, by, x, y, intercept=intercept)

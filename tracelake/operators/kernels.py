@@ -49,6 +49,36 @@ def per_trace(df: DataFrame, keys: list[str], value: str, kernel: Callable, colu
     return rows.mapInArrow(run, schema)
 
 
+def per_signals(df: DataFrame, keys: list[str], order: str, values: list[str], kernel: Callable, columns: dict[str, str]) -> DataFrame:
+    """As ``per_trace`` for traces of several signals: the kernel gets the places and one array a signal, and rows where any of them is missing are left out."""
+    kinds = dict(df.dtypes)
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{c}` {t}" for c, t in columns.items()])
+    types = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    known = df.filter(F.col(order).isNotNull())
+    for v in values:
+        known = known.filter(F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double")))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("f"), *[F.col(v).cast("double").alias(f"x{i}") for i, v in enumerate(values)])))
+    names = ["f", *[f"x{i}" for i in range(len(values))]]
+    rows = known.groupBy(*keys).agg(ordered.alias("__s")).select(*keys, *[F.col("__s").getField(n).alias(f"__{n}") for n in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts = []
+            for k in range(len(keys), len(keys) + len(names)):
+                ends = np.cumsum(pc.list_value_length(batch.column(k)).to_numpy(zero_copy_only=False))
+                parts.append(np.split(batch.column(k).flatten().to_numpy(zero_copy_only=False), ends[:-1]))
+            outs = [kernel(*signals) for signals in zip(*parts, strict=True)]
+            index = pa.array(np.repeat(np.arange(len(outs)), [len(next(iter(o.values()))) for o in outs]))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k).take(index) for k in range(len(keys))), *(pa.array(np.concatenate([np.asarray(o[c]) for o in outs]), types[t], from_pandas=True) for c, t in columns.items())],
+                names=[*keys, *columns],
+            )
+
+    return rows.mapInArrow(run, schema)
+
+
 def power_spectrum(df: DataFrame, keys: list[str], value: str, rate: float, **names) -> DataFrame:
     """(keys, freq, power): one-sided density of each trace about its mean."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake.operators import curves, fits, frames
+from tracelake.operators import curves, fits, frames, models, scans
 from tracelake.plans.queries import _PIXELS, TRACE, UNIT, pixels, query, r, rounded
 
 # robust regression: the rounds of the fit, written out
@@ -150,3 +150,93 @@ def best_curves(t):
     f = curves.fit_curves(_points(t), ["dataset"], "p", "price", sorted(curves.FAMILIES), 0.0)
     errors = curves.parameter_errors(F.size("parameters"), F.col("covariance"))
     return rounded(f.select("dataset", "kind", *[F.transform(c, lambda v: F.round(v, 2)).alias(n) for c, n in ((F.col("parameters"), "parameters"), (errors, "errors"))], "r2", "n"), 4)
+
+
+# scan lines: trials as frames, and the frames of a trial as its lines
+
+_LINES_OF = "y AS (SELECT dataset, roi, trial AS frame, frame AS line, v FROM traces)"
+
+
+def _lines(t):
+    return t.select("dataset", "roi", F.col("trial").alias("frame"), F.col("frame").alias("line"), "v")
+
+
+@query("traces", f"""
+, {_LINES_OF}, l AS (SELECT dataset, roi, median(v) AS l FROM y WHERE frame <= 4 GROUP BY ALL), z AS (SELECT y.dataset, y.roi, frame, line, v - l AS v FROM y JOIN l USING (dataset, roi)),
+p AS (SELECT dataset, roi, line, avg(v) AS p FROM z WHERE frame BETWEEN 1 AND 3 GROUP BY ALL)
+SELECT z.dataset, z.roi, z.frame, z.line, {r('v - p')} AS v FROM z JOIN p USING (dataset, roi, line)""")
+def intraframe_corrected(t):
+    return rounded(scans.intraframe_corrected(_lines(t), UNIT, "v", 4, row="line"))
+
+
+#: Place i of 8 lines, mirrored at both ends.
+_MIRROR = "(CASE WHEN {i} < 0 THEN -1 - {i} WHEN {i} > 7 THEN 15 - {i} ELSE {i} END + 1)"
+
+
+@query("traces", f"""
+, {_LINES_OF}, l AS (SELECT dataset, roi, median(v) AS l FROM y WHERE frame <= 4 GROUP BY ALL), z AS (SELECT y.dataset, y.roi, frame, line, v - l AS v FROM y JOIN l USING (dataset, roi)),
+e AS (SELECT dataset, roi, frame, max(v) FILTER (WHERE line = 7) AS last, max(v) FILTER (WHERE line = 0) AS first FROM z GROUP BY ALL), k AS (SELECT *, lag(last) OVER (PARTITION BY dataset, roi ORDER BY frame) AS before FROM e),
+d AS (SELECT z.dataset, z.roi, z.frame, line, v - CASE WHEN z.frame = 0 THEN first + (last - first) * line / 7.0::DOUBLE ELSE before + (last - before) * (line + 1) / 8.0::DOUBLE END AS v FROM z JOIN k USING (dataset, roi, frame)),
+p AS (SELECT dataset, roi, line, avg(v) AS p FROM d WHERE frame BETWEEN 2 AND 3 GROUP BY ALL), c AS (SELECT d.dataset, d.roi, d.frame, d.line, v - p AS v FROM d JOIN p USING (dataset, roi, line)),
+a AS (SELECT dataset, roi, frame, list(v ORDER BY line) AS x FROM c GROUP BY ALL),
+m AS (SELECT *, list_transform(range(0, 8), lambda i: list_max(list_transform(range(i - 1, i + 2), lambda j: x[{_MIRROR.format(i='j')}]))) AS top FROM a),
+g AS (SELECT *, list_transform(range(0, 8), lambda i: list_sum(list_transform(range(-4, 5), lambda h: exp(-0.5::DOUBLE * h * h) * top[{_MIRROR.format(i='(i + h)')}])) / list_sum(list_transform(range(-4, 5), lambda h: exp(-0.5::DOUBLE * h * h)))) AS base FROM m)
+SELECT dataset, roi, frame, CAST(i AS INT) AS line, {r('x[i + 1] - base[i + 1]')} AS v FROM (SELECT *, unnest(range(0, 8)) AS i FROM g)""")
+def intraframe_detrended(t):
+    return rounded(scans.intraframe_corrected(_lines(t), UNIT, "v", 4, before=2, detrend=True, window=3, row="line"))
+
+
+@query("traces", f"""
+, b AS (SELECT dataset, trial, frame AS line, avg(v) AS v FROM traces GROUP BY ALL), y AS (SELECT dataset, trial AS frame, line, v, avg(v) OVER (PARTITION BY dataset, trial) AS slow FROM b),
+w AS (SELECT *, sin(2 * pi() * line / 8.0) AS s1, cos(2 * pi() * line / 8.0) AS c1, sin(4 * pi() * line / 8.0) AS s2, cos(4 * pi() * line / 8.0) AS c2, frame BETWEEN 1 AND 4 AS pre FROM y),
+k AS (SELECT dataset, avg((v - slow) * s1) * 2 AS a1, avg((v - slow) * c1) * 2 AS b1, avg((v - slow) * s2) * 2 AS a2, avg((v - slow) * c2) * 2 AS b2, median(slow) AS mid FROM w WHERE pre GROUP BY dataset),
+t AS (SELECT w.*, a1 * s1 + b1 * c1 + a2 * s2 + b2 * c2 AS raw, slow - mid AS h FROM w JOIN k USING (dataset)), q AS (SELECT dataset, quantile_cont(abs(h), 0.75) FILTER (WHERE pre) AS scale, sqrt(avg(raw * raw)) AS rms FROM t GROUP BY dataset),
+x AS (SELECT t.dataset, frame, line, v, raw / rms AS p, raw / rms * h / scale AS q FROM t JOIN q USING (dataset)),
+g AS (SELECT dataset, avg(p * p) - avg(p) ** 2 + 1e-5 / count(*) AS pp, avg(p * q) - avg(p) * avg(q) AS pq, avg(q * q) - avg(q) ** 2 + 1e-5 / count(*) AS qq, avg(p * v) - avg(p) * avg(v) AS pv, avg(q * v) - avg(q) * avg(v) AS qv FROM x GROUP BY dataset)
+SELECT x.dataset, frame, line, {r('v')} AS v, {r('(p * (pv * qq - qv * pq) + q * (qv * pp - pv * pq)) / (pp * qq - pq * pq)')} AS artifact FROM x JOIN g USING (dataset)""")
+def raster_artifacts(t):
+    means = t.groupBy("dataset", F.col("trial").alias("frame"), F.col("frame").alias("line")).agg(F.avg("v").alias("v"))
+    slow = means.join(means.groupBy("dataset", "frame").agg(F.avg("v").alias("slow")), ["dataset", "frame"])
+    return rounded(scans.raster_artifact(slow, ["dataset"], "v", "slow", 5, before=4, harmonics=2, row="line"))
+
+
+@query("traces")
+def raster_artifacts_smooth(t):
+    means = t.groupBy("dataset", F.col("trial").alias("frame"), F.col("frame").alias("line")).agg(F.avg("v").alias("v"))
+    slow = means.join(means.groupBy("dataset", "frame").agg(F.avg("v").alias("slow")), ["dataset", "frame"])
+    return rounded(scans.raster_artifact(slow, ["dataset"], "v", "slow", 5, before=4, harmonics=2, splines=7, mode="smooth", row="line"), 5)
+
+
+@query("flat", """
+, t AS (SELECT dataset, roi, frame, (frame - 1) / 256.0::DOUBLE - 0.03::DOUBLE AS t FROM flat), k AS (SELECT *, floor(t * 40 + 1e-9) AS k FROM t)
+SELECT dataset, roi, frame, CASE WHEN frame >= 1 AND k >= 0 AND k < 5 AND t * 40 - k <= 0.5 + 1e-9 THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS template, CASE WHEN frame >= 12 AND frame < 20 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS pulse FROM k""")
+def templates_drawn(t):
+    at = F.col("frame")
+    return t.select(*UNIT, "frame", scans.stimulus_template(at, 0.03, 0.125, 40, 50, 4, 64).alias("template"), models.pulse_template(at, 12, 8, 2.0, 1.0).alias("pulse"))
+
+
+@query("flat", f"""
+, lines AS (SELECT CAST(unnest(range(0, 64)) AS INT) AS i), e AS (SELECT i, (i - 1) / 256.0::DOUBLE - 0.03::DOUBLE AS t FROM lines),
+w AS (SELECT i, CASE WHEN i >= 1 AND floor(t * 40 + 1e-9) >= 0 AND floor(t * 40 + 1e-9) < 5 AND t * 40 - floor(t * 40 + 1e-9) <= 0.5 + 1e-9 THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS w FROM e),
+z AS (SELECT i, (w - avg(w) OVER ()) / stddev_pop(w) OVER () AS w FROM w), y AS (SELECT dataset, roi, list((v - m) / s ORDER BY frame) AS y FROM (SELECT *, avg(v) OVER u AS m, stddev_pop(v) OVER u AS s FROM flat WINDOW u AS (PARTITION BY dataset, roi)) GROUP BY ALL),
+c AS (SELECT j, CASE WHEN j = 3 THEN 0.0::DOUBLE ELSE -0.06::DOUBLE + 0.02::DOUBLE * j END AS c FROM (SELECT unnest(range(0, 7)) AS j)), p AS (SELECT j, c, i, i / (1 + c) AS place FROM c, lines WHERE i / (1 + c) <= 63 + 1e-9),
+s AS (SELECT dataset, roi, j, c, i, y[CAST(floor(place + 1e-12) AS INT) + 1] * (1 - (place - floor(place + 1e-12))) + coalesce(y[CAST(floor(place + 1e-12) AS INT) + 2], 0) * (place - floor(place + 1e-12)) AS x FROM y, p),
+k AS (SELECT CAST(unnest(range(-4, 5)) AS INT) AS k),
+o AS (SELECT dataset, roi, j, c, k, round(sum(x * w) / 64, 10) AS o FROM s, k JOIN z ON z.i = s.i + k GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY dataset, roi ORDER BY o DESC, j, k) AS n, max(o) FILTER (WHERE j = 3 AND k = 0) OVER (PARTITION BY dataset, roi) AS f FROM o)
+SELECT dataset, roi, {r('f')} AS first_corr, {r('o')} AS corr, k AS shift, {r('100 * c')} AS stretch, {r('256 / (1 + c)')} AS effective_rate, {r('1000 * k * (1 + c) / 256')} AS offset_ms FROM b WHERE n = 1""")
+def stimulus_matches(t):
+    return rounded(scans.match_stimulus(t, UNIT, "v", onset=0.03, duration=0.125, rate=40, duty_cycle=50, fps=4, lines=64, most_shift=0.016, stretch_range=0.06, stretches=7, row="frame"))
+
+
+@query("traces", f"""
+, l AS (SELECT *, lag(v) OVER (PARTITION BY dataset, roi ORDER BY trial, frame) AS p FROM traces), a AS (SELECT dataset, roi, regr_slope(v, p) AS phi, regr_intercept(v, p) AS c FROM l GROUP BY ALL),
+s AS (SELECT dataset, roi, trial, v AS s FROM traces WHERE frame = 3)
+SELECT t.dataset, t.roi, t.trial, t.frame, {r('v')} AS v, {r('CASE WHEN frame BETWEEN 4 AND 6 THEN pow(phi, frame - 3) * s + c * (1 - pow(phi, frame - 3)) / (1 - phi) ELSE v END')} AS predicted FROM traces t JOIN a USING (dataset, roi) JOIN s USING (dataset, roi, trial)""")
+def pooled_forecasts(t):
+    return rounded(scans.pooled_forecast(t, UNIT, "v", 4, 6, order=1))
+
+
+@query("traces")
+def pooled_surrogate_forecasts(t):
+    return rounded(scans.pooled_forecast(t, UNIT, "v", 4, 6, surrogate="phase", seed=3))

@@ -552,20 +552,6 @@ def detected_across_trials(t):
     return rounded(designs.detect_across_trials(t, UNIT, "v", 3, 7, F.max))
 
 
-@query("traces", f"""
-, l AS (SELECT dataset, trial, median(v) FILTER (WHERE frame IN (1, 2, 3)) AS l FROM traces GROUP BY ALL), f AS (SELECT t.dataset, t.trial, t.roi, t.frame, v - l AS v FROM traces t JOIN l USING (dataset, trial)),
-p AS (SELECT dataset, trial, roi, avg(v) AS p FROM f WHERE frame IN (1, 2, 3) GROUP BY ALL)
-SELECT f.dataset, f.trial, f.roi, f.frame, {r('v - p')} AS v FROM f JOIN p USING (dataset, trial, roi)""")
-def intraframe_corrected(t):
-    return rounded(designs.intraframe_corrected(t, ["dataset", "trial"], "roi", "v", 4).select("dataset", "trial", "roi", "frame", "v"))
-
-
-@query("traces")
-def raster_artifacts(t):
-    rows = t.groupBy("dataset", "roi", "frame").agg(F.avg("v").alias("v")).withColumn("row", F.col("roi") % 8).groupBy("dataset", "frame", "row").agg(F.avg("v").alias("v"))
-    return rounded(designs.raster_artifact(rows, ["dataset"], "row", "v", 8, 4, harmonics=2), 5)
-
-
 @query("stats", f"""
 , s AS (SELECT dataset, avg(p) AS mx, avg(dc) AS my, avg(q) AS mz, covar_pop(p, p) AS xx, covar_pop(p, dc) AS xy, covar_pop(dc, dc) AS yy, covar_pop(p, q) AS xz, covar_pop(dc, q) AS yz FROM stats GROUP BY dataset),
 c AS (SELECT *, (xz * yy - yz * xy) / (xx * yy - xy * xy) AS a, (yz * xx - xz * xy) / (xx * yy - xy * xy) AS b FROM s)
@@ -603,12 +589,6 @@ def stretched_templates(t):
     return rounded(designs.match_stretched(t, template, UNIT, "v", 5, [0.95 + 0.001 * k for k in range(101)]))
 
 
-@query("flat", "SELECT dataset, roi, frame, CASE WHEN frame - 1 >= 10 AND (frame - 1 - 10) / 3.56 < 2.0 THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS template, CASE WHEN frame >= 12 AND frame < 20 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS pulse FROM flat")
-def templates_drawn(t):
-    at = F.col("frame")
-    return t.select(*UNIT, "frame", designs.dip_template(at, 10, 2.0, 100, 3.56).alias("template"), models.pulse_template(at, 12, 8, 2.0, 1.0).alias("pulse"))
-
-
 @query("stats")
 def regression_p_values(t):
     fit = designs.regression_with_p(t, ["dataset"], "q", "price")
