@@ -105,6 +105,57 @@ def welch_spectrum(df: DataFrame, keys: list[str], value: str, rate: float, segm
     return per_trace(df, keys, value, kernel, {"freq": "double", "power": "double"}, **names)
 
 
+def tukey(n: int, taper: float) -> np.ndarray:
+    """A window of period ``n`` that is flat but for cosine slopes over ``taper`` of its length."""
+    k = np.arange(n)
+    if taper <= 0 or n == 1:
+        return np.ones(n)
+    edge = min(taper, 1.0) * n / 2
+    return np.where(k < edge, 0.5 * (1 - np.cos(np.pi * k / edge)), np.where(k > n - edge, 0.5 * (1 - np.cos(np.pi * (n - k) / edge)), 1.0))
+
+
+def spectrogram(
+    df: DataFrame, keys: list[str], value: str, rate: float, *, span: float, resolution: float | None = None, overlap: float = 0.5, window: str = "tukey", taper: float = 0.25, start: float = 0.0,
+    frame: str = "frame",
+) -> DataFrame:
+    """(keys, t, freq, magnitude): spectra of segments of ``span`` seconds, less their mean, under a window.
+
+    ``resolution``: distance of the frequencies in Hz, 1 / span unless given; a finer one pads
+    segments with zeros, a coarser one is refused. ``t`` is the middle of a segment from
+    ``start`` on; ``magnitude`` is over the window's sum, so a sine of amplitude 1 has one half.
+    Segments are cut inside the gathered trace; one shorter than a segment has no rows.
+    """
+    resolution = 1 / span if resolution is None else resolution
+    if resolution * span > 1 + 1e-9:
+        raise ValueError("resolution times span must be 1 at most")
+    size, padded = int(round(span * rate)), int(round(rate / resolution))
+    step = size - int(round(overlap * size))
+    if size < 1 or step < 1:
+        raise ValueError("segments need a sample, and an overlap below their length")
+    k = np.arange(size)
+    shape = {"tukey": lambda: tukey(size, taper), "hann": lambda: 0.5 - 0.5 * np.cos(2 * np.pi * k / size), "hamming": lambda: 0.54 - 0.46 * np.cos(2 * np.pi * k / size)}[window]()
+    freq = np.fft.rfftfreq(max(padded, size), 1 / rate)
+
+    def kernel(y: np.ndarray, _: np.ndarray) -> dict[str, np.ndarray]:
+        if len(y) < size:
+            return {c: np.zeros(0) for c in ("t", "freq", "magnitude")}
+        parts = np.lib.stride_tricks.sliding_window_view(y, size)[::step]
+        m = np.abs(np.fft.rfft((parts - parts.mean(1, keepdims=True)) * shape, max(padded, size), axis=1)) / shape.sum()
+        t = start + (size / 2 + step * np.arange(len(parts))) / rate
+        return {"t": np.repeat(t, len(freq)), "freq": np.tile(freq, len(parts)), "magnitude": m.ravel()}
+
+    return per_trace(df, keys, value, kernel, {"t": "double", "freq": "double", "magnitude": "double"}, frame=frame)
+
+
+def mean_spectrum(df: DataFrame, keys: list[str], over: list[str], value: str, rate: float, **names) -> DataFrame:
+    """(keys, freq, power): squared amplitudes in frequency, averaged over the traces ``over`` that a group has, such as pixels of a stack or trials of a unit."""
+
+    def kernel(y: np.ndarray, _: np.ndarray) -> dict[str, np.ndarray]:
+        return {"freq": np.fft.rfftfreq(len(y), 1 / rate), "power": np.abs(np.fft.rfft(y)) ** 2}
+
+    return per_trace(df, [*keys, *over], value, kernel, {"freq": "double", "power": "double"}, **names).groupBy(*keys, "freq").agg(F.avg("power").alias("power"))
+
+
 def analytic(y: np.ndarray) -> np.ndarray:
     """Analytic signal by doubling the positive frequencies."""
     n = len(y)

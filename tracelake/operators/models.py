@@ -138,16 +138,54 @@ def status_by_first_date(df: DataFrame, subject: str, date: str) -> DataFrame:
     return days.withColumn("status", F.when(F.col("day") == first, "pre").otherwise("post"))
 
 
-def extrapolate(df: DataFrame, keys: list[str], value: str, frames: list[int], *, frame: str = "frame", order: int = 1) -> DataFrame:
-    """Replace the given frames by the polynomial of ``order`` (0 to 3) through the frames before, never below zero.
+def end_weights(past: int, order: int) -> np.ndarray:
+    """What the ``past`` samples before a place count in the interpolating spline of ``order`` carried on to it.
 
-    Where there are too few frames before, the highest order that they allow is taken.
+    Knots are at the samples for order 1, between them for order 2 and at all but the second
+    and the last but one for order 3 (no knot); order 0 repeats the last sample.
     """
-    run = W.partitionBy(*keys).orderBy(frame)
-    before = [F.lag(value, k).over(run) for k in range(1, order + 2)]
-    weights = [[(-1) ** k * math.comb(n + 1, k + 1) for k in range(n + 1)] for n in range(order, -1, -1)]
-    guess = F.coalesce(*[sum(w * b for w, b in zip(row, before, strict=False)) for row in weights])
-    return df.withColumn(value, F.when(F.col(frame).isin(*frames) & guess.isNotNull(), F.greatest(guess, F.lit(0.0))).otherwise(F.col(value)))
+    if past < max(2, order + 1) or order not in (0, 1, 2, 3):
+        raise ValueError("a spline of order 0 to 3 needs more samples than its order, and two at least")
+    if order == 0:
+        return np.eye(past)[-1]
+    x = np.arange(past, dtype=float)
+    inner = {1: x[1:-1], 2: (x[1:-2] + x[2:-1]) / 2, 3: x[2:-2]}[order]
+    if order == 2:
+        inner = inner[: max(0, past - 3)]
+    t = np.concatenate([[x[0]] * (order + 1), inner, [x[-1]] * (order + 1)])
+    last = len(t) - order - 2  # the interval whose polynomials are carried on
+
+    def basis(u: float) -> np.ndarray:
+        at = last if u >= t[last] else int(np.searchsorted(t, u, "right")) - 1
+        b = np.zeros(len(t) - 1)
+        b[at] = 1.0
+        for d in range(1, order + 1):
+            b = np.array([
+                ((u - t[i]) / (t[i + d] - t[i]) * b[i] if t[i + d] > t[i] else 0.0) + ((t[i + d + 1] - u) / (t[i + d + 1] - t[i + 1]) * b[i + 1] if t[i + d + 1] > t[i + 1] else 0.0)
+                for i in range(len(t) - 1 - d)
+            ])
+        return b
+
+    return np.linalg.solve(np.stack([basis(u) for u in x]).T, basis(float(past)))
+
+
+def extrapolate(df: DataFrame, keys: list[str], value: str, frames: list[int], *, frame: str = "frame", order: int = 3, past: int = 5) -> DataFrame:
+    """(keys, frame, value) with the given frames replaced, one after another, by the spline of ``order`` through the ``past`` frames before, never below zero.
+
+    A frame without so many frames right before it stays as it is. Replaced frames count
+    for later ones.
+    """
+    weights, wanted = end_weights(past, order), sorted(set(frames))
+
+    def kernel(y: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+        y = y.copy()
+        for f in wanted:
+            i = int(np.searchsorted(at, f))
+            if past <= i < len(at) and at[i] == f and at[i - past] == f - past:
+                y[i] = max(float(weights @ y[i - past : i]), 0.0)
+        return {frame: at, value: y}
+
+    return kernels.per_trace(df, keys, value, kernel, {frame: dict(df.dtypes)[frame], value: "double"}, frame=frame)
 
 
 def split_index(df: DataFrame, index: str, size: int, segment: str, place: str) -> DataFrame:

@@ -83,6 +83,27 @@ def exclusion_combinations(df: DataFrame, flags: list[str], by: list[str]) -> Da
     return counts.withColumn("percent", 100 * F.col("n") / F.sum("n").over(W.partitionBy(*by)))
 
 
+def traces_by_exclusion(df: DataFrame, flags: list[str], by: list[str], time: str, value: str, *, combined: bool = True) -> DataFrame:
+    """(by, criteria, time, mean, n, percent): mean trace of the rows that carry none of a set of flags, for no flag, each flag and, if ``combined``, every set of them.
+
+    ``percent``: share of the group's rows that the criteria exclude. Rows are summed once by
+    the flags they carry; the sums of a set of criteria are those of all flag sets apart from it.
+    """
+    carried = sum((F.when(F.coalesce(F.col(f), F.lit(False)), 1 << k).otherwise(0) for k, f in enumerate(flags)), F.lit(0))
+    sums = df.withColumn("__set", carried).groupBy(*by, time, "__set").agg(F.sum(value).alias("__s"), F.count(value).alias("__n"), F.count("*").alias("__all"))
+    masks = [m for m in range(1 << len(flags)) if combined or m.bit_count() <= 1]
+    names = F.create_map(*[v for m in masks for v in (F.lit(m), F.lit(" & ".join(f for k, f in enumerate(flags) if m >> k & 1) or "none"))])
+    met = sums.withColumn("__mask", F.explode(F.array(*[F.lit(m) for m in masks])))
+    kept = F.col("__mask").bitwiseAND(F.col("__set")) == 0
+    out = met.groupBy(*by, "__mask", time).agg(
+        F.sum(F.when(kept, F.col("__s"))).alias("__s"), F.coalesce(F.sum(F.when(kept, F.col("__n"))), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.when(kept, F.col("__all"))), F.lit(0)).alias("__kept"), F.sum("__all").alias("__all"),
+    )
+    whole = W.partitionBy(*by, "__mask")  # one row a time and criteria
+    percent = 100 * (1 - F.sum("__kept").over(whole) / F.sum("__all").over(whole))
+    return out.select(*by, F.element_at(names, F.col("__mask")).alias("criteria"), time, F.try_divide("__s", "n").alias("mean"), "n", percent.alias("percent"))
+
+
 def centroids(masks: DataFrame, unit: list[str], x: str, y: str, statistics: DataFrame) -> DataFrame:
     """Unit statistics with the centres of the units' masks."""
     return masks.groupBy(*unit).agg(F.avg(x).alias("x"), F.avg(y).alias("y")).join(statistics, unit)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake.operators import curves, fits, frames, models, scans
+from tracelake.operators import curves, fits, frames, kernels, models, scans, tables
 from tracelake.plans.queries import _PIXELS, TRACE, UNIT, pixels, query, r, rounded
+from tracelake.sources import loader, sessions, work
 
 # robust regression: the rounds of the fit, written out
 
@@ -240,3 +241,134 @@ def pooled_forecasts(t):
 @query("traces")
 def pooled_surrogate_forecasts(t):
     return rounded(scans.pooled_forecast(t, UNIT, "v", 4, 6, surrogate="phase", seed=3))
+
+
+# splines, sets of criteria, time and frequency
+
+
+@query("traces", f"""
+, l AS (SELECT *, lag(v, 1) OVER w AS a, lag(v, 2) OVER w AS b, lag(v, 3) OVER w AS c, lag(v, 4) OVER w AS d, lag(v, 5) OVER w AS e FROM traces WINDOW w AS (PARTITION BY dataset, roi, trial ORDER BY frame))
+SELECT dataset, roi, trial, frame, {r('CASE WHEN frame IN (5, 7) THEN greatest(4.25 * CASE WHEN frame = 7 THEN a ELSE a END - 7 * b + 5.5 * c - 2 * d + 0.25 * e, 0) ELSE v END')} AS v FROM (SELECT * REPLACE (CASE WHEN frame = 7 THEN greatest(4.25 * c - 7 * d + 5.5 * e - 2 * lag6 + 0.25 * lag7, 0) ELSE b END AS b) FROM (SELECT *, lag(v, 6) OVER w AS lag6, lag(v, 7) OVER w AS lag7 FROM l WINDOW w AS (PARTITION BY dataset, roi, trial ORDER BY frame)))""")
+def extrapolated_cubic(t):
+    """Frame 5 from frames 0 to 4, then frame 7 with the new frame 5; frame 2 has too few before it."""
+    return rounded(models.extrapolate(t, TRACE, "v", [2, 5, 7]))
+
+
+@query("traces", f"""
+, f AS (SELECT dataset, frame, v, roi % 3 = 0 AS third, trial % 2 = 1 AS odd, v > 0.2 AS high FROM traces),
+m AS (SELECT * FROM (VALUES ('none', false, false, false), ('third', true, false, false), ('odd', false, true, false), ('third & odd', true, true, false), ('high', false, false, true), ('third & high', true, false, true), ('odd & high', false, true, true), ('third & odd & high', true, true, true)) x(criteria, a, b, c)),
+k AS (SELECT dataset, criteria, frame, v, NOT (a AND third OR b AND odd OR c AND high) AS kept FROM f, m)
+SELECT dataset, criteria, frame, {r('avg(v) FILTER (WHERE kept)')} AS mean, count(v) FILTER (WHERE kept) AS n, {r('100.0 * (1 - sum(count(*) FILTER (WHERE kept)) OVER w / sum(count(*)) OVER w)')} AS percent FROM k GROUP BY dataset, criteria, frame WINDOW w AS (PARTITION BY dataset, criteria)""")
+def traces_by_exclusion(t):
+    flagged = t.select("dataset", "frame", "v", (F.col("roi") % 3 == 0).alias("third"), (F.col("trial") % 2 == 1).alias("odd"), (F.col("v") > 0.2).alias("high"))
+    return rounded(tables.traces_by_exclusion(flagged, ["third", "odd", "high"], ["dataset"], "frame", "v"))
+
+
+@query("flat", f"""
+, w AS (SELECT CAST(k AS INT) AS k, CASE WHEN k = 0 THEN 0.0::DOUBLE WHEN k IN (1, 15) THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS w FROM (SELECT unnest(range(0, 16)) AS k)),
+g AS (SELECT CAST(unnest(range(0, 7)) AS INT) AS s), f AS (SELECT CAST(unnest(range(0, 17)) AS INT) AS f),
+s AS (SELECT dataset, roi, s, frame - 8 * s AS k, v - avg(v) OVER (PARTITION BY dataset, roi, s) AS v FROM flat, g WHERE frame >= 8 * s AND frame <= 8 * s + 15),
+m AS (SELECT dataset, roi, s, f, sqrt(sum(v * w * cos(2 * pi() * f * k / 32)) ** 2 + sum(v * w * sin(2 * pi() * f * k / 32)) ** 2) / (SELECT sum(w) FROM w) AS m FROM s JOIN w USING (k), f GROUP BY ALL)
+SELECT dataset, roi, {r('(8 + 8 * s) / 64.0')} AS t, {r('f * 2.0::DOUBLE')} AS freq, {r('m')} AS magnitude FROM m""")
+def spectrograms(t):
+    return rounded(kernels.spectrogram(t, UNIT, "v", 64, span=0.25, resolution=2))
+
+
+@query("flat", f"""
+, k AS (SELECT CAST(unnest(range(0, 33)) AS INT) AS k), p AS (SELECT dataset, roi, k, sum(v * cos(2 * pi() * k * frame / 64)) ** 2 + sum(v * sin(2 * pi() * k * frame / 64)) ** 2 AS p FROM flat, k GROUP BY ALL)
+SELECT dataset, {r('k / 2.0')} AS freq, {r('avg(p)')} AS power FROM p GROUP BY dataset, k""")
+def mean_spectra(t):
+    return rounded(kernels.mean_spectrum(t, ["dataset"], ["roi"], "v", 32))
+
+
+# whole session documents, written from tables and read back
+
+
+def _part_document():
+    tenth = (F.col("p_size") / 10).cast("string")
+    other = F.when(F.col("p_size") % 5 == 0, ((F.col("p_size") + 10) / 10).cast("string")).otherwise(tenth)
+    axis = lambda name, value: F.concat(F.lit(f'<IndexedValue index="{name}" value="'), value, F.lit('"/>'))
+    size = F.col("p_size").cast("string")
+    return F.concat(
+        F.lit('<?xml version="1.0"?><PVScan version="5"><PVStateShard><PVStateValue key="dwell" value="'), size, F.lit('"/><PVStateValue key="resonant" value="'), F.when(F.col("p_size") % 2 == 0, "True").otherwise("False"),
+        F.lit('"/><PVStateValue key="micronsPerPixel">'), axis("XAxis", tenth), axis("YAxis", other), axis("ZAxis", F.lit("5")),
+        F.lit('</PVStateValue><PVStateValue key="laserPower"><IndexedValue index="0" value="'), size, F.lit('" description="Pockels"/></PVStateValue><PVStateValue key="daq"><IndexedValue index="0" value="'), size,
+        F.lit('x"/></PVStateValue><PVStateValue key="pmtGain"><IndexedValue index="0" value="600" description="Red"/><IndexedValue index="1" value="'), size,
+        F.lit('" description="Green"/></PVStateValue><PVStateValue key="preampFilter"><IndexedValue index="0" value="1" description="'), size,
+        F.lit(' kHz"/></PVStateValue><PVStateValue key="positionCurrent"><SubindexedValues index="XAxis"><SubindexedValue subindex="0" value="'), size,
+        F.lit('"/></SubindexedValues><SubindexedValues index="ZAxis"><SubindexedValue subindex="0" value="1 mV" description="Focus"/><SubindexedValue subindex="1" value="2" description="Piezo"/></SubindexedValues></PVStateValue></PVStateShard></PVScan>'),
+    )
+
+
+_D, _S = "CAST({} AS DOUBLE)", "CAST(p_size AS VARCHAR)"
+
+
+@query("part", " UNION ALL ".join(f"SELECT p_partkey, {key} AS key, {value} AS value, {number} AS number, {flag} AS flag, {quantity} AS quantity, {unit} AS unit FROM part WHERE {where}" for key, value, number, flag, quantity, unit, where in [
+    ("'dwell'", _S, "p_size::DOUBLE", "NULL::BOOLEAN", "NULL::DOUBLE", "NULL", "true"), ("'resonant'", "CASE WHEN p_size % 2 = 0 THEN 'True' ELSE 'False' END", "NULL::DOUBLE", "p_size % 2 = 0", "NULL::DOUBLE", "NULL", "true"),
+    ("'micronsPerPixel'", "CAST(p_size / 10.0::DOUBLE AS VARCHAR)", "p_size / 10.0::DOUBLE", "NULL::BOOLEAN", "NULL::DOUBLE", "NULL", "p_size % 5 <> 0"),
+    ("'micronsPerPixel XAxis'", "CAST(p_size / 10.0::DOUBLE AS VARCHAR)", "p_size / 10.0::DOUBLE", "NULL::BOOLEAN", "NULL::DOUBLE", "NULL", "p_size % 5 = 0"),
+    ("'micronsPerPixel YAxis'", "CAST((p_size + 10) / 10.0::DOUBLE AS VARCHAR)", "(p_size + 10) / 10.0::DOUBLE", "NULL::BOOLEAN", "NULL::DOUBLE", "NULL", "p_size % 5 = 0"),
+    ("'Pockels power'", _S, "p_size::DOUBLE", "NULL::BOOLEAN", "NULL::DOUBLE", "NULL", "true"), ("'DAQ gain'", f"{_S} || 'x'", "p_size::DOUBLE", "NULL::BOOLEAN", "NULL::DOUBLE", "NULL", "true"),
+    ("'pmtGain Red'", "'600'", "600::DOUBLE", "NULL::BOOLEAN", "NULL::DOUBLE", "NULL", "true"), ("'pmtGain Green'", _S, "p_size::DOUBLE", "NULL::BOOLEAN", "NULL::DOUBLE", "NULL", "true"),
+    ("'preampFilter'", "'1'", "1::DOUBLE", "NULL::BOOLEAN", "p_size * 1000.0::DOUBLE", "'Hz'", "true"), ("'positionCurrent XAxis'", _S, "p_size::DOUBLE", "NULL::BOOLEAN", "NULL::DOUBLE", "NULL", "true"),
+    ("'positionCurrent ZAxis Focus'", "'1 mV'", "NULL::DOUBLE", "NULL::BOOLEAN", "0.001::DOUBLE", "'V'", "true"), ("'positionCurrent ZAxis Piezo'", "'2'", "2::DOUBLE", "NULL::BOOLEAN", "NULL::DOUBLE", "NULL", "true"),
+]))
+def document_settings(t):
+    return rounded(sessions.document_settings(t.select("p_partkey", _part_document().alias("x")), ["p_partkey"], "x"))
+
+
+def _order_document(t):
+    """A document a customer: a sequence a status, a frame an order, and an output on open ones."""
+    frame = F.format_string('<Frame relativeTime="%s" absoluteTime="%s" index="%d" parameterSet="CurrentSettings"/>', (F.col("o_orderkey") / 8).cast("string"), (F.col("o_orderkey") / 8 + 2).cast("string"), F.col("o_orderkey"))
+    own = t.groupBy("o_custkey", "o_orderstatus").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", frame.alias("x")))), lambda s: s["x"]), "").alias("x"), F.min("o_orderkey").alias("k"))
+    output = F.when(F.col("o_orderstatus") == "O", F.format_string('<VoltageOutput name="pulse %d" triggerMode="None" filename="v.xml" relativeTime="0.5" absoluteTime="%d"/>', "k", "k")).otherwise("")
+    text = F.concat(F.format_string('<Sequence type="%s" cycle="%d" time="10:11:12.1234567" bidirectionalZ="%s">', "o_orderstatus", F.col("k") % 100, F.when(F.col("o_orderstatus") == "F", "True").otherwise("False")), output, "x", F.lit("</Sequence>"))
+    docs = own.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderstatus", text.alias("x")))), lambda s: s["x"]), "").alias("x"))
+    return docs.select("o_custkey", F.concat(F.lit("<PVScan>"), "x", F.lit("</PVScan>")).alias("x"))
+
+
+_ORDER_SEQUENCES = "s AS (SELECT o_custkey, o_orderstatus, count(*) AS frames, min(o_orderkey) AS k, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus) - 1 AS INT) AS sequence FROM orders GROUP BY o_custkey, o_orderstatus)"
+
+
+@query("orders", f"WITH {_ORDER_SEQUENCES} SELECT o_custkey, sequence, o_orderstatus AS type, CAST(k % 100 AS INT) AS cycle, '10:11:12.123456' AS time, o_orderstatus = 'F' AS bidirectional, CAST(frames AS INT) AS frames FROM s")
+def document_sequences(t):
+    return sessions.document_sequences(_order_document(t), ["o_custkey"], "x")
+
+
+@query("orders", f"WITH {_ORDER_SEQUENCES} SELECT o_custkey, sequence, CAST(o_orderkey AS INT) AS index, {r('o_orderkey / 8.0')} AS relative_time, {r('o_orderkey / 8.0 + 2')} AS absolute_time, 'CurrentSettings' AS parameter_set FROM orders JOIN s USING (o_custkey, o_orderstatus)")
+def document_frames(t):
+    return rounded(sessions.document_frames(_order_document(t), ["o_custkey"], "x"))
+
+
+@query("orders", f"WITH {_ORDER_SEQUENCES} SELECT o_custkey, sequence, 'pulse ' || k AS name, 'None' AS trigger_mode, 'v.xml' AS filename, 0.5::DOUBLE AS relative_time, k::DOUBLE AS absolute_time FROM s WHERE o_orderstatus = 'O'")
+def document_outputs(t):
+    return rounded(sessions.document_outputs(_order_document(t), ["o_custkey"], "x"))
+
+
+@query("part", """
+SELECT p_partkey, 'size' AS path, CAST(p_size AS VARCHAR) AS value, p_size::DOUBLE AS number, NULL::BOOLEAN AS flag FROM part
+UNION ALL SELECT p_partkey, 'scan.rate', p_size || '.5', p_size + 0.5::DOUBLE, NULL FROM part UNION ALL SELECT p_partkey, 'scan.rois.0.n', '1', 1, NULL FROM part UNION ALL SELECT p_partkey, 'scan.rois.1.n', CAST(p_size AS VARCHAR), p_size, NULL FROM part
+UNION ALL SELECT p_partkey, 'scan.on', CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END, NULL, p_size % 2 = 0 FROM part UNION ALL SELECT p_partkey, 'scan.gap', NULL, NULL, NULL FROM part UNION ALL SELECT p_partkey, 'brand', p_brand, NULL, NULL FROM part""")
+def documents_flattened(t):
+    text = F.format_string('{"size": %d, "scan": {"rate": "%d.5", "rois": [{"n": 1}, {"n": %d}], "on": %s, "gap": NaN}, "brand": "%s"}', "p_size", "p_size", "p_size", F.when(F.col("p_size") % 2 == 0, "true").otherwise("false"), "p_brand")
+    return sessions.flatten_json(t.select("p_partkey", text.alias("j")), ["p_partkey"], "j")
+
+
+# a collection of datasets, saved and loaded
+
+
+@query("stats", f"""
+, s AS (SELECT dataset, run, avg(q) AS q FROM stats WHERE dataset NOT LIKE '%R%' GROUP BY ALL), k AS (SELECT dataset, run % 5 AS condition, max(run) AS run FROM s GROUP BY ALL), m AS (SELECT *, dense_rank() OVER (ORDER BY condition) - 1 AS place FROM k),
+t AS (SELECT dataset, run, CAST(roi % CASE WHEN dataset LIKE 'A%' THEN 6 ELSE 8 END AS INT) AS frame, avg(price) AS v, min(run) + min(ascii(dataset)) AS run_id FROM stats WHERE dataset NOT LIKE '%R%' GROUP BY ALL),
+n AS (SELECT min(f) AS f FROM (SELECT dataset, max(frame) AS f FROM t GROUP BY ALL)), u AS (SELECT t.*, run_id - min(run_id) OVER (PARTITION BY dataset) AS id FROM t JOIN m USING (dataset, run))
+SELECT u.dataset, CAST(place AS INT) AS run, u.frame, {r('u.v', 4)} AS v, {r('s.q')} AS q, CAST(id AS INT) AS run_id FROM u JOIN m USING (dataset, run) JOIN s USING (dataset, run), n WHERE u.frame <= n.f""")
+def collection_loaded(t):
+    """Saved by dataset and run, then loaded without a group of datasets: one number a condition in both tables, and the frames that all have."""
+    spark = t.sparkSession
+    frame = (F.col("roi") % F.when(F.col("dataset").startswith("A"), 6).otherwise(8)).cast("int")
+    series = t.groupBy("dataset", "run", frame.alias("frame")).agg(F.avg("price").alias("v"), (F.min("run") + F.ascii("dataset")).cast("int").alias("run_id"))
+    root = work.work_folder(spark, "collection")
+    loader.save_collection({"stats": t.groupBy("dataset", "run").agg(F.avg("q").alias("q")), "series": series}, root)
+    own = loader.load_collection(spark, root, ["stats", "series"], optional=("masks",), exclude=("R",), condition=F.col("run") % 5, reference="stats", on_duplicate="drop_first", run_id="run_id")
+    out = own["series"].join(own["stats"], ["dataset", "run"])
+    return rounded(out.select("dataset", F.col("run").cast("int").alias("run"), "frame", F.round("v", 4).alias("v"), "q", "run_id"))

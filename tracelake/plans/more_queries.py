@@ -101,13 +101,6 @@ def noise_baselines(t):
     return rounded(acquisition.noise_baseline(t, UNIT, "v", 5, seed=3))
 
 
-@query("traces", f"""
-, l AS (SELECT *, lag(v, 1) OVER w AS a, lag(v, 2) OVER w AS b, lag(v, 3) OVER w AS c, lag(v, 4) OVER w AS d FROM traces WINDOW w AS (PARTITION BY dataset, roi, trial ORDER BY frame))
-SELECT dataset, roi, trial, frame, {r('CASE WHEN frame IN (2, 5, 7) THEN greatest(coalesce(4 * a - 6 * b + 4 * c - d, 3 * a - 3 * b + c, 2 * a - b, a), 0) ELSE v END')} AS v FROM l""")
-def extrapolated_cubic(t):
-    return rounded(models.extrapolate(t, TRACE, "v", [2, 5, 7], order=3))
-
-
 @query("flat", f"""
 , e AS (SELECT dataset, roi, min(v) AS a, max(v) AS b FROM flat GROUP BY ALL)
 SELECT f.dataset, f.roi, frame, {r('10 + (v - a) / (b - a) * 20')} AS v, CAST(floor((v - a) / (b - a) * 255) AS INT) AS byte FROM flat f JOIN e USING (dataset, roi)""")
