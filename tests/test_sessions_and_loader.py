@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_operators import one
-from tracelake.operators import kernels, models, tables
+from tracelake.operators import aggregate, kernels, models, stats, tables
 from tracelake.sources import loader, sessions
 
 XML = """<?xml version="1.0"?><PVScan version="5"><PVStateShard>
@@ -27,7 +27,7 @@ def test_session_files(spark, tmp_path):
     for name, text in (("a.xml", XML), ("broken.xml", "<x"), ("empty.xml", ""), ("other.txt", XML)):
         (tmp_path / name).write_text(text)
     docs = sessions.read_documents(spark, str(tmp_path), glob="*.xml")
-    assert docs.count() == 3
+    assert docs.count() == 2  # the empty file has no text
     own = docs.unionByName(spark.createDataFrame([(None, None)], "path string, text string"))
     got = {r.key: r for r in sessions.document_settings(own, ["path"], "text").collect()}
     assert {k: (r.value, r.number, r.flag, r.quantity, r.unit) for k, r in got.items()} == {
@@ -155,3 +155,29 @@ def test_spectrogram_and_mean_spectrum(spark):
     with pytest.raises(ValueError):
         kernels.spectrogram(df, ["g"], "v", 32, span=0.5, resolution=4)
     assert one(kernels.mean_spectrum(df.filter("g = 2"), ["g"], ["p"], "v", 32)).power == 1.0
+
+
+def test_condition_pairs(spark):
+    """Datasets without one of the conditions, conditions of one dataset, groups of one pair."""
+    rows = [("g", d, c, v) for d, c, v in [(1, "a", 1.0), (1, "a", 3.0), (1, "b", 4.0), (2, "a", 1.0), (2, "b", 5.0), (3, "b", 9.0), (3, "c", 1.0), (3, None, 1.0), (4, "a", None), (4, "b", 2.0)]]
+    df = spark.createDataFrame(rows, "g string, d int, c string, v double")
+    got = {(r.a, r.b): r for r in stats.condition_pairs(df, ["g"], "d", "c", "v").collect()}
+    assert set(got) == {("a", "b"), ("b", "c")} and got["b", "c"].stat is None and got["b", "c"].p is None
+    t = 3 / (math.sqrt(2) / math.sqrt(2))  # differences 2 and 4
+    assert got["a", "b"].n == 2 and got["a", "b"].stat == pytest.approx(t) and got["a", "b"].p == pytest.approx(2 / math.pi * math.atan(1 / t)) == got["a", "b"].corrected
+    free = {(r.a, r.b): r for r in stats.condition_pairs(df, ["g"], "d", "c", "v", paired=False).collect()}
+    assert set(free) == {("a", "b"), ("a", "c"), ("b", "c")} and free["a", "b"].n == 6
+    assert free["a", "b"].corrected == pytest.approx(min(1, 3 * free["a", "b"].p)) or free["a", "b"].corrected == pytest.approx(min(1, 2 * free["a", "b"].p))
+    assert stats.condition_pairs(df.limit(0), ["g"], "d", "c", "v").count() == 0
+
+
+def test_trials_and_responders(spark):
+    df = spark.createDataFrame([("a", 1, 2.0, 0.1), ("a", 1, 3.0, 0.1), ("a", 2, 2.0, 0.1004), ("b", 1, None, 0.3), ("b", 2, 5.0, None)], "k string, t int, v double, p double")
+    assert {r.column: r.repeated for r in aggregate.repeated_values(df, ["k", "t"], ["v", "p"]).collect()} == {"v": False, "p": True}
+    got = {(r.k, r.t): r.p for r in aggregate.trial_means_resolved(df, ["k", "t"], ["v"], {"p": 0.001}).collect()}
+    assert got == {("a", 1): pytest.approx(0.1002), ("a", 2): pytest.approx(0.1002), ("b", 1): pytest.approx(0.3), ("b", 2): None}
+    kinds = spark.createDataFrame([(1, "d1", "x", "positive"), (1, "d1", "x", "weak"), (1, "d2", "y", "positive"), (1, "d2", None, None), (2, "d1", "x", None)], "run int, d string, g string, kind string")
+    shares = {(r.run, r.d): (r.positive, r.weak, r["count"], r.weight) for r in aggregate.responder_shares(kinds, "run", ["d"], "kind", ["positive", "weak"]).collect()}
+    assert shares == {(1, "d1"): (0.5, 0.5, 2, pytest.approx(2 / 3)), (1, "d2"): (1.0, 0.0, 1, pytest.approx(1 / 3))}
+    fractions = {(r.g, r.run): (r.mean, r.sem, r.datasets) for r in aggregate.responder_fractions(kinds, "run", "d", "g", "kind").collect()}
+    assert fractions == {("x", 1): (0.5, None, 1), ("y", 1): (1.0, None, 1), ("all", 1): (pytest.approx(2 / 3), pytest.approx(0.25), 2)}

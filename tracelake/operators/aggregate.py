@@ -50,6 +50,28 @@ def trial_aggregated(df: DataFrame, keys: list[str], values: list[str], *, z_sco
     )
 
 
+def repeated_values(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """(column, repeated): does a value stay the same over the trials of every group? Groups of one trial say nothing against it."""
+    at = {v: f"__{k}" for k, v in enumerate(values)}
+    spread = df.groupBy(*keys).agg(*[F.stddev_samp(v).alias(a) for v, a in at.items()]).agg(*[F.coalesce(F.max(a) > 0, F.lit(False)).alias(a) for a in at.values()])
+    return spread.select(F.explode(F.array(*[F.struct(F.lit(v).alias("column"), (~F.col(a)).alias("repeated")) for v, a in at.items()])).alias("r")).select("r.*")
+
+
+def trial_means_resolved(df: DataFrame, keys: list[str], values: list[str], close: dict[str, float], *, digits: int = 8, **how) -> DataFrame:
+    """``trial_aggregated`` with the columns of ``close`` resolved: aggregates nearer than the given gap to the next become their mean, rounded.
+
+    ``close`` names settings with a few levels, such as doses, so their distinct aggregates are few.
+    """
+    out = trial_aggregated(df, keys, [*values, *close], **how)
+    for c, gap in close.items():
+        levels = out.select(c).distinct().filter(F.col(c).isNotNull())
+        run = W.orderBy(c)
+        turns = levels.withColumn("__g", F.sum(F.coalesce((F.col(c) - F.lag(c).over(run) > gap).cast("int"), F.lit(0))).over(run))
+        means = turns.groupBy("__g").agg(F.avg(c).alias("__m"))
+        out = out.join(turns.join(means, "__g").select(c, "__m"), c, "left").withColumn(c, F.round("__m", digits)).drop("__m")
+    return out
+
+
 def weighted_average(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     return df.groupBy(*keys).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias(value))
 
@@ -82,6 +104,24 @@ def responder_counts(df: DataFrame, x: list[str], kind: str, kinds: list[str], *
     return out.select(*x, *[(F.col(k) / F.col("total")).alias(k) for k in kinds], "total") if normalize else out
 
 
+def responder_shares(df: DataFrame, x: str, units: list[str], kind: str, kinds: list[str]) -> DataFrame:
+    """(x, units, a share a kind, count, weight): shares of each unit at each x, and the unit's share of the rows there."""
+    counts = responder_counts(df.filter(F.col(kind).isNotNull()), [x, *units], kind, kinds, normalize=True)
+    whole = counts.groupBy(x).agg(F.sum("total").alias("__all"))
+    return counts.join(whole, x).select(x, *units, *kinds, F.col("total").alias("count"), (F.col("total") / F.col("__all")).alias("weight"))
+
+
+def responder_fractions(df: DataFrame, x: str, dataset: str, group: str, kind: str, hit: str = "positive") -> DataFrame:
+    """(group, x, mean, sem, datasets): share of ``hit`` rows by group and over all of them (group ``all``).
+
+    Datasets' shares are averaged by their rows at each x; the error is over datasets, unweighted.
+    """
+    each = df.withColumn("__g", F.explode(F.array(F.col(group).cast("string"), F.lit("all")))).filter("__g is not null")
+    shares = responder_shares(each.withColumn("__x", F.struct("__g", F.col(x))), "__x", [dataset], kind, [hit])
+    out = shares.groupBy("__x").agg(F.sum(F.col(hit) * F.col("weight")).alias("mean"), (F.stddev_samp(hit) / F.sqrt(F.count(hit))).alias("sem"), F.count(hit).alias("datasets"))
+    return out.select(F.col("__x.__g").alias(group), F.col(f"__x.`{x}`").alias(x), "mean", "sem", "datasets")
+
+
 def responder_totals(df: DataFrame, dataset: str, kind: str, kinds: list[str], unit: str = "roi") -> DataFrame:
     """Units of each kind by dataset, and a TOTAL row."""
     units = df.select(dataset, unit, kind).distinct()

@@ -320,6 +320,42 @@ def paired_t(df: DataFrame, by: list[str], pair: str, condition: str, values: tu
     return d.groupBy(*by).agg((F.avg("d") / (F.stddev_samp("d") / F.sqrt(F.count("d")))).alias("t"), F.count("d").alias("n"))
 
 
+def one_sample_t(df: DataFrame, by: list[str], value: str, level: float = 0.0) -> DataFrame:
+    """(by, stat, dof) of the mean against ``level``."""
+    s = df.groupBy(*by).agg(F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s"), F.count(value).alias("__n"))
+    return s.select(*by, F.try_divide(F.col("__m") - level, F.col("__s") / F.sqrt("__n")).alias("stat"), (F.col("__n") - 1).cast("double").alias("dof"))
+
+
+def grouped_test(tests: DataFrame, by: list[str], threshold: float = 0.05) -> DataFrame:
+    """(by, stat, p, h0) of a table of t statistics (by, stat or t, dof): the hypothesis of no effect holds where p is at least the threshold; null without a p."""
+    stat = "stat" if "stat" in tests.columns else "t"
+    out = tests.select(*by, F.col(stat).alias("stat"), t_p_value(F.col(stat), F.col("dof").cast("double")).alias("p"))
+    return out.withColumn("h0", F.col("p") >= threshold)
+
+
+def condition_pairs(df: DataFrame, by: list[str], dataset: str, condition: str, value: str, *, paired: bool = True) -> DataFrame:
+    """(by, a, b, n, stat, p, corrected): every two conditions compared by dataset means, with Bonferroni's correction for the pairs of the group.
+
+    ``paired``: over the datasets that have both, the second less the first; else with equal variances over all datasets of each.
+    """
+    means = df.filter(F.col(condition).isNotNull()).groupBy(*by, dataset, condition).agg(F.avg(value).alias("__m")).filter("__m is not null")
+    if paired:
+        other = means.select(*by, dataset, F.col(condition).alias("b"), F.col("__m").alias("__b"))
+        both = means.withColumnRenamed(condition, "a").join(other, [*by, dataset]).filter("a < b")
+        d = both.groupBy(*by, "a", "b").agg(F.avg(F.col("__b") - F.col("__m")).alias("__d"), F.stddev_samp(F.col("__b") - F.col("__m")).alias("__s"), F.count("*").alias("n"))
+        tests = d.select(*by, "a", "b", "n", F.try_divide("__d", F.col("__s") / F.sqrt("n")).alias("stat"), (F.col("n") - 1).cast("double").alias("dof"))
+    else:
+        s = means.groupBy(*by, condition).agg(F.avg("__m").alias("__m"), (F.var_pop("__m") * F.count("*")).alias("__ss"), F.count("*").alias("__n"))
+        other = s.select(*by, F.col(condition).alias("b"), F.col("__m").alias("__mb"), F.col("__ss").alias("__ssb"), F.col("__n").alias("__nb"))
+        pairs = s.withColumnRenamed(condition, "a").crossJoin(other) if not by else s.withColumnRenamed(condition, "a").join(other, by)
+        dof = (F.col("__n") + F.col("__nb") - 2).cast("double")
+        error = F.sqrt(F.try_divide(F.col("__ss") + F.col("__ssb"), dof) * (1 / F.col("__n") + 1 / F.col("__nb")))
+        tests = pairs.filter("a < b").select(*by, "a", "b", (F.col("__n") + F.col("__nb")).alias("n"), F.try_divide(F.col("__mb") - F.col("__m"), error).alias("stat"), dof.alias("dof"))
+    p = tests.withColumn("p", t_p_value("stat", "dof"))
+    # pairs of conditions, which are few
+    return p.withColumn("corrected", F.least(F.col("p") * F.count("p").over(W.partitionBy(*by)), F.lit(1.0))).drop("dof")
+
+
 def bimodality(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, coefficient): variance over squared mean of the normal density at each value, by the group's own moments."""
     moments = df.groupBy(*by).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake.operators import curves, fits, frames, kernels, models, scans, tables
-from tracelake.plans.queries import _PIXELS, TRACE, UNIT, pixels, query, r, rounded
+from tracelake.operators import acquisition, aggregate, curves, designs, fits, frames, kernels, models, scans, stats, tables
+from tracelake.plans import pipelines
+from tracelake.plans.queries import _KIND, _PIXELS, TRACE, UNIT, pixels, query, r, rounded, with_kind
 from tracelake.sources import loader, sessions, work
 
 # robust regression: the rounds of the fit, written out
@@ -372,3 +373,111 @@ def collection_loaded(t):
     own = loader.load_collection(spark, root, ["stats", "series"], optional=("masks",), exclude=("R",), condition=F.col("run") % 5, reference="stats", on_duplicate="drop_first", run_id="run_id")
     out = own["series"].join(own["stats"], ["dataset", "run"])
     return rounded(out.select("dataset", F.col("run").cast("int").alias("run"), "frame", F.round("v", 4).alias("v"), "q", "run_id"))
+
+
+# the whole chain of stacks, and the runs of sessions
+
+
+@query("flat", f"""
+, p AS (SELECT dataset, roi % 6 AS px, frame, avg(v) * 1000 + 5000 AS v FROM flat GROUP BY ALL), m AS (SELECT dataset, px, frame % 2 AS channel, frame // 2 AS frame, v FROM p),
+w AS (SELECT a.dataset, a.px, a.channel, a.frame, round_even(b.v, 0) AS v FROM m a JOIN m b ON b.dataset = a.dataset AND b.px = a.px AND b.channel = a.channel AND b.frame = CASE WHEN a.frame % 8 = 0 THEN a.frame + 1 ELSE a.frame END),
+ref AS (SELECT dataset, px, median(v) AS ref FROM w WHERE channel = 0 GROUP BY ALL), k AS (SELECT dataset, frame, regr_slope(v, ref) AS s, regr_intercept(v, ref) AS i FROM w JOIN ref USING (dataset, px) WHERE channel = 0 GROUP BY ALL),
+c AS (SELECT w.dataset, w.px, w.channel, w.frame, (v - i) / s AS v FROM w JOIN k USING (dataset, frame)), l AS (SELECT dataset, px, channel, list(v ORDER BY frame) AS y FROM c GROUP BY ALL),
+x AS (SELECT dataset, px, channel, unnest(range(0, 32)) AS f, y FROM l)
+SELECT dataset, px, CAST(channel AS INT) AS channel, CAST(f AS INT) AS frame, {r("list_reduce(list_transform(range(0, f + 1), lambda t: [t::DOUBLE, y[t + 1]]), lambda a, b: [b[1], 0.4::DOUBLE * a[2] + 0.6::DOUBLE * b[2] + (b[2] - a[2]) / (b[1] + 1)])[2] / 1000", 2)} AS v FROM x""")
+def stacks_corrected(t):
+    """Files of pixels to channels, with moved frames, corrected by the first channel and denoised."""
+    px = t.groupBy("dataset", (F.col("roi") % 6).alias("px"), "frame").agg((F.avg("v") * 1000 + 5000).alias("v"))
+    files = px.select("dataset", "px", (2 * F.floor(F.col("frame") / 16) + 1).cast("int").alias("cycle"), (F.col("frame") % 16).alias("number"), "v")
+    moves = acquisition.expand_moves(t.sparkSession.createDataFrame([(1, 0, 8)], "src int, dst int, repeat int"), 32)
+    out = pipelines.corrected_stacks(files, ["dataset"], "px", "v", channels=2, moves=moves, length=32, rate_in=30, rate_out=30, reference=0, gain=0.4)
+    return rounded(out.select("dataset", "px", "channel", "frame", (F.col("v") / 1000).alias("v")), 2)
+
+
+@query("stats", """
+, f AS (SELECT dataset, run, roi % CASE WHEN run = 7 THEN 2 ELSE 3 END AS trial, CAST(price AS BIGINT) % CASE WHEN dataset = 'AF' AND run = 2 THEN 3 ELSE 4 END AS frame FROM stats), n AS (SELECT dataset, run, trial, count(DISTINCT frame) AS n FROM f GROUP BY ALL),
+u AS (SELECT dataset, run, count(*) AS trials FROM n GROUP BY ALL), g AS (SELECT dataset, run, n AS frames FROM (SELECT dataset, run, n, row_number() OVER (PARTITION BY dataset, run ORDER BY count(*) DESC, n) AS i FROM n GROUP BY dataset, run, n) WHERE i = 1),
+a AS (SELECT dataset, trials AS usual_trials FROM (SELECT dataset, trials, row_number() OVER (PARTITION BY dataset ORDER BY count(*) DESC, trials) AS i FROM u GROUP BY dataset, trials) WHERE i = 1),
+b AS (SELECT dataset, frames AS usual_frames FROM (SELECT dataset, frames, row_number() OVER (PARTITION BY dataset ORDER BY count(*) DESC, frames) AS i FROM g GROUP BY dataset, frames) WHERE i = 1),
+x AS (SELECT dataset, run, trials, frames, usual_trials, usual_frames, CASE WHEN run = 3 THEN 1 ELSE 0 END + CASE WHEN run = 5 THEN 1 ELSE 0 END AS strays FROM u JOIN g USING (dataset, run) JOIN a USING (dataset) JOIN b USING (dataset))
+SELECT dataset, run, trials, frames, usual_trials, usual_frames, CAST(strays AS BIGINT) AS strays, trials <> usual_trials OR frames <> usual_frames OR strays > 0 AS outlier FROM x""")
+def session_runs(t):
+    """Runs of sessions by their trials, frames and settings."""
+    files = t.select("dataset", "run", (F.col("roi") % F.when(F.col("run") == 7, 2).otherwise(3)).alias("trial"), (F.col("price").cast("decimal(20,0)").cast("long") % F.when((F.col("dataset") == "AF") & (F.col("run") == 2), 3).otherwise(4)).alias("frame"))
+    settings = t.select("dataset", "run").distinct().withColumn("settings", F.create_map(F.lit("power"), F.when(F.col("run") == 3, "1.2").when(F.col("run") == 4, "1.005").otherwise("1.0"), F.lit("mode"), F.when(F.col("run") == 5, "fast").otherwise("slow")))
+    return pipelines.session_runs(files, settings, "dataset", "run")
+
+
+# trials, responders and comparisons
+
+
+@query("stats", f"""
+, a AS (SELECT dataset, roi, avg(price) AS price, avg(q) AS q, round(avg(p), 3) AS p, count(*) AS n_trials FROM (SELECT dataset, roi, price, q, CAST(p AS DOUBLE) AS p FROM stats) GROUP BY ALL), l AS (SELECT DISTINCT p FROM a),
+g AS (SELECT p, sum(CASE WHEN p - before > 0.0015 THEN 1 ELSE 0 END) OVER (ORDER BY p) AS g FROM (SELECT p, lag(p) OVER (ORDER BY p) AS before FROM l)), m AS (SELECT g, avg(p) AS m FROM g GROUP BY g)
+SELECT dataset, roi, {r('price', 4)} AS price, {r('q')} AS q, {r('m')} AS p, n_trials FROM a JOIN g USING (p) JOIN m USING (g)""")
+def trial_means_resolved(t):
+    rounded_p = lambda c: F.round(F.avg(c), 3)
+    means = t.groupBy("dataset", "roi").agg(F.avg("price").alias("price"), F.avg("q").alias("q"), rounded_p(F.col("p")).alias("p"), F.count("*").alias("k"))
+    out = aggregate.trial_means_resolved(means, ["dataset", "roi"], ["price", "q", "k"], {"p": 0.0015})
+    return rounded(out.select("dataset", "roi", F.round("price", 4).alias("price"), "q", "p", F.col("k").cast("long").alias("n_trials")))
+
+
+@query("stats", "SELECT 'run' AS \"column\", true AS repeated UNION ALL SELECT 'price', false UNION ALL SELECT 'one', true")
+def repeated_values(t):
+    return aggregate.repeated_values(t.withColumn("one", F.lit(1)), ["dataset", "run"], ["run", "price", "one"])
+
+
+@query("trials", f"""
+, {_KIND}, c AS (SELECT run, roi % 4 AS unit, count(*) FILTER (WHERE kind = 'negative') / count(kind) AS negative, count(*) FILTER (WHERE kind = 'positive') / count(kind) AS positive, count(*) FILTER (WHERE kind = 'weak') / count(kind) AS weak, count(kind) AS n FROM k GROUP BY ALL)
+SELECT run, unit, {r('negative')} AS negative, {r('positive')} AS positive, {r('weak')} AS weak, n AS count, {r('n / sum(n) OVER (PARTITION BY run)')} AS weight FROM c""")
+def responder_shares_by_unit(t):
+    k = with_kind(t).withColumn("unit", F.col("roi") % 4)
+    return rounded(aggregate.responder_shares(k, "run", ["unit"], "kind", ["negative", "positive", "weak"]))
+
+
+@query("trials", f"""
+, {_KIND}, e AS (SELECT CASE WHEN a = 0 THEN CAST(roi % 3 AS VARCHAR) ELSE 'all' END AS class, run, roi % 5 AS dataset, kind FROM k, (SELECT unnest([0, 1]) AS a)),
+s AS (SELECT class, run, dataset, count(*) FILTER (WHERE kind = 'positive') / count(*) AS f, count(*) AS n FROM e GROUP BY ALL), w AS (SELECT *, n / sum(n) OVER (PARTITION BY class, run) AS w FROM s)
+SELECT class, run, {r('sum(f * w)')} AS mean, {r('stddev_samp(f) / sqrt(count(f))')} AS sem, count(*) AS datasets FROM w GROUP BY class, run""")
+def responder_fractions_with_all(t):
+    k = with_kind(t).withColumns({"class": F.col("roi") % 3, "dataset": F.col("roi") % 5})
+    return rounded(aggregate.responder_fractions(k, "run", "dataset", "class", "kind"))
+
+
+#: Two-sided p of a t statistic with whole degrees of freedom: sums over powers of the cosine of atan(t / sqrt(dof)).
+_T_P = """greatest(1 - CASE WHEN dof % 2 = 0 THEN sin(atan(abs(t) / sqrt(dof))) * list_sum(list_transform(range(0, dof // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1) + k * ln(dof / (dof + t * t))) / sqrt(pi())))
+  ELSE 2 / pi() * (atan(abs(t) / sqrt(dof)) + CASE WHEN dof > 1 THEN sin(atan(abs(t) / sqrt(dof))) * list_sum(list_transform(range(0, (dof - 1) // 2), lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5) + (k + 0.5) * ln(dof / (dof + t * t))))) ELSE 0 END) END, 0)"""
+
+
+@query("trials", f"""
+, m AS (SELECT run, roi % 12 AS dataset, avg(v) AS m FROM trials GROUP BY ALL),
+d AS (SELECT x.run AS a, y.run AS b, count(*) AS n, avg(y.m - x.m) / (stddev_samp(y.m - x.m) / sqrt(count(*))) AS t, CAST(count(*) - 1 AS BIGINT) AS dof FROM m x JOIN m y ON y.dataset = x.dataset AND x.run < y.run GROUP BY ALL), p AS (SELECT *, {_T_P} AS p FROM d)
+SELECT a, b, n, {r('t')} AS stat, {r('p')} AS p, {r('least(p * count(p) OVER (), 1)')} AS corrected FROM p""")
+def paired_conditions(t):
+    return rounded(stats.condition_pairs(t.withColumn("dataset", F.col("roi") % 12), [], "dataset", "run", "v"))
+
+
+@query("trials", f"""
+, m AS (SELECT run, roi % 12 AS dataset, avg(v) AS m FROM trials GROUP BY ALL), s AS (SELECT run, avg(m) AS m, var_pop(m) * count(*) AS ss, count(*) AS n FROM m GROUP BY run),
+d AS (SELECT x.run AS a, y.run AS b, x.n + y.n AS n, (y.m - x.m) / sqrt((x.ss + y.ss) / (x.n + y.n - 2) * (1.0 / x.n + 1.0 / y.n)) AS t, x.n + y.n - 2 AS dof FROM s x JOIN s y ON x.run < y.run), p AS (SELECT *, {_T_P} AS p FROM d)
+SELECT a, b, n, {r('t')} AS stat, {r('p')} AS p, {r('least(p * count(p) OVER (), 1)')} AS corrected FROM p""")
+def unpaired_conditions(t):
+    return rounded(stats.condition_pairs(t.withColumn("dataset", F.col("roi") % 12), [], "dataset", "run", "v", paired=False))
+
+
+@query("traces", f"""
+, d AS (SELECT dataset, roi, avg(v) / (stddev_samp(v) / sqrt(count(v))) AS t, count(v) - 1 AS dof FROM traces GROUP BY ALL), p AS (SELECT *, {_T_P} AS p FROM d)
+SELECT dataset, roi, {r('t')} AS stat, {r('p')} AS p, p >= 0.05 AS h0 FROM p""")
+def grouped_tests(t):
+    return rounded(stats.grouped_test(stats.one_sample_t(t, UNIT, "v"), UNIT))
+
+
+@query("stats", f"""
+, f AS (SELECT dataset, regr_slope(price, q) AS slope, corr(q, price) AS c, count(*) AS n FROM stats GROUP BY dataset), g AS (SELECT dataset, slope, c * c AS r2, c * sqrt((n - 2) / (1 - c * c)) AS t, n - 2 AS dof FROM f),
+o AS (SELECT dataset, sum(CAST(p AS DOUBLE) * dc) AS xy, sum(CAST(p AS DOUBLE) * p) AS xx, sum(CAST(dc AS DOUBLE) * dc) AS yy, count(*) AS n FROM stats GROUP BY dataset), h AS (SELECT dataset, xy / xx AS origin_slope, xy / xx / sqrt((yy - xy / xx * xy) / (n - 1) / xx) AS t, n - 1 AS dof FROM o),
+p AS (SELECT dataset, slope, r2, {_T_P} AS p FROM g), q AS (SELECT dataset, origin_slope, {_T_P} AS origin_p FROM h)
+SELECT dataset, {r('slope / 1000', 5)} AS slope, {r('r2', 5)} AS r2, {r('p', 5)} AS p, {r('origin_slope', 5)} AS origin_slope, {r('origin_p', 5)} AS origin_p FROM p JOIN q USING (dataset)""")
+def regression_p_values(t):
+    fit = designs.regression_with_p(t, ["dataset"], "q", "price")
+    origin = designs.regression_with_p(t, ["dataset"], "p", "dc", intercept=False)
+    return rounded(fit.select("dataset", (F.col("slope") / 1000).alias("slope"), "r2", "p").join(origin.select("dataset", F.col("slope").alias("origin_slope"), F.col("p").alias("origin_p")), "dataset"), 5)

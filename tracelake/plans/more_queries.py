@@ -582,13 +582,6 @@ def stretched_templates(t):
     return rounded(designs.match_stretched(t, template, UNIT, "v", 5, [0.95 + 0.001 * k for k in range(101)]))
 
 
-@query("stats")
-def regression_p_values(t):
-    fit = designs.regression_with_p(t, ["dataset"], "q", "price")
-    origin = designs.regression_with_p(t, ["dataset"], "p", "dc", intercept=False)
-    return rounded(fit.select("dataset", (F.col("slope") / 1000).alias("slope"), "r2", "p").join(origin.select("dataset", F.col("slope").alias("origin_slope"), F.col("p").alias("origin_p")), "dataset"), 5)
-
-
 @query("traces")
 def robust_regressions(t):
     two = t.groupBy(*UNIT, "frame").agg(F.avg(F.when(F.col("trial") < 4, F.col("v"))).alias("x"), F.avg(F.when(F.col("trial") >= 4, F.col("v"))).alias("y"))

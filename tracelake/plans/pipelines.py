@@ -41,3 +41,38 @@ def preprocessed_stacks(files: DataFrame, stack: list[str], value: str, *, chann
     keys = [*stack, "channel"]
     moved = acquisition.move_frames(parted, keys, value, moves)
     return acquisition.resample_stack(moved, keys, value, length, rate_in, rate_out)
+
+
+def corrected_stacks(
+    files: DataFrame, stack: list[str], pixel: str, value: str, *, channels: int, moves: DataFrame, length: int, rate_in: float, rate_out: float, reference: int | None = None, gain: float | None = None
+) -> DataFrame:
+    """From single-frame files of pixels (stack, pixel, cycle, number, value) to (stack, pixel, channel, frame, value), through the whole chain.
+
+    ``preprocessed_stacks`` pixel by pixel; with a ``reference`` channel, frames of all
+    channels are corrected by that channel's regression on its own median frame; with a
+    ``gain``, each pixel's trace is denoised recursively.
+    """
+    out = preprocessed_stacks(files, [*stack, pixel], value, channels=channels, moves=moves, length=length, rate_in=rate_in, rate_out=rate_out)
+    if reference is not None:
+        keyed = out.withColumn("__stack", F.struct(*stack))
+        out = acquisition.correct_by_channel(keyed, "channel", reference, stack="__stack", pixel=pixel, value=value).drop("__stack")
+    return out if gain is None else signals.denoise(out, [*stack, pixel, "channel"], value, gain)
+
+
+def session_runs(files: DataFrame, settings: DataFrame, dataset: str, run: str, *, limit: float = 0.01) -> DataFrame:
+    """(dataset, run, trials, frames, usual_trials, usual_frames, strays, outlier) of the runs of single-frame files (dataset, run, trial, frame).
+
+    ``frames``: the most frequent number of frames a trial; usual ones are the dataset's most
+    frequent, the smaller of two. ``strays``: settings (dataset, run, settings map) that
+    stray from the dataset's most frequent value. A run with any of these is an outlier.
+    """
+    trials = files.groupBy(dataset, run, "trial").agg(F.count_distinct("frame").alias("n"))
+    runs = trials.groupBy(dataset, run).agg(F.count("*").alias("trials"), F.mode("n", True).alias("frames"))
+    usual = runs.groupBy(dataset).agg(F.mode("trials", True).alias("usual_trials"), F.mode("frames", True).alias("usual_frames"))
+    long = settings.select(dataset, run, F.explode("settings").alias("key", "text"))
+    common = long.groupBy(dataset, "key").agg(F.mode("text", True).alias("common"))
+    v, ref = F.col("text").try_cast("double"), F.col("common").try_cast("double")
+    stray = F.when(v.isNotNull() & ref.isNotNull() & (ref != 0), F.abs((v - ref) / ref) > limit).otherwise(F.col("text") != F.col("common"))
+    strays = long.join(common, [dataset, "key"]).groupBy(dataset, run).agg(F.count_if(stray).alias("strays"))
+    out = runs.join(usual, dataset).join(strays, [dataset, run], "left").withColumn("strays", F.coalesce("strays", F.lit(0)))
+    return out.withColumn("outlier", (F.col("trials") != F.col("usual_trials")) | (F.col("frames") != F.col("usual_frames")) | (F.col("strays") > 0))

@@ -30,7 +30,7 @@ UNITS = ("Hz", "V", "A", "W", "s", "m", "Pa")
 
 
 def read_documents(spark: SparkSession, path: str, *, glob: str = "*") -> DataFrame:
-    """(path, text): whole files below ``path``, one row each."""
+    """(path, text): whole files below ``path``, one row each; an empty file has none."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
