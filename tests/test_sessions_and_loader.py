@@ -37,7 +37,7 @@ def test_session_files(spark, tmp_path):
     }
     assert "laserPower" in {r.key for r in sessions.document_settings(own, ["path"], "text", simplify=False).collect()}
     assert [(r.sequence, r.type, r.cycle, r.time, r.bidirectional, r.frames) for r in sessions.document_sequences(own, ["path"], "text").orderBy("sequence").collect()] == [(0, "TSeries", 1, "10:11:12.123456", False, 2), (1, None, 2, None, None, 0)]
-    assert [(r.sequence, r.index, r.relative_time, r.absolute_time) for r in sessions.document_frames(own, ["path"], "text").orderBy("index").collect()] == [(0, 1, 0.0, 1.5), (0, 2, 0.2, 1.7)]
+    assert [(r.sequence, r["index"], r.relative_time, r.absolute_time) for r in sessions.document_frames(own, ["path"], "text").orderBy("index").collect()] == [(0, 1, 0.0, 1.5), (0, 2, 0.2, 1.7)]
     assert [(r.sequence, r.name, r.absolute_time) for r in sessions.document_outputs(own, ["path"], "text").collect()] == [(0, "v", 0.5)]
 
 
