@@ -10,7 +10,7 @@ import pytest
 from tests.llm.test_embeddings import plain_components
 from tracelake.llm import near_dedup
 from tracelake.llm.common import Scratch
-from tracelake.llm.near_dedup import labels, similarity, sketch, word_codes
+from tracelake.llm.near_dedup import alike, labels, loaded, similarity, sketch, stored, word_codes
 
 
 def plain_similarity(one, two):
@@ -112,7 +112,7 @@ def test_grid_links_components_of_strangers():
     base = [[f"{k}v{rng.randrange(99)}" for _ in range(60)] for k in range(4)]
     texts = [[w if rng.random() > 0.03 else "e" for w in base[k % 4]] for k in range(40)] + [["x"], ["x"] * 7]
     rows = [(k, k, int(k % 4 != 0), as_stranger) for k in range(42) for as_stranger in (False, True) if not as_stranger or k % 4]
-    pdf = pd.DataFrame(rows, columns=["cid", "root", "stranger", "as_stranger"]).assign(codes=lambda d: [word_codes(" ".join(texts[c]).encode()).tobytes() for c in d.cid])
+    pdf = pd.DataFrame(rows, columns=["cid", "root", "stranger", "as_stranger"]).assign(codes=lambda d: [stored(word_codes(" ".join(texts[c]).encode())) for c in d.cid])
     links = [tuple(x) for x in near_dedup.check_grid(pdf, 0.8).itertuples(index=False)]
     roots = plain_components(range(42), links + [(a, b) for a in range(0, 40, 4) for b in range(0, a, 4)])
     want = [(a, b) for a in range(42) for b in range(a) if plain_similarity(texts[a], texts[b]) >= 0.8]
@@ -183,3 +183,14 @@ def test_edited_copies_of_repetitive_texts_are_found(spark):
     docs = spark.createDataFrame([(2 * k + side, " ".join(w)) for k, p in enumerate(pairs) for side, w in enumerate(p)], "doc_id long, text string")
     found = near_dedup.near_duplicates(docs).collect()
     assert sorted((r.doc_id, r.class_id) for r in found) == [(0, 0), (1, 0), (2, 2), (3, 2)]
+
+
+def test_words_of_one_crc_are_different(spark):
+    """"plumless" and "buckeroo" have one CRC-32: texts of them are no copies, and a short text still meets its longer near copy."""
+    long = [f"word{k}" for k in range(16)]
+    rows = [(1, "plumless"), (2, "buckeroo"), (3, "plumless plumless"), (4, "buckeroo buckeroo"), (5, "Plumless"), (6, " ".join(long)), (7, " ".join([*long, "new"])), (8, " ".join(long[:-1] + ["plumless"])), (9, " ".join(long[:-1] + ["buckeroo"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert got[1] == got[5] == 1 and got[2] == 2 and got[3] == 3 and got[4] == 4 and got[6] == got[7] == 6
+    a, b = (loaded(stored(word_codes(w))) for w in (b"plumless", b"buckeroo"))
+    assert (a.astype("uint32") == b.astype("uint32")).all() and (a != b).all() and alike(a, b, 0.8) == 0.0

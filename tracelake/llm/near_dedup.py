@@ -48,6 +48,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 TABLES, PICKS = 32, 4
 #: Strangers and members of one bucket that a task compares.
 STRANGERS, MEMBERS = 256, 1024
+#: Texts of at most so many words are verified by whole 64-bit codes; buckets take the lower halves of all.
+SHORT, LOWER = 16, np.uint64(0xFFFFFFFF)
 #: Rows that an alignment takes with one window of the band.
 ROWS = 1024
 _SEEDS = np.random.default_rng(77).integers(1, 1 << 63, TABLES, dtype=np.uint64) | np.uint64(1)
@@ -55,8 +57,29 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def word_codes(text: bytes | None) -> np.ndarray:
+    """64-bit codes of the words. The upper half is used in short texts alone, where one pair of words with equal lower halves could make texts alike."""
     words = words_of(text)
-    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+    codes = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    if len(words) <= SHORT:
+        upper = [int.from_bytes(hashlib.blake2b(w, digest_size=4).digest(), "little") for w in words]
+        codes |= np.array(upper, np.uint64) << np.uint64(32)
+    return codes
+
+
+def stored(codes: np.ndarray) -> bytes:
+    """Codes as bytes: 8 a word in short texts, else 4, after a byte that tells which."""
+    return b"\x08" + codes.tobytes() if len(codes) <= SHORT else b"\x04" + codes.astype(np.uint32).tobytes()
+
+
+def loaded(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64 if data[0] == 8 else np.uint32, offset=1)
+
+
+def alike(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
+    """``similarity`` of loaded codes; those of a short and a longer text by their lower halves."""
+    if a.dtype != b.dtype:
+        a, b = a.astype(np.uint32), b.astype(np.uint32)
+    return similarity(a, b, threshold)
 
 
 def shingles(codes: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
@@ -177,9 +200,9 @@ def _sketch_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             wkeys, codes, keys = [], [], []
             for raw in utf8(batch.column(2)):
                 own = word_codes(raw)
-                codes.append(own.tobytes())
-                wkeys.append(hashlib.blake2b(own.tobytes() if len(own) else b"raw" + (raw or b""), digest_size=16).digest())
-                keys.append(sketch(labels(own)).astype(np.int64) if len(own) else None)
+                codes.append(stored(own))
+                wkeys.append(hashlib.blake2b(b" ".join(words_of(raw)) if len(own) else b"\nraw" + (raw or b""), digest_size=16).digest())
+                keys.append(sketch(labels(own & LOWER)).astype(np.int64) if len(own) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), numbers(batch.num_rows), pa.array(wkeys, pa.binary()), pa.array(codes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["id", "part", "rid", "wkey", "codes", "keys"],
@@ -198,7 +221,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             hits = [
                 i for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True))
-                if similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), threshold)
+                if alike(loaded(x), loaded(y), threshold)
             ]
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(hits, pa.int64())) for k in (0, 1)], names=["a", "b"])
 
@@ -208,10 +231,10 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 def check_grid(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links across components between one block of a bucket's strangers and one block of its members."""
-    own = [np.frombuffer(c, np.uint32) for c in pdf["codes"]]
+    own = [loaded(c) for c in pdf["codes"]]
     sizes = np.array([len(c) for c in own])
     # words with occurrence numbers: what two texts share of them bounds what can be aligned
-    _, marks = np.unique(np.concatenate([labelled(c.astype(np.uint64)) for c in own]), return_inverse=True)
+    _, marks = np.unique(np.concatenate([labelled(c.astype(np.uint32).astype(np.uint64)) for c in own]), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     cid, stranger, in_rows = pdf["cid"].to_numpy(), pdf["stranger"].to_numpy(bool), pdf["as_stranger"].to_numpy(bool)
     part = np.unique(pdf["root"].to_numpy(), return_inverse=True)[1]
@@ -228,7 +251,7 @@ def check_grid(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
         # a pair of two strangers is met in both orders
         near = (shared >= threshold * (sizes[i] + sizes[columns]) / (1 + threshold) - 1e-9) & (~stranger[columns] | (cid[columns] > cid[i]))
         for j in columns[near]:
-            if part[i] != part[j] and similarity(own[i], own[j], threshold):
+            if part[i] != part[j] and alike(own[i], own[j], threshold):
                 links.append((cid[i], cid[j]))
                 part[part == part[j]] = part[i]
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
