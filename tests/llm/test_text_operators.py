@@ -223,3 +223,17 @@ def test_columns_of_any_name(spark):
     assert sorted(tuple(r)[:13] for r in out.collect()) == rows
     bench = spark.createDataFrame([(1, rows[2][1])], "item_id long, text string")
     assert [tuple(r) for r in decontaminate.drop_contaminated(docs, bench).orderBy("doc_id").collect()] == rows[:2]
+
+
+def test_gaps_of_many_long_pieces_are_dealt_out(spark):
+    """Few short pieces among many that are over half a row: sweeps are bounded by the gaps too, and every short piece still finds one."""
+    rng = random.Random(6)
+    sizes = [rng.randrange(1025, 2040) for _ in range(900)] + [rng.randrange(1, 900) for _ in range(10)]
+    pieces = spark.createDataFrame([(k, s) for k, s in enumerate(sizes)], "doc_id long, length long")
+    rows = packing.pack(pieces, sweep_pieces=50).collect()
+    assert len({r.sequence_id for r in rows}) == 900 and len(rows) == 910
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 2048

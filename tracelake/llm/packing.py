@@ -133,8 +133,9 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, sweep_pieces: int = SWE
     work = Scratch(pieces.sparkSession)
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     rows = work.write(pieces.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("length").cast("long").alias("size")), "pieces")
-    n = rows.filter(F.col("size") <= capacity // 2).count()
-    deals = max(1, -(-n // sweep_pieces))
+    # both sides of a sweep are bounded: the pieces that look for a gap, and the gaps
+    short, gaps = rows.agg(F.count_if(F.col("size") <= capacity // 2), F.count_if((F.col("size") > capacity // 2) & (F.col("size") < capacity))).first()
+    deals = max(1, -(-max(short, gaps if short else 0) // sweep_pieces))
     # the position in the written table splits ties, so that a frequent length spans many partitions
     ranked = work.write(_dealt(rows.withColumn("pos", F.monotonically_increasing_id()), "size", "pos", deals).withColumnRenamed("at", "id").drop("pos"), "ranked")
     opened = ranked.filter(F.col("size") > capacity // 2).select("id", F.col("id").alias("sequence"), F.lit(0).cast("long").alias("offset"))
