@@ -95,3 +95,14 @@ def test_url_lists(spark, monkeypatch, limit):
     assert sorted(((r.page_id, r.verdict, r.by_list, r.by_pattern, r.n_active) for r in got), key=repr) == sorted(want, key=repr)
     assert {r.verdict for r in url_filter.judge_captures(frame, entries.limit(0)).collect()} == {"unlisted"}
     assert url_filter.judge_captures(frame.limit(0), entries).count() == 0
+
+
+def test_columns_of_any_name(spark):
+    """Names that clash with work columns, and names with dots, pass through."""
+    days = spark.createDataFrame([("http://bad.org", 11, "x", "y", "z", "w")], "url string, day int, n string, best string, `__url` string, `a.b` string")
+    lists = spark.createDataFrame([("spam", "block", "bad.org", "add", 10)], "list string, effect string, pattern string, action string, day int")
+    row = url_filter.judge_captures(days, lists).first().asDict()
+    assert {k: row[k] for k in ("url", "day", "n", "best", "__url", "a.b", "verdict", "n_active")} == {"url": "http://bad.org", "day": 11, "n": "x", "best": "y", "__url": "z", "a.b": "w", "verdict": "blocked", "n_active": 1}
+    docs = spark.createDataFrame([(1, "the house", "x", "y")], "doc_id long, text string, `a.b` string, lang_pred string")
+    out = language_id.predict(docs, None)
+    assert out.columns == ["doc_id", "text", "a.b", "lang_pred", "score"] and out.first()["a.b"] == "x"

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tracelake.llm.common import map_slices, stable_unit
+from tracelake.llm.common import map_slices, quoted, stable_unit
 
 DIMS = 1 << 14
 SAMPLE_PER_LANGUAGE = 800
@@ -190,7 +190,9 @@ def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text") ->
     """``docs`` with ``lang_pred`` and ``score`` (replacing columns of these names); other columns pass through."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    rows = docs.select(names)
+    # numbered names while in Python, so that columns may have any names
+    numbered = [f"c{i}" for i in range(len(names))]
+    rows = docs.select([F.col(quoted(c)).alias(n) for c, n in zip(names, numbered, strict=True)])
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +207,7 @@ def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text") ->
                 p = own.probabilities(features, counts)
                 best = int(p.argmax())
                 langs.append(own.languages[best]), scores.append(float(p[best]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*numbered, "lang_pred", "score"])
 
     schema = StructType(list(rows.schema))
-    return map_slices(rows, run, schema.add("lang_pred", "string").add("score", "double"))
+    return map_slices(rows, run, schema.add("lang_pred", "string").add("score", "double")).toDF(*names, "lang_pred", "score")

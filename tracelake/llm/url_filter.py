@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import materialize
+from tracelake.llm.common import materialize, quoted
 
 BROADCAST_INTERVALS = 100_000
 
@@ -72,16 +72,18 @@ def judge_captures(captures: DataFrame, entries: DataFrame, *, url_col: str = "u
     n, depth = intervals.agg(F.count("*"), F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0))).first()
     if n <= BROADCAST_INTERVALS:
         intervals = F.broadcast(intervals)
-    pairs = captures.select(F.col(url_col).alias("__url"), F.col(day_col).alias("__day")).filter("__url is not null and __day is not null").distinct()
+    pairs = captures.select(F.col(quoted(url_col)).alias("__url"), F.col(quoted(day_col)).alias("__day")).filter("__url is not null and __day is not null").distinct()
     wide = pairs.filter(host_of(F.col("__url")).isNotNull()).withColumn("pattern", F.explode(patterns_of(F.col("__url"), max(1, depth))))
     active = wide.join(intervals, "pattern").filter((F.col("__day") >= F.col("since")) & (F.col("until").isNull() | (F.col("__day") < F.col("until"))))
     # the longest pattern, then allow before block, then the first list by name
     rank = F.struct(-F.length("pattern"), F.when(F.col("effect") == "allow", 0).otherwise(1), "list", "pattern", "effect")
     best = active.groupBy("__url", "__day").agg(F.min(rank).alias("best"), F.count("*").alias("n"))
     names = [c for c in captures.columns if c not in ("verdict", "by_list", "by_pattern", "n_active")]
-    joined = captures.join(best, (F.col(url_col) == F.col("__url")) & (F.col(day_col) == F.col("__day")), "left")
+    # a row is carried as one column, so that its columns may have any names
+    own = lambda c: F.col(f"row.{quoted(c)}")
+    joined = captures.select(F.struct("*").alias("row")).join(best, (own(url_col) == F.col("__url")) & (own(day_col) == F.col("__day")), "left")
     verdict = F.when(F.col("best").isNull(), "unlisted").when(F.col("best.effect") == "allow", "allowed").otherwise("blocked")
     return joined.select(
-        *[F.col(c) for c in names], verdict.alias("verdict"), F.col("best.list").alias("by_list"), F.col("best.pattern").alias("by_pattern"),
+        *[own(c).alias(c) for c in names], verdict.alias("verdict"), F.col("best.list").alias("by_list"), F.col("best.pattern").alias("by_pattern"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n_active"),
     )
