@@ -147,9 +147,9 @@ def find_passages(
 
     ``__part`` hashes the text and tells rows that share an id apart.
     """
-    base = docs.select(F.col(id_col), F.hash(text_col).alias("__part"), F.col(text_col).alias("__text"))
+    base = docs.select(F.col(id_col), F.xxhash64(text_col).alias("__part"), F.col(text_col).alias("__text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, __part int, n_words long, spans {_SPANS}, items array<string>"
+    schema = f"`{id_col}` {id_type}, __part long, n_words long, spans {_SPANS}, items array<string>"
 
     def one(block) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,5 +209,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "d
     found = judge(find_passages(docs, benchmark, id_col=id_col, text_col=text_col, **options), min_share=min_share)
     # few documents are contaminated beside all; rows with equal id and text are judged alike
     bad = materialize(found.filter("contaminated").select(F.col(id_col).alias("id"), F.col("__part").alias("part")).distinct(), "contaminated")
-    match = F.col(f"row.`{id_col}`").eqNullSafe(F.col("id")) & (F.hash(F.col(f"row.`{text_col}`")) == F.col("part"))
+    match = F.col(f"row.`{id_col}`").eqNullSafe(F.col("id")) & (F.xxhash64(F.col(f"row.`{text_col}`")) == F.col("part"))
     return docs.select(F.struct("*").alias("row")).join(bad, match, "left_anti").select("row.*")

@@ -47,7 +47,7 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
         docs.filter(F.col(id_col).isNotNull())
         .select(
             F.col(id_col).alias("doc"),
-            F.hash(F.col(text_col)).alias("part"),
+            F.xxhash64(F.col(text_col)).alias("part"),
             F.posexplode(_lines(F.col(text_col))).alias("pos", "line"),
         )
         .filter(F.length("line") >= min_chars)
@@ -108,7 +108,7 @@ def dedup_lines(
     )
     # a row is carried as one column, so that its columns may have any names
     own_id, text = F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`")
-    joined = docs.select(F.struct("*").alias("row")).join(bitmaps, (own_id == F.col("__doc")) & (F.hash(text) == F.col("__part")), "left")
+    joined = docs.select(F.struct("*").alias("row")).join(bitmaps, (own_id == F.col("__doc")) & (F.xxhash64(text) == F.col("__part")), "left")
     lines = _lines(text)
     n_lines = F.size(lines)
     # a dense word array makes each line's test one array access
