@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import decontaminate, language_id, line_dedup, near_dedup, packing
-from tracelake.llm.common import crc_mod, materialize
+from tracelake.llm.common import crc_mod, materialize, quoted
 from tracelake.llm.queries import vocabulary
 
 #: Texts whose best language is less likely than this are rejected.
@@ -31,7 +31,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if model is None:
         return docs
     predicted = language_id.predict(docs, model)
-    return predicted.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
+    return predicted.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select([F.col(quoted(c)) for c in docs.columns])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     out = line_dedup.dedup_lines(docs)
     text = F.col("kept_text")
     changed = {"text": text, "n_chars": F.when(F.col("n_dropped") > 0, F.char_length(text).cast("long")).otherwise(F.col("n_chars"))}
-    return out.select([changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return out.select([changed.get(c, F.col(quoted(c))).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
