@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.test_operators import one, trace, values
 from tracelake.functions import dose, parse
-from tracelake.operators import acquisition, aggregate, align, designs, filters, frames, kernels, signals, stats, tables
+from tracelake.operators import acquisition, aggregate, align, designs, filters, frames, kernels, reshape, signals, stats, tables
 from tracelake.sources import bundles
 
 
@@ -196,3 +196,35 @@ def test_correlations_over_common_samples(spark, monkeypatch):
             both = ~np.isnan(values_[a]) & ~np.isnan(values_[b])
             x, y = values_[a][both] * (g + 1), values_[b][both] * (g + 1)
             assert r == pytest.approx(np.cov(x, y)[0, 1] if covariance else np.corrcoef(x, y)[0, 1], abs=1e-9)
+
+
+def test_lags_of_traces_with_gaps(spark):
+    """Missing frames count as zeros, and frames may begin anywhere."""
+    a = gaps(spark, [(5, 1.0), (7, 2.0), (8, None)])
+    b = gaps(spark, [(-2, 3.0), (4, 1.0), (6, 5.0)])
+    got = {r.lag: r.corr for r in signals.cross_correlation(a, b, ["roi"], "v", 3).collect()}
+    x, y = {5: 1.0, 7: 2.0}, {-2: 3.0, 4: 1.0, 6: 5.0}
+    assert got == {lag: pytest.approx(sum(v * y.get(f - lag, 0) for f, v in x.items()) / 3) for lag in range(-3, 4)}
+    assert signals.cross_correlation(a.limit(0), b, ["roi"], "v", 3).count() == 0
+
+
+def test_best_coefficient_of_odd_units(spark):
+    rows = [(1, s, n) for s, n in ((5.0, 1.0), (6.0, 2.0), (9.0, 1.0), (5.0, None))] + [(2, 1.0, 1.0), (2, 1.0, 1.0), (3, None, 1.0)]
+    df = spark.createDataFrame(rows, "roi int, s double, n double")
+    got = {r.roi: (r.alpha, r.skew) for r in stats.best_coefficient(df, ["roi"], "s", "n", [0.0, 1.0, 4.0]).collect()}
+    def skew(f):
+        c = np.array(f) - np.mean(f)
+        return (c**3).mean() / (c**2).mean() ** 1.5
+    best = max((0.0, 1.0), key=lambda a: skew([5 - a, 6 - 2 * a, 9 - a]))  # 4 makes it negative
+    assert got == {1: (best, pytest.approx(skew([5 - best, 6 - 2 * best, 9 - best]))), 2: (None, None)}
+
+
+def test_onsets_pairs_and_tables(spark):
+    df = spark.createDataFrame([(1, 0.0, 1.0, 0.1), (1, 0.15, 3.0, 0.1), (1, 0.2, 4.0, 0.1), (2, 0.0, 2.0, 0.0), (3, 0.0, 2.0, None)], "roi int, t double, v double, onset double")
+    got = sorted((r.roi, r.pulse, round(r.since, 9), r.v) for r in reshape.split_pulses(df, ["roi"], "v", "t", 0.2, 10, onset="onset").collect())
+    assert got == [(1, 0, 0.05, 0.0), (1, 1, 0.0, 0.0), (2, 0, 0.0, 0.0)]
+    pair = spark.createDataFrame([(x,) for x in (0.0, 1e-15, 5e-4, 999.0, -1000.0, 3e15, None)], "x double").select("x", parse.si_pair(F.col("x")).alias("s"), parse.si_pair(F.col("x"), 2).alias("area")).collect()
+    assert [None if r.s is None else r.s.prefix for r in pair] == ["", "p", "u", "", "k", "T", None] and pair[4].area.prefix == ""
+    table = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 5.0), ("b", 1, 9.0), ("b", 2, None)], "r string, c int, v double")
+    rows = {(r.r, r.c): (r.level, r.row_place, r.column_place) for r in reshape.sorted_stat_table(table, "r", "c", "v").collect()}
+    assert rows == {("a", 1): (1.0, 1, 0), ("a", 2): (5.0, 1, 1), ("b", 1): (9.0, 0, 0), ("b", 2): (None, 0, 1)}

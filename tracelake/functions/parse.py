@@ -245,6 +245,17 @@ def ordinal_suffix(i: Column) -> Column:
     return F.when(i % 10 == 1, "st").when(i % 10 == 2, "nd").when(i % 10 == 3, "rd").otherwise("th")
 
 
+def si_pair(x: Column, dimension: int = 1) -> Column:
+    """(factor, prefix) of a number: the largest SI prefix whose factor, to the power of the unit's dimension, is not above its size; none for 0."""
+    size = F.abs(x)
+    prefixes = sorted(SI.items(), key=lambda e: e[1])
+    pair = lambda k, e: F.struct(F.lit(10.0 ** (e * dimension)).alias("factor"), F.lit(k).alias("prefix"))
+    out = F.when(x == 0, pair("", 0))
+    for k, e in reversed(prefixes):
+        out = out.when(size >= 10.0 ** (e * dimension), pair(k, e))
+    return out.when(x.isNotNull(), pair(*prefixes[0]))
+
+
 def si_text(x: Column, precision: int = 0) -> Column:
     """A number with the SI prefix of its size."""
     power = F.greatest(F.least(F.floor(F.log10(F.abs(x)) / 3) * 3, F.lit(12)), F.lit(-12)).cast("int")

@@ -23,12 +23,12 @@ def align_at(df: DataFrame, keys: list[str], value: str, first: int, stop: int,
     return df.withColumn(value, F.col(value) - reference.over(W.partitionBy(*keys)))
 
 
-def category_offsets(df: DataFrame, by: str, value: str, gap: float = 0.2) -> DataFrame:
-    """(by, offset): stacks categories by the range of each and a share of the mean range."""
+def category_offsets(df: DataFrame, by: str, value: str, gap: float = 0.2, *, ascending: bool = True) -> DataFrame:
+    """(by, offset): stacks categories by the range of each and a share of the mean range, the first or else the last one at the bottom."""
     # one row a category from here on
     ranges = df.groupBy(by).agg((F.max(value) - F.min(value)).alias("r"))
     step = F.col("r") + gap * F.avg("r").over(W.partitionBy())
-    before = W.orderBy(by).rowsBetween(W.unboundedPreceding, -1)
+    before = W.orderBy(by if ascending else F.desc(by)).rowsBetween(W.unboundedPreceding, -1)
     return ranges.withColumn("step", step).select(by, F.coalesce(F.sum("step").over(before), F.lit(0.0)).alias("offset"))
 
 

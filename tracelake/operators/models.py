@@ -97,6 +97,18 @@ def sweep_prediction_error(df: DataFrame, by: list[str], x: str, value: str, ref
     return others.join(predicted, [*by, x]).filter("__y is not null").groupBy(*by).agg(F.avg(F.abs(F.col(value) - F.col("__y"))).alias("error"), F.count("*").alias("n"))
 
 
+def sweep_alignment_error(df: DataFrame, by: list[str], x: str, value: str, reference: Column) -> DataFrame:
+    """(by, error, n): distance of the other sweeps' means from the reference sweep's curve, over their standard errors, averaged over doses.
+
+    Doses outside the reference's range, and those of one row or without spread, have no part.
+    """
+    curve = df.filter(reference).groupBy(*by, x).agg(F.avg(value).alias("__y"))
+    others = df.filter(~reference).groupBy(*by, x).agg(F.avg(value).alias("__m"), (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("__s"))
+    predicted = align.interpolate_at(curve, others.select(*by, x), by, x, "__y")
+    z = F.when(F.col("__s") > 0, F.abs(F.col("__m") - F.col("__y")) / F.col("__s"))
+    return others.join(predicted, [*by, x]).withColumn("__z", z).filter("__z is not null").groupBy(*by).agg(F.avg("__z").alias("error"), F.count("*").alias("n"))
+
+
 def dependency(df: DataFrame, by: list[str], x: str, value: str) -> DataFrame:
     """(by, x, mean, sem, n)."""
     return df.groupBy(*by, x).agg(F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("sem"), F.count(value).alias("n"))

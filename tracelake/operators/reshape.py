@@ -62,11 +62,16 @@ def in_pulse(t: Column, duration: float, rate: float, duty_cycle: float, onset:
     return (since >= 0) & (since < duration) & (F.pmod(since, F.lit(1 / rate)) <= duty_cycle / 100 / rate)
 
 
-def split_pulses(df: DataFrame, keys: list[str], value: str, t: str, duration: float, rate: float) -> DataFrame:
-    """Samples inside the stimulus with their pulse, the time since its start, and the value under the pulse's maximum."""
-    inside = df.filter((F.col(t) >= 0) & (F.col(t) < duration)).withColumn("pulse", F.floor(F.col(t) * rate).cast("int"))
+def split_pulses(df: DataFrame, keys: list[str], value: str, t: str, duration: float, rate: float, *, onset: float | str = 0.0) -> DataFrame:
+    """Samples inside the stimulus with their pulse, the time since its start, and the value under the pulse's maximum.
+
+    ``onset``: the stimulus' start, or the column that has it, such as a dataset's trigger
+    delay; samples without one are outside.
+    """
+    since = F.col(t) - (F.col(onset) if isinstance(onset, str) else F.lit(float(onset)))
+    inside = df.withColumn("__t", since).filter((F.col("__t") >= 0) & (F.col("__t") < duration)).withColumn("pulse", F.floor(F.col("__t") * rate).cast("int"))
     top = F.max(value).over(W.partitionBy(*keys, "pulse"))
-    return inside.withColumns({"since": F.col(t) - F.col("pulse") / rate, value: F.col(value) - top})
+    return inside.withColumns({"since": F.col("__t") - F.col("pulse") / rate, value: F.col(value) - top}).drop("__t")
 
 
 def stat_table(df: DataFrame, row: str, column: str, value: str) -> DataFrame:
@@ -74,6 +79,20 @@ def stat_table(df: DataFrame, row: str, column: str, value: str) -> DataFrame:
     return df.cube(row, column).agg(F.avg(value).alias("mean"))
 
 
+def sorted_stat_table(df: DataFrame, row: str, column: str, value: str, *, agg=F.median, spread: bool = False) -> DataFrame:
+    """(row, column, level, row_place, column_place): an aggregate by two keys, or with ``spread`` its coefficient of variation, and places by falling aggregates of rows and columns.
+
+    Places count from 0; keys of equal aggregates are in their own order.
+    """
+    of = (lambda c: F.try_divide(F.stddev_samp(c), F.avg(c))) if spread else (lambda c: agg(F.col(c)))
+    table = df.groupBy(row, column).agg(of(value).alias("level"))
+    for key, place in ((row, "row_place"), (column, "column_place")):
+        margin = df.groupBy(key).agg(of(value).alias("__m"))  # one row a key
+        ranked = margin.withColumn(place, F.row_number().over(W.orderBy(F.desc_nulls_last("__m"), key)) - 1).drop("__m")
+        table = table.join(ranked, key)
+    return table.select(row, column, "level", "row_place", "column_place")
+
+
 def matrix_rows(df: DataFrame, row: str, position: str, value: str) -> DataFrame:
     """A row's values as an array in order of ``position``."""
     return df.groupBy(row).agg(F.transform(F.array_sort(F.collect_list(F.struct(position, value))), lambda s: s[value]).alias(value))

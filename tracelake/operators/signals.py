@@ -8,8 +8,10 @@ first frame. Empty tables give empty tables.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,17 +64,32 @@ def cross_correlation(a: DataFrame, b: DataFrame, keys: list[str], value: str, m
     """(keys, lag, corr): products of ``a`` at a frame and ``b`` ``lag`` frames before, summed and divided by the length of ``a``.
 
     A positive lag says that ``a`` comes after ``b``. Null values count as zeros. Each pair
-    of traces is gathered once, and all lags are taken from the two arrays.
+    of traces is gathered once; a lag is one product of two arrays.
     """
     def gathered(df: DataFrame, name: str) -> DataFrame:
-        ordered = F.array_sort(F.collect_list(F.struct(F.col(frame).alias("f"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v"))))
-        return df.groupBy(*keys).agg(ordered.alias(name))
+        ordered = F.array_sort(F.collect_list(F.struct(F.col(frame).cast("long").alias("f"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v"))))
+        return df.filter(F.col(frame).isNotNull()).groupBy(*keys).agg(ordered.alias(name))
 
     both = gathered(a, "__a").join(gathered(b, "__b"), keys)
-    at = F.map_from_entries("__b")
-    wide = both.select(*keys, "__a", at.alias("__at"), F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag"))
-    total = F.aggregate("__a", F.lit(0.0), lambda s, e: s + e["v"] * F.coalesce(F.element_at("__at", (e["f"] - F.col("lag")).cast(dict(b.dtypes)[frame])), F.lit(0.0)))
-    return wide.select(*keys, "lag", (total / F.size("__a")).alias("corr"))
+    rows = both.select(*keys, *[F.col(f"__{n}").getField(c).alias(f"__{n}{c}") for n in "ab" for c in "fv"])
+    kinds, lags = dict(both.dtypes), np.arange(-max_lag, max_lag + 1, dtype=np.int32)
+
+    def lagged(fa: list[int], va: list[float], fb: list[int], vb: list[float]) -> np.ndarray:
+        first, n = min(fa[0], fb[0]), max(fa[-1], fb[-1]) - min(fa[0], fb[0]) + 1
+        x, y = np.zeros(n + 2 * max_lag), np.zeros(n)
+        np.add.at(x, np.array(fa) - first + max_lag, va)
+        y[np.array(fb) - first] = vb
+        return np.correlate(x, y, "valid") / len(fa)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [lagged(*row) for row in zip(*(batch.column(len(keys) + k).to_pylist() for k in range(4)), strict=True)]
+            index = pa.array(np.repeat(np.arange(len(found)), len(lags)))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k).take(index) for k in range(len(keys))), pa.array(np.tile(lags, len(found))), pa.array(np.concatenate(found) if found else np.zeros(0))], names=[*keys, "lag", "corr"]
+            )
+
+    return rows.mapInArrow(run, ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["lag int, corr double"]))
 
 
 def best_lag(correlations: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,9 +8,11 @@ empty tables.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -280,24 +282,32 @@ def fit_quality(df: DataFrame, by: list[str], y: str, predicted: str) -> DataFra
 
 
 def best_coefficient(df: DataFrame, by: list[str], signal: str, background: str, alphas: list[float]) -> DataFrame:
-    """(by, alpha, skew): the coefficient whose corrected signal is most skewed, never negative if any is not."""
-    # the skewness of s - a n for any a follows from moments about the means, so that rows are read once;
-    # only the minimum needs a value for each coefficient, and these are aggregated side by side
-    means = df.groupBy(*by).agg(F.avg(signal).alias("__ms"), F.avg(background).alias("__mn"))
-    s, n = F.col(signal) - F.col("__ms"), F.col(background) - F.col("__mn")
-    powers = {(i, j): F.avg(F.pow(s, F.lit(i)) * F.pow(n, F.lit(j))).alias(f"__m{i}{j}") for i in range(4) for j in range(4) if i + j in (2, 3)}
-    lows = [F.min(F.col(signal) - float(a) * F.col(background)).alias(f"__l{k}") for k, a in enumerate(alphas)]
-    m = df.join(means, by).groupBy(*by).agg(*powers.values(), *lows)
-
-    def trial(k: int, a: float) -> Column:
-        c = lambda i, j: F.col(f"__m{i}{j}")
-        second = c(2, 0) - 2 * a * c(1, 1) + a * a * c(0, 2)
-        third = c(3, 0) - 3 * a * c(2, 1) + 3 * a * a * c(1, 2) - a**3 * c(0, 3)
-        skew = third / F.pow(second, F.lit(1.5))
-        return F.struct(F.when(F.col(f"__l{k}") < 0, F.lit(1e10)).otherwise(-skew).alias("cost"), F.lit(float(a)).alias("alpha"), skew.alias("skew"))
-
-    best = F.array_min(F.array(*[trial(k, float(a)) for k, a in enumerate(alphas)]))
-    return m.withColumn("b", best).select(*by, F.col("b.alpha").alias("alpha"), F.col("b.skew").alias("skew"))
+    """(by, alpha, skew): the coefficient whose corrected signal is most skewed, never negative if any is not; of equal ones the first.
+
+    A unit's two traces are gathered once; all coefficients are tried as one matrix a unit.
+    """
+    kinds, tried = dict(df.dtypes), np.array(alphas, float)
+    known = df.filter(F.col(signal).isNotNull() & F.col(background).isNotNull())
+    pairs = known.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(signal).cast("double").alias("s"), F.col(background).cast("double").alias("n")))).alias("__p"))
+    rows = pairs.select(*by, F.col("__p").getField("s").alias("__s"), F.col("__p").getField("n").alias("__n"))
+
+    def best(s: np.ndarray, n: np.ndarray) -> tuple[float | None, float | None]:
+        f = s - tried[:, None] * n
+        c = f - f.mean(1, keepdims=True)
+        second = (c * c).mean(1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            skew = (c**3).mean(1) / second**1.5
+        cost = np.where(f.min(1) < 0, 1e10, -skew)
+        cost = np.where(np.isnan(cost), np.inf, cost)
+        k = int(np.argmin(cost))
+        return (float(tried[k]), float(skew[k])) if np.isfinite(skew[k]) else (None, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [best(np.array(s), np.array(n)) for s, n in zip(batch.column(len(by)).to_pylist(), batch.column(len(by) + 1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(by))), *(pa.array([x[i] for x in found], pa.float64()) for i in (0, 1))], names=[*by, "alpha", "skew"])
+
+    return rows.mapInArrow(run, ", ".join([f"`{k}` {kinds[k]}" for k in by] + ["alpha double, skew double"]))
 
 
 def rank_sum(df: DataFrame, by: list[str], value: str, second: Column) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake.operators import acquisition, aggregate, curves, designs, fits, frames, kernels, models, scans, stats, tables
+from tracelake.functions import parse
+from tracelake.operators import acquisition, aggregate, align, curves, designs, fits, frames, kernels, models, reshape, scans, stats, tables
 from tracelake.plans import pipelines
 from tracelake.plans.queries import _KIND, _PIXELS, TRACE, UNIT, pixels, query, r, rounded, with_kind
 from tracelake.sources import loader, sessions, work
@@ -481,3 +482,53 @@ def regression_p_values(t):
     fit = designs.regression_with_p(t, ["dataset"], "q", "price")
     origin = designs.regression_with_p(t, ["dataset"], "p", "dc", intercept=False)
     return rounded(fit.select("dataset", (F.col("slope") / 1000).alias("slope"), "r2", "p").join(origin.select("dataset", F.col("slope").alias("origin_slope"), F.col("p").alias("origin_p")), "dataset"), 5)
+
+
+# further forms
+
+
+@query("flat", f"""
+, o AS (SELECT dataset, (dataset % 3) * 0.04::DOUBLE AS onset FROM flat GROUP BY dataset), s AS (SELECT dataset, roi, frame, floor((frame * 0.01::DOUBLE - onset) * 12.5) AS pulse, frame * 0.01::DOUBLE - onset AS t, v FROM flat JOIN o USING (dataset) WHERE frame * 0.01::DOUBLE - onset >= 0 AND frame * 0.01::DOUBLE - onset < 0.4)
+SELECT dataset, roi, frame, CAST(pulse AS INT) AS pulse, {r('t - pulse / 12.5')} AS since, {r('v - max(v) OVER (PARTITION BY dataset, roi, pulse)')} AS v FROM s""")
+def pulses_by_dataset(t):
+    timed = t.select(*UNIT, "frame", (F.col("frame") * 0.01).alias("t"), (F.col("dataset") % 3 * 0.04).alias("onset"), "v")
+    return rounded(reshape.split_pulses(timed, UNIT, "v", "t", 0.4, 12.5, onset="onset").drop("t", "onset"))
+
+
+def _sorted_table(level: str) -> str:
+    return f"""
+, t AS (SELECT dataset, run, {level} AS level FROM stats GROUP BY ALL), a AS (SELECT dataset, row_number() OVER (ORDER BY {level} DESC, dataset) - 1 AS row_place FROM stats GROUP BY dataset), b AS (SELECT run, row_number() OVER (ORDER BY {level} DESC, run) - 1 AS column_place FROM stats GROUP BY run)
+SELECT dataset, run, {r('level')} AS level, CAST(row_place AS INT) AS row_place, CAST(column_place AS INT) AS column_place FROM t JOIN a USING (dataset) JOIN b USING (run)"""
+
+
+@query("stats", _sorted_table("median(price)"))
+def stat_table_sorted(t):
+    return rounded(reshape.sorted_stat_table(t, "dataset", "run", "price"))
+
+
+@query("stats", _sorted_table("stddev_samp(price) / avg(price)"))
+def stat_table_of_spread(t):
+    return rounded(reshape.sorted_stat_table(t, "dataset", "run", "price", spread=True))
+
+
+@query("flat", f"""
+, g AS (SELECT dataset, max(v) - min(v) AS g FROM flat GROUP BY dataset), s AS (SELECT dataset, g + 0.2 * avg(g) OVER () AS step FROM g)
+SELECT dataset, {r('coalesce(sum(step) OVER (ORDER BY dataset DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)')} AS "offset" FROM s""")
+def category_offsets_falling(t):
+    return rounded(align.category_offsets(t, "dataset", "v", ascending=False))
+
+
+@query("stats", f"""
+, c AS (SELECT dataset, p, avg(price) AS y FROM stats WHERE dc = 0.04 GROUP BY ALL), o AS (SELECT dataset, p, avg(price) AS m, stddev_samp(price) / sqrt(count(*)) AS s FROM stats WHERE dc <> 0.04 GROUP BY ALL)
+SELECT dataset, {r('avg(abs(m - y) / s)', 4)} AS error, count(*) AS n FROM o JOIN c USING (dataset, p) WHERE s > 0 GROUP BY dataset""")
+def sweep_alignment_errors(t):
+    return rounded(models.sweep_alignment_error(t, ["dataset"], "p", "price", F.col("dc") == 0.04), 4)
+
+
+@query("stats", f"""
+, x AS (SELECT DISTINCT run, (q - 25) * pow(10.0, 2 * run - 8) AS x FROM (SELECT run, CAST(q AS DOUBLE) AS q FROM stats)), k AS (SELECT * FROM (VALUES ('p', -12), ('n', -9), ('u', -6), ('m', -3), ('', 0), ('k', 3), ('M', 6), ('G', 9), ('T', 12)) v(prefix, e)),
+m AS (SELECT run, x, prefix, e, row_number() OVER (PARTITION BY run, x ORDER BY e DESC) AS i FROM x, k WHERE CASE WHEN x = 0 THEN e = 0 ELSE abs(x) >= pow(10.0, e) END)
+SELECT run, {r('x', 9)} AS x, pow(10.0, e) AS factor, prefix FROM m WHERE i = 1""")
+def si_pairs(t):
+    x = t.select("run", ((F.col("q") - 25) * F.pow(F.lit(10.0), 2 * F.col("run") - 8)).alias("x")).distinct()
+    return x.select("run", (F.round("x", 9) + F.lit(0.0)).alias("x"), parse.si_pair(F.col("x")).alias("s")).select("run", "x", "s.factor", "s.prefix")

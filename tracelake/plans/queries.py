@@ -598,10 +598,10 @@ def paired_comparison(t):
 , x AS (SELECT dataset, roi, v + 5 AS s, abs(v) + 1 AS b FROM traces), a AS (SELECT unnest(range(0, 100)) / 99.0::DOUBLE AS alpha),
 c AS (SELECT dataset, roi, alpha, s - alpha * b AS c FROM x, a), m AS (SELECT dataset, roi, alpha, avg(c) AS m, min(c) AS low FROM c GROUP BY ALL),
 k AS (SELECT c.dataset, c.roi, c.alpha, avg(pow(c - m, 3)) / pow(avg(pow(c - m, 2)), 1.5) AS skew, min(low) AS low FROM c JOIN m ON c.dataset = m.dataset AND c.roi = m.roi AND c.alpha = m.alpha GROUP BY ALL)
-SELECT dataset, roi, {r('max(CASE WHEN low < 0 THEN -1e10 ELSE skew END)', 5)} AS skew FROM k GROUP BY ALL""")
+SELECT dataset, roi, {r('arg_max(alpha, CASE WHEN low < 0 THEN -1e10 ELSE skew END)')} AS alpha, {r('max(CASE WHEN low < 0 THEN -1e10 ELSE skew END)', 5)} AS skew FROM k GROUP BY ALL""")
 def neuropil_coefficients(t):
     best = stats.best_coefficient(t.withColumns({"f": F.col("v") + 5, "n": F.abs("v") + 1}), UNIT, "f", "n", [k / 99 for k in range(100)])
-    return rounded(best.select(*UNIT, "skew"), 5)
+    return rounded(best.select(*UNIT, "alpha", F.round("skew", 5).alias("skew")))
 
 
 # scalars
