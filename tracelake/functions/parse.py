@@ -18,10 +18,10 @@ def _group(text: Column, pattern: str, k: int) -> Column:
 
 
 def experiment(name: Column) -> Column:
-    """``line_<n>frames_<f>Hz_<d>ms_<fps>Hz_<p>MPA_<dc>DC[-id]`` as a struct; a pressure without a dot is its decimals after the first digit."""
+    """``line_<n>frames_<f>Hz_<d>ms_<fps>Hz_<p>MPA_<dc>DC[-id]`` as a struct; a pressure without a dot has its decimals after the first digit, for which the dot stands."""
     pattern = r"^([A-Za-z0-9]+)_(\d+)frames_(\d+(?:\.\d+)?)Hz_(\d+)ms_(\d+(?:\.\d+)?)Hz_(\d+(?:\.\d+)?)M[Pp][Aa]_(\d+)DC(?:[-_](.*))?$"
     g = [_group(name, pattern, k) for k in range(1, 9)]
-    p = F.when(F.contains(g[5], F.lit(".")), g[5].cast("double")).otherwise(F.concat(F.substring(g[5], 1, 1), F.lit("."), F.substring(g[5], 2, 20)).cast("double"))
+    p = F.when(F.contains(g[5], F.lit(".")), g[5].cast("double")).otherwise(F.concat(F.lit("0."), F.substring(g[5], 2, 20)).cast("double"))
     return F.when(g[0].isNotNull(), F.struct(
         g[0].alias("line"), g[1].cast("int").alias("trial_length"), g[2].cast("double").alias("prf"), (g[3].cast("double") / 1000).alias("dur"),
         g[4].cast("double").alias("fps"), p.alias("p"), g[6].cast("double").alias("dc"), F.regexp_extract(g[7], r"(\d+)", 1).try_cast("int").alias("run_id"),
@@ -29,7 +29,7 @@ def experiment(name: Column) -> Column:
 
 
 _NAME = r"([A-Za-z][A-Za-z0-9_]*)_(\d+)frames_(\d+\.?\d*)Hz_(\d+\.?\d*)ms_(\d+\.?\d*)Hz_(\d+\.?\d*)MPa_(\d+)DC_?(.*)"
-#: The five forms of acquisition names, tried in this order; the run follows the suffix.
+#: The five forms of acquisition names, tried in this order; the run follows the suffix.
 NAME_FORMS = {
     "raw folder": rf"(?i)^{_NAME}-(\d+)$",
     "raw file": rf"(?i)^{_NAME}-(\d+)_Cycle(\d+)_Ch(\d)_(\d+)\.ome\.tif$",
