@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelake.operators import curves, kernels, signals, stats
+from tracelake.operators import curves, fits, kernels, signals, stats
 
 
 def gaussian_weights(sigma: float) -> list[float]:
@@ -379,11 +379,7 @@ def circular_correlation_p(df: DataFrame, by: list[str], a: str, b: str) -> Data
     m = known.join(means, by).groupBy(*by).agg(F.count("*").alias("n"), F.avg(x).alias("l20"), F.avg(y).alias("l02"), F.avg(x * y).alias("l22"))
     ts = F.sqrt(F.col("n") * F.col("l20") * F.col("l02") / F.col("l22")) * F.col("rho")
 
-    @F.pandas_udf("double")
-    def two_sided(z: pd.Series) -> pd.Series:
-        return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if v == v else None).astype("float64")
-
-    return rho.join(m, by).select(*by, "rho", two_sided(ts).alias("p"))
+    return rho.join(m, by).select(*by, "rho", fits.normal_p_value(ts).alias("p"))
 
 
 def complex_exponential(x: Column) -> Column:

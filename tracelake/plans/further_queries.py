@@ -13,7 +13,7 @@ from tracelake.sources import loader, sessions, work
 # robust regression: the rounds of the fit, written out
 
 
-def _robust_rounds(source: str, keys: list[str], rounds: int) -> str:
+def _robust_rounds(source: str, keys: list[str], rounds: int, median: str = "quantile_disc({}, 0.5)") -> str:
     """CTEs f0 to f<rounds>, and g with the statistics of the last fit, of rows (keys, x, y) of ``source``."""
     k, on = ", ".join(keys), f"USING ({', '.join(keys)})"
     line = "(sw * swxy - swx * swy) / (sw * swxx - swx * swx)"
@@ -27,7 +27,7 @@ def _robust_rounds(source: str, keys: list[str], rounds: int) -> str:
         weight = f"(CASE WHEN scale > 0 AND abs({residual}) > 1.345::DOUBLE * scale THEN 1.345::DOUBLE * scale / abs({residual}) ELSE 1.0::DOUBLE END)"
         out.append(
             f"f{i + 1} AS (SELECT {k}, {line} AS a, (swy - {line} * swx) / sw AS b, scale, greatest(abs({line} - a0), abs((swy - {line} * swx) / sw - b0)) AS moved "
-            f"FROM (SELECT {k}, {sums(weight)}, quantile_disc(abs({residual}), 0.5) / 0.6744897501960817::DOUBLE AS scale, min(a) AS a0, min(b) AS b0 FROM {source} JOIN f{i} {on} GROUP BY {k}))"
+            f"FROM (SELECT {k}, {sums(weight)}, {median.format(f'abs({residual})')} / 0.6744897501960817::DOUBLE AS scale, min(a) AS a0, min(b) AS b0 FROM {source} JOIN f{i} {on} GROUP BY {k}))"
         )
     out.append(
         f"g AS (SELECT {k}, min(a) AS a, min(b) AS b, min(scale) AS scale, min(moved) AS moved, count(*) AS n, sum(u * u) * min(scale) ** 2 AS rest, var_pop(y) * count(*) AS total, avg(inside) AS m, var_pop(inside) AS mv, "
@@ -69,6 +69,14 @@ def robust_frame_regression(t):
     return rounded(fit.withColumns({"slope": F.round("slope", 4), "intercept": F.round("intercept", 2)}))
 
 
+@query("flat", f"""
+, d AS (SELECT dataset, roi, CAST(frame AS DOUBLE) AS x, v AS y FROM flat),
+{_robust_rounds('d', ['dataset', 'roi'], 60, 'median({})')}
+SELECT dataset, roi, {r('a')} AS slope, {r('b', 5)} AS intercept FROM f60""")
+def robust_trends(t):
+    return rounded(kernels.robust_trend(t, UNIT, "v").withColumn("intercept", F.round("intercept", 5)))
+
+
 # tests of factors: two levels and a covariate have closed forms
 
 
@@ -532,3 +540,11 @@ SELECT run, {r('x', 9)} AS x, pow(10.0, e) AS factor, prefix FROM m WHERE i = 1"
 def si_pairs(t):
     x = t.select("run", ((F.col("q") - 25) * F.pow(F.lit(10.0), 2 * F.col("run") - 8)).alias("x")).distinct()
     return x.select("run", (F.round("x", 9) + F.lit(0.0)).alias("x"), parse.si_pair(F.col("x")).alias("s")).select("run", "x", "s.factor", "s.prefix")
+
+
+@query("trials", f"""
+, m AS (SELECT run, atan2(avg(sin(phase)), avg(cos(phase))) AS a, atan2(avg(sin(v)), avg(cos(v))) AS b FROM trials WHERE run IS NOT NULL GROUP BY run), d AS (SELECT run, sin(phase - a) AS x, sin(v - b) AS y FROM trials JOIN m USING (run)),
+q AS (SELECT run, sum(x * y) / sqrt(sum(x * x) * sum(y * y)) AS rho, sqrt(count(*) * avg(x * x) * avg(y * y) / avg(x * x * y * y)) AS w FROM d GROUP BY run), e AS (SELECT run, rho, least(abs(w * rho), 10) AS z FROM q)
+SELECT run, {r('rho')} AS rho, {r(f'CASE WHEN z >= 10 THEN 0 ELSE {_NORMAL_P} END')} AS p FROM e""")
+def circular_correlations(t):
+    return rounded(designs.circular_correlation_p(t, ["run"], "phase", "v"))

@@ -661,11 +661,6 @@ def response_codes(t):
     return c.select("roi", designs.response_code({"p": kind("p"), "dc": kind("dc")}).alias("code"))
 
 
-@query("trials")
-def circular_correlations(t):
-    return rounded(designs.circular_correlation_p(t.filter("run is not null"), ["run"], "phase", "v"))
-
-
 @query("trials", f"SELECT event_id, {r('cos(phase)')} AS re, {r('sin(phase)')} AS im FROM trials")
 def complex_phases(t):
     return rounded(t.select("event_id", designs.complex_exponential(F.col("phase")).alias("z")).select("event_id", "z.*"))

@@ -704,7 +704,10 @@ def welch_spectra(t):
     return rounded(kernels.welch_spectrum(t, UNIT, "v", 3.56, 16))
 
 
-@query("flat")
+@query("flat", f"""
+, k AS (SELECT CAST(unnest(range(1, 32)) AS INT) AS k), s AS (SELECT dataset, roi, k, sum(v * cos(2 * pi() * k * frame / 64)) AS a, sum(v * sin(2 * pi() * k * frame / 64)) AS b FROM flat, k GROUP BY ALL),
+h AS (SELECT f.dataset, f.roi, frame, v, sum(a * sin(2 * pi() * k * frame / 64) - b * cos(2 * pi() * k * frame / 64)) / 32 AS h FROM flat f JOIN s USING (dataset, roi) GROUP BY ALL)
+SELECT dataset, roi, frame, {r('sqrt(v * v + h * h)')} AS envelope, {r('atan2(h, v)')} AS phase FROM h""")
 def hilbert_envelopes(t):
     return rounded(kernels.hilbert(t, UNIT, "v"))
 
@@ -719,11 +722,6 @@ def amplitude_surrogates(t):
     return rounded(kernels.surrogates(t, UNIT, "v", method="amplitude"))
 
 
-@query("flat")
-def robust_trends(t):
-    return rounded(kernels.robust_trend(t, UNIT, "v"))
-
-
 @query("flat")
 def principal_components(t):
     """Components of the frames over units, by dataset; the covariances are grouped sums."""
