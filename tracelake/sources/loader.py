@@ -8,6 +8,7 @@ left out by harmonising. Empty tables are loaded as such.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -27,11 +28,18 @@ def save_collection(tables: dict[str, DataFrame], root: str, *, keys: tuple[str,
     for name, df in tables.items():
         order = ["dataset", *[k for k in keys if k in df.columns]]
         df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(mode).partitionBy("dataset").parquet(f"{root}/{name}")
+        # a table without rows has no file that tells its columns
+        df.sparkSession.createDataFrame([(df.schema.json(),)], "value string").coalesce(1).write.mode(mode).text(f"{root}/{name}.schema")
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
     """A table with dataset names as they are spelled, not as numbers or dates."""
-    schema = spark.read.parquet(path).schema
+    try:
+        schema = StructType.fromJson(json.loads(spark.read.text(f"{path}.schema").first().value))
+    except AnalysisException as e:  # saved by other means
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        schema = spark.read.parquet(path).schema
     return spark.read.schema(StructType([StructField(f.name, StringType()) if f.name == "dataset" else f for f in schema.fields])).parquet(path)
 
 
