@@ -548,3 +548,36 @@ q AS (SELECT run, sum(x * y) / sqrt(sum(x * x) * sum(y * y)) AS rho, sqrt(count(
 SELECT run, {r('rho')} AS rho, {r(f'CASE WHEN z >= 10 THEN 0 ELSE {_NORMAL_P} END')} AS p FROM e""")
 def circular_correlations(t):
     return rounded(designs.circular_correlation_p(t, ["run"], "phase", "v"))
+
+
+# two factors in turn, the second of two levels: its sum of squares after the first one's is that of the weighted differences
+
+
+def _two_way(interaction: bool) -> str:
+    rest, rest_dof = ("ssw", "n - 6") if interaction else ("ssw + ssi", "n - 4")
+    total = "ssa + ssb + ssi + ssw"
+    rows = " UNION ALL ".join(f"SELECT dataset, '{name}' AS factor, {ss} AS ss, {dof} AS dof, {rest} AS rest, {rest_dof} AS rest_dof, {total} AS total FROM s" for name, ss, dof in [("a", "ssa", 2), ("b", "ssb", 1)] + ([("a:b", "ssi", 2)] if interaction else []) + [("residual", rest, rest_dof)])
+    return f"""
+, d AS (SELECT dataset, run % 3 AS a, roi % 2 AS b, CAST(q AS DOUBLE) AS q FROM stats), c AS (SELECT dataset, a, b, count(*) AS n, avg(q) AS m, var_pop(q) AS v FROM d GROUP BY ALL), g AS (SELECT dataset, avg(q) AS g, count(*) AS n, var_pop(q) * count(*) AS sst FROM d GROUP BY dataset),
+ma AS (SELECT dataset, a, avg(q) AS ma, count(*) AS na FROM d GROUP BY ALL), sa AS (SELECT dataset, sum(na * (ma - g) * (ma - g)) AS ssa FROM ma JOIN g USING (dataset) GROUP BY dataset), w AS (SELECT dataset, sum(n * v) AS ssw FROM c GROUP BY dataset),
+p AS (SELECT x.dataset, x.n * y.n / (x.n + y.n)::DOUBLE AS w, x.m - y.m AS d FROM c x JOIN c y ON y.dataset = x.dataset AND y.a = x.a AND x.b = 0 AND y.b = 1), sb AS (SELECT dataset, sum(w * d) ** 2 / sum(w) AS ssb FROM p GROUP BY dataset),
+s AS (SELECT dataset, ssa, ssb, sst - ssa - ssb - ssw AS ssi, ssw, g.n AS n FROM g JOIN sa USING (dataset) JOIN sb USING (dataset) JOIN w USING (dataset)),
+r AS (SELECT dataset, factor, ss, CAST(dof AS BIGINT) AS k, rest, CAST(rest_dof AS BIGINT) AS dof, total, CASE WHEN factor <> 'residual' THEN ss / dof / (rest / rest_dof) END AS f FROM ({rows})), u AS (SELECT *, sqrt(f) AS t FROM r)
+SELECT dataset, factor, {r('ss', 3)} AS ss, k AS dof, {r('f', 4)} AS f, {r(f'CASE WHEN f IS NULL THEN NULL WHEN k = 2 THEN pow(1 + 2 * f / dof, -dof / 2.0) ELSE {_T_P} END', 5)} AS p,
+  {r("CASE WHEN f IS NOT NULL THEN ss / total END")} AS eta2, {r("CASE WHEN f IS NOT NULL THEN (ss - k * rest / dof) / (ss + k * rest / dof + rest / dof) END")} AS omega2 FROM u"""
+
+
+def _two_way_table(t, interaction: bool):
+    d = t.select("dataset", (F.col("run") % 3).alias("a"), (F.col("roi") % 2).alias("b"), "q")
+    out = designs.two_way_anova(d, ["dataset"], "a", "b", "q", interaction=interaction)
+    return rounded(out.withColumns({"ss": F.round("ss", 3), "f": F.round("f", 4), "p": F.round("p", 5)}))
+
+
+@query("stats", _two_way(True))
+def two_way_variance(t):
+    return _two_way_table(t, True)
+
+
+@query("stats", _two_way(False))
+def two_way_effects(t):
+    return _two_way_table(t, False)

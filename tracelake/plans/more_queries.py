@@ -588,24 +588,6 @@ def robust_regressions(t):
     return rounded(designs.robust_regression(two, UNIT, "x", "y"), 5)
 
 
-@query("stats", f"""
-, d AS (SELECT dataset, run % 3 AS a, roi % 2 AS b, q FROM stats), c AS (SELECT dataset, a, b, count(*) AS n, avg(q) AS m, var_pop(q) AS v FROM d GROUP BY ALL), g AS (SELECT dataset, avg(q) AS g FROM d GROUP BY dataset),
-ma AS (SELECT dataset, a, avg(q) AS ma, count(*) AS na FROM d GROUP BY ALL), sa AS (SELECT dataset, sum(na * (ma - g) * (ma - g)) AS ssa FROM ma JOIN g USING (dataset) GROUP BY dataset), w AS (SELECT dataset, sum(n * v) AS ssw, sum(n) - count(*) AS dof FROM c GROUP BY dataset),
-t AS (SELECT dataset, var_pop(q) * count(*) AS sst FROM d GROUP BY dataset)
-SELECT dataset, 'a' AS factor, {r('ssa', 3)} AS ss, 2 AS dof FROM sa UNION ALL SELECT dataset, 'residual', {r('ssw', 3)}, CAST(dof AS BIGINT) FROM w UNION ALL SELECT dataset, 'b + a:b', {r('sst - ssa - ssw', 3)}, 3 FROM t JOIN sa USING (dataset) JOIN w USING (dataset)""")
-def two_way_variance(t):
-    d = t.select("dataset", (F.col("run") % 3).alias("a"), (F.col("roi") % 2).alias("b"), "q")
-    out = designs.two_way_anova(d, ["dataset"], "a", "b", "q")
-    name = F.when(F.col("factor").isin("b", "a:b"), "b + a:b").otherwise(F.col("factor"))
-    return rounded(out.groupBy("dataset", name.alias("factor")).agg(F.sum("ss").alias("ss"), F.sum("dof").alias("dof")), 3)
-
-
-@query("stats")
-def two_way_effects(t):
-    d = t.select("dataset", (F.col("run") % 3).alias("a"), (F.col("roi") % 2).alias("b"), "q")
-    return rounded(designs.two_way_anova(d, ["dataset"], "a", "b", "q", interaction=False), 4)
-
-
 @query("flat")
 def half_comparisons(t):
     return rounded(designs.compare_halves(t, UNIT, "frame", "v"))
