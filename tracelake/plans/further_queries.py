@@ -581,3 +581,22 @@ def two_way_variance(t):
 @query("stats", _two_way(False))
 def two_way_effects(t):
     return _two_way_table(t, False)
+
+
+# a second-order low pass, forwards and backwards over the trace with its ends turned about
+
+
+def _pass(x: str) -> str:
+    """One section over the list ``x`` from the steady state of its first value; the state is two numbers before the output."""
+    start = f"[(b1 - a1) * {x}[1] + (b2 - a2) * {x}[1], (b2 - a2) * {x}[1]]"
+    return f"list_reduce(list_concat([{start}], list_transform({x}, lambda v: [v])), lambda s, e: list_concat([b1 * e[1] - a1 * (b0 * e[1] + s[1]) + s[2], b2 * e[1] - a2 * (b0 * e[1] + s[1])], list_concat(s[3:], [b0 * e[1] + s[1]])))[3:]"
+
+
+@query("flat", f"""
+, k AS (SELECT tan(pi() * 0.5 / 3.56) AS k), n AS (SELECT k, 1 / (1 + k * sqrt(2.0) + k * k) AS n FROM k), c AS (SELECT k * k * n AS b0, 2 * k * k * n AS b1, k * k * n AS b2, 2 * (k * k - 1) * n AS a1, (1 - k * sqrt(2.0) + k * k) * n AS a2 FROM n),
+y AS (SELECT dataset, roi, list(v ORDER BY frame) AS y FROM flat GROUP BY ALL),
+x AS (SELECT dataset, roi, list_concat(list_transform(range(0, 9), lambda i: 2 * y[1] - y[10 - i]), list_concat(y, list_transform(range(0, 9), lambda i: 2 * y[64] - y[63 - i]))) AS x, c.* FROM y, c),
+f AS (SELECT * REPLACE (list_reverse({_pass('x')}) AS x) FROM x), g AS (SELECT dataset, roi, list_reverse({_pass('x')}) AS x FROM f)
+SELECT dataset, roi, CAST(i AS INT) AS frame, {r('x[i + 10]')} AS v FROM (SELECT *, unnest(range(0, 64)) AS i FROM g)""")
+def low_passed(t):
+    return rounded(kernels.zero_phase_filter(t, UNIT, "v", 3.56, 0.5))

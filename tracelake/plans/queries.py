@@ -712,11 +712,6 @@ def hilbert_envelopes(t):
     return rounded(kernels.hilbert(t, UNIT, "v"))
 
 
-@query("flat")
-def low_passed(t):
-    return rounded(kernels.zero_phase_filter(t, UNIT, "v", 3.56, 0.5))
-
-
 @query("flat")
 def amplitude_surrogates(t):
     return rounded(kernels.surrogates(t, UNIT, "v", method="amplitude"))
