@@ -228,3 +228,14 @@ def test_onsets_pairs_and_tables(spark):
     table = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 5.0), ("b", 1, 9.0), ("b", 2, None)], "r string, c int, v double")
     rows = {(r.r, r.c): (r.level, r.row_place, r.column_place) for r in reshape.sorted_stat_table(table, "r", "c", "v").collect()}
     assert rows == {("a", 1): (1.0, 1, 0), ("a", 2): (5.0, 1, 1), ("b", 1): (9.0, 0, 0), ("b", 2): (None, 0, 1)}
+
+
+def test_strict_expansion_and_cells(spark):
+    fine = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "k int, f int")
+    coarse = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "k int, v string")
+    assert sorted(map(tuple, align.expand(fine, coarse, ["k"], "c_", strict=True).collect()), key=repr) == [(1, 0, "a"), (1, 1, "a"), (2, 0, None)]
+    for wrong in (coarse.filter("k <> 2"), coarse.union(coarse.filter("k = 1"))):
+        with pytest.raises(Exception, match="not in the coarse one"):
+            align.expand(fine, wrong, ["k"], strict=True).collect()
+    texts = spark.createDataFrame([("{'a';'b c'}",), ("{1 2}",), ("{}",), ("{[1 2] [3]}",), ("[1 2]",)], "t string").select(parse.typed_value(F.col("t")).alias("v")).collect()
+    assert [r.v.cells for r in texts] == [["a", "b c"], ["1", "2"], [], ["[1 2]", "[3]"], None]

@@ -219,14 +219,17 @@ def pairs(text: Column) -> Column:
 
 
 def typed_value(text: Column) -> Column:
-    """A settings value as a struct of what it is: boolean, number, quoted text or matrix (rows by ``;``, cells by blanks)."""
+    """A settings value as a struct of what it is: boolean, number, quoted text, matrix (rows by ``;``, cells by blanks) or cells (``{..}``, texts without their quotes)."""
     t = F.trim(text)
     number = F.when(~F.lower(t).isin("nan", "inf", "-inf"), t.try_cast("double"))
     rows = F.split(F.regexp_replace(F.btrim(t, F.lit("[]")), r"\s*;\s*", ";"), ";")
     matrix = F.transform(rows, lambda r: F.transform(F.split(F.trim(r), r"[\s,]+"), lambda x: x.try_cast("double")))
+    # a cell is a quoted text, a matrix or a word
+    cells = F.transform(F.regexp_extract_all(t, F.lit(r"('[^']*'|\[[^\]]*\]|[^\s;,{}'\[\]]+)"), F.lit(1)), lambda c: F.btrim(c, F.lit("'")))
     return F.struct(
         F.when(F.lower(t).isin("true", "false"), F.lower(t) == "true").alias("flag"), number.alias("number"),
         _group(t, r"^'(.*)'$", 1).alias("text"), F.when(t.rlike(r"^\[.*\]$"), matrix).alias("matrix"),
+        F.when(t.rlike(r"^\{.*\}$"), cells).alias("cells"),
     )
 
 

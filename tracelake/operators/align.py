@@ -11,10 +11,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def expand(fine: DataFrame, coarse: DataFrame, on: list[str], prefix: str = "") -> DataFrame:
-    """``fine`` with the columns of ``coarse``; which side is sent round is left to the optimizer."""
+def expand(fine: DataFrame, coarse: DataFrame, on: list[str], prefix: str = "", *, strict: bool = False) -> DataFrame:
+    """``fine`` with the columns of ``coarse``; which side is sent round is left to the optimizer.
+
+    ``strict``: a key that ``coarse`` has twice, or not at all for a row of ``fine``, raises as
+    the plan runs, so that each coarse row stands for whole groups of fine ones.
+    """
     named = coarse.select(*on, *[F.col(c).alias(prefix + c) for c in coarse.columns if c not in on])
-    return fine.join(named, on, "left")
+    if not strict:
+        return fine.join(named, on, "left")
+    own = [c for c in named.columns if c not in on]
+    once = named.groupBy(*on).agg(F.count("*").alias("__n"), F.first(F.struct(*own) if own else F.lit(0)).alias("__row"))
+    met = fine.join(once, on, "left").withColumn("__ok", F.when(F.coalesce("__n", F.lit(0)) == 1, True).otherwise(F.raise_error(F.lit("a key of the fine table is not in the coarse one, or several times")).cast("boolean")))
+    return met.filter("__ok").select(*fine.columns, *[F.col("__row").getField(c).alias(c) for c in own])
 
 
 def align_at(df: DataFrame, keys: list[str], value: str, first: int, stop: int, *, frame: str = "frame") -> DataFrame:
