@@ -29,7 +29,7 @@ def files_assembled(t):
 @query("trials", "SELECT event_id, run AS condition, CAST(roi AS INT) AS trial, CAST(event_id % 1000 AS INT) AS number FROM trials WHERE run IS NOT NULL")
 def condition_files(t):
     name = F.concat_ws("_", "run", "roi", F.lpad((F.col("event_id") % 1000).cast("string"), 4, "0"))
-    return t.filter("run is not null").select("event_id", acquisition.condition_file(F.concat(name, F.lit(".tif"))).alias("f")).select("event_id", "f.*")
+    return t.select("event_id", acquisition.condition_file(F.concat(name, F.lit(".tif"))).alias("f")).select("event_id", "f.*")
 
 
 @query("stats", """
@@ -287,7 +287,7 @@ def extents(t):
 
 @query("trials", "SELECT DISTINCT roi, run, len(run) AS size FROM trials WHERE run IS NOT NULL")
 def singletons(t):
-    sized = t.filter("run is not null").withColumn("size", F.length("run").cast("long"))
+    sized = t.withColumn("size", F.length("run").cast("long"))
     return tables.singleton(sized, ["run"], "size").join(tables.combinations(sized, ["roi", "run"]), "run").select("roi", "run", "size")
 
 
@@ -378,7 +378,7 @@ def trimmed_to_shortest(t):
 m AS (SELECT *, avg(v) OVER (PARTITION BY run, k) AS merged FROM s)
 SELECT event_id, t.run, {r('merged')} AS v FROM trials t JOIN m ON m.run = t.run AND m.v = t.v""")
 def close_values_resolved(t):
-    own = t.filter("v is not null and run is not null").select("event_id", "run", "v")
+    own = t.select("event_id", "run", "v")
     return rounded(tables.resolve_close(own, aggregate.merge_close(own, "v", 0.2, ["run"]), ["run"], "v"))
 
 
@@ -460,14 +460,14 @@ def time_courses(t):
 
 @query("trials", "SELECT roi, run, event_id FROM (SELECT *, row_number() OVER (PARTITION BY roi ORDER BY run, event_id) AS k, min(event_id) OVER (PARTITION BY roi) AS m FROM trials WHERE run IS NOT NULL) WHERE k <= 2 AND event_id > m")
 def first_rows(t):
-    own = t.filter("run is not null").select("roi", "run", "event_id")
+    own = t.select("roi", "run", "event_id")
     first = tables.first_rows(own, ["roi"], ["run", "event_id"], 2)
     return first.join(tables.skip_first(own, ["roi"], "event_id").select("event_id"), "event_id", "left_semi").select("roi", "run", "event_id")
 
 
 @query("documents", "SELECT source, CAST(row_number() OVER (ORDER BY regexp_replace(source, '\\d+\\D*$', ''), TRY_CAST(regexp_extract(source, '(\\d+)\\D*$', 1) AS BIGINT) NULLS FIRST, source) AS INT) AS place FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)")
 def natural_order(t):
-    names = t.filter("source is not null").select("source").distinct()
+    names = t.select("source").distinct()
     return names.withColumn("place", F.row_number().over(tables.W.orderBy(tables.natural_key(F.col("source")))))
 
 
@@ -751,7 +751,7 @@ def phase_surrogates(t):
 
 @query("trials", f"SELECT roi, arg_min(run, event_id) AS run, {r('arg_min(v, event_id)')} AS v FROM (SELECT * FROM trials WHERE run IS NOT NULL AND v IS NOT NULL) GROUP BY roi")
 def first_responses(t):
-    return rounded(aggregate.first_by(t.filter("run is not null and v is not null"), ["roi"], ["run", "v"], ["event_id"]))
+    return rounded(aggregate.first_by(t, ["roi"], ["run", "v"], ["event_id"]))
 
 
 @query("part", "SELECT p_partkey, 'size' AS name, 'mm' AS unit, CAST(p_size AS DOUBLE) AS x, CAST(p_size / 4.0 AS DOUBLE) AS q FROM part")
@@ -808,13 +808,13 @@ def symmetric_accuracies(t):
 , m AS (SELECT run, avg(v) AS m, stddev_pop(v) AS s, count(v) AS n FROM trials GROUP BY run), k AS (SELECT t.run, n, avg(pow((v - m) / s, 3)) AS s, avg(pow((v - m) / s, 4)) - 3 AS k FROM trials t JOIN m ON m.run = t.run GROUP BY t.run, n)
 SELECT run, {r('n / 6 * (s * s + k * k / 4)', 4)} AS statistic, {r('exp(-n / 12 * (s * s + k * k / 4))')} AS p FROM k""")
 def normality(t):
-    out = stats.normality(t.filter("run is not null"), ["run"], "v")
+    out = stats.normality(t, ["run"], "v")
     return rounded(out.withColumn("statistic", F.round("statistic", 4)))
 
 
 @query("trials")
 def independent_comparisons(t):
-    return rounded(stats.independent_comparison(t.filter("run is not null"), ["run"], "v", F.col("event_id") % 2 == 1), 5)
+    return rounded(stats.independent_comparison(t, ["run"], "v", F.col("event_id") % 2 == 1), 5)
 
 
 @query("stats", f"""
@@ -847,7 +847,7 @@ def enriched_dependency(t):
 @query("documents", "SELECT source FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) ORDER BY md5(concat_ws('|', 4, source)), source LIMIT 5")
 def sampled_sources(t):
     """Five files by a seeded hash: the operator's feature."""
-    return bundles.sampled_files(t.filter("source is not null").select("source").distinct(), "source", 5, seed=4)
+    return bundles.sampled_files(t.select("source").distinct(), "source", 5, seed=4)
 
 
 @query("part", "SELECT p_partkey, 'scan' AS kept, '0.2' AS framePeriod, '25' AS framesPerTrial FROM part")

@@ -630,7 +630,7 @@ def parameter_codes(t):
 @query("documents", r"SELECT doc_id, TRY_CAST(regexp_extract(source, '^src(\d+)$', 1) AS INT) AS number, CASE CAST(regexp_extract(source, '^src(\d+)$', 1) AS INT) % 10 WHEN 1 THEN 'st' WHEN 2 THEN 'nd' WHEN 3 THEN 'rd' ELSE 'th' END AS suffix FROM documents WHERE source IS NOT NULL")
 def source_numbers(t):
     n = F.regexp_extract("source", r"^src(\d+)$", 1).try_cast("int")
-    return t.filter("source is not null").select("doc_id", n.alias("number"), parse.ordinal_suffix(n).alias("suffix"))
+    return t.select("doc_id", n.alias("number"), parse.ordinal_suffix(n).alias("suffix"))
 
 
 # image stacks: a stack per label, a frame per vector, a pixel per element
