@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.test_operators import one, trace, values
 from tracelake.functions import dose, parse
-from tracelake.operators import acquisition, aggregate, align, designs, filters, frames, kernels, reshape, signals, stats, tables
+from tracelake.operators import acquisition, aggregate, align, designs, filters, fits, frames, kernels, models, reshape, signals, stats, tables
 from tracelake.sources import bundles
 
 
@@ -239,3 +239,8 @@ def test_strict_expansion_and_cells(spark):
             align.expand(fine, wrong, ["k"], strict=True).collect()
     texts = spark.createDataFrame([("{'a';'b c'}",), ("{1 2}",), ("{}",), ("{[1 2] [3]}",), ("[1 2]",)], "t string").select(parse.typed_value(F.col("t")).alias("v")).collect()
     assert [r.v.cells for r in texts] == [["a", "b c"], ["1", "2"], [], ["[1 2]", "[3]"], None]
+
+
+def test_repeated_values_of_many_partitions(spark):
+    df = spark.range(20000).select((F.col("id") % 50).alias("k"), (F.col("id") % 50 / 10).alias("same"), "id").repartition(13).withColumnRenamed("id", "other")
+    assert {r.column: r.repeated for r in aggregate.repeated_values(df, ["k"], ["same", "other"]).collect()} == {"same": True, "other": False}
