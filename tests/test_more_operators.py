@@ -244,3 +244,12 @@ def test_strict_expansion_and_cells(spark):
 def test_repeated_values_of_many_partitions(spark):
     df = spark.range(20000).select((F.col("id") % 50).alias("k"), (F.col("id") % 50 / 10).alias("same"), "id").repartition(13).withColumnRenamed("id", "other")
     assert {r.column: r.repeated for r in aggregate.repeated_values(df, ["k"], ["same", "other"]).collect()} == {"same": True, "other": False}
+
+
+def test_robust_scale_is_the_exact_median(spark):
+    df = spark.range(0, 60000, 1, 9).select(F.lit(1).alias("k"), (F.col("id") % 7).cast("double").alias("x"), ((F.col("id") * 7919) % 60013).cast("double").alias("y"))
+    got = one(fits.robust_fit(df, ["k"], "x", "y", rounds=1))
+    i = np.arange(60000)
+    x, y = (i % 7).astype(float), ((i * 7919) % 60013).astype(float)
+    slope, level = np.polyfit(x, y, 1)
+    assert got.scale == pytest.approx(np.sort(np.abs(y - level - slope * x))[29999] / fits.NORMAL_MEDIAN, rel=1e-10)
