@@ -253,3 +253,15 @@ def test_robust_scale_is_the_exact_median(spark):
     x, y = (i % 7).astype(float), ((i * 7919) % 60013).astype(float)
     slope, level = np.polyfit(x, y, 1)
     assert got.scale == pytest.approx(np.sort(np.abs(y - level - slope * x))[29999] / fits.NORMAL_MEDIAN, rel=1e-10)
+
+
+def test_flat_frames_have_no_correction(spark):
+    ref, flat = [4990.0, 4995.0, 5000.0, 5003.0, 5004.0, 5008.0], [5001.0, 5003.0, 5000.0, 4999.0, 5002.0, 5001.0]
+    x = np.array(ref) - np.mean(ref)
+    flat = np.round(np.array(flat) - x * (x @ (flat - np.mean(flat))) / (x @ x), 12)  # zero slope but for rounding
+    rows = [(1, c, f, p, v + c) for c in (0, 1) for f, image in enumerate([ref, ref, ref, flat]) for p, v in enumerate(map(float, image))]
+    df = spark.createDataFrame(rows, "stack int, channel int, frame int, pixel int, v double").repartition(7)
+    got = acquisition.correct_by_channel(df, "channel", 0)
+    assert got.filter("frame = 3 and v is null").count() == 12 == got.filter("frame = 3").count() and got.filter("frame < 3 and v is null").count() == 0
+    gone = signals.denoise(gaps(spark, [(0, None), (1, 2), (2, None), (3, 6)]), ["roi"], "v", 0.5, keep_gaps=True)
+    assert values(gone) == [None, 2.0, None, 5.0]
