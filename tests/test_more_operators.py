@@ -265,3 +265,10 @@ def test_flat_frames_have_no_correction(spark):
     assert got.filter("frame = 3 and v is null").count() == 12 == got.filter("frame = 3").count() and got.filter("frame < 3 and v is null").count() == 0
     gone = signals.denoise(gaps(spark, [(0, None), (1, 2), (2, None), (3, 6)]), ["roi"], "v", 0.5, keep_gaps=True)
     assert values(gone) == [None, 2.0, None, 5.0]
+
+
+def test_unstable_groups_at_the_limit(spark):
+    rows = [(u, k, float(q * f)) for u, f in enumerate(range(1, 40, 2)) for k, q in enumerate([27, 33, 27, 33, 30, 30, 30])]
+    df = spark.createDataFrame([*rows, (99, 1, 1.0), (99, 2, 2.0), (100, 1, 0.0), (100, 2, 5.0)], "u int, run int, q double")
+    got = filters.unstable_groups(df, "q", "u", "run", F.col("run"), 0.1).collect()
+    assert [(r.u, r.deviation) for r in got] == [(99, pytest.approx(1 / 3))]  # deviations of just the limit don't pass it
