@@ -272,3 +272,10 @@ def test_unstable_groups_at_the_limit(spark):
     df = spark.createDataFrame([*rows, (99, 1, 1.0), (99, 2, 2.0), (100, 1, 0.0), (100, 2, 5.0)], "u int, run int, q double")
     got = filters.unstable_groups(df, "q", "u", "run", F.col("run"), 0.1).collect()
     assert [(r.u, r.deviation) for r in got] == [(99, pytest.approx(1 / 3))]  # deviations of just the limit don't pass it
+
+
+def test_extrapolate_from_fewer_frames(spark):
+    df = gaps(spark, [(0, 3), (1, 9), (2, 9), (3, 1), (4, 2), (5, 9), (9, 4)])
+    got = models.extrapolate(df, ["roi"], "v", [0, 1, 2, 5, 9], order=1, fewer=True)
+    assert values(got) == [3.0, 3.0, 3.0, 1.0, 2.0, 3.0, 4.0]
+    assert values(models.extrapolate(df, ["roi"], "v", [0, 1, 2, 5, 9], order=1))[1] == 9.0

@@ -181,20 +181,26 @@ def end_weights(past: int, order: int) -> np.ndarray:
     return np.linalg.solve(np.stack([basis(u) for u in x]).T, basis(float(past)))
 
 
-def extrapolate(df: DataFrame, keys: list[str], value: str, frames: list[int], *, frame: str = "frame", order: int = 3, past: int = 5) -> DataFrame:
+def extrapolate(df: DataFrame, keys: list[str], value: str, frames: list[int], *, frame: str = "frame", order: int = 3, past: int = 5, fewer: bool = False) -> DataFrame:
     """(keys, frame, value) with the given frames replaced, one after another, by the spline of ``order`` through the ``past`` frames before, never below zero.
 
-    A frame without so many frames right before it stays as it is. Replaced frames count
-    for later ones.
+    A frame without so many frames right before it stays as it is; if ``fewer``, it is replaced
+    from those that there are, one at least, by the highest order up to ``order`` that they
+    allow. Replaced frames count for later ones.
     """
-    weights, wanted = end_weights(past, order), sorted(set(frames))
+    wanted = sorted(set(frames))
+    weights = {past: end_weights(past, order)}
+    if fewer:
+        weights |= {n: end_weights(n, min(order, n - 1)) if n > 1 else np.ones(1) for n in range(1, past)}
 
     def kernel(y: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
         y = y.copy()
         for f in wanted:
             i = int(np.searchsorted(at, f))
-            if past <= i < len(at) and at[i] == f and at[i - past] == f - past:
-                y[i] = max(float(weights @ y[i - past : i]), 0.0)
+            if i < len(at) and at[i] == f:
+                n = next((n for n in sorted(weights, reverse=True) if n <= i and at[i - n] == f - n), 0)
+                if n:
+                    y[i] = max(float(weights[n] @ y[i - n : i]), 0.0)
         return {frame: at, value: y}
 
     return kernels.per_trace(df, keys, value, kernel, {frame: dict(df.dtypes)[frame], value: "double"}, frame=frame)
