@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_operators import one
+from tracelake.functions import parse
 from tracelake.operators import aggregate, kernels, models, stats, tables
 from tracelake.sources import loader, sessions
 
@@ -181,3 +182,14 @@ def test_trials_and_responders(spark):
     assert shares == {(1, "d1"): (0.5, 0.5, 2, pytest.approx(2 / 3)), (1, "d2"): (1.0, 0.0, 1, pytest.approx(1 / 3))}
     fractions = {(r.g, r.run): (r.mean, r.sem, r.datasets) for r in aggregate.responder_fractions(kinds, "run", "d", "g", "kind").collect()}
     assert fractions == {("x", 1): (0.5, None, 1), ("y", 1): (1.0, None, 1), ("all", 1): (pytest.approx(2 / 3), pytest.approx(0.25), 2)}
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_are_read_once_they_are_distinct(spark):
+    name = F.format_string("line1_100frames_100Hz_200ms_3.56Hz_080MPa_50DC-%d", F.col("id") % 3)
+    for out in (parse.info_table(spark.range(9).select(name.alias("name")).distinct(), "name"), parse.runs_of_files(spark.range(9).select(name.alias("name")).distinct(), "name")):
+        below = optimized(out)
+        assert "REGEXP" not in below[below.rindex("Aggregate") :].upper() and "RLIKE" not in below[below.rindex("Aggregate") :].upper()

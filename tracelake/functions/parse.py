@@ -65,10 +65,15 @@ def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def _named(df: DataFrame, name: Column) -> DataFrame:
+    """(name), made once a row: what is read from it is neither repeated in each expression nor pushed below a distinct."""
+    return df.select(F.explode(F.array(name)).alias("__name"))
+
+
 def info_table(df: DataFrame, path: str, trials_per_run: int | None = None) -> DataFrame:
     """(run, parameters, code) of paths, numbered by name; names in no known form are left out."""
-    name = base_name(F.col(path))
-    known = df.select(acquisition(name).alias("a"), F.regexp_replace(name, r"(?i)(\.ome)?\.tif$", "").alias("code")).filter("a is not null")
+    name = F.col("__name")
+    known = _named(df, base_name(F.col(path))).select(acquisition(name).alias("a"), F.regexp_replace(name, r"(?i)(\.ome)?\.tif$", "").alias("code")).filter("a is not null")
     out = known.select((F.row_number().over(W.orderBy("code")) - 1).alias("run"), "a.*", "code")  # one row a file of a session
     return out if trials_per_run is None else out.withColumn("trials", F.lit(trials_per_run))
 
@@ -78,10 +83,21 @@ def run_name(name: Column) -> Column:
     return F.regexp_replace(name, r"(?i)(run\d+)_(?:\d*_)?\d+\.tif$", "$1.tif")
 
 
+def _trial_files(df: DataFrame, name: str) -> DataFrame:
+    """(run, s): the trial files, s is (trial, name); names of the other forms end otherwise, so that one pattern tells them."""
+    trial = F.regexp_extract("__name", NAME_FORMS["trial file"], 10).try_cast("int")
+    rows = _named(df, F.col(name)).select(F.struct(trial.alias("t"), F.col("__name").alias("f")).alias("s")).filter("s.t is not null")
+    return rows.select(run_name(F.col("s.f")).alias("run"), "s")
+
+
+def runs_of_files(df: DataFrame, name: str) -> DataFrame:
+    """(run, trials, first): the number of trial files of each run and the first one in trial order, for runs of any size."""
+    return _trial_files(df, name).groupBy("run").agg(F.count("*").alias("trials"), F.min("s")["f"].alias("first"))
+
+
 def group_by_run(df: DataFrame, name: str) -> DataFrame:
     """(run, files, trials): the trial files of each run in trial order; files of one run are few."""
-    rows = df.select(run_name(F.col(name)).alias("run"), F.struct(acquisition(F.col(name))["trial"].alias("t"), F.col(name).alias("f")).alias("s")).filter("s.t is not null")
-    return rows.groupBy("run").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["f"]).alias("files"), F.count("*").alias("trials"))
+    return _trial_files(df, name).groupBy("run").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["f"]).alias("files"), F.count("*").alias("trials"))
 
 
 def resampled_name(name: Column, frames: int, fps: float) -> Column:
