@@ -199,3 +199,10 @@ def test_first_of_many_trial_files(spark):
     rows = [(f"m_10frames_100Hz_200ms_3.56Hz_0.80MPa_50DC_run{k}_{t:05d}.tif",) for k in (1, 2) for t in (120000, 7, 30)] + [("m_10frames_100Hz_200ms_3.56Hz_0.80MPa_50DC-3.tif",), (None,)]
     got = {(r.run[-8:], r.trials, r.first) for r in parse.runs_of_files(spark.createDataFrame(rows, "name string"), "name").collect()}
     assert got == {(f"run{k}.tif", 3, rows[1 if k == 1 else 4][0]) for k in (1, 2)}
+
+
+def test_documents_are_parsed_once(spark):
+    df = spark.range(2).select("id", F.col("id").cast("string").alias("text"))
+    xml = optimized(sessions.document_settings(df, ["id"], "text")).lower()
+    assert "join" not in xml and xml.count("xml_to_struct") + xml.count("xmltostructs") + xml.count("from_xml") == 1
+    assert optimized(sessions.flatten_json(df, ["id"], "text")).lower().count("parsejson") + optimized(sessions.flatten_json(df, ["id"], "text")).lower().count("parse_json") == 1

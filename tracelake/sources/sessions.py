@@ -35,8 +35,13 @@ def read_documents(spark: SparkSession, path: str, *, glob: str = "*") -> DataFr
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def _once(column: Column) -> Column:
+    """The same value, made once a row: filters on it and on its parts don't make it anew."""
+    return F.explode(F.array(column))
+
+
 def _parsed(df: DataFrame, keys: list[str], xml: str) -> DataFrame:
-    return df.select(*keys, F.from_xml(xml, _DOCUMENT).alias("__d"))
+    return df.select(*keys, _once(F.from_xml(xml, _DOCUMENT)).alias("__d"))
 
 
 def quantity(text: Column) -> Column:
@@ -55,13 +60,14 @@ def _labels(entries: Column, index: str) -> Column:
     return F.transform(entries, lambda e: F.when(numbered & (n == 1), F.lit("")).when(numbered & described, e["_description"]).otherwise(e[index]))
 
 
-def typed(text: Column, description: Column) -> list[Column]:
-    """Columns value, number, flag, quantity and unit of a setting; a unit may be in its description instead."""
-    q = F.coalesce(quantity(text), quantity(description))
-    return [
-        text.alias("value"), F.when(~F.lower(text).isin("nan", "inf", "-inf", "infinity", "-infinity"), text.try_cast("double")).alias("number"), F.when(text.isin("True", "False"), text == "True").alias("flag"),
-        q["number"].alias("quantity"), q["unit"].alias("unit"),
-    ]
+def typed(df: DataFrame, text: str, description: str) -> DataFrame:
+    """Adds columns value, number, flag, quantity and unit of a setting; a unit may be in its description instead."""
+    v = F.col(text)
+    read = df.withColumn("__q", F.coalesce(quantity(v), quantity(F.col(description))))
+    return read.withColumns({
+        "value": v, "number": F.when(~F.lower(v).isin("nan", "inf", "-inf", "infinity", "-infinity"), v.try_cast("double")), "flag": F.when(v.isin("True", "False"), v == "True"),
+        "quantity": F.col("__q.number"), "unit": F.col("__q.unit"),
+    })
 
 
 def document_settings(df: DataFrame, keys: list[str], xml: str, *, simplify: bool = True) -> DataFrame:
@@ -70,32 +76,35 @@ def document_settings(df: DataFrame, keys: list[str], xml: str, *, simplify: boo
     ``simplify``: pixel sizes that are the same in x and y are one entry, without the depth;
     the laser's power and the gain get their names, and a gain such as ``10x`` its number.
     """
-    p = _parsed(df, keys, xml).select(*keys, F.explode("__d.PVStateShard.PVStateValue").alias("p"))
-    none = F.array().cast("array<struct<label:string,_value:string,_description:string>>")
+    item = "struct<label:string,_value:string,_description:string>"
+    none = F.array().cast(f"array<{item}>")
     pack = lambda label, e: F.struct(label.alias("label"), e["_value"].alias("_value"), e["_description"].alias("_description"))
-    own = F.when(F.col("p._value").isNotNull(), F.array(F.struct(F.lit("").alias("label"), F.col("p._value").alias("_value"), F.col("p._description").alias("_description")))).otherwise(none)
-    indexed = F.coalesce(F.zip_with(_labels(F.col("p.IndexedValue"), "_index"), "p.IndexedValue", pack), none)
-    groups = F.col("p.SubindexedValues")
-    outer_names = F.transform(groups, lambda g: g["_index"])
-    single = (F.size(groups) == 1) & (F.get(outer_names, 0) == "0")
-
-    def inner(g: Column) -> Column:
-        named = F.zip_with(_labels(g["SubindexedValue"], "_subindex"), g["SubindexedValue"], pack)
-        return F.transform(named, lambda e: F.struct(F.trim(F.concat_ws(" ", F.when(single, "").otherwise(g["_index"]), e["label"])).alias("label"), e["_value"].alias("_value"), e["_description"].alias("_description")))
-
-    nested = F.coalesce(F.flatten(F.transform(groups, inner)), none)
-    rows = p.select(*keys, F.col("p._key").alias("__key"), F.explode(F.concat(own, indexed, nested)).alias("e"))
-    out = rows.select(*keys, F.trim(F.concat_ws(" ", "__key", "e.label")).alias("key"), *typed(F.col("e._value"), F.col("e._description")))
+
+    def entries(p: Column) -> Column:
+        """The values of a setting with their whole keys."""
+        own = F.when(p["_value"].isNotNull(), F.array(pack(F.lit(""), p))).otherwise(none)
+        indexed = F.when(p["IndexedValue"].isNotNull(), F.zip_with(_labels(p["IndexedValue"], "_index"), p["IndexedValue"], pack)).otherwise(none)
+        groups = p["SubindexedValues"]
+        single = (F.size(groups) == 1) & (F.get(groups, 0)["_index"] == "0")
+
+        def inner(g: Column) -> Column:
+            named = F.zip_with(_labels(g["SubindexedValue"], "_subindex"), g["SubindexedValue"], pack)
+            return F.transform(named, lambda e: pack(F.trim(F.concat_ws(" ", F.when(single, "").otherwise(g["_index"]), e["label"])), e))
+
+        nested = F.when(groups.isNotNull(), F.coalesce(F.flatten(F.transform(groups, inner)), none)).otherwise(none)
+        return F.transform(F.concat(own, indexed, nested), lambda e: pack(F.trim(F.concat_ws(" ", p["_key"], e["label"])), e))
+
+    # a document is parsed once, and its pair of axes is compared in its own row
+    found = _parsed(df, keys, xml).select(*keys, _once(F.flatten(F.transform("__d.PVStateShard.PVStateValue", entries))).alias("__e"))
+    axes = F.transform(F.filter("__e", lambda e: e["label"].isin("micronsPerPixel XAxis", "micronsPerPixel YAxis")), lambda e: e["_value"])
+    even = F.coalesce(F.array_min(axes) == F.array_max(axes), F.lit(False)) if simplify else F.lit(False)
+    rows = found.select(*keys, even.alias("__even"), F.explode("__e").alias("e")).select(*keys, "__even", F.col("e.label").alias("key"), "e._value", "e._description")
+    even = F.col("__even")
+    if simplify:
+        rows = rows.filter((F.col("key") != "micronsPerPixel ZAxis") & ~(even & (F.col("key") == "micronsPerPixel YAxis")))
+    out = typed(rows, "_value", "_description").select(*keys, "__even", "key", "value", "number", "flag", "quantity", "unit")
     if not simplify:
-        return out
-    # one row a document and setting, so the pair of axes is a group of two
-    axes = out.filter(F.col("key").isin("micronsPerPixel XAxis", "micronsPerPixel YAxis")).groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg((F.min("value") == F.max("value")).alias("__even"))
-    same = F.lit(True)
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
-    out = out.join(axes, same, "left").drop(*[f"__{k}" for k in keys])
-    even = F.coalesce("__even", F.lit(False))
-    out = out.filter((F.col("key") != "micronsPerPixel ZAxis") & ~(even & (F.col("key") == "micronsPerPixel YAxis")))
+        return out.drop("__even")
     gain = F.col("key").rlike("^daq( |$)")
     key = F.when(even & (F.col("key") == "micronsPerPixel XAxis"), "micronsPerPixel").when(F.col("key").rlike("^laserPower( |$)"), "Pockels power").when(gain, "DAQ gain").otherwise(F.col("key"))
     number = F.when(gain & F.col("number").isNull(), F.regexp_replace("value", ".$", "").try_cast("double")).otherwise(F.col("number"))
