@@ -144,21 +144,15 @@ def flatten_json(df: DataFrame, keys: list[str], text: str, *, depth: int = 8) -
     """
     spark = df.sparkSession
     clean = F.regexp_replace(text, r"(?<=[:\[,]\s{0,8})[-+]?(NaN|Inf(inity)?)\b", "null")
-    level = df.select(*keys, F.lit("").alias("path"), F.try_parse_json(clean).alias("__v")).filter("__v is not null")
-    leaves: list[DataFrame] = []
-    kind = F.schema_of_variant("__v")
+    # one walk down the levels: leaves found above are carried along, so that a text is parsed once
+    out = df.select(*keys, F.lit("").alias("path"), _once(F.try_parse_json(clean)).alias("__v"), F.lit(False).alias("__leaf")).filter("__v is not null")
+    kind, leaf, inside = F.schema_of_variant("__v"), F.col("__leaf"), F.col("pos").isNotNull()
     nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-    for k in range(depth + 1):
-        done = level if k == depth else level.filter(~nested)
-        leaves.append(done.select(*keys, "path", "__v"))
-        if k == depth:
-            break
-        step = F.coalesce(F.col("key"), F.col("pos").cast("string"))
-        inside = level.filter(nested).lateralJoin(spark.tvf.variant_explode(F.col("__v").outer()))
-        level = inside.select(*keys, F.concat("path", F.when(F.col("path") == "", "").otherwise("."), step).alias("path"), F.col("value").alias("__v"))
-    out = leaves[0]
-    for more in leaves[1:]:
-        out = out.unionByName(more)
+    for _ in range(depth):
+        below = out.lateralJoin(spark.tvf.variant_explode_outer(F.when(~leaf, F.col("__v")).outer()))
+        below = below.filter(leaf | inside | ~nested)  # empty objects and arrays have no leaf
+        step = F.concat("path", F.when(F.col("path") == "", "").otherwise("."), F.coalesce(F.col("key"), F.col("pos").cast("string")))
+        out = below.select(*keys, F.when(inside, step).otherwise(F.col("path")).alias("path"), F.when(inside, F.col("value")).otherwise(F.col("__v")).alias("__v"), (~inside).alias("__leaf"))
     value = F.when(F.schema_of_variant("__v") != "VOID", F.try_variant_get("__v", "$", "string"))
     flag = F.when(F.schema_of_variant("__v") == "BOOLEAN", F.try_variant_get("__v", "$", "boolean"))
     number = F.when(F.schema_of_variant("__v") != "BOOLEAN", value.try_cast("double"))
