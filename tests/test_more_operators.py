@@ -279,3 +279,11 @@ def test_extrapolate_from_fewer_frames(spark):
     got = models.extrapolate(df, ["roi"], "v", [0, 1, 2, 5, 9], order=1, fewer=True)
     assert values(got) == [3.0, 3.0, 3.0, 1.0, 2.0, 3.0, 4.0]
     assert values(models.extrapolate(df, ["roi"], "v", [0, 1, 2, 5, 9], order=1))[1] == 9.0
+
+
+def test_units_are_sent_to_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(stats, "BLOCK_UNITS", 2)
+    monkeypatch.setattr(stats, "BLOCKS", 3)
+    df = spark.range(0, 60 * 5).select((F.col("id") % 60).alias("u"), F.floor(F.col("id") / 60).alias("k"), F.rand(1).alias("v"), F.lit(1).alias("g"))
+    pairs = stats.correlation_pairs(df, ["g"], ["k"], "u", "v")
+    assert pairs.count() == pairs.select("a", "b").distinct().count() == 60 * 59 // 2
