@@ -290,6 +290,28 @@ def test_units_are_sent_to_few_blocks(spark, monkeypatch):
     assert pairs.count() == pairs.select("a", "b").distinct().count() == 60 * 59 // 2
 
 
+def test_pairs_of_a_large_group_are_dealt_to_tasks(spark, monkeypatch):
+    """Block pairs of one group are tasks of their own, also where nothing is small enough to be broadcast: one task would sort and spill all copies."""
+    monkeypatch.setattr(stats, "BLOCK_UNITS", 4)
+    monkeypatch.setattr(stats, "SMALL_GROUP", 50, raising=False)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((40, 12)) * 10.0 ** np.array([0, 39, -60, 5])[np.arange(40) % 4, None]
+    df = spark.createDataFrame([(1, u, k, float(x)) for u, line in enumerate(v) for k, x in enumerate(line)], "g int, u int, k int, v double")
+    try:
+        for k, x in settings.items():
+            spark.conf.set(k, x)
+        rows = stats.correlation_pairs(df, ["g"], ["k"], "u", "v").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    want = np.corrcoef(v)
+    assert sorted((r.a, r.b) for r in rows) == [(a, b) for a in range(40) for b in range(a + 1, 40)]
+    assert all(r.r == pytest.approx(want[r.a, r.b], abs=1e-9) for r in rows)
+    assert len({r.task for r in rows}) > 1
+
+
 @pytest.mark.parametrize(("gaps_", "shared"), [("none", 8), ("sets", 8), ("sets", 2), ("any", 3)])
 def test_mean_correlations_of_units_equal_those_of_pairs(spark, monkeypatch, gaps_, shared):
     monkeypatch.setattr(stats, "SHARED_SETS", shared)
